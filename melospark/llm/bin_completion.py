@@ -6,8 +6,8 @@ large the corpus. A plan is a list of patterns, each a filling of one sequence a
 * Incumbent: best-fit decreasing, done on counts (equal bins move together).
 * Bound: the waste bound of Martello and Toth over all thresholds.
 * Branching: the largest remaining length is completed by every undominated filling of the room beside it,
-  fullest first; a branch is cut when its waste alone rules out beating the incumbent. A node is closed by the
-  best-fit plan of what remains, so each node can improve the incumbent. Search ends when the bound is met or
+  fullest first; a branch is cut when its waste alone rules out beating the incumbent. Every 64th
+  node is also closed by the best-fit plan of what remains, which may improve the incumbent. Search ends when the bound is met or
   ``max_nodes`` nodes are spent; the plan then is the best incumbent.
 """
 
@@ -77,52 +77,61 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def completions(counts: dict[int, int], room: int, waste: int, limit: int) -> list[dict[int, int]]:
-    """Undominated fillings of ``room`` that leave at most ``waste``, fullest first.
+    """Undominated fillings of ``room`` that leave at most ``waste``, fullest first, at most ``limit``.
 
     A filling is dominated when a part of it could be swapped for one single longer (or, for several pieces,
     equally long) piece that it leaves out: the swap frees smaller pieces, which fit wherever that piece does.
+    The walk takes long pieces first and, at every step, looks up the one piece that would fill the room.
     """
     lengths = [x for x in sorted(counts, reverse=True) if x <= room and counts[x]]
     suffix = [0] * (len(lengths) + 1)
     for k in range(len(lengths) - 1, -1, -1):
         suffix[k] = suffix[k + 1] + lengths[k] * counts[lengths[k]]
-    found: list[tuple[int, dict[int, int]]] = []
-    steps = 0
+    found: list[tuple[int, int, dict[int, int]]] = []
+    full = steps = 0
 
     def dominated(filling: dict[int, int], slack: int) -> bool:
-        sums = {0: 0}  # sum of a part -> fewest pieces that make it
+        sums = {0: 0}  # sum of a part -> most pieces that make it
         for x, n in filling.items():
             for _ in range(n):
                 for s, k in list(sums.items()):
                     sums[s + x] = max(sums.get(s + x, 0), k + 1)
         return any(
-            filling.get(x, 0) < counts[x] and any(s < x <= s + slack or (s == x and k > 1) for s, k in sums.items() if s)
+            filling.get(x, 0) < counts[x] and (x in sums and sums[x] > 1 or any(x - d in sums for d in range(1, slack + 1) if x > d))
             for x in lengths
         )
 
+    def keep(filling: dict[int, int], slack: int) -> None:
+        nonlocal full
+        if not dominated(filling, slack):
+            found.append((slack, sum(filling.values()), filling))
+            full += not slack
+
     def extend(k: int, room: int, filling: dict[int, int]) -> None:
         nonlocal steps
         steps += 1
-        if len(found) >= limit or steps > 200 * limit:
-            return
         while k < len(lengths) and lengths[k] > room:
             k += 1
-        if room - suffix[k] > waste:
-            return
         if k == len(lengths):
-            if not dominated(filling, room):
-                found.append((room, dict(filling)))
+            if room <= waste:
+                keep(filling, room)
             return
-        x = lengths[k]
-        for n in range(min(room // x, counts[x]), -1, -1):
-            extend(k + 1, room - n * x, filling | {x: n} if n else filling)
+        if counts.get(room, 0) and room == lengths[k]:
+            keep(filling | {room: 1}, 0)
+        for j in range(k, len(lengths)):
+            if full >= limit or steps > 50 * limit or room - suffix[j] > waste:
+                return
+            x = lengths[j]
+            for n in range(min(room // x, counts[x]), 0, -1):
+                if n * x < room or n > 1:
+                    extend(j + 1, room - n * x, filling | {x: n})
 
     extend(0, room, {})
-    found.sort(key=lambda f: (f[0], sum(f[1].values())))
-    return [f for _, f in found]
+    found.sort(key=lambda f: f[:2])
+    return [f for _, _, f in found[:limit]]
 
 
-def plan(counts: dict[int, int], capacity: int, max_nodes: int = 2000, branch: int = 16) -> Plan:
+def plan(counts: dict[int, int], capacity: int, max_nodes: int = 1500, branch: int = 4) -> Plan:
     """Best plan found for the histogram ``counts`` (length -> number of pieces, 1 <= length <= capacity)."""
     counts = {x: n for x, n in counts.items() if n}
     bound, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
@@ -133,9 +142,10 @@ def plan(counts: dict[int, int], capacity: int, max_nodes: int = 2000, branch: i
     def search(left: dict[int, int], done: list[Pattern], used: int, wasted: int) -> None:
         nonlocal best, fewest, nodes
         nodes += 1
-        rest = best_fit_decreasing(left, capacity)
-        if used + sum(n for _, n in rest) < fewest:
-            best, fewest = done + rest, used + sum(n for _, n in rest)
+        if not left or nodes % 64 == 1:
+            rest = best_fit_decreasing(left, capacity)
+            if used + sum(n for _, n in rest) < fewest:
+                best, fewest = done + rest, used + sum(n for _, n in rest)
         if not left or fewest <= bound or nodes >= max_nodes or used + lower_bound(left, capacity) >= fewest:
             return
         largest = max(left)

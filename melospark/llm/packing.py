@@ -104,7 +104,7 @@ def numbered(pieces: DataFrame, groups: int) -> DataFrame:
     return inner.join(before, same).withColumn("number", F.col("before") + F.col("inner")).select(*pieces.columns, "number")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = 2000) -> tuple[DataFrame, Plan]:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = 1500) -> tuple[DataFrame, Plan]:
     """Places pieces (any columns besides length) in sequences; returns them with sequence_id and offset."""
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # <= capacity rows
     planned = plan(histogram, capacity, max_nodes)
