@@ -6,13 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from melospark.llm import bpe, packing, token_counts
+from melospark.llm import bpe, exact_dedup, packing, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+
+
+OP3_SQL = r"""
+with d as (
+  select doc_id, length(coalesce(text, '')) as n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256
+  from documents)
+select doc_id, first_value(doc_id) over w as keep_id,
+       count(*) over (partition by text_sha256) as group_size,
+       doc_id = first_value(doc_id) over w as kept, text_sha256
+from d window w as (partition by text_sha256 order by n desc, doc_id
+                    rows between unbounded preceding and unbounded following)
+"""
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -21,13 +38,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op7_simhash, op10_token_counts)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe_encoding, op5_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL}
