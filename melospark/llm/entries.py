@@ -6,13 +6,56 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from melospark.llm import bpe, exact_dedup, language_id, packing, simhash, token_counts
+from melospark.llm import bpe, exact_dedup, html_text, language_id, packing, pii, quality_rules, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as text, source as host,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+lines as (
+  select doc_id, line, row_number() over (partition by doc_id, line) as nth
+  from (select doc_id, unnest(string_split(text, chr(10))) as line from w)
+  where regexp_matches(line, '[^\x20\x09-\x0D]')),
+line_counts as (select doc_id, count(*) as n_lines, count(*) filter (where nth > 1) as n_dup_lines from lines group by doc_id),
+windows as (
+  select doc_id, i, list_slice(words, i, i + 4) as win
+  from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from w where len(words) >= 5)),
+twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, win) as n from windows) where n > 1),
+covered as (select doc_id, count(distinct i + k) as n_repeat_words from twice, (select unnest(range(5)) as k) group by doc_id),
+m as (
+  select w.doc_id, w.host, len(words) as n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines
+  from w left join line_counts using (doc_id) left join covered using (doc_id)),
+f as (
+  select *, n_words < 10 as few, 100 * n_repeat_words > 20 * n_words as rep,
+         100 * n_symbols > 100 * n_words as sym, 100 * n_dup_lines > 50 * n_lines as dup from m),
+h as (select host, rule, count(*) as n, sum(cast(failed as int)) as k
+      from (select host, unnest(['few', 'rep', 'sym', 'dup']) as rule, unnest([few, rep, sym, dup]) as failed from f)
+      group by host, rule),
+c as (select rule, sum(k) / sum(n) as mean, sum(k * k / n) / sum(n) - power(sum(k) / sum(n), 2) as v from h group by rule),
+b as (select rule, mean, case when v <= 1e-12 then 1e6 else greatest(1, least(1e6, mean * (1 - mean) / v - 1)) end as strength from c),
+hv as (select host, max((k + mean * strength) / (n + strength)) > 0.5 as host_failed from h join b using (rule) group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few or rep as base_failed, host_failed,
+       not (few or rep) and not host_failed as kept
+from f join hv on f.host is not distinct from hv.host
+"""
+
+
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_pii(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
@@ -46,11 +89,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op10_token_counts)
+QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op8_html_text, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -58,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op1_host_quality": OP1_SQL, "op3_exact_dedup": OP3_SQL}
