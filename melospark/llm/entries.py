@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from melospark.llm import bpe, exact_dedup, html_text, language_id, packing, pii, quality_rules, simhash, token_counts
+from melospark.llm import bpe, exact_dedup, html_text, language_id, packing, pii, quality_rules, secret_scan, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,11 +93,37 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _op9_sql() -> str:
+    def parts(rule: secret_scan.Rule) -> str:
+        pattern = rule.pattern.replace("'", "''")
+        return f"""
+  select doc_id, '{rule.kind}' as kind, {secret_scan.RULES.index(rule)} as rank, {rule.least} as least,
+         regexp_extract(part, '{pattern}', {rule.group}) as held, i, part, sum(length(part)) over (partition by doc_id order by i) as stop
+  from (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as i
+        from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '{pattern}', chr(64976) || '\\0' || chr(64976), 'g'), chr(64976)) as parts from documents))"""
+
+    base = ", ".join(f"'{r.kind}'" for r in secret_scan.RULES if r.base)
+    counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') as n_{r.kind}" for r in secret_scan.RULES if r.base)
+    return f"""
+with located as ({" union all ".join(map(parts, secret_scan.RULES))}),
+s as (select doc_id, kind, rank, stop - length(part) as start, kind || ':' || (stop - length(part))::bigint || ':' || stop::bigint as span
+      from located where i % 2 = 0 and length(held) >= least)
+select d.doc_id, {counts},
+       sha256(coalesce(string_agg(span, ',' order by start, rank) filter (where kind in ({base})), '')) as base_sha256,
+       coalesce(string_agg(span, ',' order by start, rank), '') as spans
+from documents d left join s on s.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op8_html_text, op10_token_counts)
+QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op8_html_text, op9_secret_scan, op10_token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -105,4 +131,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_quality": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_host_quality": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op9_secret_scan": _op9_sql()}
