@@ -127,7 +127,9 @@ QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, o
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in QUERIES}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
