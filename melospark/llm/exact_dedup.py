@@ -40,14 +40,10 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS, path: str | None = None):
         self.spark, self.buckets, self.path = spark, buckets, path
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if path and not spark.catalog.tableExists(self.name):
-            spark.sql(
-                f"CREATE TABLE `{self.name}` (digest BINARY, keep_id BIGINT, n_chars BIGINT, group_size BIGINT) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
-            )
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        spark.sql(
+            f"CREATE TABLE IF NOT EXISTS `{self.name}` (digest BINARY, keep_id BIGINT, n_chars BIGINT, group_size BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS" + (f" LOCATION '{path}'" if path else "")
+        )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -73,19 +69,14 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """
     digested = stage(digests(docs), "digests")
     keepers = stage(batch_keepers(digested), "keepers")
-    if index.exists():
-        known = index.table().select("digest")
-        index.append(keepers.join(known.hint("merge"), "digest", "left_anti"))
-        first = index.table().select(F.col("digest").alias("of"), F.col("keep_id").alias("held_id"))
-        keepers = stage(
-            keepers.join(first.hint("merge"), F.col("digest") == F.col("of"), "left").select(
-                "digest", F.coalesce("held_id", "keep_id").alias("keep_id"), "group_size"
-            ),
-            "keepers",
-        )
-    else:
-        index.append(keepers)
-    found = keepers.select(F.col("digest").alias("of"), "keep_id", "group_size")
+    index.append(keepers.join(index.table().select("digest").hint("merge"), "digest", "left_anti"))
+    first = index.table().select(F.col("digest").alias("held"), F.col("keep_id").alias("held_id"))
+    found = stage(
+        keepers.join(first.hint("merge"), F.col("digest") == F.col("held")).select(
+            F.col("digest").alias("of"), F.col("held_id").alias("keep_id"), "group_size"
+        ),
+        "found",
+    )
     # Both sides are plain scans, so Spark broadcasts a small one or splits the hot digest of a skewed join.
     return digested.join(found, F.col("digest") == F.col("of")).select(
         "doc_id",
