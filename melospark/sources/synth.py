@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +35,30 @@ def synth_samples(notes: DataFrame, sample_rate: int) -> DataFrame:
 
 
 def synth_chunks(notes: DataFrame, sample_rate: int, window: int, hop: int, hops: int = 256) -> DataFrame:
-    """The same samples as chunks with halo: take_id, start_sample, n_core, samples. Chunks, not takes, are the
-    groups, so a long take is spread over tasks."""
-    core = hops * hop
-    length = notes.groupBy("take_id").agg(_count(F.max("end_s"), sample_rate).alias("total"))
-    samples = synth_samples(notes, sample_rate)
-    chunk = F.floor(F.col("i") / core)
-    halo = F.filter(F.array(chunk, chunk - 1), lambda c: (c >= 0) & (F.col("i") < (c + 1) * core + window - hop))
-    placed = samples.withColumn("chunk", F.explode(halo))
-    held = placed.groupBy("take_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("float").alias("x")))).alias("held"))
-    empty = length.select("take_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / core))).alias("chunk"))
-    joined = empty.where("total > 0").join(held, ["take_id", "chunk"], "left")
-    start = F.col("chunk") * core
-    size = F.least(F.col("total") - start, F.lit(core + window - hop))
-    place = F.map_from_entries(F.col("held"))
-    filled = F.transform(F.sequence(start, start + size - 1), lambda i: F.coalesce(F.try_element_at(place, i), F.lit(0.0).cast("float")))
-    return joined.select(
-        "take_id", start.alias("start_sample"), F.least(F.col("total") - start, F.lit(core)).alias("n_core"), filled.alias("samples")
-    )
+    """The same recordings as chunks with halo: take_id, start_sample, n_core, samples.
+
+    Notes are dealt to the chunks they sound in, and each (take, chunk) is filled by itself: memory is that of a
+    chunk, and a long take is spread over tasks.
+    """
+    core, reach = hops * hop, hops * hop + window - hop
+    length = notes.groupBy("take_id").agg(_count(F.max("end_s"), sample_rate).alias("total")).where("total > 0")
+    all_ = length.select("take_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / core))).alias("chunk"))
+    placed = notes.select("take_id", midi_to_hz(F.col("midi")).alias("hz"), _count(F.col("start_s"), sample_rate).alias("first"), _count(F.col("end_s") - F.col("start_s"), sample_rate).alias("n"))
+    low = F.greatest(F.lit(0), F.floor((F.col("first") - reach) / core) + 1)
+    dealt = placed.where("n > 0").withColumn("chunk", F.explode(F.sequence(low.cast("long"), F.floor((F.col("first") + F.col("n") - 1) / core))))
+    attack, release = int(ATTACK_S * sample_rate + 0.5), int(RELEASE_S * sample_rate + 0.5)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = int(pdf["chunk"].iloc[0]) * core
+        left = int(pdf["total"].iloc[0]) - start
+        out = np.zeros(min(left, reach), dtype=np.float32)
+        for row in pdf[pdf["n"].notna()].itertuples():
+            first, n = int(row.first) - start, int(row.n)
+            k = np.arange(max(0, -first), min(n, len(out) - first))
+            x = sum(level * np.sin(2 * np.pi * h * row.hz * k / sample_rate) for h, level in HARMONICS)
+            x *= np.where(k < attack, k / max(attack, 1), 1.0) * np.where(k > n - release, (n - k) / max(release, 1), 1.0)
+            out[first + k] = x
+        return pd.DataFrame([(pdf["take_id"].iloc[0], start, min(left, core), out)], columns=["take_id", "start_sample", "n_core", "samples"])
+
+    rows = all_.join(dealt, ["take_id", "chunk"], "left")
+    return rows.groupBy("take_id", "chunk").applyInPandas(fill, "take_id long, start_sample long, n_core int, samples array<float>")
