@@ -182,19 +182,33 @@ def pitch_track(chunks: DataFrame, options: PitchOptions = PitchOptions()) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = PitchOptions(**fields)
+        step = max(1, _BLOCK_SAMPLES // own.window)
+
+        def estimated(held: list[tuple]) -> pd.DataFrame:
+            """Windows of one or many chunks, estimated together."""
+            hz, clarity, rms = estimate_pitch(np.concatenate([w for _, _, w in held]), own)
+            index = np.concatenate([i for _, i, _ in held])
+            take = np.repeat([t for t, _, _ in held], [len(i) for _, i, _ in held])
+            time = (index * own.hop + own.window / 2) / own.sample_rate
+            return pd.DataFrame({"take_id": take, "frame_idx": index, "time": time, "hz": hz, "clarity": clarity, "rms": rms})
+
         for pdf in batches:
-            for row in pdf.itertuples():
-                x = np.asarray(row.samples, dtype=np.float64)
-                usable = min(row.n_core, len(x) - own.window + 1)  # first samples of whole windows
+            held, rows = [], 0
+            for take_id, start, core, samples in zip(pdf["take_id"], pdf["start_sample"], pdf["n_core"], pdf["samples"], strict=True):
+                x = np.asarray(samples, dtype=np.float64)
+                usable = min(core, len(x) - own.window + 1)  # first samples of whole windows
                 if usable <= 0:
                     continue
                 windows = np.lib.stride_tricks.sliding_window_view(x, own.window)[: usable : own.hop]
-                step = max(1, _BLOCK_SAMPLES // own.window)
-                parts = [estimate_pitch(np.ascontiguousarray(windows[k : k + step]), own) for k in range(0, len(windows), step)]
-                hz, clarity, rms = (np.concatenate(p) for p in zip(*parts, strict=True))
-                index = row.start_sample // own.hop + np.arange(len(hz))
-                time = (index * own.hop + own.window / 2) / own.sample_rate
-                yield pd.DataFrame({"take_id": row.take_id, "frame_idx": index, "time": time, "hz": hz, "clarity": clarity, "rms": rms})
+                for k in range(0, len(windows), step):
+                    part = windows[k : k + step]
+                    held.append((take_id, start // own.hop + k + np.arange(len(part)), part))
+                    rows += len(part)
+                    if rows >= step:
+                        yield estimated(held)
+                        held, rows = [], 0
+            if held:
+                yield estimated(held)
 
     return chunks.select("take_id", "start_sample", "n_core", "samples").mapInPandas(
         run, f"take_id {kind}, frame_idx long, time double, hz double, clarity double, rms double"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from melospark.operators.ordered import ordered_walk
+
 BIN_S = 0.5
 
 
@@ -26,17 +27,16 @@ def match_expected_notes(expected: DataFrame, detected: DataFrame) -> DataFrame:
     half a semitone, wrong, missing)."""
     found = match_candidates(expected, detected)
 
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for idx, group in pdf.sort_values(["idx", "error", "rn"]).groupby("idx", sort=True):
-            free = group[~group["rn"].isin(taken)]
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best["rn"])
-                out.append((pdf["take_id"].iloc[0], idx, int(best["rn"]), "correct" if best["error"] < 0.5 else "wrong"))
-        return pd.DataFrame(out, columns=["take_id", "idx", "rn", "outcome"])
-
-    claimed = found.groupBy("take_id").applyInPandas(claim, "take_id long, idx long, rn long, outcome string")
+    def claim(idx, error, rn):
+        taken, out = set(), {}
+        for i, e, r in zip(idx.astype(int).tolist(), error.tolist(), rn.astype(int).tolist(), strict=True):
+            if i not in out and r not in taken:
+                taken.add(r)
+                out[i] = (i, r, "correct" if e < 0.5 else "wrong")
+        return list(out.values())
+
+    order = ["idx", "error", "rn"]
+    claimed = ordered_walk(found, ["take_id"], order, order, claim, ["idx", "rn", "outcome"], "take_id long, idx long, rn long, outcome string")
     joined = expected.select("take_id", "idx").join(claimed, ["take_id", "idx"], "left")
     return joined.withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import round_half_up
+from melospark.operators.ordered import ordered_walk
 
 
 @dataclass(frozen=True)
@@ -150,24 +151,21 @@ def resolve_overlaps(quantized: DataFrame) -> DataFrame:
 def resolve_overlaps_general(quantized: DataFrame) -> DataFrame:
     """Overlaps with any confidences: a louder note is kept beside the one it interrupts, whose length becomes
     what is left of it past the louder note's start. An ordered walk over each take's notes."""
-    import pandas as pd
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(start, rn, duration, midi, confidence):
         kept: list[list] = []
-        for row in pdf.sort_values(["start_step", "rn"]).itertuples():
-            end = kept[-1][0] + kept[-1][1] if kept else None
-            if end is not None and row.start_step < end:
-                if row.confidence > kept[-1][3]:
-                    kept[-1][1] = max(1, end - row.start_step)
-                    kept.append([row.start_step, row.duration_steps, row.midi, row.confidence])
-                else:
-                    kept[-1][1] = max(kept[-1][1], end - row.start_step, row.start_step + row.duration_steps - kept[-1][0])
+        for a, n, m, c in zip(start.astype(int).tolist(), duration.astype(int).tolist(), midi.tolist(), confidence.tolist(), strict=True):
+            end = kept[-1][0] + kept[-1][1] if kept else a
+            if a >= end:
+                kept.append([a, n, m, c])
+            elif c > kept[-1][3]:
+                kept[-1][1] = max(1, end - a)
+                kept.append([a, n, m, c])
             else:
-                kept.append([row.start_step, row.duration_steps, row.midi, row.confidence])
-        out = pd.DataFrame(kept, columns=["start_step", "duration_steps", "midi", "confidence"])
-        out.insert(0, "q_idx", range(len(out)))
-        out.insert(0, "take_id", pdf["take_id"].iloc[0])
-        return out
+                kept[-1][1] = max(kept[-1][1], a + n - kept[-1][0])
+        return [(k, *note) for k, note in enumerate(kept)]
 
+    columns = ["start_step", "rn", "duration_steps", "midi", "confidence"]
     schema = "take_id long, q_idx long, start_step long, duration_steps long, midi double, confidence double"
-    return quantized.groupBy("take_id").applyInPandas(walk, schema)
+    names = ["q_idx", "start_step", "duration_steps", "midi", "confidence"]
+    return ordered_walk(quantized, ["take_id"], ["start_step", "rn"], columns, walk, names, schema)

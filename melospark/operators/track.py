@@ -2,7 +2,7 @@
 
 What windows can express is built-in. Octave repair, note splitting, merging and boundary snapping carry state that
 restarts at places the data decide; each is a small ordered walk over one island, run or take. ``track_to_notes``
-fuses them in one grouped map behind the single shuffle by take.
+fuses them in one walk by take behind the single shuffle by take.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import hz_to_midi, midi_to_hz
+from melospark.operators.ordered import ordered_walk
 
 
 @dataclass(frozen=True)
@@ -122,16 +122,20 @@ def with_island(track: DataFrame) -> DataFrame:
 
 def octave_repair(track: DataFrame, options: SmoothOptions = SmoothOptions()) -> DataFrame:
     """Octave walk over every pitched island; groups are islands, not takes, so a long take is spread."""
-    schema = track.schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        pdf["hz"] = octave_walk(pdf["hz"].to_numpy(dtype=float), pdf["clarity"].to_numpy(dtype=float), options)
-        return pdf[schema.names]
-
     numbered = with_island(track)
-    repaired = numbered.where(F.col("island").isNotNull()).groupBy("take_id", "island").applyInPandas(walk, schema)
-    return repaired.unionByName(numbered.where(F.col("island").isNull()).drop("island"))
+    pitched = numbered.where(F.col("island").isNotNull())
+    repaired = ordered_walk(
+        pitched,
+        ["take_id", "island"],
+        ["frame_idx"],
+        ["frame_idx", "hz", "clarity"],
+        lambda index, hz, clarity: list(zip(index.astype(int), octave_walk(hz, clarity, options), strict=True)),
+        ["frame_idx", "hz"],
+        "take_id long, island long, frame_idx long, hz double",
+    ).drop("island")
+    kept = numbered.drop("island").withColumnRenamed("hz", "own_hz")
+    joined = kept.join(repaired, ["take_id", "frame_idx"], "left").withColumn("hz", F.coalesce("hz", "own_hz"))
+    return joined.select(*track.columns)
 
 
 def smooth_track(track: DataFrame, options: SmoothOptions = SmoothOptions()) -> DataFrame:
@@ -170,25 +174,26 @@ def split_walk(time: np.ndarray, midi: np.ndarray, local: np.ndarray, options: S
 def edge_median(values: np.ndarray, radius: int) -> np.ndarray:
     """Upper median of each value's neighbourhood, cut off at the ends."""
     n = len(values)
-    return np.array([np.sort(values[max(0, k - radius) : k + radius + 1])[(min(n, k + radius + 1) - max(0, k - radius)) >> 1] for k in range(n)])
+    padded = np.concatenate([np.full(radius, np.inf), values, np.full(radius, np.inf)])
+    around = np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * radius + 1), axis=1)
+    k = np.arange(n)
+    size = np.minimum(n, k + radius + 1) - np.maximum(0, k - radius)
+    return around[k, size >> 1]
 
 
+_VALUES = ["start_s", "end_s", "midi", "confidence"]
 _NOTE = "take_id long, rn long, start_s double, end_s double, midi double, confidence double"
 
 
 def split_notes(runs: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
     """Notes of every run; groups are runs. Columns as ``_NOTE`` with run."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        midi = 69 + 12 * np.log2(pdf["hz"].to_numpy(dtype=float) / 440)
-        found = split_walk(pdf["time"].to_numpy(), midi, edge_median(midi, options.median_radius), options)
-        out = pd.DataFrame(found, columns=["start_s", "end_s", "midi", "confidence"])
-        out.insert(0, "run", pdf["run"].iloc[0])
-        out.insert(0, "take_id", pdf["take_id"].iloc[0])
-        return out
+    def walk(index, time, hz):
+        midi = 69 + 12 * np.log2(hz / 440)
+        return split_walk(time, midi, edge_median(midi, options.median_radius), options)
 
-    return runs.groupBy("take_id", "run").applyInPandas(walk, "take_id long, run long, start_s double, end_s double, midi double, confidence double")
+    schema = "take_id long, run long, start_s double, end_s double, midi double, confidence double"
+    return ordered_walk(runs, ["take_id", "run"], ["frame_idx"], ["frame_idx", "time", "hz"], walk, _VALUES, schema)
 
 
 def drop_blips(notes: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
@@ -233,15 +238,12 @@ def snap_walk(notes: list[list[float]], options: SegmentOptions) -> list[list[fl
 def _fold(notes: DataFrame, walk) -> DataFrame:
     """An ordered walk over each take's notes (take_id, start_s, end_s, midi, confidence)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ["start_s", "rn"] if "rn" in pdf else ["start_s"]
-        found = walk(pdf.sort_values(order)[["start_s", "end_s", "midi", "confidence"]].to_numpy(dtype=float).tolist())
-        out = pd.DataFrame(found, columns=["start_s", "end_s", "midi", "confidence"])
-        out.insert(0, "rn", range(1, len(out) + 1))
-        out.insert(0, "take_id", pdf["take_id"].iloc[0])
-        return out
+    def run(start, end, midi, confidence):
+        found = walk(np.stack([start, end, midi, confidence], axis=1).tolist())
+        return [(k + 1, *note) for k, note in enumerate(found)]
 
-    return notes.groupBy("take_id").applyInPandas(run, _NOTE)
+    order = ["start_s", "rn"] if "rn" in notes.columns else ["start_s"]
+    return ordered_walk(notes, ["take_id"], order, _VALUES, run, ["rn", *_VALUES], _NOTE)
 
 
 def merge_adjacent(notes: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
@@ -259,13 +261,11 @@ def segment_notes(track: DataFrame, options: SegmentOptions = SegmentOptions())
 
 
 def track_to_notes(frames: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """Raw frames to notes with one shuffle: windows by take, then one grouped map on the same partitioning."""
+    """Raw frames to notes with one shuffle: windows by take, then one walk on the same partitioning."""
     prepared = median_filter(clarity_filter(with_voiced(frames), smooth), smooth.median_radius)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        index, time = pdf["frame_idx"].to_numpy(), pdf["time"].to_numpy()
-        hz, clarity, voiced = pdf["hz"].to_numpy(dtype=float), pdf["clarity"].to_numpy(dtype=float), pdf["voiced"].to_numpy()
+    def run(index, time, hz, clarity, voiced):
+        hz = hz.copy()
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (hz > 0).astype(int), [0]])))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             hz[a:b] = octave_walk(hz[a:b], clarity[a:b], smooth)
@@ -276,9 +276,7 @@ def track_to_notes(frames: DataFrame, smooth: SmoothOptions = SmoothOptions(), s
                 midi = 69 + 12 * np.log2(hz[part] / 440)
                 notes += map(list, split_walk(time[part], midi, edge_median(midi, segment.median_radius), segment))
         notes = [n for n in notes if n[1] - n[0] >= segment.min_duration_s]
-        out = pd.DataFrame(snap_walk(merge_walk(notes, segment), segment), columns=["start_s", "end_s", "midi", "confidence"])
-        out.insert(0, "rn", range(1, len(out) + 1))
-        out.insert(0, "take_id", pdf["take_id"].iloc[0])
-        return out
+        return [(k + 1, *note) for k, note in enumerate(snap_walk(merge_walk(notes, segment), segment))]
 
-    return prepared.groupBy("take_id").applyInPandas(run, _NOTE)
+    columns = ["frame_idx", "time", "hz", "clarity", "voiced"]
+    return ordered_walk(prepared, ["take_id"], ["frame_idx"], columns, run, ["rn", *_VALUES], _NOTE)

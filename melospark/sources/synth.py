@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,17 +50,22 @@ def synth_chunks(notes: DataFrame, sample_rate: int, window: int, hop: int, hops
     dealt = placed.where("n > 0").withColumn("chunk", F.explode(F.sequence(low.cast("long"), F.floor((F.col("first") + F.col("n") - 1) / core))))
     attack, release = int(ATTACK_S * sample_rate + 0.5), int(RELEASE_S * sample_rate + 0.5)
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["chunk"].iloc[0]) * core
-        left = int(pdf["total"].iloc[0]) - start
-        out = np.zeros(min(left, reach), dtype=np.float32)
-        for row in pdf[pdf["n"].notna()].itertuples():
-            first, n = int(row.first) - start, int(row.n)
-            k = np.arange(max(0, -first), min(n, len(out) - first))
-            x = sum(level * np.sin(2 * np.pi * h * row.hz * k / sample_rate) for h, level in HARMONICS)
-            x *= np.where(k < attack, k / max(attack, 1), 1.0) * np.where(k > n - release, (n - k) / max(release, 1), 1.0)
-            out[first + k] = x
-        return pd.DataFrame([(pdf["take_id"].iloc[0], start, min(left, core), out)], columns=["take_id", "start_sample", "n_core", "samples"])
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for total, chunk, notes in zip(pdf["total"], pdf["chunk"], pdf["held"], strict=True):
+                start = int(chunk) * core
+                out = np.zeros(min(int(total) - start, reach), dtype=np.float32)
+                for note in notes:
+                    first, n = note["first"] - start, note["n"]
+                    k = np.arange(max(0, -first), min(n, len(out) - first))
+                    x = sum(level * np.sin(2 * np.pi * h * note["hz"] * k / sample_rate) for h, level in HARMONICS)
+                    x *= np.where(k < attack, k / max(attack, 1), 1.0) * np.where(k > n - release, (n - k) / max(release, 1), 1.0)
+                    out[first + k] = x
+                made.append((start, min(int(total) - start, core), out))
+            starts, cores, samples = zip(*made, strict=True) if made else ((), (), ())
+            yield pd.DataFrame({"take_id": pdf["take_id"], "start_sample": starts, "n_core": cores, "samples": list(samples)})
 
-    rows = all_.join(dealt, ["take_id", "chunk"], "left")
-    return rows.groupBy("take_id", "chunk").applyInPandas(fill, "take_id long, start_sample long, n_core int, samples array<float>")
+    held = dealt.groupBy("take_id", "chunk").agg(F.collect_list(F.struct("hz", "first", "n")).alias("held"))
+    rows = all_.join(held, ["take_id", "chunk"], "left").withColumn("held", F.coalesce("held", F.array().cast(held.schema["held"].dataType)))
+    return rows.mapInPandas(fill, "take_id long, start_sample long, n_core int, samples array<float>")
