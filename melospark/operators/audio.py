@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 HOP = 512
 _EPS = 1e-12
-#: Samples transformed at once: bounds the memory of a batch of windows to some 60 MB.
-_BLOCK_SAMPLES = 1 << 20
+#: Samples transformed at once: bounds the memory of a batch of windows to some 20 MB, near the size of a core's cache.
+_BLOCK_SAMPLES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -82,17 +82,29 @@ def live_level(rms: Column) -> Column:
 
 def nsdf(frames: np.ndarray, max_tau: int) -> np.ndarray:
     """Normalised square difference (halved, so a periodic signal reaches 1) for lags 0..max_tau of each row."""
-    n = frames.shape[1]
-    size = 1 << (2 * n - 1).bit_length()
-    spectrum = np.fft.rfft(frames, size, axis=1)
-    r = np.fft.irfft(spectrum.real**2 + spectrum.imag**2, size, axis=1)[:, : max_tau + 1]
-    energy = np.cumsum(frames**2, axis=1)
-    total = energy[:, -1:]
-    head = np.concatenate([total, energy[:, ::-1][:, 1 : max_tau + 1]], axis=1)  # energy without the last tau samples
-    norm = total + (total - head)
+    r = _autocorrelation(frames, max_tau)
+    squares = frames[:, ::-1][:, :max_tau] ** 2
+    tail = np.zeros((len(frames), max_tau + 1))
+    np.cumsum(squares, axis=1, out=tail[:, 1:])  # energy of the last tau samples
+    norm = np.sum(frames * frames, axis=1, keepdims=True) + tail
     return np.where(norm < _EPS, 0.0, r / np.maximum(norm, _EPS))
 
 
+def _autocorrelation(frames: np.ndarray, max_tau: int) -> np.ndarray:
+    """Lags 0..max_tau by FFT, zero-padded just so far that none of them wraps around, to a size of small factors."""
+    size = frames.shape[1] + max_tau + 1
+    while True:
+        rest = size
+        for factor in (2, 3, 5):
+            while rest % factor == 0:
+                rest //= factor
+        if rest == 1 and size % 2 == 0:
+            break
+        size += 1
+    spectrum = np.fft.rfft(frames, size, axis=1)
+    return np.fft.irfft(spectrum.real**2 + spectrum.imag**2, size, axis=1)[:, : max_tau + 1]
+
+
 def estimate_pitch(frames: np.ndarray, options: PitchOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hz (0 when unvoiced), clarity and rms of each row."""
     count, n = frames.shape

@@ -68,4 +68,6 @@ def synth_chunks(notes: DataFrame, sample_rate: int, window: int, hop: int, hops
 
     held = dealt.groupBy("take_id", "chunk").agg(F.collect_list(F.struct("hz", "first", "n")).alias("held"))
     rows = all_.join(held, ["take_id", "chunk"], "left").withColumn("held", F.coalesce("held", F.array().cast(held.schema["held"].dataType)))
-    return rows.mapInPandas(fill, "take_id long, start_sample long, n_core int, samples array<float>")
+    # A few bytes of notes become many samples: adaptive execution would put them all in one task by their size.
+    parts = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "take_id", "chunk").mapInPandas(fill, "take_id long, start_sample long, n_core int, samples array<float>")
