@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,7 @@ SWITCH_COST = 15.0
 #: A label has a script if this share of its letters is in it.
 LEAST_SCRIPT_SHARE = 0.01
 #: Characters looked at together; bounds the memory of a batch (a longer text is taken alone).
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 200_000
 _CHUNK = 64
 
 #: First and last code point of the letters of each script told apart.
@@ -123,17 +123,17 @@ def split_words(block: list[str], buckets: int) -> Words:
     )
 
 
-def blocks(values: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """Texts in blocks of about ``BLOCK_CHARS``, with the number of the first."""
-    first, held, chars = 0, [], 0
-    for k, text in enumerate(values):
+def blocks(values: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in blocks of about ``BLOCK_CHARS``."""
+    held, chars = [], 0
+    for text in values:
         held.append(text)
         chars += len(text)
         if chars >= BLOCK_CHARS:
-            yield first, held
-            first, held, chars = k + 1, [], 0
+            yield held
+            held, chars = [], 0
     if held:
-        yield first, held
+        yield held
 
 
 def train(
@@ -150,10 +150,10 @@ def train(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = buckets + _OTHER + 1
         for batch in batches:
-            langs, held = batch["lang"].to_pylist(), batch["text"].to_pylist()
+            langs = batch["lang"].to_pylist()
             for lang in sorted(set(langs)):
                 seen = np.zeros(width, dtype=np.int64)
-                for _, block in blocks([t for t, x in zip(held, langs, strict=True) if x == lang]):
+                for block in blocks(t.as_py() for t, x in zip(batch["text"], langs, strict=True) if x == lang):
                     words = split_words(block, buckets)
                     seen[:buckets] += np.bincount(words.grams, minlength=buckets)
                     seen[buckets:] += np.bincount(words.script, weights=words.length, minlength=_OTHER + 1).astype(np.int64)
@@ -243,7 +243,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         names = model.languages
         for batch in batches:
             pred, score, marked = [], [], []
-            for _, block in blocks([t or "" for t in batch["text"].to_pylist()]):
+            for block in blocks(t.as_py() or "" for t in batch["text"]):
                 words = split_words(block, len(model.log_p) if names else BUCKETS)
                 at = np.repeat(np.arange(len(block)), np.diff(words.first_of_text))
                 letters = np.zeros((len(block), max(1, len(names))))
