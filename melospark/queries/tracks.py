@@ -191,9 +191,24 @@ def win9_merge_adjacent(spark, d):
     return track.merge_adjacent(A.close_notes(spark, d)).withColumns({"end_s": F.round("end_s", 6), "midi": F.round("midi", 6)})
 
 
-@query()
+@query(f"""
+with recursive o as (select *, row_number() over (partition by take_id order by start_s, rn) as i, lag(end_s) over (partition by take_id order by start_s, rn) as before,
+    start_s - lag(start_s) over (partition by take_id order by start_s, rn) as step from {N}),
+a as (select take_id, count(*) as n, list_sort(list(step) filter (where step > 0.01)) as steps from o group by take_id),
+m as (select *, steps[cast(floor(len(steps) / 2) as bigint) + 1] as middle from a),
+t as (select *, list_filter(steps, lambda v: abs(v - middle) / middle <= 0.35) as stable from m),
+p as (select take_id, case when n >= 3 and len(steps) >= 2 and len(stable) >= len(steps) / 2 then stable[cast(floor(len(stable) / 2) as bigint) + 1] end as spacing from t),
+w as (select o.take_id, i, start_s as s, spacing from o join p on p.take_id = o.take_id where i = 1
+  union all select o.take_id, o.i, case when spacing is null or o.start_s - o.before > spacing * 0.6 then o.start_s else o.start_s + (w.s + spacing - o.start_s) * 0.5 end, spacing
+  from w join o on o.take_id = w.take_id and o.i = w.i + 1),
+e as (select o.take_id, o.i, w.s, spacing, midi, confidence, end_s, lead(w.s) over (partition by o.take_id order by o.i) as ahead from o join w on w.take_id = o.take_id and w.i = o.i),
+f as (select *, case when spacing is null or ahead is null or ahead - end_s > spacing * 0.6 then end_s else end_s + (ahead - end_s) * 0.5 end as e from e),
+r as (select take_id, i, s as x from f where i = 1
+  union all select f.take_id, f.i, case when spacing is not null and f.s < r.x then r.x + 0.01 else f.s end from r join f on f.take_id = r.take_id and f.i = r.i + 1)
+select f.take_id, f.i as rn, round(r.x + 1e-9, 6) as start_s, round(case when spacing is null then e else greatest(e, s) end + 1e-9, 6) as end_s, midi, confidence
+from f join r on r.take_id = f.take_id and r.i = f.i""")
 def win10_snap_boundaries(spark, d):
-    return track.snap_boundaries(A.notes(spark, d))
+    return track.snap_boundaries(A.notes(spark, d)).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})  # halves of millionths go up
 
 
 @query()
