@@ -10,7 +10,8 @@ inside an <article> (or else <main>) is widened to it. Everything in the chosen
 
 Text is cut into blocks at block elements; white space in a block, line breaks included, becomes one blank; blocks
 are joined in page order by a line feed. Edge cases: null, empty and textless pages give an empty text; unclosed
-and misnested tags are closed where HTML implies it; any length is read in linear time.
+and misnested tags are closed where HTML implies it; a tag that is never closed is text;
+any length is read, in linear time where quotes in tags are closed.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ CUT_WORDS = frozenset(
 #: Words that mark the article itself; such an element isn't cut by its class or id.
 KEEP_WORDS = frozenset("article content main post entry story body text".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
