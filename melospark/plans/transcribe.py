@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from melospark.operators import audio, grid, keys, midi, quality, score, track
+from melospark.storage import with_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,7 @@ def transcribe_notes(takes: DataFrame, notes: DataFrame, frames: DataFrame | Non
 
 def transcribe_frames(frames: DataFrame, smooth=track.SmoothOptions(), segment=track.SegmentOptions()) -> Transcription:
     """From pitch frames. Notes feed several branches and cost the one big shuffle, so they are checkpointed."""
+    with_checkpoint_dir(frames.sparkSession)
     notes = track.track_to_notes(frames, smooth, segment).checkpoint()
     return transcribe_notes(frames.select("take_id").distinct(), notes, frames)
 
