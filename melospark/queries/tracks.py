@@ -173,6 +173,26 @@ def win7_split_notes(spark, d):
     return track.split_notes(track.voiced_runs(track.smooth_track(voiced(spark, d))))
 
 
+@query(f"""
+with recursive v as (select take_id, frame_idx, time, 69 + 12 * log2(hz / 440) as midi, cast(sum(opens) over (partition by take_id order by frame_idx) as bigint) as run from (
+    select *, case when frame_idx - lag(frame_idx) over (partition by take_id order by frame_idx) > 5 then 1 else 0 end as opens from {MEDIANED} where voiced = 1)),
+x as (select take_id, run, time, midi, row_number() over (partition by take_id, run order by frame_idx) as i,
+    list_sort(list(midi) over (partition by take_id, run order by frame_idx rows between 3 preceding and 3 following)) as near from v),
+w as (select take_id, run, i, time, 1 as note, [midi] as acc, null::double as closed from x where i = 1
+  union all select x.take_id, x.run, x.i, x.time,
+    w.note + (len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85)::int,
+    case when len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85 then [x.midi] else list_sort(list_append(w.acc, x.midi)) end,
+    case when len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85 then list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1] end
+  from w join x on x.take_id = w.take_id and x.run = w.run and x.i = w.i + 1),
+n as (select take_id, run, note, min(time) as start_s, max(time) + 512 / 44100 as end_s, last(acc order by i) as acc, min(closed) as before from w group by take_id, run, note)
+select take_id, run, round(start_s, 6) as start_s, round(end_s, 6) as end_s,
+  round(coalesce(lead(before) over (partition by take_id, run order by note), acc[len(acc) // 2 + 1]), 6) as midi, 1.0::double as confidence from n""")
+def win7_split_filtered_notes(spark, d):
+    """Notes of the median-filtered track, octaves as they are."""
+    found = track.split_notes(track.voiced_runs(track.median_filter(track.clarity_filter(voiced(spark, d)))))
+    return found.withColumns({c: F.round(c, 6) for c in ("start_s", "end_s", "midi")})
+
+
 @query(f"select take_id, rn, start_s, end_s, midi, confidence from {N} where end_s - start_s >= 0.25")
 def win8_drop_blips(spark, d):
     return track.drop_blips(A.notes(spark, d), track.SegmentOptions(min_duration_s=0.25)).select("take_id", "rn", "start_s", "end_s", "midi", "confidence")
