@@ -150,7 +150,21 @@ def win2_median_filter(spark, d):
     return track.median_filter(track.clarity_filter(voiced(spark, d))).select("take_id", "frame_idx", r6(F.col("hz"), "hz"), "voiced")
 
 
-@query()
+@query(f"""
+with recursive m as (select *, case when hz > 0 then 69 + 12 * log2(hz / 440) end as midi, count(*) filter (where hz <= 0) over (partition by take_id order by frame_idx) as island from {MEDIANED}),
+l as (select take_id, island, frame_idx, clarity, midi, row_number() over (partition by take_id, island order by frame_idx) as i,
+    list(midi) over (partition by take_id, island order by frame_idx rows between current row and unbounded following) as ahead from m where hz > 0),
+g as (select * exclude (ahead), coalesce(list_position(list_transform(ahead, lambda v: abs(v - ahead[1]) > 0.75), true) - 1, len(ahead)) as run from l),
+w as (select take_id, island, i, frame_idx, midi::double as value, clarity, 0::bigint as skip, 0::double as shift from g where i = 1
+  union all select take_id, island, i, frame_idx, case when skip_before > 0 then midi - shift_before else midi - fold end, clarity,
+      case when skip_before > 0 then skip_before - 1 when jumped then run - 1 else 0 end, case when skip_before > 0 then shift_before else fold end
+    from (select *, case when not jumped then 0 when abs(midi - 12 - value_before) <= 0.75 then 12 when abs(midi + 12 - value_before) <= 0.75 then -12
+            when abs(midi - 24 - value_before) <= 0.75 then 24 when abs(midi + 24 - value_before) <= 0.75 then -24 else 0 end::double as fold
+      from (select g.*, w.value as value_before, w.skip as skip_before, w.shift as shift_before,
+              abs(g.midi - w.value) > 0.75 and g.run >= 3 and not coalesce(g.clarity < w.clarity * 0.9, false) as jumped
+            from w join g on g.take_id = w.take_id and g.island = w.island and g.i = w.i + 1)))
+select m.take_id, m.frame_idx, m.time, round(coalesce(440 * pow(2, (w.value - 69) / 12), m.hz), 6) as hz, m.voiced, m.clarity
+from m left join w on w.take_id = m.take_id and w.frame_idx = m.frame_idx""")
 def win3_win4_smooth_track(spark, d):
     return track.smooth_track(voiced(spark, d)).select("take_id", "frame_idx", "time", r6(F.col("hz"), "hz"), "voiced", "clarity")
 
