@@ -140,18 +140,7 @@ MEDIANED = f"""(select * exclude (hz, held), case when hz_m is null then hz else
     select *, list(case when hz > 0 then 69 + 12 * log2(hz / 440) end) over (partition by take_id order by frame_idx rows between 2 preceding and 2 following) as held from {FILTERED})))"""
 
 
-@query(f"select take_id, frame_idx, round(hz, 6) as hz, voiced, drop_reason from {FILTERED}")
-def win1_clarity_filter(spark, d):
-    return track.clarity_filter(voiced(spark, d)).select("take_id", "frame_idx", r6(F.col("hz"), "hz"), "voiced", "drop_reason")
-
-
-@query(f"select take_id, frame_idx, round(hz, 6) as hz, voiced from {MEDIANED}")
-def win2_median_filter(spark, d):
-    return track.median_filter(track.clarity_filter(voiced(spark, d))).select("take_id", "frame_idx", r6(F.col("hz"), "hz"), "voiced")
-
-
-@query(f"""
-with recursive m as (select *, case when hz > 0 then 69 + 12 * log2(hz / 440) end as midi, count(*) filter (where hz <= 0) over (partition by take_id order by frame_idx) as island from {MEDIANED}),
+SMOOTHED = f"""(with recursive m as (select *, case when hz > 0 then 69 + 12 * log2(hz / 440) end as midi, count(*) filter (where hz <= 0) over (partition by take_id order by frame_idx) as island from {MEDIANED}),
 l as (select take_id, island, frame_idx, clarity, midi, row_number() over (partition by take_id, island order by frame_idx) as i,
     list(midi) over (partition by take_id, island order by frame_idx rows between current row and unbounded following) as ahead from m where hz > 0),
 g as (select * exclude (ahead), coalesce(list_position(list_transform(ahead, lambda v: abs(v - ahead[1]) > 0.75), true) - 1, len(ahead)) as run from l),
@@ -163,8 +152,69 @@ w as (select take_id, island, i, frame_idx, midi::double as value, clarity, 0::b
       from (select g.*, w.value as value_before, w.skip as skip_before, w.shift as shift_before,
               abs(g.midi - w.value) > 0.75 and g.run >= 3 and not coalesce(g.clarity < w.clarity * 0.9, false) as jumped
             from w join g on g.take_id = w.take_id and g.island = w.island and g.i = w.i + 1)))
-select m.take_id, m.frame_idx, m.time, round(coalesce(440 * pow(2, (w.value - 69) / 12), m.hz), 6) as hz, m.voiced, m.clarity
-from m left join w on w.take_id = m.take_id and w.frame_idx = m.frame_idx""")
+select m.take_id, m.frame_idx, m.time, coalesce(440 * pow(2, (w.value - 69) / 12), m.hz) as hz, m.voiced, m.clarity
+from m left join w on w.take_id = m.take_id and w.frame_idx = m.frame_idx)"""
+
+
+def split_sql(track_sql: str) -> str:
+    """Notes of the voiced runs of a track, as a recursion over each run's frames."""
+    return f"""(with recursive v as (select take_id, frame_idx, time, 69 + 12 * log2(hz / 440) as midi, cast(sum(opens) over (partition by take_id order by frame_idx) as bigint) as run from (
+    select *, case when frame_idx - lag(frame_idx) over (partition by take_id order by frame_idx) > 5 then 1 else 0 end as opens from {track_sql} where voiced = 1)),
+x as (select take_id, run, time, midi, row_number() over (partition by take_id, run order by frame_idx) as i,
+    list_sort(list(midi) over (partition by take_id, run order by frame_idx rows between 3 preceding and 3 following)) as near from v),
+w as (select take_id, run, i, time, 1 as note, [midi] as acc, null::double as closed from x where i = 1
+  union all select x.take_id, x.run, x.i, x.time,
+    w.note + (len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85)::int,
+    case when len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85 then [x.midi] else list_sort(list_append(w.acc, x.midi)) end,
+    case when len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85 then list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1] end
+  from w join x on x.take_id = w.take_id and x.run = w.run and x.i = w.i + 1),
+n as (select take_id, run, note, min(time) as start_s, max(time) + 512 / 44100 as end_s, last(acc order by i) as acc, min(closed) as before from w group by take_id, run, note)
+select take_id, run, start_s, end_s,
+  coalesce(lead(before) over (partition by take_id, run order by note), acc[len(acc) // 2 + 1]) as midi, 1.0::double as confidence from n)"""
+
+
+def merge_sql(notes_sql: str) -> str:
+    """Adjacent notes welded, as a recursion over each take's notes (numbered rn)."""
+    return f"""(with recursive o as (select *, row_number() over (partition by take_id order by start_s, rn) as i from {notes_sql}),
+w as (select take_id, i, 1 as k, start_s, end_s, midi::double as midi, confidence from o where i = 1
+  union all select o.take_id, o.i, case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then w.k else w.k + 1 end,
+    case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then w.start_s else o.start_s end, o.end_s,
+    case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then (w.midi + o.midi) / 2 else o.midi end,
+    case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then greatest(w.confidence, o.confidence) else o.confidence end
+  from w join o on o.take_id = w.take_id and o.i = w.i + 1)
+select take_id, k::bigint as rn, start_s, end_s, midi, confidence from w qualify row_number() over (partition by take_id, k order by i desc) = 1)"""
+
+
+def snap_sql(notes_sql: str) -> str:
+    """Boundaries pulled to an even spacing: a recursion for the starts and one for their order."""
+    return f"""(with recursive o as (select *, row_number() over (partition by take_id order by start_s, rn) as i, lag(end_s) over (partition by take_id order by start_s, rn) as before,
+    start_s - lag(start_s) over (partition by take_id order by start_s, rn) as step from {notes_sql}),
+a as (select take_id, count(*) as n, list_sort(list(step) filter (where step > 0.01)) as steps from o group by take_id),
+m as (select *, steps[cast(floor(len(steps) / 2) as bigint) + 1] as middle from a),
+t as (select *, list_filter(steps, lambda v: abs(v - middle) / middle <= 0.35) as stable from m),
+p as (select take_id, case when n >= 3 and len(steps) >= 2 and len(stable) >= len(steps) / 2 then stable[cast(floor(len(stable) / 2) as bigint) + 1] end as spacing from t),
+w as (select o.take_id, i, start_s as s, spacing from o join p on p.take_id = o.take_id where i = 1
+  union all select o.take_id, o.i, case when spacing is null or o.start_s - o.before > spacing * 0.6 then o.start_s else o.start_s + (w.s + spacing - o.start_s) * 0.5 end, spacing
+  from w join o on o.take_id = w.take_id and o.i = w.i + 1),
+e as (select o.take_id, o.i, w.s, spacing, midi, confidence, end_s, lead(w.s) over (partition by o.take_id order by o.i) as ahead from o join w on w.take_id = o.take_id and w.i = o.i),
+f as (select *, case when spacing is null or ahead is null or ahead - end_s > spacing * 0.6 then end_s else end_s + (ahead - end_s) * 0.5 end as e from e),
+r as (select take_id, i, s as x from f where i = 1
+  union all select f.take_id, f.i, case when spacing is not null and f.s < r.x then r.x + 0.01 else f.s end from r join f on f.take_id = r.take_id and f.i = r.i + 1)
+select f.take_id, f.i as rn, r.x as start_s, case when spacing is null then e else greatest(e, s) end as end_s, midi, confidence
+from f join r on r.take_id = f.take_id and r.i = f.i)"""
+
+
+@query(f"select take_id, frame_idx, round(hz, 6) as hz, voiced, drop_reason from {FILTERED}")
+def win1_clarity_filter(spark, d):
+    return track.clarity_filter(voiced(spark, d)).select("take_id", "frame_idx", r6(F.col("hz"), "hz"), "voiced", "drop_reason")
+
+
+@query(f"select take_id, frame_idx, round(hz, 6) as hz, voiced from {MEDIANED}")
+def win2_median_filter(spark, d):
+    return track.median_filter(track.clarity_filter(voiced(spark, d))).select("take_id", "frame_idx", r6(F.col("hz"), "hz"), "voiced")
+
+
+@query(f"select take_id, frame_idx, time, round(hz, 6) as hz, voiced, clarity from {SMOOTHED}")
 def win3_win4_smooth_track(spark, d):
     return track.smooth_track(voiced(spark, d)).select("take_id", "frame_idx", "time", r6(F.col("hz"), "hz"), "voiced", "clarity")
 
@@ -182,25 +232,13 @@ def win6_voiced_runs(spark, d):
     return runs.groupBy("take_id", "run").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"select take_id, run, round(start_s, 6) as start_s, round(end_s, 6) as end_s, round(midi, 6) as midi, confidence from {split_sql(SMOOTHED)}")
 def win7_split_notes(spark, d):
-    return track.split_notes(track.voiced_runs(track.smooth_track(voiced(spark, d))))
+    found = track.split_notes(track.voiced_runs(track.smooth_track(voiced(spark, d))))
+    return found.withColumns({c: F.round(c, 6) for c in ("start_s", "end_s", "midi")})
 
 
-@query(f"""
-with recursive v as (select take_id, frame_idx, time, 69 + 12 * log2(hz / 440) as midi, cast(sum(opens) over (partition by take_id order by frame_idx) as bigint) as run from (
-    select *, case when frame_idx - lag(frame_idx) over (partition by take_id order by frame_idx) > 5 then 1 else 0 end as opens from {MEDIANED} where voiced = 1)),
-x as (select take_id, run, time, midi, row_number() over (partition by take_id, run order by frame_idx) as i,
-    list_sort(list(midi) over (partition by take_id, run order by frame_idx rows between 3 preceding and 3 following)) as near from v),
-w as (select take_id, run, i, time, 1 as note, [midi] as acc, null::double as closed from x where i = 1
-  union all select x.take_id, x.run, x.i, x.time,
-    w.note + (len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85)::int,
-    case when len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85 then [x.midi] else list_sort(list_append(w.acc, x.midi)) end,
-    case when len(w.acc) > 2 and abs(x.near[len(x.near) // 2 + 1] - list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1]) > 0.85 then list_sort(list_append(w.acc, x.midi))[(len(w.acc) + 1) // 2 + 1] end
-  from w join x on x.take_id = w.take_id and x.run = w.run and x.i = w.i + 1),
-n as (select take_id, run, note, min(time) as start_s, max(time) + 512 / 44100 as end_s, last(acc order by i) as acc, min(closed) as before from w group by take_id, run, note)
-select take_id, run, round(start_s, 6) as start_s, round(end_s, 6) as end_s,
-  round(coalesce(lead(before) over (partition by take_id, run order by note), acc[len(acc) // 2 + 1]), 6) as midi, 1.0::double as confidence from n""")
+@query(f"select take_id, run, round(start_s, 6) as start_s, round(end_s, 6) as end_s, round(midi, 6) as midi, confidence from {split_sql(MEDIANED)}")
 def win7_split_filtered_notes(spark, d):
     """Notes of the median-filtered track, octaves as they are."""
     found = track.split_notes(track.voiced_runs(track.median_filter(track.clarity_filter(voiced(spark, d)))))
@@ -212,42 +250,30 @@ def win8_drop_blips(spark, d):
     return track.drop_blips(A.notes(spark, d), track.SegmentOptions(min_duration_s=0.25)).select("take_id", "rn", "start_s", "end_s", "midi", "confidence")
 
 
-@query(f"""
-with recursive o as (select *, row_number() over (partition by take_id order by start_s, rn) as i from {C}),
-w as (select take_id, i, 1 as k, start_s, end_s, midi::double as midi, confidence from o where i = 1
-  union all select o.take_id, o.i, case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then w.k else w.k + 1 end,
-    case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then w.start_s else o.start_s end, o.end_s,
-    case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then (w.midi + o.midi) / 2 else o.midi end,
-    case when abs(o.midi - w.midi) < 0.4 and o.start_s - w.end_s < 0.06 then greatest(w.confidence, o.confidence) else o.confidence end
-  from w join o on o.take_id = w.take_id and o.i = w.i + 1)
-select take_id, k::bigint as rn, start_s, round(end_s, 6) as end_s, round(midi, 6) as midi, confidence from w qualify row_number() over (partition by take_id, k order by i desc) = 1""")
+@query(f"select take_id, rn, start_s, round(end_s, 6) as end_s, round(midi, 6) as midi, confidence from {merge_sql(C)}")
 def win9_merge_adjacent(spark, d):
     return track.merge_adjacent(A.close_notes(spark, d)).withColumns({"end_s": F.round("end_s", 6), "midi": F.round("midi", 6)})
 
 
-@query(f"""
-with recursive o as (select *, row_number() over (partition by take_id order by start_s, rn) as i, lag(end_s) over (partition by take_id order by start_s, rn) as before,
-    start_s - lag(start_s) over (partition by take_id order by start_s, rn) as step from {N}),
-a as (select take_id, count(*) as n, list_sort(list(step) filter (where step > 0.01)) as steps from o group by take_id),
-m as (select *, steps[cast(floor(len(steps) / 2) as bigint) + 1] as middle from a),
-t as (select *, list_filter(steps, lambda v: abs(v - middle) / middle <= 0.35) as stable from m),
-p as (select take_id, case when n >= 3 and len(steps) >= 2 and len(stable) >= len(steps) / 2 then stable[cast(floor(len(stable) / 2) as bigint) + 1] end as spacing from t),
-w as (select o.take_id, i, start_s as s, spacing from o join p on p.take_id = o.take_id where i = 1
-  union all select o.take_id, o.i, case when spacing is null or o.start_s - o.before > spacing * 0.6 then o.start_s else o.start_s + (w.s + spacing - o.start_s) * 0.5 end, spacing
-  from w join o on o.take_id = w.take_id and o.i = w.i + 1),
-e as (select o.take_id, o.i, w.s, spacing, midi, confidence, end_s, lead(w.s) over (partition by o.take_id order by o.i) as ahead from o join w on w.take_id = o.take_id and w.i = o.i),
-f as (select *, case when spacing is null or ahead is null or ahead - end_s > spacing * 0.6 then end_s else end_s + (ahead - end_s) * 0.5 end as e from e),
-r as (select take_id, i, s as x from f where i = 1
-  union all select f.take_id, f.i, case when spacing is not null and f.s < r.x then r.x + 0.01 else f.s end from r join f on f.take_id = r.take_id and f.i = r.i + 1)
-select f.take_id, f.i as rn, round(r.x + 1e-9, 6) as start_s, round(case when spacing is null then e else greatest(e, s) end + 1e-9, 6) as end_s, midi, confidence
-from f join r on r.take_id = f.take_id and r.i = f.i""")
+@query(f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, midi, confidence from {snap_sql(N)}")
 def win10_snap_boundaries(spark, d):
     return track.snap_boundaries(A.notes(spark, d)).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})  # halves of millionths go up
 
 
-@query()
+_KEPT = f"(select *, row_number() over (partition by take_id order by start_s) as rn from {split_sql(SMOOTHED)} where end_s - start_s >= 0.05)"
+
+
+@query(f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {snap_sql(merge_sql(_KEPT))}")
 def win11_segment_notes(spark, d):
-    return track.segment_notes(track.smooth_track(voiced(spark, d)))
+    found = track.segment_notes(track.smooth_track(voiced(spark, d)))
+    return found.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")} | {"midi": F.round("midi", 6)})
+
+
+@query(f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {snap_sql(merge_sql(_KEPT))}")
+def win11_track_to_notes(spark, d):
+    """The fused walk."""
+    found = track.track_to_notes(A.frames(spark, d))
+    return found.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")} | {"midi": F.round("midi", 6)})
 
 
 @query(f"""select take_id, sum((c = 'too_quiet')::int)::bigint as too_quiet, sum((c = 'no_pitch')::int)::bigint as no_pitch, sum((c = 'detected')::int)::bigint as detected, count(*) as windows
