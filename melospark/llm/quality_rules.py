@@ -109,11 +109,11 @@ def host_verdicts(measures: DataFrame, limits: Limits = Limits()) -> DataFrame:
     for r in RULES:
         k = F.col(f"{r}_failures")
         parts += [F.sum(k).alias(f"{r}_all"), F.sum(k * k / n).alias(f"{r}_squares")]
-    corpus = counted.agg(*parts)  # one row
-    joined = counted.crossJoin(F.broadcast(corpus))
+    corpus = counted.agg(*parts).first()  # one row of sums
+    joined, docs = counted, F.lit(corpus["all_docs"]).cast("double")
     for r in RULES:
-        m = F.col(f"{r}_all") / F.col("all_docs")
-        v = F.col(f"{r}_squares") / F.col("all_docs") - m * m
+        m = F.lit(corpus[f"{r}_all"]).cast("double") / docs
+        v = F.lit(corpus[f"{r}_squares"]).cast("double") / docs - m * m
         strength = F.when(v <= 1e-12, F.lit(1e6)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1)))
         joined = joined.withColumn(f"{r}_rate", (F.col(f"{r}_failures") + m * strength) / (n + strength))
     worst = F.greatest(*(F.col(f"{r}_rate") for r in RULES))
