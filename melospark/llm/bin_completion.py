@@ -91,15 +91,20 @@ def completions(counts: dict[int, int], room: int, waste: int, limit: int) -> li
     full = steps = 0
 
     def dominated(filling: dict[int, int], slack: int) -> bool:
-        sums = {0: 0}  # sum of a part -> most pieces that make it
+        one = many = left_out = 0  # bit sets: sums of one piece, sums of several, lengths that are left over
         for x, n in filling.items():
             for _ in range(n):
-                for s, k in list(sums.items()):
-                    sums[s + x] = max(sums.get(s + x, 0), k + 1)
-        return any(
-            filling.get(x, 0) < counts[x] and (x in sums and sums[x] > 1 or any(x - d in sums for d in range(1, slack + 1) if x > d))
-            for x in lengths
-        )
+                many |= (one | many) << x
+                one |= 1 << x
+        for x in lengths:
+            if filling.get(x, 0) < counts[x]:
+                left_out |= 1 << x
+        longer, span = (one | many) << 1, 1  # sums and up to slack more
+        while span < slack:
+            step = min(span, slack - span)
+            longer |= longer << step
+            span += step
+        return bool(left_out & (many | (longer if slack else 0)))
 
     def keep(filling: dict[int, int], slack: int) -> None:
         nonlocal full
