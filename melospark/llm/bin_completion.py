@@ -87,18 +87,19 @@ def completions(counts: dict[int, int], room: int, waste: int, limit: int) -> li
     suffix = [0] * (len(lengths) + 1)
     for k in range(len(lengths) - 1, -1, -1):
         suffix[k] = suffix[k + 1] + lengths[k] * counts[lengths[k]]
+    available = sum(1 << x for x in lengths)
     found: list[tuple[int, int, dict[int, int]]] = []
     full = steps = 0
 
     def dominated(filling: dict[int, int], slack: int) -> bool:
-        one = many = left_out = 0  # bit sets: sums of one piece, sums of several, lengths that are left over
+        one = many = 0  # bit sets: sums of one piece, sums of several
+        left_out = available  # lengths that are left over
         for x, n in filling.items():
             for _ in range(n):
                 many |= (one | many) << x
                 one |= 1 << x
-        for x in lengths:
-            if filling.get(x, 0) < counts[x]:
-                left_out |= 1 << x
+            if n == counts[x]:
+                left_out &= ~(1 << x)
         longer, span = (one | many) << 1, 1  # sums and up to slack more
         while span < slack:
             step = min(span, slack - span)
