@@ -95,9 +95,19 @@ _PLUS = re.compile(rf"(?<![A-Za-z0-9])plus\s+(?=[0-9]|(?:{_WORD})(?![A-Za-z]))",
 _DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:{_OPEN}(?:dot|punkt|point|punto){_CLOSE}|\s+dot\s+)(?=[A-Za-z0-9])", re.I)
 _DOTTED = re.compile(rf"(?<![A-Za-z0-9.])(?:[0-9]+|{_WORD})(?:\.(?:[0-9]+|{_WORD})){{3}}(?![A-Za-z0-9])", re.I)
 _AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:{_OPEN}(?:at|arroba){_CLOSE}|\s+at\s+(?=[A-Za-z0-9-]+\.[A-Za-z0-9])|\s+@\s*(?=[A-Za-z0-9-]+\.[A-Za-z0-9])|@\s+(?=[A-Za-z0-9-]+\.[A-Za-z0-9]))", re.I)
-_DISGUISE = re.compile(
-    rf"[^\x00-\u024f]|[\u00a0\u00ad\u00b7]|[\[({{<]\s*(?:at|arroba|dot|punkt|point|punto)\b|\bdot\b|\s@|@\s|\b(?:{_WORD})[\s-]+(?:{_WORD})\b", re.I
-)
+#: Characters that the first transducer may change, and those that are read as i or s where case is ignored.
+_FOREIGN = re.compile("[^\x00-ɏ]|[ ­²³·¹İıſ]")
+#: In lower case, what a text must hold for one of the other transducers to change it. Patterns start with plain
+#: characters, which are searched fast.
+_TRIGGERS = tuple(
+    map(
+        re.compile,
+        (
+            r"[\[({<]\s*(?:at|arroba|dot|punkt|point|punto)", r"dot\s", r"at\s+[a-z0-9-]+\.[a-z0-9]", r"@\s", r"\s@", r"plus\s",
+            rf"(?:{_WORD})(?:[\s-]+(?:{_WORD}|[0-9])|\.[a-z0-9])", rf"[0-9]\.(?:{_WORD})",
+        ),
+    )
+)
 
 
 class Tape:
@@ -155,9 +165,18 @@ def normalise(text: str) -> Tape:
     return tape.rewrite(_AT, lambda m: "@")
 
 
+def rewritable(text: str) -> bool:
+    """False only where no transducer changes the text. The first one that does reads the text as it is, so each
+    trigger stands for one transducer alone."""
+    if _FOREIGN.search(text):
+        return True
+    low = text.lower()
+    return any(p.search(low) for p in _TRIGGERS)
+
+
 def disguised(text: str, plain: list[Span]) -> list[Span]:
     """Spans that show only after rewriting, in source offsets; none overlaps a plain span."""
-    if not _DISGUISE.search(text):
+    if not rewritable(text):
         return []
     tape = normalise(text)
     found: list[Span] = []

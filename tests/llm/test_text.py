@@ -63,6 +63,26 @@ def test_clean_text_has_no_disguised_pii():
     assert pii.disguised("Meet at noon. The dot is small; one two, and a дом.", []) == []
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("john at example.com", "email"), ("john @example.com", "email"), ("john(at)example.com", "email"), ("john@example dot com", "email"),
+        ("plus 49 170 1234567", "phone"), ("+4 nine 1 seven 0 one 2 three 4 five 6", "phone"), ("_one two.3.4.5", "ip"),
+        ("one.two.three.four", "ip"), ("10.0.0.\u00b2", "ip"), ("john@ex\u0430mple.com", "email"),
+    ],
+)
+def test_each_transducer_alone(text, kind):
+    assert kind in [k for k, _, _ in pii.disguised(text, [])]
+
+
+def test_untriggered_text_is_not_rewritten():
+    rng = random.Random(5)
+    parts = ["at", "AT", "dot", "plus", "one", "Seven", "oh", "\u017fix", "4", "17", "a", "x.y", "(", ")", "[", "]", "@", ".", "-", "_", " ", " ", "\n", "\u00b2", "\u00e9", "\u200b"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts, k=rng.randint(2, 8)))
+        assert pii.rewritable(text) or pii.normalise(text).text == text, text
+
+
 def test_pii_query(spark):
     rows = [(1, "a@b.co and +1 (988) 555-2485"), (2, None), (3, ""), (None, "x 10.0.0.1"), (1, "a@b.co and +1 (988) 555-2485")]
     got = pii.digest_pii(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
