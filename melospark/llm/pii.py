@@ -3,8 +3,8 @@
 Plain identifiers are found in the text as it is. Then transducers rewrite the text step by step (homoglyphs and
 full-width forms to ASCII, invisible characters away, "(at)" and "dot" to their signs, spelled digits to digits),
 each step keeping for every character the source span it came from. The same detectors read the result, and
-what they find in rewritten places is mapped back to source spans and added. Plain spans always stay; a span
-that overlaps a plain one is not added.
+what they find in rewritten places is mapped back to source spans and added. Plain spans always stay as they
+are; a span that they cover is not added, one that reaches beyond them is.
 
 Edge cases: a null text is empty and holds nothing; a failing match (card by Luhn, phone by its digits, ip by its
 parts) is dropped and not tried again; equal texts give equal spans; whole texts are read, in linear time.
@@ -175,18 +175,28 @@ def rewritable(text: str) -> bool:
 
 
 def disguised(text: str, plain: list[Span]) -> list[Span]:
-    """Spans that show only after rewriting, in source offsets; none overlaps a plain span."""
+    """Spans that show only after rewriting, in source offsets. Plain spans may lie in them (a homoglyph leaves
+    the tail or head of an address plain), but none of them lies in what plain spans cover."""
     if not rewritable(text):
         return []
     tape = normalise(text)
     found: list[Span] = []
     for kind, a, b in detect(tape.text):
         start, end = tape.start[a], tape.end[b - 1]
-        if any(tape.changed[a:b]) and not any(start < y and x < end for _, x, y in plain):
+        if any(tape.changed[a:b]) and not covered(start, end, plain):
             found.append((kind, start, end))
     return found
 
 
+def covered(start: int, end: int, plain: list[Span]) -> bool:
+    """Whether ``plain``, sorted by start, leaves no character between the two free."""
+    for _, x, y in plain:
+        if x > start:
+            break
+        start = max(start, y)
+    return start >= end
+
+
 def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

@@ -75,6 +75,21 @@ def test_each_transducer_alone(text, kind):
     assert kind in [k for k, _, _ in pii.disguised(text, [])]
 
 
+@pytest.mark.parametrize(
+    "held, kind, base",
+    [
+        ("j\u043ehn@example.com", "email", "hn@example.com"),
+        ("john@mail.ex\u0430mple.com", "email", "john@mail.ex"),
+        ("+49 170 12345 six seven", "phone", "+49 170 12345"),
+    ],
+)
+def test_disguised_pii_with_a_plain_part(held, kind, base):
+    text = f"to {held}, or 10.0.0.1"
+    plain = pii.detect(text)
+    assert [(k, text[a:b]) for k, a, b in plain] == [(kind, base), ("ip", "10.0.0.1")]
+    assert [(k, text[a:b]) for k, a, b in pii.disguised(text, plain)] == [(kind, held)]
+
+
 def test_untriggered_text_is_not_rewritten():
     rng = random.Random(5)
     parts = ["at", "AT", "dot", "plus", "one", "Seven", "oh", "\u017fix", "4", "17", "a", "x.y", "(", ")", "[", "]", "@", ".", "-", "_", " ", " ", "\n", "\u00b2", "\u00e9", "\u200b"]
