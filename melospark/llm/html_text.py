@@ -1,8 +1,8 @@
 """Main text of web pages by composite text density (operator 8).
 
 The page is read into a light DOM. Elements that never hold the article (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments; by tag, role, or words of class and id) are cut off
-first. For every remaining node the composite text density of Sun, Song and Liao (2011) is computed: characters per
+notices, adverts, forms, scripts, styles, reader comments; by tag, role, hidden, or words of class and id) are cut
+off first; words and forms don't cut what holds the article (``Page.wraps``). For every remaining node the composite text density of Sun, Song and Liao (2011) is computed: characters per
 tag, adjusted by the share of linked characters and tags. Each node sums the densities of its block children; the node with
 the largest sum is the article's subtree. The threshold is the least density on the path from it to the body:
 what stands beside that path and is at least as dense, or is a heading, belongs to the article too. A subtree
@@ -53,6 +53,29 @@ CUT_WORDS = frozenset(
 )
 #: Words that mark the article itself; such an element isn't cut by its class or id.
 KEEP_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that cut such an element too, unless it holds the article.
+FIRM_WORDS = frozenset("comments comment sidebar cookie advert ad".split())
+#: Words of elements in which each entry may be an <article> of its own.
+ENTRY_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
+#: Of the page's text, what a wrapper holds more of: any, or one with such words.
+WRAPS, WRAPS_ENTRIES = 0.5, 0.9
+
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies "
+    "consent gdpr notice notices alert popup modal overlay sidebar sidebars aside widget menu menus nav navbar navigation breadcrumb "
+    "breadcrumbs footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended "
+    "newsletter subscribe subscription signup login pagination pager toolbar skip".split()
+)
+#: Words that mark the article itself; such an element isn't cut by its class or id.
+KEEP_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that cut such an element too, unless it holds the article.
+FIRM_WORDS = frozenset("comments comment sidebar cookie advert ad".split())
+#: Words of elements in which each entry may be an <article> of its own.
+ENTRY_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
+#: Of the page's text, what a wrapper holds more of: any, or one with such words.
+WRAPS, WRAPS_ENTRIES = 0.5, 0.9
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -61,23 +84,36 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[\x20\x09-\x0d]+")
 
 
-def is_cut(tag: str, attributes: str) -> bool:
-    """Whether the element, by tag, role, class or id, is no part of an article."""
+def attributes_of(source: str) -> dict[str, str]:
+    """Names (lower case) and values; of equal names the first holds, as in HTML."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        if m[1]:
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def words_of(attributes: dict[str, str], name: str) -> set[str]:
+    return set(_WORDS.findall(_CAMEL.sub(" ", attributes.get(name, "")).lower()))
+
+
+def is_cut(tag: str, source: str) -> tuple[bool, set[str] | None]:
+    """Whether the element is no part of an article by tag, role or hidden; and the words of class and id for
+    which it is none unless it holds the article (empty for a form, null where there is no such reason)."""
     if tag in CUT_TAGS:
-        return True
-    if "=" not in attributes and "hidden" not in attributes or tag in ("html", "body", "main", "article"):
-        return False
-    for name, *values in _NAMED.findall(attributes):
-        name, value = name.lower(), next(filter(None, values), "")
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value.lower() in CUT_ROLES:
-            return True
-        if name in ("class", "id") and value:
-            words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-            if words & CUT_WORDS and not words & KEEP_WORDS or words & {"comments", "comment", "sidebar", "cookie", "advert", "ad"}:
-                return True
-    return False
+        return (False, set()) if tag == "form" else (True, None)
+    if not source.strip() or tag in ("html", "body", "main", "article"):
+        return False, None
+    attributes = attributes_of(source)
+    role = attributes.get("role", "").strip().lower()
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or role in CUT_ROLES and role != "form":
+        return True, None
+    words = set() if role == "form" else None
+    for name in ("class", "id"):
+        own = words_of(attributes, name)
+        if own & CUT_WORDS and not own & KEEP_WORDS or own & FIRM_WORDS:
+            words = (words or set()) | own
+    return False, words
 
 
 class Page:
@@ -87,6 +123,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent = ["#root"], [-1]
         self.items: list[tuple[int, str | None]] = []
+        self.doubtful: dict[int, set[str]] = {}  # nodes cut by words or as forms, with their words
         stack, cut, at, raw = [0], 0, 0, ""  # cut: depth of the stack where a cut element began
         names = ["#root"]
         for m in _MARKUP.finditer(source):
@@ -125,10 +162,13 @@ class Page:
                     self.items.append((stack[-1], " "))
                 elif tag in BLOCKS:
                     self.items.append((stack[-1], None))
-                if is_cut(tag, m[3]):
+                surely, words = is_cut(tag, m[3])
+                if surely:
                     if not empty:
                         cut = len(stack)
                 else:
+                    if words is not None:
+                        self.doubtful[len(self.tag)] = words
                     self.tag.append(tag)
                     self.parent.append(stack[-1])
             if not empty:
@@ -138,6 +178,47 @@ class Page:
                     raw = tag
         if at < len(source) and not raw and not cut:
             self.items.append((stack[-1], source[at:]))
+        if self.doubtful:
+            self._cut_doubtful()
+
+    def _cut_doubtful(self) -> None:
+        """Takes out the doubtful nodes that don't hold the article, with all in them."""
+        n = len(self.tag)
+        chars, mains, articles = [0] * n, [0] * n, [0] * n
+        for node, text in self.items:
+            if text is not None:
+                chars[node] += len(_SPACE.sub(" ", text).strip())
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            chars[up] += chars[k]
+            mains[up] += mains[k] + (self.tag[k] == "main")
+            articles[up] += articles[k] + (self.tag[k] == "article")
+        place, tag, parent = [0] + [-1] * (n - 1), ["#root"], [-1]
+        around = [0] * n  # <article> and <main> above a node
+        for k in range(1, n):
+            up = self.parent[k]
+            around[k] = around[up] + (self.tag[up] in ("article", "main"))
+            if place[up] < 0:
+                continue
+            if k in self.doubtful:
+                elsewhere = mains[0] + articles[0] - mains[k] - articles[k] - around[k] > 0
+                share = 0.0 if elsewhere else chars[k] / max(1, chars[0])
+                if not self.wraps(self.doubtful[k], share, mains[k] > 0, articles[k] > 0):
+                    continue
+            place[k] = len(tag)
+            tag.append(self.tag[k])
+            parent.append(place[up])
+        self.tag, self.parent = tag, parent
+        self.items = [(place[node], text) for node, text in self.items if place[node] >= 0]
+
+    @staticmethod
+    def wraps(words: set[str], share: float, main: bool, article: bool) -> bool:
+        """Whether a doubtful element holds the article: a <main>, an <article>, or most of the page's text (its
+        ``share``, 0 where an <article> or <main> stands elsewhere). Lists of comments and the like hold articles of their own, so there an <article> counts only beside a word that
+        marks the article, and most is more."""
+        if words & ENTRY_WORDS:
+            return main or article and bool(words & KEEP_WORDS) or share > WRAPS_ENTRIES
+        return main or article or share > WRAPS
 
     def _close(self, names: list[str], stack: list[int], k: int, cut: int) -> None:
         """Ends the k-th open element and all in it."""

@@ -186,6 +186,30 @@ def plain_measure(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(inside), len(lines)
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        'style="overflow: hidden"', "style='visibility: hidden'", 'title="The hidden valley"', 'data-x="a" title=" class=sidebar "', 'title="role=alert hidden"',
+        'class="content-sidebar-wrap"', 'class="site-content has-sidebar"', 'class="post comments-open"', 'id="cookie-page"', 'class="ad-free widget"',
+    ],
+)
+def test_wrappers_of_the_article_stay(attributes):
+    article = "<article><h1>Head</h1><p>The text of the article, told at length.</p></article>"
+    for page in (f"<body><div {attributes}>{article}</div></body>", f"<body><form action='/x'><div {attributes}><div>{article}</div></div></form></body>"):
+        assert html_text.main_text(page) == "Head\nThe text of the article, told at length."
+    plain = "<p>A long paragraph without any article element.</p>" * 3
+    assert html_text.main_text(f"<body><div {attributes}>{plain}</div><p>x</p></body>").count("A long paragraph") == 3
+
+
+def test_what_is_no_article_is_cut():
+    body = "<article><p>The text of the article, told at length.</p>%s</article>%s"
+    for side in ("<div class='sidebar'>side side</div>", "<div HIDDEN>side side</div>", "<div id=comments><article>side side</article></div>", "<form><p>side</p></form>", "<div aria-hidden='true'>side</div>"):
+        for page in (body % (side, ""), body % ("", side), "<div class='has-sidebar'>" + body % ("", side) + "</div>"):
+            assert html_text.main_text(f"<body>{page}</body>") == "The text of the article, told at length.", page
+    advert = "<div class='ad'><p>An advert that is longer than the article.</p></div>"
+    assert html_text.main_text(f"<body>{advert}<article><p>Short.</p></article></body>") == "Short."
+
+
 def test_measures_match_plain_version():
     rng = random.Random(2)
     for _ in range(500):
