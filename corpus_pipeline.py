@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages it is written as Parquet to the
 shared folder and read again. All stages but the last return the columns of ``documents``.
 
-1. language_id: texts without a determined language go, and texts of which under ``LEAST_SCORE`` of the letters are
-   in the predicted language.
+1. language_id: texts without letters go, and texts of which under ``LEAST_SCORE`` of the scored letters are in the
+   predicted language. Texts that no label could be scored for (no labels, or none in their script) stay.
 2. exact_dedup: of equal texts (white space aside) one stays.
 3. near_dedup: of each SimHash component the document with the smallest doc_id stays.
 4. secret_scan: secrets are replaced by a placeholder; no document goes.
@@ -24,8 +24,8 @@ LEAST_SCORE = 0.2
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects. The model is learned from the labelled rows that aren't held out."""
-    found = language_id.identify(docs, language_id.train(docs.where(~language_id.held_out())))
-    rejected = (F.col("lang_pred") == language_id.UNDETERMINED) | (F.col("score") < LEAST_SCORE)
+    found = language_id.identify(docs, language_id.train(docs.where(~language_id.held_out())), evidence=True)
+    rejected = (F.col("letters") == 0) | (F.col("scored") > 0) & (F.col("score") < LEAST_SCORE)
     gone = stage(found.where(rejected).select(F.col("doc_id").alias("__rejected_id")).distinct(), "rejected")
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__rejected_id"]), "left_anti")
 

@@ -5,8 +5,9 @@ seen in that script; each candidate's score for the word is the sum of log-proba
 n-grams (n = 1 to 3, word ends marked), which sit in a table of hashed buckets. A Viterbi walk over the words
 with a cost for switching labels spans; the predicted language is the one whose spans hold most letters.
 
-The model is learned from a bounded sample of labelled rows, ``sample_rows`` in expectation (chosen by hash, over
-the whole table), and is ``buckets`` numbers for each label. Whole texts are read, in training and in prediction.
+The model is learned from a bounded sample of labelled rows, chosen by hash over the whole table: ``sample_rows`` of
+all in expectation, but of each label ``LABEL_ROWS`` at least, or all rows of a label with fewer. So no label is lost as
+the table grows. The model is ``buckets`` numbers for each label. Whole texts are read, in training and in prediction.
 
 Edge cases: ``und`` with score 0 for a null text or one without letters, and for any text when no row was
 labelled; words in scripts no label was seen in count for no label, and a text of such words alone gets the most
@@ -16,6 +17,7 @@ frequent label with score 0; ties go to the label that sorts first.
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,6 +31,10 @@ from melospark.llm.common import texts
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 4000
+#: Rows of each label that are sampled in expectation, however rare the label is; all where there are fewer.
+LABEL_ROWS = 500
+#: Into so many parts rows are dealt by hash to be sampled.
+_PARTS = 1_000_000_000
 BUCKETS = 1 << 16
 SWITCH_COST = 15.0
 #: A label has a script if this share of its letters is in it.
@@ -142,9 +148,13 @@ def train(
     """Learns from the rows of ``docs`` with a label. What reaches the driver is at most one number for each
     label and bucket, and each label and script."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = labelled.count()
-    share = 1.0 if total <= sample_rows else sample_rows / total
-    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(sizes.values())
+    parts = {lang: math.ceil(share * _PARTS) for lang, n in sizes.items() if (share := max(sample_rows / total, LABEL_ROWS / n)) < 1}
+    chosen = F.lit(True)
+    if parts:
+        most = F.create_map(*(F.lit(x) for item in parts.items() for x in item))
+        chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(_PARTS)) < F.coalesce(most[F.col(lang_col)], F.lit(_PARTS))
     rows = labelled.where(chosen).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,9 +241,10 @@ def viterbi(scores: np.ndarray, first_of_text: np.ndarray, cost: float = SWITCH_
     return labels
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, evidence: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (share of candidate letters in the predicted language); with ``spans`` also the
-    labelled spans, an array of (start, end, lang) in code points from first to last word. Map-only."""
+    labelled spans, an array of (start, end, lang) in code points from first to last word; with ``evidence`` also
+    the letters, and those with a candidate (``scored``). Map-only."""
     table = docs.sparkSession.sparkContext.broadcast(model)
     rows = texts(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -242,7 +253,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         model = table.value
         names = model.languages
         for batch in batches:
-            pred, score, marked = [], [], []
+            pred, score, marked, every, scored = [], [], [], [], []
             for block in blocks(t.as_py() or "" for t in batch["text"]):
                 words = split_words(block, len(model.log_p) if names else BUCKETS)
                 at = np.repeat(np.arange(len(block)), np.diff(words.first_of_text))
@@ -257,14 +268,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 best[total == 0] = model.prior
                 pred += [names[b] if w and names else UNDETERMINED for w, b in zip(any_word, best, strict=True)]
                 score += (letters.max(axis=1) / np.maximum(total, 1)).tolist()
+                if evidence:
+                    every += np.bincount(at, weights=words.length, minlength=len(block)).astype(np.int64).tolist()
+                    scored += total.astype(np.int64).tolist()
                 if spans:
                     marked += [_spans(words, labels, k, names) for k in range(len(block))]
-            columns = [batch["doc_id"], pa.array(pred, pa.string()), pa.array(score, pa.float64())]
+            columns, names_out = [batch["doc_id"], pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
             if spans:
                 columns.append(pa.array(marked, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "spans"][: len(columns)])
+                names_out.append("spans")
+            if evidence:
+                columns += [pa.array(every, pa.int64()), pa.array(scored, pa.int64())]
+                names_out += ["letters", "scored"]
+            yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
     more = ", spans array<struct<start: long, end: long, lang: string>>" if spans else ""
+    more += ", letters long, scored long" if evidence else ""
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double{more}")
 
 

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from melospark.llm import html_text, language_id, pii, quality_rules, secret_scan
 from melospark.llm.trigram_query import trigram_query, trigrams_of
 
@@ -250,3 +251,19 @@ def test_language_id(spark):
     assert got[7].score == 0 and got[5].score == 0 and all(0 <= r.score <= 1 for r in got.values())
     empty = language_id.train(docs.limit(0))
     assert language_id.identify(docs.limit(1), empty).first().lang_pred == "und"
+
+
+def test_rare_labels_are_sampled_whole(spark):
+    rows = [(k, "the house by the river", "en") for k in range(3000)] + [(k, "το σπίτι στο ποτάμι", "el") for k in range(3000, 3003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, sample_rows=10)
+    assert model.languages == ["el", "en"]
+    assert language_id.identify(docs.where("lang = 'el'"), model).first().lang_pred == "el"
+
+
+def test_language_stage_keeps_texts_without_candidates(spark, tmp_path):
+    texts = ["the house by the river", "το σπίτι στο ποτάμι", "12 %", "", None]
+    for lang, kept in (("en", [0, 1]), (None, [0, 1])):
+        docs = spark.createDataFrame([(k, t, lang if k in (0, 10, 11, 12) else None) for k, t in [*enumerate(texts), *((j, texts[0]) for j in (10, 11, 12))]], "doc_id long, text string, lang string")
+        got = corpus_pipeline.keep_languages(spark, docs, "").where("doc_id < 10").select("doc_id").collect()
+        assert sorted(r.doc_id for r in got) == kept
