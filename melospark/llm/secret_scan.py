@@ -48,6 +48,12 @@ def _either_case(word: str) -> str:
 
 _NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
 
+#: What follows a private key's first line: all up to its last line; or, where that is missing, headers, the run of
+#: base64 (line breaks may be escaped, lines may be joined by blanks) and its padded rest.
+_TO_END = r"[A-Za-z0-9+/=\x20\t\r\n\\:,\"'>-]*?-----END[A-Z\x20]{0,20}\x20PRIVATE\x20KEY-----"
+_RUN = r"[A-Za-z0-9+/=\t\r\n\\]"
+_KEY_RUN = rf"(?:[\x20\r\n]{{0,4}}(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]*){{0,3}}[\x20\t\r\n]{{0,4}}{_RUN}{{16,}}(?:\x20{{1,2}}{_RUN}{{40,}}){{0,64}}(?:\x20{{1,2}}[A-Za-z0-9+/]{{0,40}}={{1,2}})?"
+
 #: The base rules, then those the method adds: published token formats. The minimal lengths of access and hex
 #: stand in their patterns, since a run that is too short holds no match at any later place either.
 RULES = (
@@ -59,7 +65,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN[A-Z\x20]{0,20}\x20PRIVATE\x20KEY-----"),
+    Rule("private_key", rf"-----BEGIN[A-Z\x20]{{0,20}}\x20PRIVATE\x20KEY-----(?:{_TO_END}|{_KEY_RUN})?"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
 )
 
