@@ -1,17 +1,29 @@
 """Main text of web pages by composite text density (operator 8).
 
-The page is read into a light DOM. Elements that never hold the article (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments; by tag, role, hidden, or words of class and id) are cut
-off first; words and forms don't cut what holds the article (``Page.wraps``). For every remaining node the composite text density of Sun, Song and Liao (2011) is computed: characters per
-tag, adjusted by the share of linked characters and tags. Each node sums the densities of its block children; the node with
-the largest sum is the article's subtree. The threshold is the least density on the path from it to the body:
-what stands beside that path and is at least as dense, or is a heading, belongs to the article too. A subtree
-inside an <article> (or else <main>) is widened to it. Everything in the chosen subtrees is kept.
+The page is read into a light DOM without what never shows or is by its tag no article (scripts, styles, <nav>,
+<header>, <footer>, <aside>, controls, hidden elements). Loose text beside blocks is a node of its own (``#run``),
+like the anonymous boxes of CSS. Then, for every node, after Sun, Song and Liao (2011):
+
+* composite text density: C/T log_b(C/LC T/LT) with b = ln(C/nLC LC + LC_body/C_body C + e), from its characters C,
+  tags T, linked characters LC, links LT and other characters nLC (each 1 at least). A node of links alone has
+  density 0.
+* density sum: the densities of its block children. The node with the largest sum is the heart of the article.
+* threshold: the least density on the path from it to the body.
+
+What stands beside the path and is at least as dense as the threshold belongs to the article too, with the headings
+right before it. Where the heart holds <article> elements, it is sought among these once more. Where it lies in an
+<article>, that element is taken whole and only other <article> elements are held against the threshold; in a <main>,
+nothing outside it is looked at.
+
+Reader comments and adverts can be as dense as the article. Words of class and id that name them (``WORDS``), forms, and
+an <article> within another are therefore a prior: the densities of such an element and all in it are multiplied by
+``PRIOR``. It lowers no element that holds the article (``Page.wraps``). In the taken subtrees only such lowered
+elements that fall below the threshold are left out; if the heart itself is one, the page has no article.
 
 Text is cut into blocks at block elements; white space in a block, line breaks included, becomes one blank; blocks
 are joined in page order by a line feed. Edge cases: null, empty and textless pages give an empty text; unclosed
-and misnested tags are closed where HTML implies it; a tag that is never closed is text;
-any length is read, in linear time where quotes in tags are closed.
+and misnested tags are closed where HTML implies it; a tag that is never closed is text; equal sums go to the node
+that begins first; any length and nesting is read, in linear time where quotes in tags are closed.
 """
 
 from __future__ import annotations
@@ -34,43 +46,29 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
 #: Elements that end an open element of the same group: an item ends the item before it.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {
+    "a": {"a"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
+}
 #: Elements that an implied end tag doesn't reach beyond.
 SCOPE = frozenset("html body table ul ol dl select article section div main aside nav header footer form td th blockquote".split())
 
-#: Elements that are never part of the article.
+#: Elements and roles that are never part of the article, by the meaning HTML gives them.
 CUT_TAGS = frozenset(
-    "head nav header footer aside form script style noscript template iframe svg math button select textarea input dialog menu "
+    "head nav header footer aside script style noscript template iframe svg math button select textarea input dialog menu "
     "object embed canvas audio video map".split()
 )
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
-#: Words of class and id that mark what is no article.
-CUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies "
-    "consent gdpr notice notices alert popup modal overlay sidebar sidebars aside widget menu menus nav navbar navigation breadcrumb "
-    "breadcrumbs footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended "
-    "newsletter subscribe subscription signup login pagination pager toolbar skip".split()
-)
-#: Words that mark the article itself; such an element isn't cut by its class or id.
-KEEP_WORDS = frozenset("article content main post entry story body text".split())
-#: Words that cut such an element too, unless it holds the article.
-FIRM_WORDS = frozenset("comments comment sidebar cookie advert ad".split())
-#: Words of elements in which each entry may be an <article> of its own.
-ENTRY_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
-#: Of the page's text, what a wrapper holds more of: any, or one with such words.
-WRAPS, WRAPS_ENTRIES = 0.5, 0.9
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
-_WORDS = frozenset(
+#: The prior: an element whose class or id has such a word must be 1 / PRIOR times as dense.
+PRIOR = 0.01
+WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices alert popup modal overlay sidebar sidebars aside widget menu menus nav navbar navigation breadcrumb "
     "breadcrumbs footer masthead comment comments commentlist disqus respond reply replies share sharing social related recommended "
     "newsletter subscribe subscription signup login pagination pager toolbar skip".split()
 )
-#: Words that mark the article itself; such an element isn't cut by its class or id.
+#: Words that name the article; beside them only the firm words count.
 KEEP_WORDS = frozenset("article content main post entry story body text".split())
-#: Words that cut such an element too, unless it holds the article.
 FIRM_WORDS = frozenset("comments comment sidebar cookie advert ad".split())
 #: Words of elements in which each entry may be an <article> of its own.
 ENTRY_WORDS = frozenset("comment comments commentlist disqus respond reply replies related recommended".split())
@@ -78,8 +76,9 @@ ENTRY_WORDS = frozenset("comment comments commentlist disqus respond reply repli
 WRAPS, WRAPS_ENTRIES = 0.5, 0.9
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_LETTERS = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[\x20\x09-\x0d]+")
 
@@ -93,209 +92,290 @@ def attributes_of(source: str) -> dict[str, str]:
     return found
 
 
-def words_of(attributes: dict[str, str], name: str) -> set[str]:
-    return set(_WORDS.findall(_CAMEL.sub(" ", attributes.get(name, "")).lower()))
-
-
-def is_cut(tag: str, source: str) -> tuple[bool, set[str] | None]:
-    """Whether the element is no part of an article by tag, role or hidden; and the words of class and id for
-    which it is none unless it holds the article (empty for a form, null where there is no such reason)."""
+def judged(tag: str, source: str) -> tuple[bool, set[str] | None]:
+    """Whether an element is cut by tag, role or hidden; and, where the prior may count against it, its words of
+    class and id (empty for a form), else null."""
     if tag in CUT_TAGS:
-        return (False, set()) if tag == "form" else (True, None)
+        return True, None
+    words = set() if tag == "form" else None
     if not source.strip() or tag in ("html", "body", "main", "article"):
-        return False, None
+        return False, words
     attributes = attributes_of(source)
     role = attributes.get("role", "").strip().lower()
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or role in CUT_ROLES and role != "form":
+    unseen = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    if unseen or role in CUT_ROLES:
         return True, None
-    words = set() if role == "form" else None
+    words = set() if role == "form" else words
     for name in ("class", "id"):
-        own = words_of(attributes, name)
-        if own & CUT_WORDS and not own & KEEP_WORDS or own & FIRM_WORDS:
+        own = set(_LETTERS.findall(_CAMEL.sub(" ", attributes.get(name, "")).lower()))
+        if own & WORDS and not own & KEEP_WORDS or own & FIRM_WORDS:
             words = (words or set()) | own
     return False, words
 
 
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
+    """The published formula; 0 for a node without text."""
+    if not chars:
+        return 0.0
+    c, t, lc, lt, other = chars, max(1, tags), max(1, link_chars), max(1, link_tags), max(1, chars - link_chars)
+    base = math.log(c / other * lc + body_ratio * c + math.e)  # over 1, so its logarithm is over 0
+    return c / t * math.log(c / lc * t / lt) / math.log(base)
+
+
+def size_of(text: str) -> int:
+    return len(_SPACE.sub(" ", text).strip(" "))
+
+
 class Page:
-    """The DOM without cut elements, as parallel lists; node 0 is the root. ``items`` are the text pieces and
-    block edges in page order: (node, text) or (node, None)."""
+    """The DOM without cut elements, as parallel lists in page order; node 0 is the root. ``items`` are the text
+    pieces and block edges in page order: (node, text) or (node, None)."""
 
     def __init__(self, source: str):
         self.tag, self.parent = ["#root"], [-1]
         self.items: list[tuple[int, str | None]] = []
-        self.doubtful: dict[int, set[str]] = {}  # nodes cut by words or as forms, with their words
-        stack, cut, at, raw = [0], 0, 0, ""  # cut: depth of the stack where a cut element began
-        names = ["#root"]
-        for m in _MARKUP.finditer(source):
-            closing, tag = m[1], (m[2] or "").lower()
-            if raw and not (closing and tag == raw):
+        self.words: dict[int, set[str]] = {}  # nodes that the prior may count against
+        self._names, self._stack, self._runs = ["#root"], [0], [0]  # open elements; the open run of each, or 0
+        self._at: dict[str, list[int]] = {}  # places of open elements by tag
+        self._scopes = [0]
+        self._cut = 0  # place where a cut element began
+        self._read(source)
+        self._measure()
+
+    def _read(self, source: str) -> None:
+        pos = text_from = 0
+        while (pos := source.find("<", pos)) >= 0:
+            m = _MARKUP.match(source, pos)
+            if m is None:
+                pos += 1
                 continue
-            if m.start() > at and not raw and not cut:
-                self.items.append((stack[-1], source[at : m.start()]))
-            at, raw = m.end(), ""
+            self._text(source[text_from:pos])
+            pos = text_from = m.end()
+            tag = (m[2] or "").lower()
             if not tag:
                 continue
-            if closing:
-                if tag in names[1:]:
-                    self._close(names, stack, len(names) - 1 - names[::-1].index(tag), cut)
-                    cut = cut if cut < len(stack) else 0
-                elif tag == "p" and not cut:
-                    self.items.append((stack[-1], None))
-                continue
-            if tag in BLOCKS and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not SCOPE.intersection(names[k:]):
-                    self._close(names, stack, k, cut)
-                    cut = cut if cut < len(stack) else 0
-            if tag in ENDS:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in ENDS[tag]:
-                        self._close(names, stack, k, cut)
-                        cut = cut if cut < len(stack) else 0
-                        if names[-1] not in ENDS[tag]:
-                            break
-                    elif names[k] in SCOPE:
-                        break
-            empty = tag in VOID or m[3].endswith("/") and tag in RAW
-            if not cut:
-                if tag == "br":
-                    self.items.append((stack[-1], " "))
-                elif tag in BLOCKS:
-                    self.items.append((stack[-1], None))
-                surely, words = is_cut(tag, m[3])
-                if surely:
-                    if not empty:
-                        cut = len(stack)
-                else:
-                    if words is not None:
-                        self.doubtful[len(self.tag)] = words
-                    self.tag.append(tag)
-                    self.parent.append(stack[-1])
-            if not empty:
-                names.append(tag)
-                stack.append(len(self.tag) - 1)
-                if tag in RAW:
-                    raw = tag
-        if at < len(source) and not raw and not cut:
-            self.items.append((stack[-1], source[at:]))
-        if self.doubtful:
-            self._cut_doubtful()
-
-    def _cut_doubtful(self) -> None:
-        """Takes out the doubtful nodes that don't hold the article, with all in them."""
+            if m[1]:
+                self._end(tag)
+            elif self._start(tag, m[3]) and tag in RAW:
+                end = _RAW_END[tag].search(source, pos)
+                pos = text_from = end.start() if end else len(source)
+        self._text(source[text_from:])
+
+    def _text(self, text: str) -> None:
+        if text and not self._cut:
+            text = html.unescape(text) if "&" in text else text
+            self.items.append((self._place(not text.isspace()), text))
+
+    def _place(self, opens: bool) -> int:
+        """The node that takes text or an inline element now: the innermost open one, or a run of it if it is a
+        block. White space opens no run."""
+        if self._names[-1] not in BLOCKS and len(self._stack) > 1:
+            return self._stack[-1]
+        if not self._runs[-1] and opens:
+            self._runs[-1] = self._node("#run", self._stack[-1])
+        return self._runs[-1] or self._stack[-1]
+
+    def _node(self, tag: str, parent: int) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        return len(self.tag) - 1
+
+    def _edge(self) -> None:
+        self.items.append((self._stack[-1], None))
+        self._runs[-1] = 0
+
+    def _last(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 if none."""
+        return max((places[-1] for t in tags if (places := self._at.get(t))), default=0)
+
+    def _start(self, tag: str, source: str) -> bool:
+        """Opens an element; false if it is empty."""
+        if tag in BLOCKS and (p := self._at.get("p")) and p[-1] > self._scopes[-1]:
+            self._close(p[-1])
+        if tag in ENDS:
+            while (k := self._last(ENDS[tag])) and k >= self._scopes[-1]:
+                self._close(k)
+        empty = tag in VOID or source.endswith("/") and tag in RAW
+        node = self._stack[-1]
+        if not self._cut:
+            if tag == "br":
+                self.items.append((self._place(False), " "))
+            elif tag in BLOCKS:
+                self._edge()
+            cut, words = judged(tag, source)
+            if cut:
+                self._cut = 0 if empty else len(self._stack)
+            else:
+                if tag == "article" and self._at.get("article"):
+                    words = words or set()
+                node = self._node(tag, self._stack[-1] if tag in BLOCKS else self._place(tag not in VOID))
+                if words is not None:
+                    self.words[node] = words
+        if not empty:
+            self._at.setdefault(tag, []).append(len(self._stack))
+            if tag in SCOPE:
+                self._scopes.append(len(self._stack))
+            self._names.append(tag)
+            self._stack.append(node)
+            self._runs.append(0)
+        return not empty
+
+    def _end(self, tag: str) -> None:
+        if k := self._last((tag,)):
+            self._close(k)
+        elif tag == "p" and not self._cut:
+            self._edge()
+
+    def _close(self, k: int) -> None:
+        """Ends the k-th open element and all in it."""
+        block = False
+        while len(self._stack) > k:
+            name = self._names.pop()
+            self._stack.pop()
+            self._runs.pop()
+            self._at[name].pop()
+            block = block or name in BLOCKS
+            if name in SCOPE:
+                self._scopes.pop()
+        if self._cut >= k:
+            block, self._cut = block and self._cut == k, 0
+        if block and not self._cut:
+            self._edge()
+
+    def _measure(self) -> None:
+        """Characters, tags, linked characters and links below every node (a run is no tag)."""
         n = len(self.tag)
-        chars, mains, articles = [0] * n, [0] * n, [0] * n
+        self.chars, self.tags, self.link_chars, self.link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        in_link = [False] * n
+        for k in range(1, n):
+            in_link[k] = in_link[self.parent[k]] or self.tag[k] == "a"
         for node, text in self.items:
             if text is not None:
-                chars[node] += len(_SPACE.sub(" ", text).strip())
+                size = size_of(text)
+                self.chars[node] += size
+                if in_link[node]:
+                    self.link_chars[node] += size
+        for k in range(n - 1, 0, -1):
+            up = self.parent[k]
+            self.chars[up] += self.chars[k]
+            self.tags[up] += self.tags[k] + (self.tag[k] != "#run")
+            self.link_chars[up] += self.link_chars[k]
+            self.link_tags[up] += self.link_tags[k] + (self.tag[k] == "a")
+        self.body = next((k for k in range(n) if self.tag[k] == "body"), 0)
+
+    def densities(self) -> list[float]:
+        """Composite text density of every node."""
+        ratio = self.link_chars[self.body] / max(1, self.chars[self.body])
+        return [composite_density(*node, ratio) for node in zip(self.chars, self.tags, self.link_chars, self.link_tags, strict=True)]
+
+    def lowered(self) -> set[int]:
+        """Nodes that the prior counts against."""
+        n = len(self.tag)
+        mains, articles, around, blocks = [0] * n, [0] * n, [0] * n, [0] * n
+        if not self.words:
+            return set()
         for k in range(n - 1, 0, -1):
             up = self.parent[k]
-            chars[up] += chars[k]
             mains[up] += mains[k] + (self.tag[k] == "main")
             articles[up] += articles[k] + (self.tag[k] == "article")
-        place, tag, parent = [0] + [-1] * (n - 1), ["#root"], [-1]
-        around = [0] * n  # <article> and <main> above a node
+            blocks[up] += blocks[k] + (self.tag[k] in BLOCKS)
         for k in range(1, n):
             up = self.parent[k]
             around[k] = around[up] + (self.tag[up] in ("article", "main"))
-            if place[up] < 0:
-                continue
-            if k in self.doubtful:
-                elsewhere = mains[0] + articles[0] - mains[k] - articles[k] - around[k] > 0
-                share = 0.0 if elsewhere else chars[k] / max(1, chars[0])
-                if not self.wraps(self.doubtful[k], share, mains[k] > 0, articles[k] > 0):
-                    continue
-            place[k] = len(tag)
-            tag.append(self.tag[k])
-            parent.append(place[up])
-        self.tag, self.parent = tag, parent
-        self.items = [(place[node], text) for node, text in self.items if place[node] >= 0]
+        found = set()
+        for k, words in self.words.items():
+            elsewhere = mains[0] + articles[0] - mains[k] - articles[k] - around[k] - (self.tag[k] == "article") > 0
+            share = 0.0 if elsewhere or not blocks[k] else self.chars[k] / max(1, self.chars[0])
+            if self.tag[k] == "article" or not self.wraps(words, share, mains[k] > 0, articles[k] > 0):
+                found.add(k)
+        return found
 
     @staticmethod
     def wraps(words: set[str], share: float, main: bool, article: bool) -> bool:
-        """Whether a doubtful element holds the article: a <main>, an <article>, or most of the page's text (its
-        ``share``, 0 where an <article> or <main> stands elsewhere). Lists of comments and the like hold articles of their own, so there an <article> counts only beside a word that
-        marks the article, and most is more."""
+        """Whether an element holds the article: a <main>, an <article>, or most of the page's text (its ``share``,
+        0 for one without blocks and where an <article> or <main> stands elsewhere). Lists of comments and the like
+        hold articles of their own, so there an <article> counts only beside a word that names the article, and most
+        is more."""
         if words & ENTRY_WORDS:
             return main or article and bool(words & KEEP_WORDS) or share > WRAPS_ENTRIES
         return main or article or share > WRAPS
 
-    def _close(self, names: list[str], stack: list[int], k: int, cut: int) -> None:
-        """Ends the k-th open element and all in it."""
-        block = any(n in BLOCKS for n in names[k:])
-        del names[k:], stack[k:]
-        if block and (not cut or k <= cut):
-            self.items.append((stack[-1], None))
-
-    def densities(self) -> tuple[list[float], list[float]]:
-        """Composite text density of every node, and the sum over its block children."""
-        n = len(self.tag)
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
+    def chosen(self, prior: float = PRIOR) -> list[bool]:
+        """For every node, whether its own text is in the article."""
+        n, tag, parent = len(self.tag), self.tag, self.parent
+        keep, weight, sums, below = [False] * n, [1.0] * n, [0.0] * n, [False] * n
+        low = self.lowered() if prior != 1 else set()
+        density = self.densities()
+        below[self.body] = True
         for k in range(1, n):
-            in_link[k] = in_link[self.parent[k]] or self.tag[k] == "a"
-        for node, text in self.items:
-            if text is not None:
-                size = len(_SPACE.sub(" ", text).strip())
-                chars[node] += size
-                if in_link[node]:
-                    link_chars[node] += size
-        for k in range(n - 1, 0, -1):
-            up = self.parent[k]
-            chars[up] += chars[k]
-            tags[up] += tags[k] + 1
-            link_chars[up] += link_chars[k]
-            link_tags[up] += link_tags[k] + (self.tag[k] == "a")
-        body = next((k for k in range(n) if self.tag[k] == "body"), 0)
-        body_ratio = link_chars[body] / max(1, chars[body])
-        density, sums = [0.0] * n, [0.0] * n
-        for k in range(n):
-            c, t, lc, lt = chars[k], max(1, tags[k]), max(1, link_chars[k]), max(1, link_tags[k])
-            if c:
-                base = math.log(c / max(1, c - link_chars[k]) * link_chars[k] + body_ratio * c + math.e)
-                density[k] = c / t * math.log(max(1.0, c / lc * t / lt) + 1e-9 + (c / lc * t / lt <= 1)) / math.log(max(base, 1.0) + 1)
+            up = parent[k]
+            weight[k] = weight[up] * prior if k in low and weight[up] == 1 else weight[up]
+            density[k] *= weight[k]
+            below[k] = below[k] or below[up]
+        mixed = {parent[k] for k in range(1, n) if tag[k] in BLOCKS}  # nodes with block children
         for k in range(1, n):
-            if self.tag[k] in BLOCKS:
-                sums[self.parent[k]] += density[k]
-        return density, sums
-
-    def chosen(self) -> list[bool]:
-        """For every node, whether it is in the article."""
-        n = len(self.tag)
-        density, sums = self.densities()
-        body = next((k for k in range(n) if self.tag[k] == "body"), 0)
-        below = [False] * n
-        below[body] = True
-        for k in range(body + 1, n):
-            below[k] = below[self.parent[k]]
-        candidates = [k for k in range(n) if below[k]]
-        best = max(candidates, key=lambda k: (sums[k], -k))
-        for wider in ("article", "main"):
-            k = best
-            while k != body and self.tag[k] != wider:
-                k = self.parent[k]
-            if self.tag[k] == wider:
-                best = k
-                break
+            if tag[k] in BLOCKS or tag[k] == "#run" and parent[k] in mixed:
+                sums[parent[k]] += density[k]
+        best = max((k for k in range(n) if below[k] and tag[k] != "#run"), key=lambda k: (sums[k], -k))
+        if weight[best] != 1:
+            return keep
+        best = self._in_articles(best, density, sums, weight)
         path = [best]
-        while path[-1] != body:
-            path.append(self.parent[path[-1]])
+        while path[-1] != self.body:
+            path.append(parent[path[-1]])
         threshold = min(density[k] for k in path)
-        on_path = set(path)
-        keep = [False] * n
-        for k in candidates:
-            up = self.parent[k]
-            beside = up in on_path and k not in on_path and (density[k] >= threshold > 0 or self.tag[k] in HEADINGS)
-            keep[k] = k == best or up >= 0 and keep[up] or beside
+        within = [k for k in path if tag[k] == "article"] or [k for k in path if tag[k] == "main"]
+        top = within[-1] if within else self.body
+        heart = top if tag[top] == "article" else best
+        beside = self._beside(path[: path.index(top) + 1], density, threshold) if heart != top else set()
+        inside_article = [False] * n
+        for k in range(self.body, n):
+            up = parent[k]
+            inside_article[k] = up >= 0 and (inside_article[up] or tag[up] == "article")
+            if tag[top] == "article" and tag[k] == "article" and not inside_article[k] and density[k] >= threshold > 0:
+                beside.add(k)
+            taken = up >= 0 and keep[up] and (weight[k] == weight[up] or density[k] >= threshold)
+            keep[k] = k == heart or k in beside or taken
         return keep
 
+    def _in_articles(self, best: int, density: list[float], sums: list[float], weight: list[float]) -> int:
+        """``best``, or the node with the largest sum in the <article> elements that it holds."""
+        n = len(self.tag)
+        under, inside = [False] * n, [False] * n
+        for k in range(1, n):
+            up = self.parent[k]
+            under[k] = up == best or under[up]
+            inside[k] = inside[up] or self.tag[k] == "article"
+        found = (k for k in range(best + 1, n) if under[k] and inside[k] and weight[k] == 1 and density[k] > 0 and self.tag[k] != "#run")
+        return best if inside[best] else max(found, key=lambda k: (sums[k], -k), default=best)
+
+    def _beside(self, path: list[int], density: list[float], threshold: float) -> set[int]:
+        """Children of the path's nodes that are dense enough, and the headings right before what is taken."""
+        children: dict[int, list[int]] = {k: [] for k in path}
+        for k in range(1, len(self.tag)):
+            if self.parent[k] in children:
+                children[self.parent[k]].append(k)
+        found, on_path = set(), set(path)
+        for up in path[1:]:
+            follows = False
+            for k in reversed(children[up]):
+                if k in on_path:
+                    follows = True
+                elif self.tag[k] in HEADINGS:
+                    if follows or density[k] >= threshold > 0:
+                        found.add(k)
+                elif self.chars[k]:
+                    follows = density[k] >= threshold > 0
+                    if follows:
+                        found.add(k)
+        return found
+
 
-def main_text(source: str | None) -> str:
-    """The article of a page, one line for each block."""
+def main_text(source: str | None, prior: float = PRIOR) -> str:
+    """The article of a page, one line for each block; ``prior`` 1 leaves words of class and id out of account."""
     if not source:
         return ""
     page = Page(source)
-    keep = page.chosen()
+    keep = page.chosen(prior)
     blocks: list[list[str]] = [[]]
     for node, text in page.items:
         if text is None:
@@ -303,7 +383,7 @@ def main_text(source: str | None) -> str:
                 blocks.append([])
         elif keep[node]:
             blocks[-1].append(text)
-    lines = (_SPACE.sub(" ", html.unescape("".join(b))).strip(" ") for b in blocks)
+    lines = (_SPACE.sub(" ", "".join(b)).strip(" ") for b in blocks)
     return "\n".join(line for line in lines if line)
 
 
