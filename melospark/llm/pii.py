@@ -59,7 +59,7 @@ def numbers(text: str) -> Iterator[Span]:
     if not _DIGIT.search(text):
         return
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+        if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m.groups()):
             yield "ip", *m.span()
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
