@@ -1,6 +1,6 @@
 """Language identification of whole, possibly mixed texts (operator 6).
 
-A text is read as words (runs of letters). The script of a word narrows its candidates to the languages that were
+A text is read as words (runs of letters with the marks that follow them). The script of a word narrows its candidates to the languages that were
 seen in that script; each candidate's score for the word is the sum of log-probabilities of its character
 n-grams (n = 1 to 3, word ends marked), which sit in a table of hashed buckets. A Viterbi walk over the words
 with a cost for switching labels spans; the predicted language is the one whose spans hold most letters.
@@ -42,6 +42,8 @@ LEAST_SCRIPT_SHARE = 0.01
 #: Characters looked at together; bounds the memory of a batch (a longer text is taken alone).
 BLOCK_CHARS = 200_000
 _CHUNK = 64
+#: Labels up to which texts are cut into chunks: a chunk is solved once for each of them.
+_FEW_LABELS = 12
 
 #: First and last code point of the letters of each script told apart.
 SCRIPTS = {
@@ -65,11 +67,11 @@ _OTHER = len(SCRIPTS)
 
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: is it part of a word (a letter, or a mark that joins one); its script."""
-    part = np.zeros(0x110000, dtype=bool)
+    """By code point: 1 for a letter, 2 for a mark (part of the word whose letter it follows), else 0; its script."""
+    part = np.zeros(0x110000, dtype=np.uint8)
     script = np.full(0x110000, _OTHER, dtype=np.uint8)
-    for cp in range(0x33480):  # the planes above hold no letters
-        part[cp] = unicodedata.category(chr(cp))[0] == "L"
+    for cp in range(0x33480):  # the planes above hold no letters, and of marks only variation selectors
+        part[cp] = {"L": 1, "M": 2}.get(unicodedata.category(chr(cp))[0], 0)
     for k, ranges in enumerate(SCRIPTS.values()):
         for first, last in ranges:
             script[first : last + 1] = k
@@ -105,8 +107,13 @@ def split_words(block: list[str], buckets: int) -> Words:
     offset = np.cumsum(sizes) - sizes
     cps = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
     part, script = _letters()
+    kind = part[cps]
     inside = np.zeros(len(cps) + 2, dtype=bool)
-    inside[1:-1] = part[cps]
+    inside[1:-1] = kind == 1
+    if (kind == 2).any():  # marks count where a letter stands before them, with nothing but marks between
+        places = np.arange(len(cps))
+        letter, other = (np.maximum.accumulate(np.where(kind == k, places, -1)) for k in (1, 0))
+        inside[1:-1] |= (kind == 2) & (letter > other)
     change = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = change[::2], change[1::2]
     # letters as 1.., word ends as 0, so that n-grams see where a word begins and stops
@@ -146,7 +153,7 @@ def train(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS
 ) -> Model:
     """Learns from the rows of ``docs`` with a label. What reaches the driver is at most one number for each
-    label and bucket, and each label and script."""
+    label and bucket, and each label and script: 65,551 a label; the model sent to the workers has 262 KB a label."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
@@ -193,51 +200,67 @@ def word_scores(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def viterbi(scores: np.ndarray, first_of_text: np.ndarray, cost: float = SWITCH_COST) -> np.ndarray:
-    """Best label of every word. Texts are cut into short chunks that are solved side by side for every label
-    the word before may have, then strung together, so a long text takes no longer than its share."""
+    """Best label of every word: the sum of its scores less ``cost`` for each switch within a text is largest.
+
+    A step keeps two choices for each label, to stay or to come from the best label, so what is remembered grows
+    with words times labels. Texts are solved side by side. With few labels they are also cut into chunks, solved
+    for every label the word before may have and then strung together, so a long text takes no longer than its share.
+    """
     n, states = scores.shape
     if not n:
         return np.zeros(0, dtype=np.int64)
+    cost = np.float32(cost)
     sizes = np.diff(first_of_text)
-    per_text = -(-sizes // _CHUNK)
+    longest = _CHUNK if states <= _FEW_LABELS else int(sizes.max())
+    per_text = -(-sizes // longest)
     text_of = np.repeat(np.arange(len(sizes)), per_text)
     ordinal = np.arange(len(text_of)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    begin = first_of_text[text_of] + ordinal * _CHUNK
-    size = np.minimum(_CHUNK, first_of_text[text_of + 1] - begin)
-    chunks, own = len(begin), np.arange(states)
-    value = np.full((chunks, states, states), -1e9, dtype=np.float32)
-    value[:, own, own] = 0
-    value[ordinal == 0] = 0
-    back = np.empty((_CHUNK, chunks, states, states), dtype=np.int8)
-    for k in range(int(size.max())):
-        on = size > k
-        most, arg = value.max(axis=2, keepdims=True), value.argmax(axis=2)
-        stay = (value >= most - np.float32(cost)) | ~on[:, None, None]
-        back[k] = np.where(stay, own, arg[:, :, None])
-        step = scores[np.where(on, begin + k, 0)][:, None, :]
-        value = np.where(on[:, None, None], np.where(stay, value, most - np.float32(cost)) + step, value)
-    # string the chunks of each text together: all texts at once, chunk by chunk
-    so_far = np.zeros((len(sizes), states), dtype=np.float32)
-    entry = np.zeros((chunks, states), dtype=np.int8)  # label before the chunk, by label at its end
-    order = np.argsort(ordinal, kind="stable")
-    starts = np.searchsorted(ordinal[order], np.arange(int(per_text.max()) + 1))
-    for k in range(len(starts) - 1):
-        c = order[starts[k] : starts[k + 1]]
-        reach = so_far[text_of[c]][:, :, None] + value[c]
-        entry[c] = reach.argmax(axis=1)
-        so_far[text_of[c]] = reach.max(axis=1)
-    end = so_far.argmax(axis=1)
-    before, state = np.zeros(chunks, dtype=np.int64), np.zeros(chunks, dtype=np.int64)
-    for k in range(len(starts) - 2, -1, -1):
-        c = order[starts[k] : starts[k + 1]]
-        state[c] = end[text_of[c]]
-        before[c] = entry[c, state[c]]
-        end[text_of[c]] = before[c]
-    labels, each = np.zeros(n, dtype=np.int64), np.arange(chunks)
-    for k in range(int(size.max()) - 1, -1, -1):
-        on = size > k
-        labels[begin[on] + k] = state[on]
-        state = np.where(on, back[k, each, before, state], state)
+    begin = first_of_text[text_of] + ordinal * longest
+    size = np.minimum(longest, first_of_text[text_of + 1] - begin)
+    by_size = np.argsort(-size, kind="stable")  # so that those with a k-th word come first
+    text_of, ordinal, begin, size = text_of[by_size], ordinal[by_size], begin[by_size], size[by_size]
+    running = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+    chunks, entries = len(begin), states if per_text.max() > 1 else 1  # labels that the word before may have
+    value = np.zeros((chunks, entries, states), dtype=np.float32)
+    if entries > 1:
+        own = np.arange(states)
+        value[ordinal > 0] = -1e9
+        value[:, own, own] = 0
+    stays = np.empty((n, entries, states), dtype=bool)
+    best_before = np.empty((n, entries), dtype=np.min_scalar_type(states))
+    for k, m in enumerate(running):
+        held, at = value[:m], begin[:m] + k
+        most = held.max(axis=2, keepdims=True)
+        stay = held >= most - cost
+        stays[at], best_before[at] = stay, held.argmax(axis=2)
+        value[:m] = np.where(stay, held, most - cost) + scores[at][:, None, :]
+        if entries == 1:
+            value[:m] -= most  # only differences count
+    state, before = np.zeros(chunks, dtype=np.int64), np.zeros(chunks, dtype=np.int64)
+    if entries == 1:
+        state = value[:, 0].argmax(axis=1)
+    else:  # string the chunks of each text together: all texts at once, chunk by chunk
+        so_far = np.zeros((len(sizes), states), dtype=np.float32)
+        entry = np.zeros((chunks, states), dtype=np.int64)  # label before the chunk, by label at its end
+        order = np.argsort(ordinal, kind="stable")
+        starts = np.searchsorted(ordinal[order], np.arange(int(per_text.max()) + 1))
+        for k in range(len(starts) - 1):
+            c = order[starts[k] : starts[k + 1]]
+            reach = so_far[text_of[c]][:, :, None] + value[c]
+            entry[c] = reach.argmax(axis=1)
+            so_far[text_of[c]] = reach.max(axis=1) - reach.max(axis=(1, 2))[:, None]
+        end = so_far.argmax(axis=1)
+        for k in range(len(starts) - 2, -1, -1):
+            c = order[starts[k] : starts[k + 1]]
+            state[c] = end[text_of[c]]
+            before[c] = entry[c, state[c]]
+            end[text_of[c]] = before[c]
+    labels = np.zeros(n, dtype=np.int64)
+    for k in range(len(running) - 1, -1, -1):
+        m = running[k]
+        at, now, since = begin[:m] + k, state[:m], before[:m]
+        labels[at] = now
+        state[:m] = np.where(stays[at, since, now], now, best_before[at, since])
     return labels
 
 
