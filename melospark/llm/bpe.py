@@ -6,7 +6,8 @@ concatenated. Two further conditions keep a cut from changing what the splitting
 before the cut is no white space (white-space runs look ahead), and the one after it is no apostrophe (it
 could begin a contraction). Texts holding white space beyond ASCII are cut after ASCII characters only.
 
-Edge cases: null and empty texts have no tokens; the string of a special token becomes its id, as in the
+The vocabulary must number its tokens in the order of its merges, as byte-level vocabularies do; this is checked when it
+is loaded. Edge cases: null and empty texts have no tokens; the string of a special token becomes its id, as in the
 tokenizers library; any length of text is taken, in memory proportional to that text.
 """
 
@@ -51,6 +52,10 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def _pair(merge: str | list[str]) -> list[str]:
+    return merge.split(" ") if isinstance(merge, str) else merge
+
+
 class FragmentEncoder:
     """Encodes and decodes with one vocabulary; ids are kept as little-endian unsigned 32-bit bytes."""
 
@@ -64,6 +69,9 @@ class FragmentEncoder:
         ranks = {
             bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special
         }
+        made = [ranks.get(bytes(alphabet[c] for c in "".join(pair))) for pair in map(_pair, spec["model"]["merges"])]
+        if None in made or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+            raise ValueError("token ids are not in the order of the merges")
         self.special = special
         self.token_bytes: list[bytes] = [b""] * (1 + max([*ranks.values(), *special.values()]))
         for token, i in [*ranks.items(), *((s.encode(), i) for s, i in special.items())]:

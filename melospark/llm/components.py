@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from melospark.llm.common import shared_dir
+from melospark.llm.common import stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,20 +25,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """How many edges there are, and a sum over them that any change alters."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (two integer columns u, v); component is the least node.
 
-    Each round is written by ``checkpoint()`` to the shared folder, so a lost executor costs that round at
-    most. Rounds needed grow with the logarithm of the number of nodes.
+    Each round is written to the shared folder, so a lost executor costs that round at most, and the round before it
+    is removed. Rounds needed grow with the logarithm of the number of nodes.
     """
-    shared_dir(edges.sparkSession)
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    now = now.checkpoint()
+    now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "round")
+    mark = _mark(now)
     for _ in range(max_rounds):
-        after = _star(_star(now, large=True), large=False).checkpoint()
-        same = [d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (now, after)]
+        after = stage(_star(_star(now, large=True), large=False), "round")
+        mark_before, mark = mark, _mark(after)
+        unstage(now)
         now = after
-        if same[0] == same[1]:
+        if mark == mark_before:
             break
     else:
         raise RuntimeError("the components did not settle")

@@ -43,9 +43,10 @@ f as (
 h as (select host, rule, count(*) as n, sum(cast(failed as int)) as k
       from (select host, unnest(['few', 'rep', 'sym', 'dup']) as rule, unnest([few, rep, sym, dup]) as failed from f)
       group by host, rule),
-c as (select rule, sum(k) / sum(n) as mean, sum(k * k / n) / sum(n) - power(sum(k) / sum(n), 2) as v from h group by rule),
-b as (select rule, mean, case when v <= 1e-12 then 1e6 else greatest(1, least(1e6, mean * (1 - mean) / v - 1)) end as strength from c),
-hv as (select host, max((k + mean * strength) / (n + strength)) > 0.5 as host_failed from h join b using (rule) group by host)
+c as (select rule, sum(k) / sum(n) as m, sum(n) as docs, sum(k * k / n) as squares, count(*) - 1 as chance, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) as room from h group by rule),
+b as (select rule, m as mean, case when m * (1 - m) > 1e-12 and room > 1e-9 then ((squares - docs * m * m) / (m * (1 - m)) - chance) / room else 0 end as share from c),
+p as (select rule, mean, case when share <= 1e-6 then 1e6 else greatest(1, least(1e6, 1 / share - 1)) end as strength from b),
+hv as (select host, max((k + mean * strength) / (n + strength)) > 0.5 as host_failed from h join p using (rule) group by host)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few or rep as base_failed, host_failed,
        not (few or rep) and not host_failed as kept
 from f join hv on f.host is not distinct from hv.host
@@ -57,7 +58,7 @@ def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
 OP3_SQL = r"""

@@ -96,8 +96,10 @@ def rule_failures(limits: Limits) -> dict[str, Column]:
 def host_verdicts(measures: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """A row per host: host, n_docs, for each rule its failures and shrunk rate, host_failed.
 
-    The prior Beta(a, b) of a rule has the corpus rate m as mean; its strength a + b = m (1 - m) / v - 1 comes
-    from the variance v of the hosts' rates about m (weighted by documents), and is held between 1 and a million.
+    The prior Beta(a, b) of a rule has the corpus rate m as mean. Its strength a + b = 1 / r - 1 follows from the moments
+    of the beta-binomial: among H hosts of n documents (N in all), the spread S = sum n (rate - m)^2 is on average
+    m (1 - m) (H - 1 + r (N - sum n^2 / N - H + 1)). What of the spread is chance alone so doesn't count as difference
+    between hosts. The strength is held between 1 and a million, and is a million where r can't be told.
     """
     failed = rule_failures(limits)
     counted = measures.groupBy("host").agg(
@@ -105,16 +107,20 @@ def host_verdicts(measures: DataFrame, limits: Limits = Limits()) -> DataFrame:
     )
     counted = stage(counted, "hosts")
     n = F.col("n_docs")
-    parts = [F.sum("n_docs").alias("all_docs")]
+    parts = [F.sum("n_docs").alias("all_docs"), F.count(F.lit(1)).alias("hosts"), F.sum(n.cast("double") * n).alias("docs_squared")]
     for r in RULES:
         k = F.col(f"{r}_failures")
         parts += [F.sum(k).alias(f"{r}_all"), F.sum(k * k / n).alias(f"{r}_squares")]
     corpus = counted.agg(*parts).first()  # one row of sums
     joined, docs = counted, F.lit(corpus["all_docs"]).cast("double")
+    chance = F.lit(corpus["hosts"]).cast("double") - 1
+    room = docs - F.lit(corpus["docs_squared"]).cast("double") / docs - chance
     for r in RULES:
         m = F.lit(corpus[f"{r}_all"]).cast("double") / docs
-        v = F.lit(corpus[f"{r}_squares"]).cast("double") / docs - m * m
-        strength = F.when(v <= 1e-12, F.lit(1e6)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1)))
+        spread = F.lit(corpus[f"{r}_squares"]).cast("double") - docs * m * m
+        tellable = (m * (1 - m) > 1e-12) & (room > 1e-9)
+        share = F.when(tellable, (spread / (m * (1 - m)) - chance) / room).otherwise(F.lit(0.0))
+        strength = F.when(share <= 1e-6, F.lit(1e6)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1e6), 1 / share - 1)))
         joined = joined.withColumn(f"{r}_rate", (F.col(f"{r}_failures") + m * strength) / (n + strength))
     worst = F.greatest(*(F.col(f"{r}_rate") for r in RULES))
     return joined.select(

@@ -1,11 +1,12 @@
 """Secret scans over a trigram inverted index (operator 9), by DataFrame functions alone.
 
 1. A Boolean trigram query is derived from each rule's pattern (``trigram_query``).
-2. The index holds postings (trigram, row key), sorted by trigram in every file, for the trigrams of the rules'
-   queries; it is written to the shared folder and can be kept and searched again.
+2. The index holds postings (trigram, row key), sorted by trigram in every file, for a stated set of trigrams (by
+   default those of the rules' queries), and knows that set. It is written to the shared folder and can be kept,
+   opened again and searched for other rules: a rule's query is weakened to the trigrams that the index has.
 3. The postings a rule asks for are intersected (AND) and united (OR) for each row key: the candidates.
 4. Candidates are joined back to their texts, and the pattern itself decides. Rules without a mandatory trigram
-   (long hex strings) scan all texts.
+   (long hex strings), or whose trigrams the index lacks, scan all texts.
 
 Matches are located without Python: each match is set between two marks, the text is split at the marks, and the
 lengths of the parts add up to the offsets (code points, end exclusive).
@@ -20,11 +21,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from melospark.llm.common import stage, texts
-from melospark.llm.trigram_query import Query, trigram_query, trigrams_of
+from melospark.llm.trigram_query import Query, trigram_query, trigrams_of, weakened
 
 MARK, OTHER_MARK = "\ufdd0", "\ufdd1"  # noncharacters
 PLACEHOLDER = "[SECRET]"
@@ -76,13 +77,36 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, doc_id, text_hash) for the trigrams of the rules' queries."""
-    wanted = sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
+@dataclass(frozen=True)
+class TrigramIndex:
+    """``postings`` (trigram, doc_id, text_hash) of all rows for each of ``trigrams``; some hundreds of them."""
+
+    postings: DataFrame
+    trigrams: frozenset[str]
+
+    def save(self, path: str) -> None:
+        self.postings.write.parquet(f"{path}/postings")
+        spark = self.postings.sparkSession
+        spark.createDataFrame([(t,) for t in sorted(self.trigrams)], "trigram string").coalesce(1).write.parquet(f"{path}/trigrams")
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> TrigramIndex:
+        held = frozenset(r[0] for r in spark.read.parquet(f"{path}/trigrams").collect())
+        return TrigramIndex(spark.read.parquet(f"{path}/postings"), held)
+
+    def query(self, rule: Rule) -> Query:
+        """The rule's query as far as the index can answer it; None means that the rule must scan all texts."""
+        return weakened(trigram_query(rule.pattern), self.trigrams)
+
+
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, more: frozenset[str] = frozenset()) -> TrigramIndex:
+    """Index of ``docs`` for the trigrams of the rules' queries and ``more`` (in lower case). Each trigram is one
+    native search of every text, so their number, not the texts' own variety, sets the cost."""
+    wanted = sorted(more.union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
     folded = keyed(docs).withColumn("folded", F.lower("text"))
     held = F.array_compact(F.array(*(F.when(F.col("folded").contains(t), F.lit(t)) for t in wanted)).cast("array<string>"))
     postings = folded.select("doc_id", "text_hash", F.explode(held).alias("trigram"))
-    return stage(postings.select("trigram", "doc_id", "text_hash").sortWithinPartitions("trigram"), "postings")
+    return TrigramIndex(stage(postings.select("trigram", "doc_id", "text_hash").sortWithinPartitions("trigram"), "postings"), frozenset(wanted))
 
 
 def _holds(query: Query, found: Column) -> Column:
@@ -92,24 +116,26 @@ def _holds(query: Query, found: Column) -> Column:
     return reduce(Column.__and__ if query[0] == "and" else Column.__or__, parts)
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def candidates(index: TrigramIndex, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, text_hash, kinds): the rules whose query a row's postings satisfy."""
-    asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
+    asked = {r.kind: q for r in rules if (q := index.query(r)) is not None}
     wanted = sorted(set().union(*map(trigrams_of, asked.values())))
-    met = index.where(F.col("trigram").isin(wanted)).groupBy("doc_id", "text_hash").agg(F.collect_set("trigram").alias("found"))
+    met = index.postings.where(F.col("trigram").isin(wanted)).groupBy("doc_id", "text_hash").agg(F.collect_set("trigram").alias("found"))
     kinds = F.array_compact(F.array(*(F.when(_holds(q, F.col("found")), F.lit(k)) for k, q in asked.items())).cast("array<string>"))
     return met.select("doc_id", "text_hash", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
-    """A row per secret: doc_id, text_hash, kind, rank (place of the rule), start, end."""
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: TrigramIndex | None = None) -> DataFrame:
+    """A row per secret: doc_id, text_hash, kind, rank (place of the rule), start, end. ``index`` must be of these
+    very rows; it may have been built for other rules."""
     rows = keyed(docs)
-    hits = stage(candidates(index if index is not None else build_index(docs, rules), rules), "candidates").distinct()
+    index = index or build_index(docs, rules)
+    hits = stage(candidates(index, rules), "candidates").distinct()
     hits = hits.select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "kinds")
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))
     looked = rows.join(hits, same).select("doc_id", "text_hash", "text", "kinds")
     for r in rules:
-        if trigram_query(r.pattern) is None:
+        if index.query(r) is None:
             scanned = rows.where(F.col("text").rlike(r.pattern))
             looked = looked.unionAll(scanned.select("doc_id", "text_hash", "text", F.array(F.lit(r.kind)).alias("kinds")))
     looked = looked.withColumn("text", F.translate("text", MARK, OTHER_MARK))

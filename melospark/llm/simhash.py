@@ -8,7 +8,10 @@ radius plus threshold (1 + 1): a half that differs by one bit has its home among
 its stored fingerprints with those replicated to it, on all 64 bits.
 
 Copies share a fingerprint and are one row before any of this. Anchors are joined by a sort-merge join, whose hot
-keys Spark splits; it puts out only pairs that are links. Links become components on the fingerprints.
+keys Spark splits. For the components not every link is needed: fingerprints that agree in one half and whose other
+halves have the same home differ in at most two bits, so such a cell is linked to its least fingerprint alone, and a
+fingerprint keeps one link to each cell around it. The links are reduced so on either side of the shuffle: a cell of N
+fingerprints gives N - 1 links instead of N squared.
 
 Edge cases: a null text or one without words has fingerprint zero, linked like any other; fewer than three words
 are one shingle; repeated rows are copies; a null doc_id takes part, but no component is named after it.
@@ -109,22 +112,47 @@ def anchored(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored, replicated.select(F.col("near").bitwiseOR(F.col("side")).alias("anchor"), "fp")
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(u, v): pairs of distinct fingerprints at ``threshold`` or fewer differing bits. Threshold is at most 3."""
+def _linked(distinct: DataFrame, threshold: int) -> DataFrame:
+    """(u, v): rows of pairs u < v at ``threshold`` or fewer differing bits, once for each anchor that finds them."""
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError("two halves and radius one cover thresholds up to 3")
     stored, replicated = anchored(distinct)
     a, b = stored.alias("a"), replicated.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= threshold
     found = a.join(b.hint("merge"), (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.fp") < F.col("b.fp")) & near)
-    return found.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    return found.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
+def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(u, v): all pairs of distinct fingerprints at ``threshold`` or fewer differing bits, which is at most 3."""
+    return _linked(distinct, threshold).distinct()
+
+
+def _cell(fp: Column) -> Column:
+    """A number for the low half as it is and the home of the high half: two of a cell differ in at most two bits."""
+    high = F.shiftrightunsigned(fp, 32)
+    home = high.bitwiseXOR(_bit(_syndrome(high.bitwiseAND(F.lit(0x7FFFFFFF))).cast("int")))
+    return F.call_function("shiftleft", home, F.lit(32)).bitwiseOR(fp.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def spanning_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(u, v): links with the components of all ``links``. Thresholds under 2 keep every link, since cells are no
+    cliques there."""
+    if threshold < 2:
+        return links(distinct, threshold)
+    celled = distinct.select("fp", _cell(F.col("fp")).alias("cell"))
+    least = celled.groupBy("cell").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    within = celled.join(least, "cell").where("fp != v").select(F.col("fp").alias("u"), "v")
+    pairs = _linked(distinct, threshold).withColumn("cell", _cell(F.col("v"))).where(F.col("cell") != _cell(F.col("u")))
+    between = pairs.groupBy("u", "cell").agg(F.min("v").alias("v")).select("u", "v")
+    return within.unionByName(between)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """A row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = stage(fingerprints(docs), "fingerprints")
     reps = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "reps")
-    found = stage(links(reps.select("fp"), threshold), "links")
+    found = stage(spanning_links(reps.select("fp"), threshold), "links")
     groups = connected_components(found).select(F.col("node").alias("fp"), "component")
     named = groups.join(reps, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(named, "component").select(F.col("fp").alias("linked_fp"), "component_id")

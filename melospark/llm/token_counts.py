@@ -10,7 +10,7 @@ is given by ``rule``:
 * ``most``: to the section that holds most of its characters, the earlier one on a tie;
 * ``split``: to all of them, in parts by characters (fractions, so counts are doubles).
 
-Sections are disjoint [start, end) spans in code points, by rising start. Tokens that touch none are counted in
+Sections are disjoint [start, end) spans in code points, by rising start; others raise an error. Tokens that touch none are counted in
 section -1. Edge cases: null and empty texts have no tokens, and one empty section when sections are lines.
 """
 
@@ -102,6 +102,8 @@ def section_token_counts(
             for k, text in enumerate(batch["text"]):
                 text = text.as_py() or ""
                 spans = [(s["start"], s["end"]) for s in given[k] or []] if given else line_sections(text)
+                if any(a > b for a, b in spans) or any(a[1] > b[0] for a, b in zip(spans, spans[1:], strict=False)):
+                    raise ValueError("sections must be disjoint and sorted")
                 ids = np.frombuffer(bpe.encode(text), dtype="<u4")
                 starts, ends = (np.array(x, dtype=np.int64) for x in (zip(*spans, strict=True) if spans else ((), ())))
                 counts, crossings, lost = np.zeros(len(spans)), np.zeros(len(spans), dtype=np.int64), float(len(ids))

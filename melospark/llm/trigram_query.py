@@ -103,3 +103,11 @@ def trigrams_of(query: Query) -> set[str]:
     if query is None:
         return set()
     return {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
+
+
+def weakened(query: Query, known: frozenset[str]) -> Query:
+    """What remains of a query when only ``known`` trigrams can be looked up; every match still satisfies it."""
+    if query is None or isinstance(query, str):
+        return query if query in known else None
+    parts = [weakened(q, known) for q in query[1]]
+    return _all(parts) if query[0] == "and" else _any(parts)

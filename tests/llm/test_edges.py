@@ -21,7 +21,7 @@ def edge(spark):
 OPERATORS = {
     "quality": quality_rules.judge,
     "pii": lambda d: pii.digest_pii(pii.find_pii(d)),
-    "exact": lambda d: exact_dedup.dedup(d, exact_dedup.DigestIndex(d.sparkSession)),
+    "exact": lambda d: exact_dedup.dedup(d),
     "bpe": bpe.encode_decode,
     "language": language_id.identify_documents,
     "simhash": simhash.near_duplicates,

@@ -1,6 +1,7 @@
 """BPE, packing, token counts and the pipeline against the tokenizers library and plain versions."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -164,6 +165,23 @@ def test_token_counts_with_given_sections(spark):
     assert got == {(1, 0): 2, (1, 1): 0, (1, -1): 2, (2, -1): 1}
 
 
+def test_sections_must_be_sorted_and_disjoint(spark):
+    for spans in ([(4, 8), (0, 2)], [(0, 5), (4, 8)], [(3, 1)]):
+        df = spark.createDataFrame([(1, "one two three", spans)], "doc_id long, text string, s array<struct<start:long,end:long>>")
+        with pytest.raises(Exception, match="disjoint and sorted"):
+            token_counts.section_token_counts(df, sections_col="s").collect()
+
+
+def test_vocabularies_out_of_order_are_refused(tmp_path):
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[10], merges[11] = merges[11], merges[10]
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="order of the merges"):
+        bpe.FragmentEncoder(str(tmp_path / "v.json"))
+
+
 def test_pipeline_on_a_fixture(spark, tmp_path, library):
     rng = random.Random(12)
     english = "the of and to in that it is was for on with as his they at be this from have".split()
