@@ -5,14 +5,19 @@ large the corpus. A plan is a list of patterns, each a filling of one sequence a
 
 * Incumbent: best-fit decreasing, done on counts (equal bins move together).
 * Bound: the waste bound of Martello and Toth over all thresholds.
-* Branching: the largest remaining length is completed by every undominated filling of the room beside it,
-  fullest first; a branch is cut when its waste alone rules out beating the incumbent. Every 64th
-  node is also closed by the best-fit plan of what remains, which may improve the incumbent. Search ends when the bound is met or
-  ``max_nodes`` nodes are spent; the plan then is the best incumbent.
+* Branching: the largest remaining length is completed by the undominated fillings of the room beside it, fullest
+  first and among equally full ones by few pieces and frequent lengths, generated one by one as the search comes back
+  for more: none is left out. A filling is used as often as it fits, or once; a branch is cut when its waste alone, or
+  the bound of what remains, rules out beating the incumbent.
+* Every 64th node is also closed by the best-fit plan of what remains, which may improve the incumbent.
+
+Search ends when the bound is met, when every branch is cut (the plan then is optimal), or when ``max_nodes`` nodes or
+``max_fillings`` fillings were looked at; the plan then is the best incumbent. These two budgets are the only limits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: A filling as ((length, how many), ...) by falling length, and how many sequences use it.
@@ -24,6 +29,10 @@ class Plan:
     patterns: list[Pattern]
     sequences: int
     lower_bound: int
+    #: Nodes and fillings looked at, and whether the plan is known to be optimal.
+    nodes: int = 0
+    fillings: int = 0
+    optimal: bool = False
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -76,106 +85,143 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(filling, bins) for group in groups.values() for filling, bins in group]
 
 
-def completions(counts: dict[int, int], room: int, waste: int, limit: int) -> list[dict[int, int]]:
-    """Undominated fillings of ``room`` that leave at most ``waste``, fullest first, at most ``limit``.
-
-    A filling is dominated when a part of it could be swapped for one single longer (or, for several pieces,
-    equally long) piece that it leaves out: the swap frees smaller pieces, which fit wherever that piece does.
-    The walk takes long pieces first and, at every step, looks up the one piece that would fill the room.
-    """
-    lengths = [x for x in sorted(counts, reverse=True) if x <= room and counts[x]]
-    suffix = [0] * (len(lengths) + 1)
-    for k in range(len(lengths) - 1, -1, -1):
-        suffix[k] = suffix[k + 1] + lengths[k] * counts[lengths[k]]
+#: Fillings of up to so many pieces come first, by the number of pieces: few long pieces leave the small ones, with
+#: which any gap can be closed, to the end.
+_FEW = 4
+
+
+def _reachable(lengths: list[int], counts: dict[int, int], room: int) -> list[list[int]]:
+    """For each place in ``lengths``, bit sets of the sums up to ``room`` that the lengths from there on can make:
+    of any pieces (0), and of exactly 1, 2, ... ``_FEW`` pieces."""
+    within = (1 << (room + 1)) - 1
+    here = [1] + [0] * _FEW
+    sums = [here]
+    for x in reversed(lengths):
+        made, step, left = here[0], 1, min(counts[x], room // x)
+        most = left
+        while left:  # doubling: any number of pieces up to the count
+            took = min(step, left)
+            made |= made << took * x & within
+            left -= took
+            step *= 2
+        now = [made]
+        for p in range(1, _FEW + 1):
+            exact = here[p] | (1 << p * x if p <= most else 0)
+            for n in range(1, min(most, p - 1) + 1):
+                exact |= here[p - n] << n * x
+            now.append(exact & within)
+        here = now
+        sums.append(here)
+    return sums[::-1]
+
+
+def _dominated(filling: list[tuple[int, int]], slack: int, counts: dict[int, int], available: int) -> bool:
+    """Whether a part of the filling could be swapped for one single longer (or, for several pieces, equally
+    long) piece that it leaves out: the swap frees smaller pieces, which fit wherever that piece does."""
+    one = many = 0  # bit sets: sums of one piece, sums of several
+    left_out = available  # lengths that are left over
+    for x, n in filling:
+        for _ in range(n):
+            many |= (one | many) << x
+            one |= 1 << x
+        if n == counts[x]:
+            left_out &= ~(1 << x)
+    longer, span = (one | many) << 1, 1  # sums and up to slack more
+    while span < slack:
+        step = min(span, slack - span)
+        longer |= longer << step
+        span += step
+    return bool(left_out & (many | (longer if slack else 0)))
+
+
+def completions(counts: dict[int, int], room: int, waste: int) -> Iterator[tuple[int, dict[int, int] | None]]:
+    """(slack, filling) of every undominated filling of ``room`` that leaves at most ``waste``: fullest first, then
+    those of few pieces, then of the lengths with most pieces left, which keeps the histogram even. A dominated one gives (slack, None), so that the caller can count it.
+    The walk enters no branch without a filling, since it knows the sums that the lengths ahead can make."""
+    lengths = sorted((x for x in counts if x <= room and counts[x]), key=lambda x: (counts[x], x), reverse=True)
+    sums = _reachable(lengths, counts, room)
     available = sum(1 << x for x in lengths)
-    found: list[tuple[int, int, dict[int, int]]] = []
-    full = steps = 0
-
-    def dominated(filling: dict[int, int], slack: int) -> bool:
-        one = many = 0  # bit sets: sums of one piece, sums of several
-        left_out = available  # lengths that are left over
-        for x, n in filling.items():
-            for _ in range(n):
-                many |= (one | many) << x
-                one |= 1 << x
-            if n == counts[x]:
-                left_out &= ~(1 << x)
-        longer, span = (one | many) << 1, 1  # sums and up to slack more
-        while span < slack:
-            step = min(span, slack - span)
-            longer |= longer << step
-            span += step
-        return bool(left_out & (many | (longer if slack else 0)))
-
-    def keep(filling: dict[int, int], slack: int) -> None:
-        nonlocal full
-        if not dominated(filling, slack):
-            found.append((slack, sum(filling.values()), filling))
-            full += not slack
-
-    def extend(k: int, room: int, filling: dict[int, int]) -> None:
-        nonlocal steps
-        steps += 1
-        while k < len(lengths) and lengths[k] > room:
-            k += 1
-        if k == len(lengths):
-            if room <= waste:
-                keep(filling, room)
+    filling: list[tuple[int, int]] = []
+
+    def extend(k: int, rest: int, pieces: int) -> Iterator[None]:
+        """Walks all ways to make ``rest``; of exactly so many ``pieces``, or of any number if that is 0."""
+        if not rest:
+            yield
             return
-        if counts.get(room, 0) and room == lengths[k]:
-            keep(filling | {room: 1}, 0)
         for j in range(k, len(lengths)):
-            if full >= limit or steps > 50 * limit or room - suffix[j] > waste:
+            if not sums[j][pieces] >> rest & 1:
                 return
             x = lengths[j]
-            for n in range(min(room // x, counts[x]), 0, -1):
-                if n * x < room or n > 1:
-                    extend(j + 1, room - n * x, filling | {x: n})
-
-    extend(0, room, {})
-    found.sort(key=lambda f: f[:2])
-    return [f for _, _, f in found[:limit]]
-
-
-def plan(counts: dict[int, int], capacity: int, max_nodes: int = 1500, branch: int = 4) -> Plan:
+            for n in range(min(rest // x, counts[x], pieces or room), 0, -1):
+                ends = n * x == rest and pieces in (0, n)
+                if ends or (n < pieces or not pieces) and n * x < rest and sums[j + 1][pieces and pieces - n] >> rest - n * x & 1:
+                    filling.append((x, n))
+                    yield from extend(j + 1, rest - n * x, pieces and pieces - n)
+                    filling.pop()
+
+    for slack in range(min(waste, room) + 1):
+        rest = room - slack
+        for pieces in (*range(1, _FEW + 1), 0) if rest else (0,):
+            if sums[0][pieces] >> rest & 1:
+                for _ in extend(0, rest, pieces):
+                    again = not pieces and 0 < sum(n for _, n in filling) <= _FEW
+                    yield slack, None if again or _dominated(filling, slack, counts, available) else dict(filling)
+
+
+def plan(counts: dict[int, int], capacity: int, max_nodes: int = 1500, max_fillings: int = 50_000) -> Plan:
     """Best plan found for the histogram ``counts`` (length -> number of pieces, 1 <= length <= capacity)."""
     counts = {x: n for x, n in counts.items() if n}
     bound, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
     best = best_fit_decreasing(counts, capacity)
     fewest = sum(n for _, n in best)
-    nodes = 0
+    nodes = looked = 0
 
-    def search(left: dict[int, int], done: list[Pattern], used: int, wasted: int) -> None:
+    def children(left: dict[int, int], used: int, wasted: int) -> Iterator[tuple[dict[int, int], Pattern, int]]:
+        """What remains, the pattern used and its waste, for every branch of a node. Counts what it looks at."""
+        nonlocal looked
+        largest = max(left)
+        others = {x: n - (x == largest) for x, n in left.items()}
+        for slack, filling in completions(others, capacity - largest, (fewest - 1) * capacity - total - wasted):
+            looked += 1
+            if wasted + slack > (fewest - 1) * capacity - total:
+                return  # the incumbent has improved since; what follows leaves as much or more
+            if filling is not None:
+                need = filling | {largest: filling.get(largest, 0) + 1}
+                most = min(left[x] // n for x, n in need.items())
+                spare = (fewest - 1) * capacity - total - wasted
+                for times in sorted({min(most, spare // slack) if slack else most, 1}, reverse=True):
+                    after = {x: m for x, n in left.items() if (m := n - times * need.get(x, 0))}
+                    yield after, (tuple(sorted(need.items(), reverse=True)), times), slack * times
+            if looked >= max_fillings:
+                return
+
+    open_nodes: list[tuple[Iterator, int, int]] = []  # branches left, sequences used, waste so far
+    done: list[Pattern] = []
+
+    def enter(left: dict[int, int], used: int, wasted: int) -> bool:
+        """Looks at a node; true if its branches are worth following."""
         nonlocal best, fewest, nodes
         nodes += 1
         if not left or nodes % 64 == 1:
             rest = best_fit_decreasing(left, capacity)
             if used + sum(n for _, n in rest) < fewest:
                 best, fewest = done + rest, used + sum(n for _, n in rest)
-        if not left or fewest <= bound or nodes >= max_nodes or used + lower_bound(left, capacity) >= fewest:
-            return
-        largest = max(left)
-        others = {x: n - (x == largest) for x, n in left.items()}
-        spare = (fewest - 1) * capacity - total - wasted
-        for filling in completions(others, capacity - largest, max(0, spare), branch):
-            need = filling | {largest: filling.get(largest, 0) + 1}
-            times = min(left[x] // n for x, n in need.items())
-            waste = (capacity - sum(x * n for x, n in need.items())) * times
-            if wasted + waste > (fewest - 1) * capacity - total:
-                times = 1
-                waste = capacity - sum(x * n for x, n in need.items())
-                if wasted + waste > (fewest - 1) * capacity - total:
-                    continue
-            after = {x: m for x, n in left.items() if (m := n - times * need.get(x, 0))}
-            search(after, [*done, (tuple(sorted(need.items(), reverse=True)), times)], used + times, wasted + waste)
-            if fewest <= bound or nodes >= max_nodes:
-                return
+        if not left or used + lower_bound(left, capacity) >= fewest:
+            return False
+        open_nodes.append((children(left, used, wasted), used, wasted))
+        return True
 
     if fewest > bound:
-        import sys
-
-        before = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(before, 4 * min(max_nodes, fewest) + 1000))
-        search(counts, [], 0, 0)
-        sys.setrecursionlimit(before)
-    return Plan(best, fewest, bound)
+        enter(counts, 0, 0)
+    while open_nodes and fewest > bound and nodes < max_nodes and looked < max_fillings:
+        branches, used, wasted = open_nodes[-1]
+        child = next(branches, None)
+        if child is None:
+            open_nodes.pop()
+            del done[len(open_nodes) - 1 if open_nodes else 0 :]
+            continue
+        after, pattern, waste = child
+        del done[len(open_nodes) - 1 :]
+        done.append(pattern)
+        enter(after, used + pattern[1], wasted + waste)
+    return Plan(best, fewest, bound, nodes, looked, fewest <= bound or not open_nodes and looked < max_fillings)

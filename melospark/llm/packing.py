@@ -130,5 +130,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = 1500) ->
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Encodes and packs whole documents: a row per piece with its sequence and offset."""
-    return pack(stage(token_pieces(docs, vocabulary, capacity), "pieces"), capacity)[0]
+    """Encodes and packs whole documents: a row per piece with its sequence and offset, and the least number of
+    sequences that any plan could have (``least_sequences``, a bound)."""
+    packed, planned = pack(stage(token_pieces(docs, vocabulary, capacity), "pieces"), capacity)
+    return packed.withColumn("least_sequences", F.lit(planned.lower_bound).cast("long"))

@@ -1,6 +1,7 @@
 """BPE, packing, token counts and the pipeline against the tokenizers library and plain versions."""
 
 import hashlib
+import itertools
 import json
 import random
 import zlib
@@ -80,7 +81,7 @@ def test_plans_are_optimal_on_small_input():
         counts = {x: lengths.count(x) for x in set(lengths)}
         planned = bin_completion.plan(counts, capacity)
         check_plan(counts, capacity, planned)
-        assert planned.sequences == fewest_bins(lengths, capacity)
+        assert planned.sequences == fewest_bins(lengths, capacity) and planned.optimal
 
 
 def test_search_beats_best_fit():
@@ -97,6 +98,41 @@ def test_search_beats_best_fit():
     assert bin_completion.plan({}, 1024).sequences == 0
 
 
+def test_completions_are_all_undominated_fillings():
+    rng = random.Random(10)
+    for _ in range(200):
+        counts = {x: rng.randint(1, 4) for x in rng.sample(range(1, 30), rng.randint(1, 6))}
+        room, waste = rng.randint(1, 40), rng.randint(0, 6)
+        got = list(bin_completion.completions(counts, room, waste))
+        assert [s for s, _ in got] == sorted(s for s, _ in got)
+        kept = [tuple(sorted(f.items())) for _, f in got if f is not None]
+        fillings = [{}]
+        for x, n in counts.items():
+            fillings = [f | {x: k} if k else f for f in fillings for k in range(n + 1)]
+        expected = set()
+        for f in fillings:
+            slack = room - sum(x * n for x, n in f.items())
+            if not 0 <= slack <= waste:
+                continue
+            pieces = [x for x, n in f.items() for _ in range(n)]
+            left = [x for x, n in counts.items() if n > f.get(x, 0)]
+            parts = [c for k in range(1, len(pieces) + 1) for c in itertools.combinations(pieces, k)]
+            if not any(sum(c) <= y <= sum(c) + slack and (len(c) > 1 or y > c[0]) for c in parts for y in left):
+                expected.add(tuple(sorted(f.items())))
+        assert len(kept) == len(set(kept)) and set(kept) == expected, (counts, room, waste)
+
+
+def test_large_histograms_meet_the_bound():
+    rng = random.Random(2)
+    counts = {}
+    for _ in range(30_000):
+        x = min(1024, max(1, int(rng.gauss(330, 90))) if rng.random() < 0.8 else rng.randint(1, 1024))
+        counts[x] = counts.get(x, 0) + 1
+    planned = bin_completion.plan(counts, 1024)
+    check_plan(counts, 1024, planned)
+    assert planned.sequences <= planned.lower_bound + 2
+
+
 def check_packed(rows, got, library, capacity):
     """Pieces are those of the documents, sequences are gapless and none is too long."""
     expected = []
