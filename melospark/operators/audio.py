@@ -8,7 +8,7 @@ needs no shuffle and no recording is ever one row.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOP = 512
+#: Windows that chunks are cut for; any shorter one fits too.
+LONGEST_WINDOW = 8192
 _EPS = 1e-12
 #: Samples transformed at once: bounds the memory of a batch of windows to some 20 MB, near the size of a core's cache.
 _BLOCK_SAMPLES = 1 << 18
@@ -160,44 +162,57 @@ def live_pitch_of(sample_rate: int):
 
     @F.pandas_udf("double")
     def run(frames: pd.Series) -> pd.Series:
-        def one(samples) -> float:
-            x = np.asarray(samples, dtype=np.float64)
-            n = len(x)
-            if n == 0 or np.sqrt(np.mean(x * x)) < 0.008:
-                return 0.0
-            best, score = -1, 0.0
-            for lag in range(int(sample_rate // 600), min(int(sample_rate // 70), n - 1)):
-                a, b = x[: n - lag : 2], x[lag::2][: (n - lag + 1) // 2]
-                s = float(a @ b) / (np.sqrt(float(a @ a) * float(b @ b)) + 1e-9)
-                if s > score:
-                    best, score = lag, s
-            return sample_rate / best if best > 0 and score >= 0.5 else 0.0
-
-        return frames.map(one)
+        out, sizes = np.zeros(len(frames)), frames.map(len).to_numpy()
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            for k in range(0, len(at), max(1, _BLOCK_SAMPLES // n)):
+                part = at[k : k + max(1, _BLOCK_SAMPLES // n)]
+                block = np.stack([np.asarray(frames.iat[i], dtype=np.float64) for i in part])
+                loud = np.sqrt(np.mean(block * block, axis=1)) >= 0.008
+                out[part[loud]] = coarse_pitch(block[loud], sample_rate)
+        return pd.Series(out)
 
     return run
 
 
+def coarse_pitch(frames: np.ndarray, sample_rate: int) -> np.ndarray:
+    """Hz of each row by its best lag, all rows at once for each lag; 0 where the correlation stays under one half."""
+    n = frames.shape[1]
+    best, score = np.zeros(len(frames)), np.zeros(len(frames))
+    for lag in range(int(sample_rate // 600), min(int(sample_rate // 70), n - 1)):
+        a, b = frames[:, : n - lag : 2], frames[:, lag::2][:, : (n - lag + 1) // 2]
+        cross, left, right = (np.einsum("ij,ij->i", x, y) for x, y in ((a, b), (a, a), (b, b)))
+        found = cross / (np.sqrt(left * right) + 1e-9)
+        better = found > score
+        best[better], score[better] = lag, found[better]
+    ok = (best > 0) & (score >= 0.5)
+    return np.where(ok, sample_rate / np.maximum(best, 1), 0.0)
+
+
 def chunk_signal(take_id, samples: np.ndarray, options: PitchOptions, hops: int = 256) -> Iterator[tuple]:
     """Chunks of one signal: (take_id, chunk_idx, start_sample, n_core, samples). A window belongs to the chunk
-    that holds its first sample; the halo is what the last of them needs beyond the core."""
-    core = hops * options.hop
+    that holds its first sample; the halo is what the last of them needs beyond the core, for any window up to the
+    longest."""
+    core, window = hops * options.hop, max(options.window, LONGEST_WINDOW)
     for k, start in enumerate(range(0, max(1, len(samples)), core)):
         stop = min(len(samples), start + core)
-        yield take_id, k, start, stop - start, samples[start : stop + options.window - options.hop].astype(np.float32)
+        yield take_id, k, start, stop - start, samples[start : stop + window - options.hop].astype(np.float32)
 
 
 def pitch_track(chunks: DataFrame, options: PitchOptions = PitchOptions()) -> DataFrame:
-    """Pitch frames of chunked recordings: take_id, frame_idx, time, hz, clarity, rms. Map-only."""
+    """Pitch frames of chunked recordings: take_id, frame_idx, time, hz, clarity, rms. Map-only.
+
+    Columns window, min_hz and max_hz of ``chunks``, where there are such, stand for those of ``options``.
+    """
     fields = asdict(options)
     kind = chunks.schema["take_id"].dataType.simpleString()
+    given = [c for c in ("window", "min_hz", "max_hz") if c in chunks.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = PitchOptions(**fields)
-        step = max(1, _BLOCK_SAMPLES // own.window)
+        common = PitchOptions(**fields)
 
-        def estimated(held: list[tuple]) -> pd.DataFrame:
-            """Windows of one or many chunks, estimated together."""
+        def estimated(own: PitchOptions, held: list[tuple]) -> pd.DataFrame:
+            """Windows of one or many chunks that are searched alike, estimated together."""
             hz, clarity, rms = estimate_pitch(np.concatenate([w for _, _, w in held]), own)
             index = np.concatenate([i for _, i, _ in held])
             take = np.repeat([t for t, _, _ in held], [len(i) for _, i, _ in held])
@@ -205,23 +220,27 @@ def pitch_track(chunks: DataFrame, options: PitchOptions = PitchOptions()) -> Da
             return pd.DataFrame({"take_id": take, "frame_idx": index, "time": time, "hz": hz, "clarity": clarity, "rms": rms})
 
         for pdf in batches:
-            held, rows = [], 0
-            for take_id, start, core, samples in zip(pdf["take_id"], pdf["start_sample"], pdf["n_core"], pdf["samples"], strict=True):
-                x = np.asarray(samples, dtype=np.float64)
-                usable = min(core, len(x) - own.window + 1)  # first samples of whole windows
-                if usable <= 0:
-                    continue
-                windows = np.lib.stride_tricks.sliding_window_view(x, own.window)[: usable : own.hop]
-                for k in range(0, len(windows), step):
-                    part = windows[k : k + step]
-                    held.append((take_id, start // own.hop + k + np.arange(len(part)), part))
-                    rows += len(part)
-                    if rows >= step:
-                        yield estimated(held)
-                        held, rows = [], 0
-            if held:
-                yield estimated(held)
-
-    return chunks.select("take_id", "start_sample", "n_core", "samples").mapInPandas(
+            alike = pdf.groupby(given, sort=False) if given else [((), pdf)]
+            for values, rows in alike:
+                own = replace(common, **dict(zip(given, (v.item() for v in values), strict=True)))
+                step = max(1, _BLOCK_SAMPLES // own.window)
+                held, count = [], 0
+                for take_id, start, core, samples in zip(rows["take_id"], rows["start_sample"], rows["n_core"], rows["samples"], strict=True):
+                    x = np.asarray(samples, dtype=np.float64)
+                    usable = min(core, len(x) - own.window + 1)  # first samples of whole windows
+                    if usable <= 0:
+                        continue
+                    windows = np.lib.stride_tricks.sliding_window_view(x, own.window)[: usable : own.hop]
+                    for k in range(0, len(windows), step):
+                        part = windows[k : k + step]
+                        held.append((take_id, start // own.hop + k + np.arange(len(part)), part))
+                        count += len(part)
+                        if count >= step:
+                            yield estimated(own, held)
+                            held, count = [], 0
+                if held:
+                    yield estimated(own, held)
+
+    return chunks.select("take_id", "start_sample", "n_core", "samples", *given).mapInPandas(
         run, f"take_id {kind}, frame_idx long, time double, hz double, clarity double, rms double"
     )

@@ -19,34 +19,70 @@ def match_candidates(expected: DataFrame, detected: DataFrame, slack_s: float =
     binned = expected.withColumn("bin", F.explode(F.sequence(F.floor(low / BIN_S), F.floor(high / BIN_S))))
     own = detected.select("take_id", "rn", "start_s", F.col("midi").alias("got"), F.floor(F.col("start_s") / BIN_S).alias("bin"))
     inside = (F.col("start_s") >= low) & (F.col("start_s") < high)
-    return binned.join(own, ["take_id", "bin"]).where(inside).select("take_id", "idx", "rn", F.abs(F.col("got") - F.col("midi")).alias("error"))
+    kept = [c for c in ("take_id", "contest", "idx") if c in expected.columns]
+    return binned.join(own, ["take_id", "bin"]).where(inside).select(*kept, "rn", F.abs(F.col("got") - F.col("midi")).alias("error"))
 
 
-def match_expected_notes(expected: DataFrame, detected: DataFrame) -> DataFrame:
-    """Each expected note, in order, claims the nearest free candidate: take_id, idx, rn, outcome (correct under
-    half a semitone, wrong, missing)."""
-    found = match_candidates(expected, detected)
+def with_contest(expected: DataFrame, slack_s: float = 0.02) -> DataFrame:
+    """Numbers the islands of expected notes whose times overlap: only within one can two notes want the same one."""
+    order = Window.partitionBy("take_id").orderBy("onset", "idx")
+    reach = F.max(F.col("onset") + F.col("length") + slack_s).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("onset") - slack_s > reach).cast("int"), F.lit(0))
+    return expected.withColumn("opens", opens).withColumn("contest", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+
 
-    def claim(idx, error, rn):
-        taken, out = set(), {}
+class ClaimWalk:
+    """Candidates of one contest, by expected note and error: each note takes its first that is free."""
+
+    def __init__(self):
+        self.taken: set[int] = set()
+        self.settled = None  # the note that has claimed last
+
+    def feed(self, idx, error, rn):
+        out = []
         for i, e, r in zip(idx.astype(int).tolist(), error.tolist(), rn.astype(int).tolist(), strict=True):
-            if i not in out and r not in taken:
-                taken.add(r)
-                out[i] = (i, r, "correct" if e < 0.5 else "wrong")
-        return list(out.values())
+            if i != self.settled and r not in self.taken:
+                self.taken.add(r)
+                self.settled = i
+                out.append((i, r, "correct" if e < 0.5 else "wrong"))
+        return out
+
+    def finish(self):
+        return []
+
 
+def match_expected_notes(expected: DataFrame, detected: DataFrame) -> DataFrame:
+    """Each expected note, in order, claims the nearest free candidate: take_id, idx, rn, outcome (correct under
+    half a semitone, wrong, missing)."""
+    found = match_candidates(with_contest(expected), detected)
     order = ["idx", "error", "rn"]
-    claimed = ordered_walk(found, ["take_id"], order, order, claim, ["idx", "rn", "outcome"], "take_id long, idx long, rn long, outcome string")
+    claimed = ordered_walk(found, ["take_id", "contest"], order, order, ClaimWalk, ["idx", "rn", "outcome"], "idx long, rn long, outcome string").drop("contest")
     joined = expected.select("take_id", "idx").join(claimed, ["take_id", "idx"], "left")
     return joined.withColumn("outcome", F.coalesce("outcome", F.lit("missing")))
 
 
-def frames_at_time(frames: DataFrame, asked: DataFrame, hop_s: float, first_s: float) -> DataFrame:
-    """Pitch at given times (take_id, t): the last frame whose centre is not after t, found by its number, so
-    it is a plain equi-join. Rows without such a frame get nulls."""
-    index = F.floor((F.col("t") - first_s) / hop_s + 1e-9)
-    wanted = asked.withColumn("frame_idx", index)
-    return wanted.join(frames.select("take_id", "frame_idx", "time", "hz", "clarity"), ["take_id", "frame_idx"], "left")
+def frames_at_time(frames: DataFrame, asked: DataFrame, bucket_s: float = 10.0) -> DataFrame:
+    """Pitch at given times (take_id, t): the last frame of the take whose centre is not after t, across gaps and
+    beyond the last frame; times before the first frame get nulls. Rows of asked come back with frame_idx, time, hz
+    and clarity.
+
+    As-of by a union: frames and questions are laid in order of time and the last frame before each question is
+    carried to it. A take is cut into buckets of time, so a long one is spread; what a bucket starts with, the last
+    frame of the buckets before, is found on one row a bucket.
+    """
+    value = F.struct("frame_idx", "time", "hz", "clarity")
+    marks = frames.select("take_id", F.col("time").alias("at"), F.lit(0).alias("asks"), value.alias("frame"))
+    extra = [c for c in asked.columns if c not in ("take_id", "t")]
+    questions = asked.select("take_id", F.col("t").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast(marks.schema["frame"].dataType).alias("frame"), F.struct("t", *extra).alias("row"))
+    marks = marks.withColumn("row", F.lit(None).cast(questions.schema["row"].dataType))
+    laid = marks.unionByName(questions).withColumn("bucket", F.floor(F.col("at") / bucket_s))
+    heads = laid.groupBy("take_id", "bucket").agg(F.max_by("frame", F.when(F.col("asks") == 0, F.struct("at", "frame.frame_idx"))).alias("newest"))
+    earlier = Window.partitionBy("take_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("take_id", "bucket", F.last("newest", ignorenulls=True).over(earlier).alias("carried"))
+    within = Window.partitionBy("take_id", "bucket").orderBy("at", "asks", "frame.frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    answered = laid.withColumn("found", F.last("frame", ignorenulls=True).over(within)).where("asks = 1").join(heads, ["take_id", "bucket"], "left")
+    found = F.coalesce("found", "carried")
+    return answered.select("take_id", "row.*", found.alias("f")).select("take_id", "t", *extra, *(F.col(f"f.{c}").alias(c) for c in ("frame_idx", "time", "hz", "clarity")))
 
 
 def compare_by_position(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -72,5 +108,3 @@ def longest_note(notes: DataFrame) -> DataFrame:
     order = Window.partitionBy("take_id").orderBy(F.desc(F.round(F.col("end_s") - F.col("start_s"), 9)), "rn")
     ranked = notes.withColumn("nth", F.row_number().over(order)).where("nth = 1")
     return ranked.select("take_id", "midi", (F.col("end_s") - F.col("start_s")).alias("length"))
-
-

@@ -18,15 +18,20 @@ ISSUES = {
 }
 
 
+def recency(columns: list[str]) -> Column:
+    """What ratings are ordered by: at_seq, then their other fields by name, so that equal at_seq are ordered too."""
+    return F.struct("at_seq", *sorted(c for c in columns if c not in ("at_seq", "user_id")))
+
+
 def latest_ratings(submissions: DataFrame) -> DataFrame:
-    """The last submission of each user and take (by at_seq)."""
-    newest = Window.partitionBy("user_id", "take_id").orderBy(F.desc("at_seq"))
+    """The last submission of each user and take (by at_seq; of equal ones that whose fields sort last)."""
+    newest = Window.partitionBy("user_id", "take_id").orderBy(F.desc(recency(submissions.columns)))
     return submissions.withColumn("nth", F.row_number().over(newest)).where("nth = 1").drop("nth")
 
 
 def recent_feedback(ratings: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
     """The newest ``most`` ratings of each user."""
-    newest = Window.partitionBy("user_id").orderBy(F.desc("at_seq"))
+    newest = Window.partitionBy("user_id").orderBy(F.desc(recency(ratings.columns)))
     return ratings.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= most).drop("nth")
 
 
@@ -38,6 +43,7 @@ def feedback_upsert(submissions: DataFrame, most: int = MOST_RECORDS) -> DataFra
 
 def merge_feedback(history: DataFrame, new: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
     """Adds new ratings to a stored history."""
+    new = new.select(*history.columns)
     kept = history.join(new.select("user_id", "take_id").distinct(), ["user_id", "take_id"], "left_anti")
     return recent_feedback(kept.unionByName(latest_ratings(new)), most)
 

@@ -148,24 +148,39 @@ def resolve_overlaps(quantized: DataFrame) -> DataFrame:
     )
 
 
-def resolve_overlaps_general(quantized: DataFrame) -> DataFrame:
-    """Overlaps with any confidences: a louder note is kept beside the one it interrupts, whose length becomes
-    what is left of it past the louder note's start. An ordered walk over each take's notes."""
+class OverlapWalk:
+    """Notes of one take in order; the one last kept stays open, since later notes may shorten or extend it."""
 
-    def walk(start, rn, duration, midi, confidence):
-        kept: list[list] = []
+    def __init__(self):
+        self.open, self.count = None, -1
+
+    def feed(self, start, duration, midi, confidence):
+        out = []
         for a, n, m, c in zip(start.astype(int).tolist(), duration.astype(int).tolist(), midi.tolist(), confidence.tolist(), strict=True):
-            end = kept[-1][0] + kept[-1][1] if kept else a
-            if a >= end:
-                kept.append([a, n, m, c])
-            elif c > kept[-1][3]:
-                kept[-1][1] = max(1, end - a)
-                kept.append([a, n, m, c])
+            if self.open is None:
+                self.open = [a, n, m, c]
+                continue
+            left = sum(self.open[:2]) - a  # of the open note, past this one's start
+            if left <= 0 or c > self.open[3]:
+                if left > 0:
+                    self.open[1] = max(1, left)
+                out += self.finish()
+                self.open = [a, n, m, c]
             else:
-                kept[-1][1] = max(kept[-1][1], a + n - kept[-1][0])
-        return [(k, *note) for k, note in enumerate(kept)]
+                self.open[1] += max(0, n - left)
+        return out
+
+    def finish(self):
+        if self.open is None:
+            return []
+        self.count += 1
+        done, self.open = (self.count, *self.open), None
+        return [done]
 
-    columns = ["start_step", "rn", "duration_steps", "midi", "confidence"]
-    schema = "take_id long, q_idx long, start_step long, duration_steps long, midi double, confidence double"
-    names = ["q_idx", "start_step", "duration_steps", "midi", "confidence"]
-    return ordered_walk(quantized, ["take_id"], ["start_step", "rn"], columns, walk, names, schema)
+
+def resolve_overlaps_general(quantized: DataFrame) -> DataFrame:
+    """Overlaps with any confidences: a louder note is kept beside the one it interrupts, whose length becomes
+    what is left of it past the louder note's start. An ordered walk over each take's notes."""
+    columns = ["start_step", "duration_steps", "midi", "confidence"]
+    schema = "q_idx long, start_step long, duration_steps long, midi double, confidence double"
+    return ordered_walk(quantized, ["take_id"], ["start_step", "rn"], columns, OverlapWalk, ["q_idx", *columns], schema)

@@ -1,39 +1,68 @@
-"""Ordered walks: state that restarts where the data decide, over one group's rows in order."""
+"""Ordered walks: state that restarts where the data decide, over each group's rows in order."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+
+class Walk(Protocol):
+    """One group's walk. Rows come in order, in one or several parts; what is certain is put out at once."""
+
+    def feed(self, *columns: np.ndarray) -> list[tuple]: ...
+
+    def finish(self) -> list[tuple]: ...
 
 
 def ordered_walk(
-    df: DataFrame, keys: list[str], order: list[str], columns: list[str], walk: Callable[..., list[tuple]], names: list[str], schema: str
+    df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Walk], names: list[str], schema: str
 ) -> DataFrame:
-    """Calls ``walk(*arrays)`` with each group's ``columns`` as numpy arrays, rows sorted by ``order``; it returns
-    rows of ``names``. The result has the keys and these, as in ``schema``.
+    """Runs a ``Walk`` over every group's ``columns`` (as doubles), rows sorted by ``order``. The result has the keys
+    and ``names``, whose types are in ``schema``.
 
-    Groups are gathered by an aggregate and walked batch by batch, which spares the cost of a grouped map per
-    group; like there, a group is in memory as a whole, so keys are islands or runs wherever they can be.
+    Rows are dealt by the keys and sorted by Spark, which spills; a task passes through its batches and holds the
+    state of one walk. So a group may be of any size, and keys are islands or runs where these spread a long take.
     """
     sort = [c for c in order if c not in columns]
-    held = F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order))))
-    grouped = df.select(*keys, *sort, *columns).groupBy(*keys).agg(held.alias("held"))
-    arrays = grouped.select(*keys, *(F.col(f"held.{c}").alias(f"a{k}") for k, c in enumerate(columns)))
+    laid = df.select(*keys, *sort, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple | None = None
+        walk: Walk | None = None
+        out: list[tuple] = []
+
+        def made() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=[*keys, *names])
+            out.clear()
+            return frame
+
         for pdf in batches:
-            row, out = [], []
-            for k, parts in enumerate(zip(*(pdf[f"a{j}"] for j in range(len(columns))), strict=True)):
-                found = walk(*(np.asarray(p, dtype=float) for p in parts))
-                row += [k] * len(found)
-                out += found
-            made = pd.DataFrame(out, columns=names)
-            for j, key in enumerate(keys):
-                made.insert(j, key, pdf[key].to_numpy()[row])
-            yield made
-
-    return arrays.mapInPandas(run, schema)
+            if not len(pdf):
+                continue
+            new = np.zeros(len(pdf), dtype=bool)
+            for k in keys:
+                before = pdf[k].shift()
+                new |= (pdf[k].ne(before) & ~(pdf[k].isna() & before.isna())).to_numpy()
+            new[0] = True
+            starts = np.flatnonzero(new)
+            key_rows = list(pdf[keys].iloc[starts].itertuples(index=False, name=None))
+            arrays = [pdf[c].to_numpy(dtype=float) for c in columns]
+            for key, a, b in zip(key_rows, starts, [*starts[1:], len(pdf)], strict=True):
+                key = tuple(None if pd.isna(x) else x for x in key)
+                if walk is None or key != held:
+                    if walk is not None:
+                        out.extend((*held, *row) for row in walk.finish())
+                    held, walk = key, start()
+                out.extend((*key, *row) for row in walk.feed(*(x[a:b] for x in arrays)))
+            if out:
+                yield made()
+        if walk is not None:
+            out.extend((*held, *row) for row in walk.finish())
+            yield made()
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return laid.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), schema]))

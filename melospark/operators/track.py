@@ -1,14 +1,16 @@
 """Pitch track to notes: smoothing and segmentation.
 
 What windows can express is built-in. Octave repair, note splitting, merging and boundary snapping carry state that
-restarts at places the data decide; each is a small ordered walk over one island, run or take. ``track_to_notes``
-fuses them in one walk by take behind the single shuffle by take.
+restarts at places the data decide; each is an ordered walk that passes through its rows and holds little: over one
+island, run or stretch for frames, over one take for notes. ``track_to_notes`` repairs octaves and splits notes in
+one walk by stretches, so a long take is spread over as many groups as it has silences.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import math
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,30 +92,67 @@ def moving_clarity(track: DataFrame, radius: int = 2) -> DataFrame:
     return track.withColumn("moving_clarity", F.avg("clarity").over(_by_frame().rowsBetween(-radius, radius)))
 
 
-def octave_walk(hz: np.ndarray, clarity: np.ndarray, options: SmoothOptions) -> np.ndarray:
-    """Folds a lasting jump by one or two octaves back onto the pitch before it, within one pitched island."""
-    midi = 69 + 12 * np.log2(hz / 440)
-    k = 1
-    while k < len(midi):
-        jump = midi[k] - midi[k - 1]
-        if abs(jump) <= options.octave_tolerance:
-            k += 1
-            continue
-        end = k
-        while end < len(midi) and abs(midi[end] - midi[k]) <= options.octave_tolerance:
-            end += 1
-        unclear = clarity[k] < clarity[k - 1] * 0.9  # false where either is missing
-        if end - k < options.persistence or unclear:
+class OctaveWalk:
+    """Folds a lasting jump by one or two octaves back onto the pitch before it, within one pitched island.
+
+    A frame that leaves the pitch before it (as repaired) by more than the tolerance is held back until
+    ``persistence`` frames show whether the new pitch lasts; if it does, all frames near it follow in one fold.
+    """
+
+    FOLDS = (12, -12, 24, -24)
+
+    def __init__(self, options: SmoothOptions):
+        self.options = options
+        self.waiting: list[tuple[tuple, float, float]] = []  # (what to put out with it, midi, clarity)
+        self.last = self.last_clarity = self.anchor = None
+        self.fold = 0
+
+    def feed(self, rows: list[tuple], hz: np.ndarray, clarity: np.ndarray) -> list[tuple[tuple, float]]:
+        self.waiting += zip(rows, (69 + 12 * np.log2(hz / 440)).tolist(), clarity.tolist(), strict=True)
+        return self._settle(final=False)
+
+    def finish(self) -> list[tuple[tuple, float]]:
+        return self._settle(final=True)
+
+    def _settle(self, final: bool) -> list[tuple[tuple, float]]:
+        near, need, waiting = self.options.octave_tolerance, self.options.persistence, self.waiting
+        out, k = [], 0
+        while k < len(waiting):
+            row, midi, clarity = waiting[k]
+            if self.anchor is None or abs(midi - self.anchor) > near:
+                self.anchor, self.fold = None, 0
+                if self.last is not None and abs(midi - self.last) > near:
+                    ahead = waiting[k : k + need]
+                    if len(ahead) < need and not final:
+                        break
+                    clear = not clarity < self.last_clarity * 0.9  # also where either is missing
+                    if clear and len(ahead) >= need and all(abs(m - midi) <= near for _, m, _ in ahead):
+                        self.anchor = midi
+                        self.fold = next((f for f in self.FOLDS if abs(midi - self.last - f) <= near), 0)
+            self.last, self.last_clarity = midi - self.fold, clarity
+            out.append((row, self.last))
             k += 1
-            continue
-        for shift in (12, -12, 24, -24):
-            if abs(jump - shift) <= options.octave_tolerance:
-                midi[k:end] -= shift
-                break
-        k = end
+        del waiting[:k]
+        return out
+
+
+def hz_of(midi: float) -> float:
     return 440 * 2 ** ((midi - 69) / 12)
 
 
+class _IslandWalk:
+    """Octave repair alone: (frame_idx, hz) of an island."""
+
+    def __init__(self, options: SmoothOptions):
+        self.walk = OctaveWalk(options)
+
+    def feed(self, index, hz, clarity):
+        return [(k, hz_of(m)) for k, m in self.walk.feed(index.astype(int).tolist(), hz, clarity)]
+
+    def finish(self):
+        return [(k, hz_of(m)) for k, m in self.walk.finish()]
+
+
 def with_island(track: DataFrame) -> DataFrame:
     """Numbers the runs of pitched frames of a take; null between them."""
     breaks = F.sum(F.when(F.col("hz") > 0, 0).otherwise(1)).over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))
@@ -125,13 +164,7 @@ def octave_repair(track: DataFrame, options: SmoothOptions = SmoothOptions()) ->
     numbered = with_island(track)
     pitched = numbered.where(F.col("island").isNotNull())
     repaired = ordered_walk(
-        pitched,
-        ["take_id", "island"],
-        ["frame_idx"],
-        ["frame_idx", "hz", "clarity"],
-        lambda index, hz, clarity: list(zip(index.astype(int), octave_walk(hz, clarity, options), strict=True)),
-        ["frame_idx", "hz"],
-        "take_id long, island long, frame_idx long, hz double",
+        pitched, ["take_id", "island"], ["frame_idx"], ["frame_idx", "hz", "clarity"], lambda: _IslandWalk(options), ["frame_idx", "hz"], "frame_idx long, hz double"
     ).drop("island")
     kept = numbered.drop("island").withColumnRenamed("hz", "own_hz")
     joined = kept.join(repaired, ["take_id", "frame_idx"], "left").withColumn("hz", F.coalesce("hz", "own_hz"))
@@ -150,133 +183,249 @@ def voiced_runs(track: DataFrame, options: SegmentOptions = SegmentOptions()) ->
     return opened.withColumn("run", F.sum("opens").over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
 
 
-def split_walk(time: np.ndarray, midi: np.ndarray, local: np.ndarray, options: SegmentOptions) -> list[tuple[float, float, float, float]]:
-    """Notes (start, end, midi, confidence) of one run: cut where the running median leaves the note's median.
+class RunningMedian:
+    """Upper median of the values so far: the least of the upper half."""
 
-    The value that triggers a cut is still in the closing note's median, and opens the next note too.
-    """
-    out, held, first = [], [], 0
+    def __init__(self):
+        self.low, self.high = [], []  # negated, so that both give their middle end
 
-    def close(stop: int) -> None:
-        span = max(1, stop - first)
-        out.append((time[first], time[stop - 1] + options.frame_duration, held[len(held) >> 1], min(1.0, len(held) / span)))
+    def add(self, value: float) -> None:
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -value))
+        if len(self.high) > len(self.low) + 1:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
 
-    for k, value in enumerate(midi):
-        bisect.insort(held, value)
-        if len(held) > options.median_radius and abs(local[k] - held[len(held) >> 1]) > options.split_semitones:
-            close(k)
-            held, first = [value], k
-    if held:
-        close(len(midi))
-    return out
+    def __len__(self) -> int:
+        return len(self.low) + len(self.high)
 
+    def value(self) -> float:
+        return self.high[0]
 
-def edge_median(values: np.ndarray, radius: int) -> np.ndarray:
-    """Upper median of each value's neighbourhood, cut off at the ends."""
-    n = len(values)
-    padded = np.concatenate([np.full(radius, np.inf), values, np.full(radius, np.inf)])
-    around = np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * radius + 1), axis=1)
-    k = np.arange(n)
-    size = np.minimum(n, k + radius + 1) - np.maximum(0, k - radius)
-    return around[k, size >> 1]
 
+class SplitWalk:
+    """Notes (start, end, midi, confidence) of one run: cut where the median around a frame leaves the note's median.
 
-_VALUES = ["start_s", "end_s", "midi", "confidence"]
-_NOTE = "take_id long, rn long, start_s double, end_s double, midi double, confidence double"
+    The value that triggers a cut is still in the closing note's median, and opens the next note too. A frame is judged
+    when the frames around it are known, so the walk lags behind by the radius.
+    """
 
+    def __init__(self, options: SegmentOptions):
+        self.options = options
+        self.around: deque[float] = deque(maxlen=2 * options.median_radius + 1)
+        self.times: deque[float] = deque()  # of frames not yet judged
+        self.ahead: deque[float] = deque()
+        self.note, self.size, self.begin, self.last = RunningMedian(), 0, 0.0, 0.0
+
+    def feed(self, times: list[float], midi: list[float]) -> list[tuple]:
+        out = []
+        for time, value in zip(times, midi, strict=True):
+            self.around.append(value)
+            self.ahead.append(value)
+            self.times.append(time)
+            if len(self.ahead) > self.options.median_radius:
+                out += self._judge()
+        return out
+
+    def finish(self) -> list[tuple]:
+        out = []
+        while self.ahead:
+            if len(self.around) > len(self.ahead) + self.options.median_radius:
+                self.around.popleft()
+            out += self._judge()
+        return out + self._close() if self.size else out
+
+    def _judge(self) -> list[tuple]:
+        """Takes the next frame into the note, or closes the note at it."""
+        time, value, out = self.times.popleft(), self.ahead.popleft(), []
+        self.note.add(value)
+        near = sorted(self.around)[len(self.around) >> 1]
+        if len(self.note) > self.options.median_radius and abs(near - self.note.value()) > self.options.split_semitones:
+            out = self._close()
+            self.note, self.size = RunningMedian(), 0
+            self.note.add(value)
+        if not self.size:
+            self.begin = time
+        self.size, self.last = self.size + 1, time
+        return out
+
+    def _close(self) -> list[tuple]:
+        return [(self.begin, self.last + self.options.frame_duration, self.note.value(), min(1.0, len(self.note) / max(1, self.size)))]
+
+
+class _RunWalk:
+    """Note splitting alone: the notes of a run."""
+
+    def __init__(self, options: SegmentOptions):
+        self.walk = SplitWalk(options)
+
+    def feed(self, time, hz):
+        return self.walk.feed(time.tolist(), (69 + 12 * np.log2(hz / 440)).tolist())
+
+    def finish(self):
+        return self.walk.finish()
 
-def split_notes(runs: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """Notes of every run; groups are runs. Columns as ``_NOTE`` with run."""
 
-    def walk(index, time, hz):
-        midi = 69 + 12 * np.log2(hz / 440)
-        return split_walk(time, midi, edge_median(midi, options.median_radius), options)
+_VALUES = ["start_s", "end_s", "midi", "confidence"]
+_NOTE = "start_s double, end_s double, midi double, confidence double"
+
 
-    schema = "take_id long, run long, start_s double, end_s double, midi double, confidence double"
-    return ordered_walk(runs, ["take_id", "run"], ["frame_idx"], ["frame_idx", "time", "hz"], walk, _VALUES, schema)
+def split_notes(runs: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
+    """Notes of every run; groups are runs."""
+    return ordered_walk(runs, ["take_id", "run"], ["frame_idx"], ["time", "hz"], lambda: _RunWalk(options), _VALUES, _NOTE)
 
 
 def drop_blips(notes: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
     return notes.where(F.col("end_s") - F.col("start_s") >= options.min_duration_s)
 
 
-def merge_walk(notes: list[list[float]], options: SegmentOptions) -> list[list[float]]:
-    """Welds a note to the one before (as merged so far) when pitch and time are close."""
-    out: list[list[float]] = []
-    for start, end, midi, confidence in notes:
-        if out and abs(midi - out[-1][2]) < options.merge_semitones and start - out[-1][1] < options.merge_gap_s:
-            out[-1][1:] = [end, (out[-1][2] + midi) / 2, max(out[-1][3], confidence)]
-        else:
-            out.append([start, end, midi, confidence])
-    return out
-
-
-def snap_walk(notes: list[list[float]], options: SegmentOptions) -> list[list[float]]:
-    """Pulls boundaries halfway to an even spacing where the take has one; rests stay."""
-    steps = [b[0] - a[0] for a, b in zip(notes, notes[1:], strict=False) if b[0] - a[0] > 0.01]
-    if len(notes) < 3 or len(steps) < 2:
-        return notes
-    middle = sorted(steps)[len(steps) >> 1]
-    stable = sorted(s for s in steps if abs(s - middle) / middle <= options.snap_limit)
-    if len(stable) < len(steps) / 2:
-        return notes
-    spacing = stable[len(stable) >> 1]
-    out = [list(n) for n in notes]
-    for a, b in zip(out, out[1:], strict=False):
-        if b[0] - a[1] <= spacing * options.rest_gap_factor:
-            b[0] += (a[0] + spacing - b[0]) * 0.5
-    for a, b in zip(out, out[1:], strict=False):
-        if b[0] - a[1] <= spacing * options.rest_gap_factor:
-            a[1] += (b[0] - a[1]) * 0.5
-    for k, n in enumerate(out):
-        n[1] = max(n[0], n[1])
-        if k and n[0] < out[k - 1][0]:
-            n[0] = out[k - 1][0] + 0.01
-    return out
-
-
-def _fold(notes: DataFrame, walk) -> DataFrame:
-    """An ordered walk over each take's notes (take_id, start_s, end_s, midi, confidence)."""
-
-    def run(start, end, midi, confidence):
-        found = walk(np.stack([start, end, midi, confidence], axis=1).tolist())
-        return [(k + 1, *note) for k, note in enumerate(found)]
-
-    order = ["start_s", "rn"] if "rn" in notes.columns else ["start_s"]
-    return ordered_walk(notes, ["take_id"], order, _VALUES, run, ["rn", *_VALUES], _NOTE)
+class MergeWalk:
+    """Welds a note to the one before (as merged so far) when pitch and time are close; numbers what remains."""
+
+    def __init__(self, options: SegmentOptions):
+        self.options, self.open, self.count = options, None, 0
+
+    def feed(self, start, end, midi, confidence):
+        out, o = [], self.options
+        for note in zip(start.tolist(), end.tolist(), midi.tolist(), confidence.tolist(), strict=True):
+            if self.open and abs(note[2] - self.open[2]) < o.merge_semitones and note[0] - self.open[1] < o.merge_gap_s:
+                self.open = (self.open[0], note[1], (self.open[2] + note[2]) / 2, max(self.open[3], note[3]))
+            else:
+                out += self.finish()
+                self.open = note
+        return out
+
+    def finish(self):
+        if self.open is None:
+            return []
+        self.count += 1
+        done, self.open = (self.count, *self.open), None
+        return [done]
+
+
+class SnapWalk:
+    """Pulls boundaries halfway to the take's spacing (not a number: none); rests stay.
+
+    Starts are a recurrence on the start before. An end follows the next start, so a note is put out when the next
+    one is known; a start that fell behind the one before is set just after it.
+    """
+
+    def __init__(self, options: SegmentOptions):
+        self.options, self.open, self.count, self.floor = options, None, 0, -math.inf
+
+    def feed(self, start, end, midi, confidence, spacing):
+        out = []
+        for a, b, m, c, gap in zip(start.tolist(), end.tolist(), midi.tolist(), confidence.tolist(), spacing.tolist(), strict=True):
+            if self.open and not math.isnan(gap):
+                reach = gap * self.options.rest_gap_factor
+                if a - self.open[1] <= reach:
+                    a += (self.open[0] + gap - a) * 0.5
+                if a - self.open[1] <= reach:
+                    self.open[1] += (a - self.open[1]) * 0.5
+            out += self.finish()
+            self.open = [a, b, m, c, gap]
+        return out
+
+    def finish(self):
+        if self.open is None:
+            return []
+        (a, b, m, c, gap), self.open = self.open, None
+        if not math.isnan(gap):
+            b = max(a, b)
+            a = self.floor + 0.01 if a < self.floor else a
+            self.floor = a
+        self.count += 1
+        return [(self.count, a, b, m, c)]
+
+
+def _by_start(notes: DataFrame) -> list[str]:
+    return ["start_s", "rn"] if "rn" in notes.columns else ["start_s"]
 
 
 def merge_adjacent(notes: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
-    return _fold(notes, lambda rows: merge_walk(rows, options))
+    """Notes of each take (take_id, start_s, end_s, midi, confidence) merged and numbered."""
+    return ordered_walk(notes, ["take_id"], _by_start(notes), _VALUES, lambda: MergeWalk(options), ["rn", *_VALUES], f"rn long, {_NOTE}")
+
+
+def with_spacing(notes: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
+    """Adds the even spacing of the take's onsets, null where it has none: the upper median of the steps near the
+    upper median of all. Medians are taken by rank, so no take is gathered; all windows share one shuffle by take."""
+    take, in_order = Window.partitionBy("take_id"), Window.partitionBy("take_id").orderBy(*_by_start(notes))
+    step = F.col("start_s") - F.lag("start_s").over(in_order)
+    timed = notes.withColumns({"step": step, "notes": F.count(F.lit(1)).over(take)})
+
+    def middle(df: DataFrame, counted: Column, name: str) -> DataFrame:
+        """The upper median of the steps that count, and how many these are."""
+        ranked = df.withColumn("counted", F.coalesce(counted, F.lit(False)))
+        ranked = ranked.withColumn("place", F.row_number().over(take.orderBy(F.desc("counted"), "step")))
+        ranked = ranked.withColumn(f"{name}_n", F.count_if("counted").over(take))
+        at = F.col("counted") & (F.col("place") == F.floor(F.col(f"{name}_n") / 2) + 1)
+        return ranked.withColumn(name, F.max(F.when(at, F.col("step"))).over(take))
+
+    found = middle(timed, F.col("step") > 0.01, "mid")
+    found = middle(found, (F.col("step") > 0.01) & (F.abs(F.col("step") - F.col("mid")) / F.col("mid") <= options.snap_limit), "even")
+    enough = (F.col("notes") >= 3) & (F.col("mid_n") >= 2) & (F.col("even_n") >= F.col("mid_n") / 2)
+    return found.select(*notes.columns, F.when(enough, F.col("even")).alias("spacing"))
 
 
 def snap_boundaries(notes: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
-    return _fold(notes, lambda rows: snap_walk(rows, options))
+    spaced = with_spacing(notes, options)
+    return ordered_walk(spaced, ["take_id"], _by_start(notes), [*_VALUES, "spacing"], lambda: SnapWalk(options), ["rn", *_VALUES], f"rn long, {_NOTE}")
 
 
 def segment_notes(track: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """Notes of a smoothed track, step by step (split by run, merged and snapped by take)."""
+    """Notes of a smoothed track, step by step."""
     kept = drop_blips(split_notes(voiced_runs(track, options), options), options)
-    return _fold(kept, lambda rows: snap_walk(merge_walk(rows, options), options))
+    return snap_boundaries(merge_adjacent(kept, options), options)
+
+
+class StretchWalk:
+    """Octave repair by islands and note splitting by runs, in one pass over a stretch of frames (``with_stretch``)."""
+
+    def __init__(self, smooth: SmoothOptions, segment: SegmentOptions):
+        self.smooth, self.segment = smooth, segment
+        self.octave, self.island = OctaveWalk(smooth), None
+        self.split, self.voiced_at = SplitWalk(segment), None
+
+    def feed(self, index, time, hz, clarity, voiced, island):
+        out, rows = [], list(zip(index.astype(int).tolist(), time.tolist(), voiced.tolist(), strict=True))
+        edges = [0, *(np.flatnonzero(np.diff(island)) + 1).tolist(), len(rows)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if self.island is not None and island[a] != self.island:
+                out += self._cut(self.octave.finish())
+                self.octave = OctaveWalk(self.smooth)
+            self.island = island[a]
+            out += self._cut(self.octave.feed(rows[a:b], hz[a:b], clarity[a:b]))
+        return out
+
+    def finish(self):
+        return self._cut(self.octave.finish()) + self.split.finish()
+
+    def _cut(self, repaired: list[tuple[tuple, float]]) -> list[tuple]:
+        out, times, values = [], [], []
+        for (index, time, voiced), midi in repaired:
+            if voiced != 1:
+                continue
+            if self.voiced_at is not None and index - self.voiced_at > self.segment.max_gap_frames + 1:
+                out += self.split.feed(times, values) + self.split.finish()
+                self.split, times, values = SplitWalk(self.segment), [], []
+            self.voiced_at = index
+            times.append(time)
+            values.append(midi)
+        return out + self.split.feed(times, values)
+
+
+def with_stretch(track: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
+    """Pitched frames with their island and stretch. A stretch ends where no frame was pitched for longer than a run
+    bridges, so islands and voiced runs lie in one stretch each."""
+    numbered = with_island(track)
+    before = F.last(F.when(F.col("hz") > 0, F.col("frame_idx")), ignorenulls=True).over(_by_frame().rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("hz") > 0) & (F.col("frame_idx") - before > options.max_gap_frames + 1)
+    opened = numbered.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(0)))
+    return opened.withColumn("stretch", F.sum("opens").over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))).where("hz > 0").drop("opens")
 
 
 def track_to_notes(frames: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """Raw frames to notes with one shuffle: windows by take, then one walk on the same partitioning."""
+    """Raw frames to notes: windows by take, one walk of the frames by stretches, then two of the notes by takes."""
     prepared = median_filter(clarity_filter(with_voiced(frames), smooth), smooth.median_radius)
-
-    def run(index, time, hz, clarity, voiced):
-        hz = hz.copy()
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], (hz > 0).astype(int), [0]])))
-        for a, b in zip(edges[::2], edges[1::2], strict=True):
-            hz[a:b] = octave_walk(hz[a:b], clarity[a:b], smooth)
-        at = np.flatnonzero(voiced == 1)
-        notes: list[list[float]] = []
-        for part in np.split(at, np.flatnonzero(np.diff(index[at]) > segment.max_gap_frames + 1) + 1):
-            if len(part):
-                midi = 69 + 12 * np.log2(hz[part] / 440)
-                notes += map(list, split_walk(time[part], midi, edge_median(midi, segment.median_radius), segment))
-        notes = [n for n in notes if n[1] - n[0] >= segment.min_duration_s]
-        return [(k + 1, *note) for k, note in enumerate(snap_walk(merge_walk(notes, segment), segment))]
-
-    columns = ["frame_idx", "time", "hz", "clarity", "voiced"]
-    return ordered_walk(prepared, ["take_id"], ["frame_idx"], columns, run, ["rn", *_VALUES], _NOTE)
+    columns = ["frame_idx", "time", "hz", "clarity", "voiced", "island"]
+    split = ordered_walk(with_stretch(prepared, segment), ["take_id", "stretch"], ["frame_idx"], columns, lambda: StretchWalk(smooth, segment), _VALUES, _NOTE)
+    return snap_boundaries(merge_adjacent(drop_blips(split, segment).drop("stretch"), segment), segment)

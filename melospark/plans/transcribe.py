@@ -7,26 +7,46 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from melospark.functions.pitch import window_size_for_floor
 from melospark.operators import audio, grid, keys, midi, quality, score, track
-from melospark.storage import with_checkpoint_dir
+from melospark.storage import stage
 
 
 @dataclass(frozen=True)
 class Transcription:
-    """Tables keyed by take_id."""
+    """Tables keyed by take_id. Every take has a row in ``takes`` and ``status`` (done, no_pitch or error), whether or
+    not anything was found in it; the tables made of frames are null where the chain began with notes."""
 
-    frames: DataFrame
+    takes: DataFrame
+    status: DataFrame
     notes: DataFrame
     keys: DataFrame
     grids: DataFrame
     lengths: DataFrame
     events: DataFrame
     confidences: DataFrame
-    status: DataFrame
+    verdicts: DataFrame
+    frames: DataFrame | None = None
+    funnel: DataFrame | None = None
+    sources: DataFrame | None = None
+    summary: DataFrame | None = None
+
 
+def with_presets(takes: DataFrame, presets: DataFrame | None, options: audio.PitchOptions) -> DataFrame:
+    """Each take's voice range, search bounds and window. ``presets`` (take_id, voice_range) may miss takes, which
+    are ``auto`` then; without it all takes are searched as ``options`` says."""
+    if presets is None:
+        own = keys.with_voice_range(takes.withColumn("voice_range", F.lit("auto")))
+        return own.withColumns({"min_hz": F.lit(options.min_hz), "max_hz": F.lit(options.max_hz), "window": F.lit(options.window)})
+    own = keys.with_voice_range(takes.join(presets.select("take_id", "voice_range"), "take_id", "left"))
+    return own.withColumn("window", window_size_for_floor(F.col("min_hz"), F.lit(options.sample_rate)))
 
-def transcribe_notes(takes: DataFrame, notes: DataFrame, frames: DataFrame | None = None, pad: bool = True) -> Transcription:
-    """Key, tempo and score of every take with notes; takes without notes get status no_pitch, not an error."""
+
+def transcribe_notes(takes: DataFrame, notes: DataFrame, pad: bool = True) -> Transcription:
+    """Key, tempo, score and verdict of every take with notes; takes without notes get status no_pitch, not an error.
+    ``takes`` may carry error, and range_id, range_label, low_midi and high_midi (else the take is ``auto``)."""
+    if "range_id" not in takes.columns:
+        takes = keys.with_voice_range(takes.withColumn("voice_range", F.lit("auto")))
     found = takes.select("take_id").join(notes.select("take_id").distinct(), "take_id", "left_semi")
     own = keys.with_default_key(found, keys.detect_key(notes))
     grids = grid.infer_grid(notes)
@@ -34,22 +54,57 @@ def transcribe_notes(takes: DataFrame, notes: DataFrame, frames: DataFrame | Non
     walked = score.place_and_rest(score.placed_notes(quantized, grids, own))
     lengths = score.score_lengths(walked, found, pad=pad)
     events = score.split_at_barlines(score.pad_final_bar(walked, lengths))
+    verdicts = quality.assess_input(quality.plausibility(notes, takes).join(takes.select("take_id", "range_id", "range_label", "low_midi", "high_midi"), "take_id"))
     marked = notes.select("take_id").distinct().withColumn("has", F.lit(True))
-    status = takes.select("take_id").join(marked, "take_id", "left").select("take_id", F.when(F.col("has"), "done").otherwise("no_pitch").alias("status"))
-    return Transcription(frames, notes, own, grids, lengths, events, quality.take_confidence(notes), status)
+    error = F.col("error") if "error" in takes.columns else F.lit(None).cast("string")
+    state = F.when(error.isNotNull(), "error").when(F.col("has"), "done").otherwise("no_pitch")
+    status = takes.join(marked, "take_id", "left").select("take_id", state.alias("status"), error.alias("error"))
+    return Transcription(takes, status, notes, own, grids, lengths, events, quality.take_confidence(notes), verdicts)
+
+
+def transcribe_frames(
+    frames: DataFrame, takes: DataFrame | None = None, smooth=track.SmoothOptions(), segment=track.SegmentOptions(), window_s: float = 4096 / 44100
+) -> Transcription:
+    """From pitch frames, read several times: give them as a written table. The notes feed all branches and cost the
+    shuffles, so they are written once.
 
+    ``takes`` are all takes, with or without frames; with duration_s and window_s, if known, else these follow from the
+    frames and the argument."""
+    takes = frames.select("take_id").distinct() if takes is None else takes
+    notes = stage(track.track_to_notes(frames, smooth, segment), "notes")
+    done = transcribe_notes(takes, notes)
+    takes = done.takes
+    counts = quality.frame_counts(frames)
+    if "duration_s" in takes.columns:
+        counts = counts.join(takes.select("take_id", "duration_s"), "take_id")
+    else:
+        counts = counts.withColumn("duration_s", F.col("windows") * segment.frame_duration)
+    sources = quality.assess_source(counts)
+    filtered = track.clarity_filter(track.with_voiced(frames), smooth)
+    funnel = quality.loss_funnel(frames, filtered, track.median_filter(filtered, smooth.median_radius), notes, window_ms=window_s * 1000)
+    if "window_s" in takes.columns:
+        funnel = funnel.drop("window_ms").join(takes.select("take_id", (F.col("window_s") * 1000).alias("window_ms")), "take_id")
+    summary = quality.take_summary(keys.with_key_label(done.keys), done.grids, done.events, done.verdicts, sources, done.confidences)
+    own = {f: getattr(done, f) for f in ("takes", "status", "notes", "keys", "grids", "lengths", "events", "confidences", "verdicts")}
+    return Transcription(**own, frames=frames, funnel=funnel, sources=sources, summary=summary)
 
-def transcribe_frames(frames: DataFrame, smooth=track.SmoothOptions(), segment=track.SegmentOptions()) -> Transcription:
-    """From pitch frames. Notes feed several branches and cost the one big shuffle, so they are checkpointed."""
-    with_checkpoint_dir(frames.sparkSession)
-    notes = track.track_to_notes(frames, smooth, segment).checkpoint()
-    return transcribe_notes(frames.select("take_id").distinct(), notes, frames)
 
+def transcribe(chunks: DataFrame, options: audio.PitchOptions = audio.PitchOptions(), presets: DataFrame | None = None) -> Transcription:
+    """From audio chunks (``read_wav_corpus``, ``synth_chunks``), those with an error included. Voice range, search bounds
+    and window are each take's own where ``presets`` (take_id, voice_range) gives them.
 
-def transcribe(chunks: DataFrame, options: audio.PitchOptions = audio.PitchOptions()) -> Transcription:
-    """From audio chunks (``read_wav_corpus``, ``synth_chunks``)."""
+    Takes and frames are written once, so the pitch kernel runs once however many tables are read.
+    """
+    error = F.max("error") if "error" in chunks.columns else F.lit(None).cast("string")
+    length = F.max(F.col("start_sample") + F.col("n_core")) / options.sample_rate
+    takes = with_presets(chunks.groupBy("take_id").agg(error.alias("error"), length.alias("duration_s")), presets, options)
+    takes = stage(takes.withColumn("window_s", F.col("window") / options.sample_rate), "takes")
+    sound = chunks.where(F.col("error").isNull()) if "error" in chunks.columns else chunks
+    if presets is not None:
+        sound = sound.join(takes.select("take_id", "window", "min_hz", "max_hz"), "take_id")
+    frames = stage(audio.pitch_track(sound, options), "frames")
     segment = track.SegmentOptions(frame_duration=options.hop / options.sample_rate)
-    return transcribe_frames(audio.pitch_track(chunks, options), segment=segment)
+    return transcribe_frames(frames, takes, segment=segment)
 
 
 def export_midi(done: Transcription) -> DataFrame:

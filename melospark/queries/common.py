@@ -12,8 +12,8 @@ from melospark.functions import dims
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-N, C, T, G, K, FR, S, RT = (
-    f"({sql})" for sql in (A.NOTES_SQL, A.CLOSE_NOTES_SQL, A.TAKES_SQL, A.GRIDS_SQL, A.KEYS_SQL, A.FRAMES_SQL, A.SAMPLES_DUCKDB, A.RATINGS_SQL)
+N, C, T, G, K, FR, LEAPS, S, RT = (
+    f"({sql})" for sql in (A.NOTES_SQL, A.CLOSE_NOTES_SQL, A.TAKES_SQL, A.GRIDS_SQL, A.KEYS_SQL, A.FRAMES_SQL, A.LEAPS_SQL, A.SAMPLES_DUCKDB, A.RATINGS_SQL)
 )
 
 
@@ -105,7 +105,14 @@ WALKED = f"""(
   union all select take_id, 'rest', before, s - before, null, null from w where s > before)"""
 LENGTHS = f"(select take_id, max(start + duration) as content_end, greatest(1, cast(ceil(max(start + duration) / 16) as bigint)) * 16 as total_units from {WALKED} group by take_id)"
 PADDED = f"(select * from {WALKED} union all select take_id, 'rest', content_end, total_units - content_end, null, null from {LENGTHS} where total_units > content_end)"
-EVENTS = f"""(select take_id, cast(row_number() over (partition by take_id order by start) - 1 as bigint) as event_idx, * exclude (take_id) from (
-  select take_id, kind, greatest(start, m * 16) as start, least(start + duration, (m + 1) * 16) - greatest(start, m * 16) as duration, midi,
-         case when kind = 'note' then least(start + duration, (m + 1) * 16) < start + duration end as tie, confidence, m as measure_idx
-  from (select *, unnest(range(cast(floor(start / 16) as bigint), cast(floor((start + duration - 1) / 16) as bigint) + 1)) as m from {PADDED})))"""
+
+
+def events_sql(units: int) -> str:
+    """Padded events cut at every ``units`` sixteenths."""
+    return f"""(select take_id, cast(row_number() over (partition by take_id order by start) - 1 as bigint) as event_idx, * exclude (take_id) from (
+  select take_id, kind, greatest(start, m * {units}) as start, least(start + duration, (m + 1) * {units}) - greatest(start, m * {units}) as duration, midi,
+         case when kind = 'note' then least(start + duration, (m + 1) * {units}) < start + duration end as tie, confidence, m as measure_idx
+  from (select *, unnest(range(cast(floor(start / {units}) as bigint), cast(floor((start + duration - 1) / {units}) as bigint) + 1)) as m from {PADDED})))"""
+
+
+EVENTS = events_sql(16)

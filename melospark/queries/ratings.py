@@ -134,6 +134,7 @@ def joi6_top3_feedback_upsert(spark, d):
 
 @query(f"select * exclude nth from (select *, row_number() over (partition by user_id, take_id order by at_seq desc) as nth from {RT}) where nth = 1")
 def str3_latest_feedback(spark, d):
+    """The stream's plan on a table; tests run it as a stream."""
     return streams.latest_feedback(A.ratings(spark, d))
 
 
@@ -152,25 +153,23 @@ def agg11_issue_labels(spark, d):
     return grouped.select("user_id", "take_id", feedback.issue_labels(F.col("issues")).alias("labels"))
 
 
-_RAW = f"""(select user_id, case user_id % 5 when 0 then 'not json' when 1 then first(r order by at_seq) else '[1,null,{{"verdict":"maybe"}},' || string_agg(r, ',' order by at_seq) || ']' end as raw from (
-  select user_id, at_seq, '{{"verdict":"' || verdict || '","takeId":' || case when at_seq % 7 = 0 then '5' else '"' || take_id || '"' end || ',"comment":"' || source || '","notes":["C4"],"rhythm":[],"issues":["' || issue || '"]}}' as r from {RT}) group by user_id)"""
-
-
 def stored(spark, d) -> DataFrame:
-    """Histories as JSON text: some corrupt, some a bare object, the others with invalid members among the valid."""
-    r = A.ratings(spark, d)
+    """Each conversation's history as JSON text, with invalid members before the valid ones; and beside them, for every
+    history, one that is corrupt and one that is a bare object instead of a list."""
+    r = A.ratings(spark, d).withColumn("user_id", F.floor(F.col("at_seq") / 100))
     take = F.when(F.col("at_seq") % 7 == 0, "5").otherwise(F.concat(F.lit('"'), F.col("take_id").cast("string"), F.lit('"')))
     one = F.concat(
         F.lit('{"verdict":"'), "verdict", F.lit('","takeId":'), take, F.lit(',"comment":"'), "source", F.lit('","notes":["C4"],"rhythm":[],"issues":["'), "issue", F.lit('"]}')
     )
     held = r.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at_seq", one.alias("r")))).alias("h"))
     whole = F.concat(F.lit('[1,null,{"verdict":"maybe"},'), F.array_join(F.col("h.r"), ","), F.lit("]"))
-    return held.select("user_id", F.when(F.col("user_id") % 5 == 0, "not json").when(F.col("user_id") % 5 == 1, F.col("h.r")[0]).otherwise(whole).alias("raw"))
+    kinds = F.array(*(F.struct((F.col("user_id") * 3 + k).alias("user_id"), raw.alias("raw")) for k, raw in enumerate((whole, F.lit("not json"), F.col("h.r")[0]))))
+    return held.select(F.explode(kinds).alias("k")).select("k.*")
 
 
 @query(f"""select user_id, pos, verdict, take_id::varchar as take_id, source as comment, issue as issues from (
   select *, row_number() over (partition by user_id order by pos desc) as nth from (
-    select *, cast(row_number() over (partition by user_id order by at_seq) + 2 as bigint) as pos from {RT} where user_id % 5 > 1) where at_seq % 7 <> 0) where nth <= 20""")
+    select * exclude (user_id), user_id * 3 as user_id from (select * exclude (user_id), cast(floor(at_seq / 100) as bigint) as user_id, cast(row_number() over (partition by floor(at_seq / 100) order by at_seq) + 2 as bigint) as pos from {RT})) where at_seq % 7 <> 0) where nth <= 20""")
 def src4_read_feedback_json(spark, d):
     return read_feedback_json(stored(spark, d)).select("user_id", "pos", "verdict", "take_id", "comment", F.array_join("issues", ",").alias("issues"))
 
@@ -186,11 +185,16 @@ def _wrapped(items: str) -> str:
       case when len({items}) > 120 then ['... and ' || (len({items}) - 120) || ' more'] when len({items}) = 0 then ['(none)'] else [] end)"""
 
 
-@query(f"""select w, array_to_string({_wrapped('names')}, '|') as lines from (select take_id % 300 as w, list({sql_name('midi')} order by take_id, rn) filter (where take_id % 300 > 2) as names from {N} group by 1) where names is not null""")
+@query(f"""select take_id, array_to_string({_wrapped('names')}, '|') as lines from (select take_id, list({sql_name('midi')} order by rn) as names from {N} group by take_id)
+  union all select user_id, array_to_string({_wrapped('names')}, '|') from (select conv_id as user_id, list(turn::varchar order by c.turn, k) as names from conversations c, (select unnest(range(40)) as k) group by conv_id)""")
 def top4_wrap_notes(spark, d):
-    held = F.array_sort(F.collect_list(F.struct("take_id", "rn", note_name(F.col("midi")).alias("name"))))
-    lists = A.notes(spark, d).where("take_id % 300 > 2").groupBy((F.col("take_id") % 300).alias("w")).agg(held.alias("h"))
-    return lists.select("w", F.array_join(feedback.wrap_notes(F.col("h.name")), "|").alias("lines"))
+    """Lines of each take's notes, and of lists that are longer than what is shown."""
+    held = F.array_sort(F.collect_list(F.struct("rn", note_name(F.col("midi")).alias("name"))))
+    takes = A.notes(spark, d).groupBy("take_id").agg(held.alias("h")).select("take_id", F.col("h.name").alias("names"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "k")))
+    long_ = A.table(spark, d, "conversations").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).groupBy("conv_id").agg(turns.alias("h"))
+    rows = takes.unionAll(long_.select("conv_id", F.transform("h.turn", lambda t: t.cast("string"))))
+    return rows.select("take_id", F.array_join(feedback.wrap_notes(F.col("names")), "|").alias("lines"))
 
 
 _RATED = f"""(select u.*, coalesce(notes, []) as notes, coalesce(rhythm, []) as rhythm from {UPSERTED} u left join (
@@ -243,12 +247,19 @@ def joi4_match_expected_notes(spark, d):
     return evaluate.match_expected_notes(expected, n)
 
 
-@query(f"""select a.take_id, a.t, f.frame_idx, round(f.hz, 6) as hz from (select take_id, round((frame_idx * 512 + 2048 + 100) / 44100.0::double, 9) as t from {FR} where frame_idx % 5 = 0) a
-  asof left join {FR} f on f.take_id = a.take_id and f.time <= a.t""")
+@query(f"""select a.take_id, a.t, f.frame_idx, round(f.hz, 6) as hz from (
+    select take_id, round((frame_idx * 512 + 2148) / 44100.0::double, 9) as t from {FR} union all
+    select take_id, round((n * 512 + 999999) / 44100.0::double, 9) from (select take_id, count(*) as n from {FR} group by take_id) union all
+    select distinct take_id, 0.001::double from {FR}) a
+  asof left join (select * from {FR} where hz > 0) f on f.take_id = a.take_id and f.time <= a.t""")
 def joi5_frames_at_time(spark, d):
+    """Pitched frames at the times of all frames (so over gaps), long after the last one, and before the first."""
     f = A.frames(spark, d)
-    asked = f.where("frame_idx % 5 = 0").select("take_id", F.round((F.col("frame_idx") * 512 + 2148) / 44100, 9).alias("t"))
-    return evaluate.frames_at_time(f, asked, hop_s=512 / 44100, first_s=2048 / 44100).select("take_id", "t", "frame_idx", r6(F.col("hz"), "hz"))
+    times = f.select("take_id", (F.col("frame_idx") * 512 + 2148).alias("s"))
+    late = f.groupBy("take_id").agg((F.count(F.lit(1)) * 512 + 999_999).alias("s"))
+    asked = times.unionAll(late).select("take_id", F.round(F.col("s") / 44100, 9).alias("t"))
+    asked = asked.unionAll(f.select("take_id", F.lit(0.001).alias("t")).distinct())
+    return evaluate.frames_at_time(f.where("hz > 0"), asked).select("take_id", "t", "frame_idx", r6(F.col("hz"), "hz"))
 
 
 @query(f"select take_id, midi, round(end_s - start_s, 6) as length from {N} qualify row_number() over (partition by take_id order by round(end_s - start_s, 9) desc, rn) = 1")

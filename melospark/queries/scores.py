@@ -9,7 +9,7 @@ from melospark import adapters as A
 from melospark.functions import pitch
 from melospark.operators import grid, keys, midi, score
 from melospark.queries.common import (
-    C, EVENTS, FR, G, K, KEY_ROWS, LENGTHS, N, PADDED, PLACED, QUANTIZED, RANGE_ROWS, RESOLVED, SCALE_OF, SPELLINGS, T, WALKED, note_name, pc, query, rnd, snap,
+    C, EVENTS, FR, G, K, KEY_ROWS, LENGTHS, N, PADDED, PLACED, QUANTIZED, RANGE_ROWS, RESOLVED, SCALE_OF, SPELLINGS, T, WALKED, events_sql, note_name, pc, query, rnd, snap,
 )
 
 
@@ -115,25 +115,24 @@ def agg1_pitch_class_histogram(spark, d):
     return keys.pitch_class_histogram(A.notes(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-_PROFILE = "(select tonic, mode, pc, w from (select *, unnest(range(12)) as pc from (values {rows}) as p(tonic, mode, ws)), lateral (select ws[((pc - tonic) % 12 + 12) % 12 + 1] as w))".format(
-    rows=", ".join(
-        f"({t}, '{m}', {list(p)})"
-        for t in range(12)
-        for m, p in (
-            ("major", (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)),
-            ("minor", (6.33, 2.68, 3.52, 5.38, 2.6, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)),
-        )
-    )
-)
+#: The 24 profiles as literal rows: the weights of the pitch classes, their sum and their spread.
+_MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
+_MINOR = (6.33, 2.68, 3.52, 5.38, 2.6, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
+_PROFILE = "(values " + ", ".join(
+    f"({t}, '{m}', {pitch_class}, {p[(pitch_class - t) % 12]}::double, {sum(p) / 12!r}::double, {sum(x * x for x in p) - sum(p) ** 2 / 12!r}::double)"
+    for t in range(12)
+    for m, p in (("major", _MAJOR), ("minor", _MINOR))
+    for pitch_class in range(12)
+) + ") as p(tonic, mode, pc, w, mean, spread)"
 
 
 @query(f"""
 with h as (select take_id, {pc(rnd('midi'))} as pc, sum(end_s - start_s) as d from {N} group by 1, 2),
-dense as (select t.take_id, t.pc, coalesce(d, 0) as d from (select distinct take_id, unnest(range(12)) as pc from h) t left join h using (take_id, pc)),
-s as (select take_id, tonic, mode, coalesce(corr(d, w::double), 0) as score from dense join {_PROFILE} using (pc) group by 1, 2, 3),
-r as (select *, row_number() over (partition by take_id order by round(score, 9) desc, tonic, mode) as nth from s)
-select a.take_id, a.tonic::int as tonic, a.mode, round(a.score, 6) as score, b.tonic::int as alt_tonic, b.mode as alt_mode, round(b.score, 6) as alt_score
-from r a join r b on a.take_id = b.take_id and a.nth = 1 and b.nth = 2""")
+t as (select take_id, sum(d) as whole, sum(d * d) - sum(d) * sum(d) / 12 as own from h group by take_id),
+x as (select take_id, tonic, mode, sum(d * w) as dw, any_value(mean) as mean, any_value(spread) as spread from h join {_PROFILE} on p.pc = h.pc group by 1, 2, 3),
+s as (select x.take_id, tonic, mode, case when own <= 1e-12 then 0 else (dw - whole * mean) / sqrt(own * spread) end as score from x join t on t.take_id = x.take_id),
+r as (select take_id, list({{'tonic': tonic::int, 'mode': mode, 'score': round(score, 6)}} order by round(score, 9) desc, tonic, mode) as k from s group by take_id)
+select take_id, k[1].tonic as tonic, k[1].mode as mode, k[1].score as score, k[2].tonic as alt_tonic, k[2].mode as alt_mode, k[2].score as alt_score from r""")
 def agg2_top1_detect_key(spark, d):
     return keys.detect_key(A.notes(spark, d)).withColumns({"score": F.round("score", 6), "alt_score": F.round("alt_score", 6)})
 
@@ -281,9 +280,20 @@ def scr10_beam_groups(spark, d):
 @query(f"""select take_id, event_idx, next_idx from (select *, lead(event_idx) over w as next_idx, lead(midi) over w as next_midi from {EVENTS}
   window w as (partition by take_id, measure_idx order by event_idx)) where tie and next_midi = midi""")
 def scr10_tie_pairs(spark, d):
+    """None on built scores: a piece that is tied ends its bar, and pairs are sought inside one."""
     return score.tie_pairs(events(spark, d))
 
 
+@query(f"""select take_id, event_idx, next_idx from (select *, lead(event_idx) over w as next_idx, lead(midi) over w as next_midi from {events_sql(4)}
+  window w as (partition by take_id, measure_idx // 4 order by event_idx)) where tie and next_midi = midi""")
+def scr10_tie_pairs_at_beats(spark, d):
+    """Pairs of scores whose notes are cut at every beat, so that they tie inside a bar."""
+    walked = score.place_and_rest(placed(spark, d))
+    padded = score.pad_final_bar(walked, score.score_lengths(walked, A.takes(spark, d)))
+    cut = score.split_at_barlines(padded, units_per_measure=4)
+    return score.tie_pairs(cut.withColumn("measure_idx", F.floor(F.col("measure_idx") / 4)))
+
+
 @query(f"""select e.take_id, event_idx, p.partial, round(start * (60 / bpm / 4), 6) as start_s, round(greatest(0.02, duration * (60 / bpm / 4)), 6) as hold_s,
   round(440 * pow(2, (greatest(21, least(108, midi + 3)) - 69) / 12) * p.partial, 6) as hz, p.level::double as level
   from {EVENTS} e join {G} g on g.take_id = e.take_id, (values (1, 1.0), (2, 0.28), (3, 0.1)) as p(partial, level) where kind = 'note'""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from melospark import adapters as A
 from melospark.functions import pitch
 from melospark.operators import audio, quality, track
 from melospark.plans.transcribe import transcribe_frames
-from melospark.queries.common import C, FR, N, S, query, rnd
+from melospark.queries.common import C, FR, LEAPS, N, S, query, rnd
 from melospark.queries.scores import level_notes, r6
-from melospark.sources import synth
+from melospark.sources import synth, wav
+from melospark.storage import shared_dir
 from melospark.streaming import streams
 
 
@@ -114,6 +117,83 @@ def frm5_pitch_track(spark, d):
     return audio.pitch_track(chunks, options)
 
 
+#: Three windows of 32 samples for each of the adapter's recordings.
+TINY = audio.PitchOptions(sample_rate=8000, min_hz=250.0, max_hz=2000.0, window=32, hop=16)
+
+
+@query(f"""
+with s as (select take_id, list(x order by i) as x from {S} group by take_id),
+e as (select take_id, f as frame_idx, x[f * 16 + 1:f * 16 + 32] as x from (select *, unnest(range(3)) as f from s)),
+q as (select *, list_sum(list_transform(x, lambda v: v * v)) as energy from e),
+l as (select *, unnest(range(31)) as tau from q),
+d as (select take_id, frame_idx, tau, energy, list_sum(list_transform(range(1, 33 - tau), lambda i: x[i] * x[i + tau])) as r,
+        coalesce(list_sum(list_transform(range(33 - tau, 33), lambda i: x[i] * x[i])), 0) as tail from l),
+n as (select take_id, frame_idx, tau, sqrt(energy / 32) as rms, case when energy + tail < 1e-12 then 0 else r / (energy + tail) end as v from d),
+k as (select *, lag(v) over w as y0, lead(v) over w as y2 from n window w as (partition by take_id, frame_idx order by tau)),
+p as (select *, max(v) over (partition by take_id, frame_idx) as tallest from k where tau > 4 and tau < 30 and v > y0 and v >= y2 and rms >= 0.008),
+b as (select *, row_number() over (partition by take_id, frame_idx order by tau) as nth from p where tallest >= 0.55 and v >= tallest * 0.88),
+h as (select take_id, frame_idx, v, 8000 / (tau + case when abs(2 * (2 * v - y0 - y2)) > 1e-12 and abs((y2 - y0) / (2 * (2 * v - y0 - y2))) <= 1 then (y2 - y0) / (2 * (2 * v - y0 - y2)) else 0 end) as hz from b where nth = 1)
+select e.take_id, e.frame_idx, round((e.frame_idx * 16 + 16) / 8000, 9) as time, round(coalesce(case when hz between 250 and 2000 then hz end, 0), 6) as hz,
+  round(coalesce(case when hz between 250 and 2000 then least(1, greatest(0, v)) end, 0), 6) as clarity, round(sqrt(energy / 32), 6) as rms
+from q e left join h on h.take_id = e.take_id and h.frame_idx = e.frame_idx""")
+def frm5_pitch_track_chunks(spark, d):
+    """Pitch frames of recordings in two chunks each, the first with the halo of its last window."""
+    parts = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("start_sample"), F.lit(32).alias("n_core"), F.slice("samples", a + 1, n).alias("samples")) for a, n in ((0, 48), (32, 32)))))
+    chunks = signals(spark, d).select("take_id", parts.alias("c")).select("take_id", "c.*")
+    f = audio.pitch_track(chunks, TINY)
+    return f.select("take_id", "frame_idx", F.round("time", 9).alias("time"), *(r6(F.col(c), c) for c in ("hz", "clarity", "rms")))
+
+
+#: Files: each vector 64 times in a row as 16-bit PCM in two equal channels at 8 kHz. Every 11th header names no
+#: channel, every 13th no sample rate, every 17th file is cut off before its data.
+FILE_OPTIONS = audio.PitchOptions(sample_rate=8000, min_hz=60.0, max_hz=1200.0, window=1024, hop=128)
+_PCM = "cast(greatest(-32767, least(32767, floor(v * 12000 + 0.5))) as int)"
+
+
+def wav_files(spark, d) -> DataFrame:
+    """(path, content) of the vectors, built by expressions."""
+
+    def little(x, digits: int):
+        """Hexadecimal digits of an integer, the least byte first."""
+        whole = F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 4 * digits))), digits, "0")
+        return F.concat(*(F.substring(whole, k, 2) for k in range(digits - 1, 0, -2)))
+
+    sample = F.transform("embedding", lambda v: little(F.greatest(F.lit(-32767), F.least(F.lit(32767), F.floor(v.cast("double") * 12000 + 0.5))), 4))
+    body = F.repeat(F.array_join(F.transform(sample, lambda h: F.concat(h, h)), ""), 64)
+    channels, rate = F.when(F.col("vec_id") % 11 == 0, 0).otherwise(2), F.when(F.col("vec_id") % 13 == 0, 0).otherwise(8000)
+    form = F.concat(F.lit("666D7420"), little(F.lit(16), 8), little(F.lit(1), 4), little(channels, 4), little(rate, 8), little(F.lit(32000), 8), little(F.lit(4), 4), little(F.lit(16), 4))
+    size = F.length(body) / 2
+    data = F.when(F.col("vec_id") % 17 == 0, "").otherwise(F.concat(F.lit("64617461"), little(size, 8), body))
+    riff = F.concat(F.lit("52494646"), little(size + 36, 8), F.lit("57415645"), form, data)
+    return A.table(spark, d, "embeddings").select(F.concat(F.lit("take-"), F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), F.unhex(riff).alias("content"))
+
+
+_FILE_ERROR = "case when vec_id % 17 = 0 then 'no data chunk' when vec_id % 11 = 0 or vec_id % 13 = 0 then 'no channels or no sample rate' end"
+
+
+@query(f"""select 'take-' || vec_id || '.wav' as path, {_FILE_ERROR} as error, case when {_FILE_ERROR} is null then 4096 else 0 end::bigint as n_samples,
+  case when {_FILE_ERROR} is null then round(64 * list_sum(list_transform(embedding, lambda v: {_PCM.replace('v *', 'v::double *')} / 32768.0::double)), 4) else 0 end as total,
+  case when {_FILE_ERROR} is null then round(list_max(list_transform(embedding, lambda v: abs({_PCM.replace('v *', 'v::double *')} / 32768.0::double))), 6) else 0 end as peak from embeddings""")
+def src1_read_wav(spark, d):
+    """Files with good and broken headers, decoded to chunks."""
+    chunks = wav.decode_files(wav_files(spark, d), FILE_OPTIONS).withColumn("core", F.slice("samples", F.lit(1), F.greatest(F.lit(0), F.col("n_core"))))
+    total = F.aggregate("core", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    peak = F.coalesce(F.array_max(F.transform("core", lambda x: F.abs(x.cast("double")))), F.lit(0.0))
+    return chunks.groupBy("path").agg(
+        F.max("error").alias("error"), F.sum("n_core").cast("long").alias("n_samples"), F.round(F.sum(total), 4).alias("total"), F.round(F.max(peak), 6).alias("peak")
+    )
+
+
+@query(f"""select 'take-' || vec_id || '.wav' as path, case when {_FILE_ERROR} is not null then 'error' else 'done' end as status, {_FILE_ERROR} as error from embeddings""")
+def str4_ingest_takes(spark, d):
+    """The ingest sink run on the files as one batch; the status of every take that it wrote."""
+    files = wav_files(spark, d)
+    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    streams.ingest_takes(path, FILE_OPTIONS)(files, 0)
+    named = files.select(F.xxhash64("path").alias("take_id"), "path")
+    return spark.read.parquet(f"{path}/status").join(named, "take_id").select("path", "status", "error")
+
+
 @query(f"""
 with t as (select take_id, count(*) filter (where hz > 0) / count(*) as voiced_share, min(case when hz > 0 then 69 + 12 * log2(hz / 440) end) as lo, max(case when hz > 0 then 69 + 12 * log2(hz / 440) end) as hi,
    69 + 12 * log2(avg(case when hz > 0 then hz end) / 440) as centre, list_sort(list(clarity) filter (where hz > 0))[cast(floor(count(*) filter (where hz > 0) / 2) as bigint) + 1] as clarity from {FR} group by take_id),
@@ -129,18 +209,24 @@ def voiced(spark, d) -> DataFrame:
     return track.with_voiced(A.frames(spark, d))
 
 
-FILTERED = f"""(select take_id, frame_idx, time, rms, clarity, reason as drop_reason, case when reason is null then hz else 0 end as hz, case when reason is null then voiced else 0 end as voiced from (
+def filtered_sql(frames: str) -> str:
+    return f"""(select take_id, frame_idx, time, rms, clarity, reason as drop_reason, case when reason is null then hz else 0 end as hz, case when reason is null then voiced else 0 end as voiced from (
   select *, case when hz > 0 and clarity < 0.45 then 'floor' when hz > 0 and len(near) >= 2 and clarity < near[1] * 0.9 then 'ratio' end as reason from (
     select *, (hz > 0)::int as voiced, list_concat(
         coalesce(list(clarity) filter (where hz > 0) over (partition by take_id order by frame_idx rows between 3 preceding and 1 preceding), []),
-        coalesce(list(clarity) filter (where hz > 0) over (partition by take_id order by frame_idx rows between 1 following and 3 following), [])) as near from {FR})))"""
-MEDIANED = f"""(select * exclude (hz, held), case when hz_m is null then hz else 440 * pow(2, (hz_m - 69) / 12) end as hz from (
+        coalesce(list(clarity) filter (where hz > 0) over (partition by take_id order by frame_idx rows between 1 following and 3 following), [])) as near from {frames})))"""
+
+
+def medianed_sql(frames: str) -> str:
+    return f"""(select * exclude (hz, held), case when hz_m is null then hz else 440 * pow(2, (hz_m - 69) / 12) end as hz from (
   select *, case when len(held) - len(list_filter(held, lambda v: v is not null)) + cast(floor(len(held) / 2) as bigint) + 1 <= 2 * len(held) then
       list_sort(list_filter(held, lambda v: v is not null))[cast(floor(len(held) / 2) as bigint) + 1] end as hz_m from (
-    select *, list(case when hz > 0 then 69 + 12 * log2(hz / 440) end) over (partition by take_id order by frame_idx rows between 2 preceding and 2 following) as held from {FILTERED})))"""
+    select *, list(case when hz > 0 then 69 + 12 * log2(hz / 440) end) over (partition by take_id order by frame_idx rows between 2 preceding and 2 following) as held from {filtered_sql(frames)})))"""
 
 
-SMOOTHED = f"""(with recursive m as (select *, case when hz > 0 then 69 + 12 * log2(hz / 440) end as midi, count(*) filter (where hz <= 0) over (partition by take_id order by frame_idx) as island from {MEDIANED}),
+def smoothed_sql(frames: str) -> str:
+    """Octaves folded, as a recursion over each pitched island."""
+    return f"""(with recursive m as (select *, case when hz > 0 then 69 + 12 * log2(hz / 440) end as midi, count(*) filter (where hz <= 0) over (partition by take_id order by frame_idx) as island from {medianed_sql(frames)}),
 l as (select take_id, island, frame_idx, clarity, midi, row_number() over (partition by take_id, island order by frame_idx) as i,
     list(midi) over (partition by take_id, island order by frame_idx rows between current row and unbounded following) as ahead from m where hz > 0),
 g as (select * exclude (ahead), coalesce(list_position(list_transform(ahead, lambda v: abs(v - ahead[1]) > 0.75), true) - 1, len(ahead)) as run from l),
@@ -156,6 +242,9 @@ select m.take_id, m.frame_idx, m.time, coalesce(440 * pow(2, (w.value - 69) / 12
 from m left join w on w.take_id = m.take_id and w.frame_idx = m.frame_idx)"""
 
 
+FILTERED, MEDIANED, SMOOTHED = filtered_sql(FR), medianed_sql(FR), smoothed_sql(FR)
+
+
 def split_sql(track_sql: str) -> str:
     """Notes of the voiced runs of a track, as a recursion over each run's frames."""
     return f"""(with recursive v as (select take_id, frame_idx, time, 69 + 12 * log2(hz / 440) as midi, cast(sum(opens) over (partition by take_id order by frame_idx) as bigint) as run from (
@@ -219,6 +308,12 @@ def win3_win4_smooth_track(spark, d):
     return track.smooth_track(voiced(spark, d)).select("take_id", "frame_idx", "time", r6(F.col("hz"), "hz"), "voiced", "clarity")
 
 
+@query(f"select take_id, frame_idx, time, round(hz + 1e-9, 6) as hz, voiced, clarity from {smoothed_sql(LEAPS)}")
+def win3_octave_repair_leaps(spark, d):
+    """Octave repair where leaps are clear and last."""
+    return track.smooth_track(track.with_voiced(A.leaping_frames(spark, d))).select("take_id", "frame_idx", "time", r6(F.col("hz") + 1e-9, "hz"), "voiced", "clarity")
+
+
 @query(f"select take_id, frame_idx, round(avg(clarity) over (partition by take_id order by frame_idx rows between 2 preceding and 2 following), 6) as moving_clarity from {FR}")
 def win5_moving_clarity(spark, d):
     return track.moving_clarity(A.frames(spark, d)).select("take_id", "frame_idx", r6(F.col("moving_clarity"), "moving_clarity"))
@@ -260,22 +355,34 @@ def win10_snap_boundaries(spark, d):
     return track.snap_boundaries(A.notes(spark, d)).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})  # halves of millionths go up
 
 
-_KEPT = f"(select *, row_number() over (partition by take_id order by start_s) as rn from {split_sql(SMOOTHED)} where end_s - start_s >= 0.05)"
+def notes_sql(frames: str) -> str:
+    """Notes of frames, through every step."""
+    kept = f"(select *, row_number() over (partition by take_id order by start_s) as rn from {split_sql(smoothed_sql(frames))} where end_s - start_s >= 0.05)"
+    return f"""select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {snap_sql(merge_sql(kept))}"""
 
 
-@query(f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {snap_sql(merge_sql(_KEPT))}")
+@query(notes_sql(FR))
 def win11_segment_notes(spark, d):
     found = track.segment_notes(track.smooth_track(voiced(spark, d)))
     return found.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")} | {"midi": F.round("midi", 6)})
 
 
-@query(f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {snap_sql(merge_sql(_KEPT))}")
-def win11_track_to_notes(spark, d):
-    """The fused walk."""
-    found = track.track_to_notes(A.frames(spark, d))
+def rounded_notes(found: DataFrame) -> DataFrame:
     return found.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")} | {"midi": F.round("midi", 6)})
 
 
+@query(notes_sql(FR))
+def win11_track_to_notes(spark, d):
+    """The fused walk by stretches."""
+    return rounded_notes(track.track_to_notes(A.frames(spark, d)))
+
+
+@query(notes_sql(LEAPS))
+def win11_track_to_notes_leaps(spark, d):
+    """The fused walk where octaves leap."""
+    return rounded_notes(track.track_to_notes(A.leaping_frames(spark, d)))
+
+
 @query(f"""select take_id, sum((c = 'too_quiet')::int)::bigint as too_quiet, sum((c = 'no_pitch')::int)::bigint as no_pitch, sum((c = 'detected')::int)::bigint as detected, count(*) as windows
   from (select take_id, case when hz > 0 then 'detected' when rms < 0.008 then 'too_quiet' else 'no_pitch' end as c from {FR}) group by take_id""")
 def prj14_frame_class(spark, d):
@@ -300,6 +407,7 @@ def prj2_drop_short_takes(spark, d):
       select *, case when us - lag(us) over (partition by take_id order by us) >= 64000 then 1 else 0 end as opens from (
         select take_id, clarity, cast(floor(time * 1000000) as bigint) as us from {FR} where hz > 0))) group by take_id, run)""")
 def str2_live_voiced_runs(spark, d):
+    """The stream's plan on a table; tests run it as a stream."""
     f = A.frames(spark, d).withColumn("ts", F.timestamp_micros(F.floor(F.col("time") * 1_000_000)))
     runs = streams.live_voiced_runs(f)
     return runs.select("take_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "frames", r6(F.col("mean_clarity"), "mean_clarity"))
@@ -307,6 +415,7 @@ def str2_live_voiced_runs(spark, d):
 
 @query()
 def str1_live_meter(spark, d):
+    """The stream's plan on a table; tests run it as a stream."""
     live = signals(spark, d).withColumn("ts", F.timestamp_millis(F.col("take_id")))
     return streams.live_meter(live, 800).select("take_id", r6(F.col("level"), "level"), r6(F.col("hz"), "hz"), "pitch", "detail")
 

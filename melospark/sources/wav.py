@@ -26,6 +26,8 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
             if form is None or form[0] != 1 or form[5] != 16:
                 raise ValueError("only 16-bit PCM is read")
             channels = form[1]
+            if channels < 1 or form[2] < 1:
+                raise ValueError("no channels or no sample rate")
             body = np.frombuffer(data, dtype="<i2", offset=at + 8, count=min(size, len(data) - at - 8) // 2)
             body = body[: len(body) // channels * channels].reshape(-1, channels)
             return body.mean(axis=1) / 32768, form[2]
@@ -43,7 +45,11 @@ def resample(samples: np.ndarray, source: int, target: int) -> np.ndarray:
 
 def read_wav_corpus(spark: SparkSession, path: str, options: PitchOptions = PitchOptions(), least_seconds: float = 0.4) -> DataFrame:
     """Chunks of every file under ``path``: take_id (hash of the file's path), path, chunk_idx, start_sample, n_core,
-    samples, error. A file that can't be read, or is too short, is one row with its error and no samples."""
+    samples, error. A file that can't be read, or is too short, is one row with its error and no samples.
+
+    A file is one row until it is decoded, so it is held whole by one task and must be under 2 GB (six hours of stereo
+    at 44.1 kHz); longer recordings are to be cut into files first.
+    """
     return decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path), options, least_seconds)
 
 
@@ -55,7 +61,7 @@ def decode_files(files: DataFrame, options: PitchOptions = PitchOptions(), least
         for pdf in batches:
             for row in pdf.itertuples():
                 try:
-                    samples, rate = decode_wav(row.content)
+                    samples, rate = decode_wav(row.content or b"")
                     if len(samples) / rate < least_seconds:
                         raise ValueError("too short")
                     samples = resample(samples, rate, options.sample_rate)

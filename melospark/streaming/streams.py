@@ -11,6 +11,7 @@ from melospark.functions.pitch import live_pitch_label
 from melospark.operators import audio, feedback
 from melospark.plans.transcribe import transcribe
 from melospark.sources.wav import decode_files
+from melospark.storage import stage, unstage
 
 
 def live_meter(frames: DataFrame, sample_rate: int) -> DataFrame:
@@ -30,9 +31,10 @@ def live_voiced_runs(frames: DataFrame, gap: str = "64 milliseconds", late: str
 
 
 def latest_feedback(submissions: DataFrame) -> DataFrame:
-    """The newest submission of each user and take, as a running aggregate (update or complete mode)."""
+    """The newest submission of each user and take, as a running aggregate (update or complete mode). Of equal at_seq
+    the one whose fields sort last stands, as in ``feedback.latest_ratings``."""
     fields = [c for c in submissions.columns if c not in ("user_id", "take_id")]
-    newest = submissions.groupBy("user_id", "take_id").agg(F.max_by(F.struct(*fields), "at_seq").alias("r"))
+    newest = submissions.groupBy("user_id", "take_id").agg(F.max_by(F.struct(*fields), feedback.recency(fields)).alias("r"))
     return newest.select("user_id", "take_id", "r.*")
 
 
@@ -59,15 +61,17 @@ def feedback_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def ingest_takes(path: str, options: audio.PitchOptions = audio.PitchOptions()) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: new files (path, content) through the whole chain into notes, events and status, each
-    under its batch's folder, so a replay overwrites its own batch."""
+    """foreachBatch writer: new files (path, content) through the whole chain, each table under its batch's folder, so a
+    replay overwrites its own batch. Files are decoded once and frames are found once for all tables."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunks = decode_files(batch, options)
-        done = transcribe(chunks.where(F.col("error").isNull()), options)
-        for name, table in (("notes", done.notes), ("events", done.events), ("status", done.status)):
-            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        chunks = stage(decode_files(batch, options), "chunks")
+        done = transcribe(chunks, options)
         failed = chunks.where(F.col("error").isNotNull()).select("take_id", "path", "error")
-        failed.write.mode("overwrite").parquet(f"{path}/errors/batch={batch_id}")
+        tables = {"notes": done.notes, "events": done.events, "status": done.status, "funnel": done.funnel, "summary": done.summary, "errors": failed}
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        for held in (done.notes, done.frames, chunks):
+            unstage(held)
 
     return write

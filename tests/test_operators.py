@@ -147,28 +147,107 @@ def test_fused_walk_equals_the_steps(spark):
     assert counts.where("too_quiet + no_pitch + detected <> windows").count() == 0
 
 
-def test_octave_walk():
+def walked(walk, columns, rng=None):
+    """Output of a walk fed whole, or in random parts."""
+    columns = [np.asarray(c, dtype=float) for c in columns]
+    cuts = sorted(rng.integers(0, len(columns[0]) + 1, size=5).tolist()) if rng is not None else []
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(columns[0])]):
+        out += walk.feed(*(c[a:b] for c in columns))
+    return out + walk.finish()
+
+
+def folded(hz, clarity, options=track.SmoothOptions(), rng=None):
+    got = walked(track._IslandWalk(options), [np.arange(len(hz)), hz, clarity], rng)
+    assert [k for k, _ in got] == list(range(len(hz)))
+    return np.array([x for _, x in got])
+
+
+def test_octaves_are_folded():
     flat = np.full(12, 220.0)
     jump = flat.copy()
     jump[4:9] = 440.0
     clear, weak = np.full(12, 0.95), np.where((np.arange(12) >= 4) & (np.arange(12) < 9), 0.7, 0.95)
-    options = track.SmoothOptions()
-    assert np.allclose(track.octave_walk(jump, clear, options), flat)
+    assert np.allclose(folded(jump, clear), flat)
     risen = np.where(np.arange(12) < 4, 220.0, 440.0)  # less clear than before: left alone, and what follows folds onto it
-    assert np.allclose(track.octave_walk(jump, weak, options), risen)
-    assert np.allclose(track.octave_walk(jump, np.full(12, np.nan), options), flat)  # no clarity: no test
+    assert np.allclose(folded(jump, weak), risen)
+    assert np.allclose(folded(jump, np.full(12, np.nan)), flat)  # no clarity: no test
     short = flat.copy()
     short[5:7] = 440.0
-    assert np.allclose(track.octave_walk(short, clear, options), np.where(np.arange(12) < 5, 220.0, 440.0))  # too short to fold; the way back folds
-
-
-def test_merge_and_snap():
+    assert np.allclose(folded(short, clear), np.where(np.arange(12) < 5, 220.0, 440.0))  # too short to fold; the way back folds
+    two = flat.copy()
+    two[3:] = 880.0
+    assert np.allclose(folded(two, clear), flat)
+
+
+def plain_split(time, midi, options):
+    """Notes of a run by the definition, with whole lists."""
+    r, out, first, held = options.median_radius, [], 0, []
+    for k, value in enumerate(midi):
+        near = sorted(midi[max(0, k - r) : k + r + 1])
+        held = sorted([*held, value])
+        if len(held) > r and abs(near[len(near) // 2] - held[len(held) // 2]) > options.split_semitones:
+            out.append((time[first], time[k - 1] + options.frame_duration, held[len(held) // 2]))
+            first, held = k, [value]
+    return [*out, (time[first], time[-1] + options.frame_duration, held[len(held) // 2])]
+
+
+def test_walks_do_not_depend_on_how_rows_arrive():
+    rng, options = np.random.default_rng(5), track.SegmentOptions()
+    for _ in range(60):
+        n = int(rng.integers(1, 80))
+        midi = np.repeat(rng.integers(55, 70, size=n // 6 + 1), 6)[:n] + rng.choice([0, 12, -12, 24], size=n // 4 + 1, p=[0.7, 0.1, 0.1, 0.1]).repeat(4)[:n] + rng.normal(0, 0.2, n)
+        hz, clarity, time = 440 * 2 ** ((midi - 69) / 12), rng.uniform(0.5, 1, n), np.arange(n) * options.frame_duration
+        assert np.array_equal(folded(hz, clarity), folded(hz, clarity, rng=rng))
+        runs = walked(track._RunWalk(options), [time, hz])
+        assert runs == walked(track._RunWalk(options), [time, hz], rng)
+        assert np.allclose([r[:3] for r in runs], plain_split(time.tolist(), (69 + 12 * np.log2(hz / 440)).tolist(), options))
+        starts = np.cumsum(rng.uniform(0.05, 0.4, n))
+        notes = [starts, starts + rng.uniform(0.04, 0.5, n), np.round(midi, 1), np.ones(n)]
+        spaced = [*notes, np.full(n, rng.choice([0.25, np.nan]))]
+        for make, columns in ((lambda: track.MergeWalk(options), notes), (lambda: track.SnapWalk(options), spaced), (grid.OverlapWalk, [np.floor(starts * 8), *[np.ones(n) * 3, midi, clarity]])):
+            assert walked(make(), columns) == walked(make(), columns, rng)
+
+
+def test_running_median():
+    rng, median, held = np.random.default_rng(3), track.RunningMedian(), []
+    for value in rng.integers(0, 30, size=400).tolist():
+        median.add(value)
+        held.append(value)
+        assert median.value() == sorted(held)[len(held) // 2] and len(median) == len(held)
+
+
+def test_merge_and_snap(spark):
     options = track.SegmentOptions()
-    assert track.merge_walk([[0, 0.2, 60, 0.5], [0.25, 0.4, 60.3, 0.7], [0.5, 0.6, 60.3, 1]], options) == [[0, 0.4, 60.15, 0.7], [0.5, 0.6, 60.3, 1]]
-    uneven = [[0, 0.48, 60, 1], [0.52, 1.0, 62, 1], [1.0, 1.5, 64, 1], [1.49, 2.0, 65, 1]]
-    snapped = track.snap_walk(uneven, options)
-    assert all(a[1] <= b[0] + 1e-9 or abs(a[1] - b[0]) < 0.05 for a, b in zip(snapped, snapped[1:])) and snapped[1][0] != 0.52
-    assert track.snap_walk(uneven[:2], options) == uneven[:2]
+    merged = walked(track.MergeWalk(options), zip(*[[0, 0.2, 60, 0.5], [0.25, 0.4, 60.3, 0.7], [0.5, 0.6, 60.3, 1]]))
+    assert merged == [(1, 0, 0.4, 60.15, 0.7), (2, 0.5, 0.6, 60.3, 1)]
+    schema = "take_id string, start_s double, end_s double, midi double, confidence double"
+    uneven = [("a", 0.0, 0.48, 60.0, 1.0), ("a", 0.52, 1.0, 62.0, 1.0), ("a", 1.0, 1.5, 64.0, 1.0), ("a", 1.49, 2.0, 65.0, 1.0)]
+    few = [("b", *row[1:]) for row in uneven[:2]]
+    notes = spark.createDataFrame(uneven + few, schema)
+    spacing = {r.take_id: r.spacing for r in track.with_spacing(notes, options).collect()}
+    assert spacing == {"a": pytest.approx(0.49), "b": None}
+    got = [tuple(r) for r in track.snap_boundaries(notes, options).orderBy("take_id", "rn").collect()]
+    snapped = got[:4]
+    assert all(a[3] <= b[2] + 1e-9 or abs(a[3] - b[2]) < 0.05 for a, b in zip(snapped, snapped[1:])) and snapped[1][2] != 0.52
+    assert [(r[0], *r[2:]) for r in got[4:]] == few
+
+
+def test_a_take_of_any_size_passes_in_batches(spark):
+    """One take, one stretch, many Arrow batches: the walk's state goes on over them."""
+    n = 30_000
+    frames = spark.range(n).select(
+        F.lit(1).cast("long").alias("take_id"), F.col("id").alias("frame_idx"), (F.col("id") * 512 / 44100).alias("time"),
+        (440 * F.pow(F.lit(2.0), F.floor(F.col("id") / 5000) * 2 / 12)).alias("hz"), F.lit(0.95).alias("clarity"), F.lit(0.05).alias("rms"),
+    )
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = track.track_to_notes(frames).orderBy("rn").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [round(r.midi) for r in got] == [69 + 2 * k for k in range(6)]
+    assert abs(got[-1].end_s - n * 512 / 44100) < 0.05
 
 
 def test_empty_take_is_one_bar_of_rest(spark):
@@ -223,6 +302,74 @@ def test_wav_corpus(spark, tmp_path):
     assert len(found) == 2 and all(abs(r.hz - 440) < 2 and r.n == (44100 - 4096) // 512 + 1 for r in found)
 
 
+def broken(data, at, value):
+    return data[:at] + value.to_bytes(4 if at == 24 else 2, "little") + data[at + (4 if at == 24 else 2) :]
+
+
+def test_broken_headers_are_errors(spark):
+    whole = wav_bytes(tone(440, 44100) * 0.4)
+    files = {"channels": broken(whole, 22, 0), "rate": broken(whole, 24, 0), "cut": whole[:30], "format": broken(whole, 20, 3), "good": whole, "empty": b"", "none": None}
+    rows = spark.createDataFrame([(k, bytearray(v) if v is not None else None) for k, v in files.items()], "path string, content binary")
+    got = {r.path: r.error for r in wav.decode_files(rows).groupBy("path").agg(F.max("error").alias("error")).collect()}
+    assert set(got) == set(files) and [k for k, e in got.items() if e is None] == ["good"]
+    assert got["channels"] == got["rate"] == "no channels or no sample rate"
+
+
+def test_every_take_has_a_status_and_its_own_preset(spark):
+    seconds = {"low": (41.2, 2.0), "high": (523.25, 2.0), "brief": (440.0, 0.05), "silent": (0.0, 1.0)}
+    takes = {name: k for k, name in enumerate(seconds)}
+    options = audio.PitchOptions()
+    chunks = []
+    for name, (hz, length) in seconds.items():
+        x = tone(hz, int(44100 * length), harmonics=((1, 0.5), (2, 0.2))) * (0.4 if hz else 0)
+        chunks += [(takes[name], int(start), int(core), part.tolist(), None) for _, _, start, core, part in audio.chunk_signal(takes[name], x, options)]
+    chunks.append((9, 0, 0, [], "not a RIFF/WAVE file"))
+    df = spark.createDataFrame(chunks, "take_id long, start_sample long, n_core int, samples array<float>, error string")
+    presets = spark.createDataFrame([(takes["low"], "piano"), (takes["high"], "soprano"), (takes["silent"], "robot")], "take_id long, voice_range string")
+    done = transcribe(df, options, presets)
+    own = {r.take_id: (r.range_id, r.window) for r in done.takes.collect()}
+    assert own == {0: ("piano", 8192), 1: ("soprano", 2048), 2: ("auto", 4096), 3: ("auto", 4096), 9: ("auto", 4096)}
+    assert {r.take_id: r.status for r in done.status.collect()} == {0: "done", 1: "done", 2: "no_pitch", 3: "no_pitch", 9: "error"}
+    notes = {r.take_id: round(r.midi) for r in done.notes.collect()}
+    assert notes == {0: 28, 1: 72}  # the lowest e of a bass is beyond the range of auto
+    assert {r.take_id: r.verdict for r in done.verdicts.collect()} == {0: "ok", 1: "ok", 2: "no_pitch", 3: "no_pitch", 9: "no_pitch"}
+    funnel = {r.take_id: round(r.window_ms) for r in done.funnel.collect()}
+    assert funnel == {0: 186, 1: 46, 3: 93}
+    summary = {r.take_id: (r.note_events > 0, r.honesty) for r in done.summary.collect()}
+    assert set(summary) == {0, 1}
+    for table in (done.notes, done.events, done.status, done.funnel, done.summary, done.sources, done.confidences, done.verdicts, done.frames, done.grids):
+        assert "samples" not in table._jdf.queryExecution().toString(), "the kernel ran once, when frames were written"
+    assert transcribe(df, options).takes.where("window = 4096 and range_id = 'auto'").count() == 5
+
+
+def test_frames_at_time_over_gaps_and_ends(spark):
+    from melospark.operators import evaluate
+
+    frames = spark.createDataFrame([(1, k, k * 1.0, 100.0 + k, 0.9) for k in (2, 3, 7, 30)], "take_id long, frame_idx long, time double, hz double, clarity double")
+    asked = spark.createDataFrame([(1, t, "x") for t in (0.0, 1.99, 2.0, 3.5, 6.99, 7.0, 29.0, 30.0, 500.0)] + [(2, 5.0, "x")], "take_id long, t double, tag string")
+    got = {(r.take_id, r.t): r.frame_idx for r in evaluate.frames_at_time(frames, asked).collect()}
+    assert got == {(1, 0.0): None, (1, 1.99): None, (1, 2.0): 2, (1, 3.5): 3, (1, 6.99): 3, (1, 7.0): 7, (1, 29.0): 7, (1, 30.0): 30, (1, 500.0): 30, (2, 5.0): None}
+    assert evaluate.frames_at_time(frames, asked).columns == ["take_id", "t", "tag", "frame_idx", "time", "hz", "clarity"]
+
+
+def test_ties_inside_a_bar(spark):
+    rows = [(1, 0, "note", 0, 4, 60, True, 0), (1, 1, "note", 4, 4, 60, False, 0), (1, 2, "note", 8, 4, 60, True, 0), (1, 3, "note", 12, 4, 62, True, 0), (1, 4, "note", 16, 4, 62, False, 1)]
+    events = spark.createDataFrame(rows, "take_id long, event_idx long, kind string, start long, duration long, midi long, tie boolean, measure_idx long")
+    assert [tuple(r) for r in score.tie_pairs(events).collect()] == [(1, 0, 1)]
+
+
+def test_equal_ratings_in_time_are_ordered(spark):
+    from melospark.streaming import streams
+
+    rows = [(1, "a", 5, "bad", "x"), (1, "a", 5, "good", "y"), (1, "a", 5, "bad", "z"), (1, "b", 5, "bad", "q")]
+    schema = "user_id long, take_id string, at_seq long, verdict string, source string"
+    for order in (rows, rows[::-1], [rows[1], rows[3], rows[0], rows[2]]):
+        df = spark.createDataFrame(order, schema)
+        kept = {(r.take_id, r.source) for r in feedback.feedback_upsert(df).collect()}
+        assert kept == {(r.take_id, r.source) for r in streams.latest_feedback(df).collect()} == {("a", "z"), ("b", "q")}, "of equal times the one with the largest source"
+        assert [r.take_id for r in feedback.recent_feedback(feedback.latest_ratings(df), 1).collect()] == ["a"]
+
+
 def test_feedback_json_is_read_tolerantly(spark, tmp_path):
     good = '{"verdict":"good","takeId":"t","comment":"","notes":[],"rhythm":[],"issues":["x"]}'
     rows = [(1, "not json"), (2, '{"verdict":"maybe"}'), (3, "[1,2,3]"), (4, "null"), (5, good), (6, f"[{good},{good.replace('good', 'meh')},{good}]"), (7, None), (8, "[" + ",".join([good] * 25) + "]")]
