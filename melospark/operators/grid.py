@@ -27,6 +27,14 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def upper_median_by(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """(key, name): the upper median of each key's values, nulls left out; by rank, so no group is gathered."""
+    held = df.select(key, value.alias(name)).where(F.col(name).isNotNull())
+    whole = Window.partitionBy(key)
+    ranked = held.withColumns({"place": F.row_number().over(whole.orderBy(name)), "n": F.count(F.lit(1)).over(whole)})
+    return ranked.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select(key, name)
+
+
 def onset_intervals(notes: DataFrame) -> DataFrame:
     """Inter-onset and end-to-start gaps: take_id, rn, start_s, interval, gap (null for a first note)."""
     order = Window.partitionBy("take_id").orderBy("start_s", "rn")
@@ -39,17 +47,51 @@ def onset_intervals(notes: DataFrame) -> DataFrame:
     )
 
 
-def take_spans(notes: DataFrame) -> DataFrame:
-    """take_id, origin, span, n, intervals (those over 10 ms, in order), reference (their upper median, or span)."""
-    gaps = notes.withColumn("step", F.col("start_s") - F.lag("start_s").over(Window.partitionBy("take_id").orderBy("start_s", "rn")))
-    found = gaps.groupBy("take_id").agg(
-        F.min("start_s").alias("origin"),
-        F.max("end_s").alias("last"),
-        F.count(F.lit(1)).alias("n"),
-        F.sort_array(F.collect_list(F.when(F.col("step") > 0.01, F.struct("start_s", "step")))).alias("held"),
+def with_spans(notes: DataFrame) -> DataFrame:
+    """Each note with its take's origin, span, n and reference (the upper median of the steps between onsets over 10
+    ms, or the span); its own step if it is one of these, and that step's place; and whether it is the take's first
+    row. Windows by take, which share one shuffle; no take is gathered."""
+    take = Window.partitionBy("take_id")
+    step = F.col("start_s") - F.lag("start_s").over(take.orderBy("start_s", "rn"))
+    timed = notes.withColumn("step", step).withColumn("step", F.when(F.col("step") > 0.01, F.col("step")))
+    counted = F.col("step").isNotNull()
+    placed = timed.withColumns(
+        {
+            "origin": F.min("start_s").over(take),
+            "span": F.max("end_s").over(take) - F.min("start_s").over(take),
+            "n": F.count(F.lit(1)).over(take),
+            "steps": F.count("step").over(take),
+            "rank": F.row_number().over(take.orderBy(F.asc_nulls_last("step"))),
+            "at": F.sum(counted.cast("long")).over(take.orderBy("start_s", "step").rowsBetween(Window.unboundedPreceding, 0)) - 1,
+            "first": F.row_number().over(take.orderBy("start_s", "step")) == 1,
+        }
     )
-    found = found.withColumn("intervals", F.col("held.step")).withColumn("span", F.col("last") - F.col("origin"))
-    return found.select("take_id", "origin", "span", "n", "intervals", F.coalesce(upper_median(F.col("intervals")), F.col("span")).alias("reference"))
+    middle = F.max(F.when(counted & (F.col("rank") == F.floor(F.col("steps") / 2) + 1), F.col("step"))).over(take)
+    return placed.withColumn("reference", F.coalesce(middle, F.col("span"))).drop("steps", "rank")
+
+
+def _candidates(notes: DataFrame, options: GridOptions) -> DataFrame:
+    """``grid_candidates`` with origin, span, n and reference of the take."""
+    k = options.steps_per_interval
+    none = F.array().cast("array<struct<seed: double, at: bigint>>")
+
+    def seed(value: Column, at: Column) -> Column:
+        return F.struct(value.cast("double").alias("seed"), at.cast("long").alias("at"))
+
+    by_interval = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda d: seed(F.col("step") / d, F.col("at") * k + d))
+    by_reference = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda d: seed(F.col("reference") * d, F.lit(10**9) + d))
+    sweep = [60 / bpm * 0.5 for bpm in range(options.min_bpm, options.max_bpm + 1, 8)]
+    by_sweep = F.array(*(seed(F.lit(s), F.lit(2 * 10**9 + j)) for j, s in enumerate(sweep)))
+    of_note = F.when(F.col("step").isNotNull(), by_interval).otherwise(none)
+    of_take = F.when(F.col("first"), F.concat(by_reference, by_sweep)).otherwise(none)
+    own = ("take_id", "origin", "span", "n", "reference")
+    seeds = with_spans(notes).where("span > 0").select(*own, F.explode(F.concat(of_note, of_take)).alias("s"))
+    steps = F.explode(F.array(*(F.struct(F.lit(b).alias("beats"), F.lit(j).alias("j")) for j, b in enumerate(options.beats_per_step))))
+    tempi = seeds.where("s.seed > 0").select(*own, "s.seed", "s.at", steps.alias("b"))
+    bpm = 60 / (F.col("seed") / F.col("b.beats"))
+    rated = tempi.select(*own, bpm.alias("exact"), F.col("b.beats").alias("beats_per_step"), (F.col("at") * 3 + F.col("b.j")).alias("place"))
+    kept = rated.where(F.col("exact").between(options.min_bpm, options.max_bpm)).withColumn("bpm", round_half_up(F.col("exact")))
+    return kept.groupBy("take_id", "bpm", "beats_per_step").agg(F.min("place").alias("place"), *(F.any_value(c).alias(c) for c in own[1:]))
 
 
 def grid_candidates(notes: DataFrame, options: GridOptions = GridOptions()) -> DataFrame:
@@ -58,21 +100,7 @@ def grid_candidates(notes: DataFrame, options: GridOptions = GridOptions()) -> D
     Seeds are every interval over 1..12, one to four times the reference interval, and a sweep of tempi. At
     most 169 tempi times the step values remain for a take, however many notes it has.
     """
-    spans = take_spans(notes)
-    k = options.steps_per_interval
-    by_interval = F.flatten(
-        F.transform("intervals", lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda d: F.struct((x / d).alias("seed"), (i * k + d).cast("long").alias("at"))))
-    )
-    by_reference = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda d: F.struct((F.col("reference") * d).alias("seed"), (F.lit(10**9) + d).cast("long").alias("at")))
-    sweep = [60 / bpm * 0.5 for bpm in range(options.min_bpm, options.max_bpm + 1, 8)]
-    by_sweep = F.array(*(F.struct(F.lit(s).alias("seed"), F.lit(2 * 10**9 + j).cast("long").alias("at")) for j, s in enumerate(sweep)))
-    seeds = spans.where("span > 0").select("take_id", F.explode(F.concat(by_interval, by_reference, by_sweep)).alias("s"))
-    steps = F.explode(F.array(*(F.struct(F.lit(b).alias("beats"), F.lit(j).alias("j")) for j, b in enumerate(options.beats_per_step))))
-    tempi = seeds.where("s.seed > 0").select("take_id", "s.seed", "s.at", steps.alias("b"))
-    bpm = 60 / (F.col("seed") / F.col("b.beats"))
-    rated = tempi.select("take_id", bpm.alias("exact"), F.col("b.beats").alias("beats_per_step"), (F.col("at") * 3 + F.col("b.j")).alias("place"))
-    kept = rated.where(F.col("exact").between(options.min_bpm, options.max_bpm))
-    return kept.groupBy("take_id", round_half_up(F.col("exact")).alias("bpm"), "beats_per_step").agg(F.min("place").alias("place"))
+    return _candidates(notes, options).select("take_id", "bpm", "beats_per_step", "place")
 
 
 def tempo_cost(bpm: Column) -> Column:
@@ -86,8 +114,7 @@ def infer_grid(notes: DataFrame, options: GridOptions = GridOptions()) -> DataFr
     Candidates are deduplicated before they meet the notes, so the fan-out is bounded by 507 per note; the sums
     are partially aggregated. Takes without a usable candidate get 120 bpm in half-beat steps.
     """
-    spans = take_spans(notes).select("take_id", "origin", "span", "n", "reference")
-    cands = grid_candidates(notes, options).join(spans, "take_id").withColumn("sps", 60 / F.col("bpm") * F.col("beats_per_step"))
+    cands = _candidates(notes, options).withColumn("sps", 60 / F.col("bpm") * F.col("beats_per_step"))
     timed = notes.select("take_id", "start_s", "end_s")
     pairs = cands.where(F.col("sps") * 2 <= F.col("span")).join(timed, "take_id")
     start, end, sps = F.col("start_s") - F.col("origin"), F.col("end_s") - F.col("origin"), F.col("sps")
@@ -112,7 +139,7 @@ def infer_grid(notes: DataFrame, options: GridOptions = GridOptions()) -> DataFr
         F.min_by(F.struct("bpm", "beats_per_step", "sps", "cost"), F.struct(F.round("cost", 9), "place")).alias("b")
     )
     default = F.struct(F.lit(120).cast("long").alias("bpm"), F.lit(0.5).alias("beats_per_step"), F.lit(0.25).alias("sps"), F.lit(0.0).alias("cost"))
-    return spans.select("take_id").join(best, "take_id", "left").select("take_id", F.coalesce("b", default).alias("b")).select(
+    return notes.select("take_id").distinct().join(best, "take_id", "left").select("take_id", F.coalesce("b", default).alias("b")).select(
         "take_id",
         "b.bpm",
         "b.beats_per_step",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import confidence, confidence_label, frame_class, hz_to_midi, round_half_up
-from melospark.operators.grid import upper_median
+from melospark.operators.grid import upper_median_by
 
 MAX_SPAN, MAX_LEAP_SHARE = 26, 0.18
 LEAP, REPEAT = 7, 0.5
@@ -115,9 +115,9 @@ def signal_profile(samples: DataFrame, frames: DataFrame, sample_rate: int) -> D
         F.min(F.when(voiced, hz_to_midi(F.col("hz")))).alias("min_midi"),
         F.max(F.when(voiced, hz_to_midi(F.col("hz")))).alias("max_midi"),
         hz_to_midi(F.avg(F.when(voiced, F.col("hz")))).alias("centre_midi"),
-        upper_median(F.collect_list(F.when(voiced, F.col("clarity")))).alias("median_clarity"),
     )
-    return signal.join(track, "take_id", "left")
+    clarity = upper_median_by(frames, "take_id", F.when(voiced, F.col("clarity")), "median_clarity")
+    return signal.join(track, "take_id", "left").join(clarity, "take_id", "left")
 
 
 def silence_runs(smoothed: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def silence_runs(smoothed: DataFrame) -> DataFrame:
 def loss_funnel(frames: DataFrame, filtered: DataFrame, smoothed: DataFrame, notes: DataFrame, window_ms: float, rms_floor: float = RMS_FLOOR) -> DataFrame:
     """One row per take with frames: what was lost at each step. ``filtered`` carries drop_reason (floor, ratio)."""
     counts = frame_counts(frames, rms_floor)
-    clarity = frames.groupBy("take_id").agg(upper_median(F.collect_list(F.when(F.col("hz") > 0, F.col("clarity")))).alias("median_clarity"))
+    clarity = upper_median_by(frames, "take_id", F.when(F.col("hz") > 0, F.col("clarity")), "median_clarity")
     dropped = filtered.groupBy("take_id").agg(
         F.count_if(F.col("drop_reason") == "floor").alias("dropped_floor"), F.count_if(F.col("drop_reason") == "ratio").alias("dropped_ratio")
     )

@@ -194,6 +194,27 @@ def str4_ingest_takes(spark, d):
     return spark.read.parquet(f"{path}/status").join(named, "take_id").select("path", "status", "error")
 
 
+def pitch_of_seconds(spark, d, window: int) -> DataFrame:
+    """Frames at 44.1 kHz of one second for each vector, which is repeated 690 times: a period of 64 samples, 689 Hz."""
+    options = audio.PitchOptions(window=window)
+    samples = F.flatten(F.array_repeat(F.transform("embedding", lambda v: v.cast("float")), 690))
+    chunks = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("take_id"), F.lit(0).cast("long").alias("start_sample"), F.lit(44_160).alias("n_core"), samples.alias("samples"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # a few bytes of vectors become many samples
+    f = audio.pitch_track(chunks.repartition(parts, "take_id"), options)
+    return f.select("take_id", "frame_idx", F.round("time", 9).alias("time"), *(r6(F.col(c), c) for c in ("hz", "clarity", "rms")))
+
+
+@query()
+def frm5_pitch_44k_4096(spark, d):
+    """The rate and window whose cost is published."""
+    return pitch_of_seconds(spark, d, 4096)
+
+
+@query()
+def frm5_pitch_44k_8192(spark, d):
+    return pitch_of_seconds(spark, d, 8192)
+
+
 @query(f"""
 with t as (select take_id, count(*) filter (where hz > 0) / count(*) as voiced_share, min(case when hz > 0 then 69 + 12 * log2(hz / 440) end) as lo, max(case when hz > 0 then 69 + 12 * log2(hz / 440) end) as hi,
    69 + 12 * log2(avg(case when hz > 0 then hz end) / 440) as centre, list_sort(list(clarity) filter (where hz > 0))[cast(floor(count(*) filter (where hz > 0) / 2) as bigint) + 1] as clarity from {FR} group by take_id),

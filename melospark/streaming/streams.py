@@ -71,7 +71,7 @@ def ingest_takes(path: str, options: audio.PitchOptions = audio.PitchOptions())
         tables = {"notes": done.notes, "events": done.events, "status": done.status, "funnel": done.funnel, "summary": done.summary, "errors": failed}
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-        for held in (done.notes, done.frames, chunks):
+        for held in (done.notes, done.frames, done.takes, chunks):
             unstage(held)
 
     return write
