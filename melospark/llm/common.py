@@ -1,77 +1,18 @@
-"""Shared folders and small helpers of the operators."""
+"""Small helpers of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from melospark.storage import shared_dir, stage, unstage
+
+__all__ = ["SPACE", "WORD", "shared_dir", "stage", "texts", "unstage", "without_space"]
+
 #: White space of the contracts: blank, tab, LF, VT, FF, CR.
 SPACE = "\x20\x09-\x0d"
 WORD = rf"[^{SPACE}]+"
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session that names none (tests, notebooks) gets a temporary folder; a cluster must name one,
-    since a folder of one machine would not hold what the others write.
-    """
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = context._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}"
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(path)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage, survives lost executors, and gives the planner the real size of what follows (a small
-    table is then broadcast by Spark's own threshold, a large one is shuffled). Removed when Python exits, or
-    before by ``unstage``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    read = spark.read.schema(df.schema).parquet(path)
-    read._staged_at = path
-    return read
-
-
-def unstage(df: DataFrame) -> None:
-    """Removes what ``stage`` wrote, for a table that is read no more."""
-    spark, path = df.sparkSession, df._staged_at
-    _delete(spark, path)
-    _staged.remove((spark, path))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _remove_staged() -> None:
-    for spark, path in _staged:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before Python
-            return
-
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, so that no further column can clash with those of an operator."""
