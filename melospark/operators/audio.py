@@ -241,6 +241,7 @@ def pitch_track(chunks: DataFrame, options: PitchOptions = PitchOptions()) -> Da
                 if held:
                     yield estimated(own, held)
 
-    return chunks.select("take_id", "start_sample", "n_core", "samples", *given).mapInPandas(
+    own = [F.coalesce(c, F.lit(fields[c])).alias(c) for c in given]
+    return chunks.select("take_id", "start_sample", "n_core", "samples", *own).mapInPandas(
         run, f"take_id {kind}, frame_idx long, time double, hz double, clarity double, rms double"
     )

@@ -8,6 +8,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class Walk(Protocol):
@@ -28,7 +29,12 @@ def ordered_walk(
     state of one walk. So a group may be of any size, and keys are islands or runs where these spread a long take.
     """
     sort = [c for c in order if c not in columns]
-    laid = df.select(*keys, *sort, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    types = {f.name: f.dataType for f in df.schema}
+    # A null key would turn a column of integers into doubles in pandas, so keys travel filled, with a flag.
+    filled = [F.coalesce(k, F.lit("0").cast(types[k])).alias(k) for k in keys]
+    flags = [f"no_{k}" for k in keys]
+    laid = df.select(*filled, *(F.col(k).isNull().alias(f) for k, f in zip(keys, flags, strict=True)), *sort, *columns)
+    laid = laid.repartition(*keys, *flags).sortWithinPartitions(*keys, *flags, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None
@@ -36,23 +42,25 @@ def ordered_walk(
         out: list[tuple] = []
 
         def made() -> pd.DataFrame:
-            frame = pd.DataFrame(out, columns=[*keys, *names])
+            columns = zip(*out, strict=True)
+            frame = {n: pd.Series(c, dtype=object if n in keys and None in c else None) for n, c in zip([*keys, *names], columns, strict=True)}
             out.clear()
-            return frame
+            return pd.DataFrame(frame)
 
         for pdf in batches:
             if not len(pdf):
                 continue
             new = np.zeros(len(pdf), dtype=bool)
-            for k in keys:
-                before = pdf[k].shift()
-                new |= (pdf[k].ne(before) & ~(pdf[k].isna() & before.isna())).to_numpy()
+            for k in (*keys, *flags):
+                values = pdf[k].to_numpy()
+                new[1:] |= values[1:] != values[:-1]
             new[0] = True
             starts = np.flatnonzero(new)
-            key_rows = list(pdf[keys].iloc[starts].itertuples(index=False, name=None))
+            key_rows = zip(*(pdf[k].iloc[starts].tolist() for k in keys), strict=True)
+            absent = zip(*(pdf[f].iloc[starts].tolist() for f in flags), strict=True)
             arrays = [pdf[c].to_numpy(dtype=float) for c in columns]
-            for key, a, b in zip(key_rows, starts, [*starts[1:], len(pdf)], strict=True):
-                key = tuple(None if pd.isna(x) else x for x in key)
+            for key, gone, a, b in zip(key_rows, absent, starts, [*starts[1:], len(pdf)], strict=True):
+                key = tuple(None if g else k for k, g in zip(key, gone, strict=True))
                 if walk is None or key != held:
                     if walk is not None:
                         out.extend((*held, *row) for row in walk.finish())
@@ -62,7 +70,7 @@ def ordered_walk(
                 yield made()
         if walk is not None:
             out.extend((*held, *row) for row in walk.finish())
-            yield made()
+            if out:
+                yield made()
 
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return laid.mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), schema]))
+    return laid.mapInPandas(run, ", ".join([*(f"{k} {types[k].simpleString()}" for k in keys), schema]))

@@ -250,6 +250,16 @@ def test_a_take_of_any_size_passes_in_batches(spark):
     assert abs(got[-1].end_s - n * 512 / 44100) < 0.05
 
 
+@pytest.mark.parametrize("kind, ids", [("long", [None, 2**62 + 1, 2**62 + 3, -5]), ("string", [None, "", "0", "x"])])
+def test_walks_keep_ids_as_they_are(spark, kind, ids):
+    rows = [(take, k, k * 0.5, k * 0.5 + 0.49, 60.0 + 3 * k, 1.0) for take in ids for k in range(3)]
+    notes = spark.createDataFrame(rows, f"take_id {kind}, rn long, start_s double, end_s double, midi double, confidence double")
+    got = track.merge_adjacent(notes)
+    assert got.schema["take_id"].dataType == notes.schema["take_id"].dataType
+    assert sorted((r.take_id is None, str(r.take_id), r.rn) for r in got.collect()) == sorted((i is None, str(i), k) for i in ids for k in (1, 2, 3))
+    assert track.merge_adjacent(notes.limit(0)).collect() == []
+
+
 def test_empty_take_is_one_bar_of_rest(spark):
     takes = spark.createDataFrame([(1,), (2,)], "take_id long")
     notes = demo_notes(spark).limit(0)
