@@ -44,14 +44,15 @@ def with_presets(takes: DataFrame, presets: DataFrame | None, options: audio.Pit
 
 def transcribe_notes(takes: DataFrame, notes: DataFrame, pad: bool = True) -> Transcription:
     """Key, tempo, score and verdict of every take with notes; takes without notes get status no_pitch, not an error.
+    Keys, grids and placed notes, which several tables need, are written once; give ``notes`` as a written table too.
     ``takes`` may carry error, and range_id, range_label, low_midi and high_midi (else the take is ``auto``)."""
     if "range_id" not in takes.columns:
         takes = keys.with_voice_range(takes.withColumn("voice_range", F.lit("auto")))
     found = takes.select("take_id").join(notes.select("take_id").distinct(), "take_id", "left_semi")
-    own = keys.with_default_key(found, keys.detect_key(notes))
-    grids = grid.infer_grid(notes)
+    own = stage(keys.with_default_key(found, keys.detect_key(notes)), "keys")
+    grids = stage(grid.infer_grid(notes), "grids")
     quantized = grid.resolve_overlaps(grid.steps_quantize(notes, grids))
-    walked = score.place_and_rest(score.placed_notes(quantized, grids, own))
+    walked = stage(score.place_and_rest(score.placed_notes(quantized, grids, own)), "walked")
     lengths = score.score_lengths(walked, found, pad=pad)
     events = score.split_at_barlines(score.pad_final_bar(walked, lengths))
     verdicts = quality.assess_input(quality.plausibility(notes, takes).join(takes.select("take_id", "range_id", "range_label", "low_midi", "high_midi"), "take_id"))
