@@ -126,13 +126,16 @@ _PROFILE = "(values " + ", ".join(
 ) + ") as p(tonic, mode, pc, w, mean, spread)"
 
 
-@query(f"""
+DETECTED = f"""(
 with h as (select take_id, {pc(rnd('midi'))} as pc, sum(end_s - start_s) as d from {N} group by 1, 2),
 t as (select take_id, sum(d) as whole, sum(d * d) - sum(d) * sum(d) / 12 as own from h group by take_id),
 x as (select take_id, tonic, mode, sum(d * w) as dw, any_value(mean) as mean, any_value(spread) as spread from h join {_PROFILE} on p.pc = h.pc group by 1, 2, 3),
 s as (select x.take_id, tonic, mode, case when own <= 1e-12 then 0 else (dw - whole * mean) / sqrt(own * spread) end as score from x join t on t.take_id = x.take_id),
 r as (select take_id, list({{'tonic': tonic::int, 'mode': mode, 'score': round(score, 6)}} order by round(score, 9) desc, tonic, mode) as k from s group by take_id)
-select take_id, k[1].tonic as tonic, k[1].mode as mode, k[1].score as score, k[2].tonic as alt_tonic, k[2].mode as alt_mode, k[2].score as alt_score from r""")
+select take_id, k[1].tonic as tonic, k[1].mode as mode, k[1].score as score, k[2].tonic as alt_tonic, k[2].mode as alt_mode, k[2].score as alt_score from r)"""
+
+
+@query(f"select * from {DETECTED}")
 def agg2_top1_detect_key(spark, d):
     return keys.detect_key(A.notes(spark, d)).withColumns({"score": F.round("score", 6), "alt_score": F.round("alt_score", 6)})
 
@@ -160,7 +163,7 @@ def grd1_grid_candidates(spark, d):
     return grid.grid_candidates(A.notes(spark, d))
 
 
-@query(f"""
+INFERRED = f"""(
 with c as (select x.*, s.* exclude (take_id), 60 / x.bpm::double * beats_per_step as sps from {_CANDIDATES} x join {_SPANS} s on s.take_id = x.take_id),
 p as (select c.*, abs(floor((n.start_s - origin) / sps + 0.5) * sps - (n.start_s - origin)) + abs(floor((n.end_s - origin) / sps + 0.5) * sps - (n.end_s - origin)) as off,
         1 + sqrt(n.end_s - n.start_s) as w, (n.end_s - n.start_s) / sps < 0.5 as short from c join {N} n on n.take_id = c.take_id where sps * 2 <= span),
@@ -168,9 +171,12 @@ a as (select take_id, bpm, beats_per_step, sps, place, sum(off * w) / sum(w) / a
         + abs(log2(greatest(1e-6, any_value(reference) / sps))) * 0.12 + (1 / beats_per_step - 1) * 0.25
         + 0.03 + 0.03 * exp(-0.5 * pow((bpm - 108) / 70, 2)) + count(*) filter (where short) / any_value(n) * 2 as cost from p group by take_id, bpm, beats_per_step, sps, place),
 b as (select *, row_number() over (partition by take_id order by round(cost, 9), place) as nth from a)
-select t.take_id, coalesce(bpm, 120) as bpm, coalesce(beats_per_step, 0.5) as beats_per_step, round(coalesce(sps, 0.25), 6) as seconds_per_step,
-  {rnd('4 / coalesce(beats_per_step, 0.5)')} as steps_per_measure, round(coalesce(cost, 0), 6) as cost
-from {T} t left join b on b.take_id = t.take_id and nth = 1""")
+select t.take_id, coalesce(bpm, 120) as bpm, coalesce(beats_per_step, 0.5) as beats_per_step, coalesce(sps, 0.25) as seconds_per_step,
+  {rnd('4 / coalesce(beats_per_step, 0.5)')} as steps_per_measure, coalesce(cost, 0) as cost
+from {T} t left join b on b.take_id = t.take_id and nth = 1)"""
+
+
+@query(f"select take_id, bpm, beats_per_step, round(seconds_per_step, 6) as seconds_per_step, steps_per_measure, round(cost, 6) as cost from {INFERRED}")
 def grd2_joi3_infer_grid(spark, d):
     found = grid.infer_grid(A.notes(spark, d))
     return found.withColumns({"seconds_per_step": F.round("seconds_per_step", 6), "cost": F.round("cost", 6)})

@@ -11,8 +11,8 @@ from melospark import adapters as A
 from melospark.functions import pitch
 from melospark.operators import audio, quality, track
 from melospark.plans.transcribe import transcribe_frames
-from melospark.queries.common import C, FR, LEAPS, N, S, query, rnd
-from melospark.queries.scores import level_notes, r6
+from melospark.queries.common import C, EVENTS, FR, G, K, LEAPS, N, S, T, pc, query, rnd
+from melospark.queries.scores import DETECTED, INFERRED, level_notes, r6
 from melospark.sources import synth, wav
 from melospark.storage import shared_dir
 from melospark.streaming import streams
@@ -97,14 +97,17 @@ def frm3_frm4_pitch(spark, d):
     return signals(spark, d).select("take_id", estimate.alias("p")).select("take_id", r6(F.col("p.hz"), "hz"), r6(F.col("p.clarity"), "clarity"), r6(F.col("p.rms"), "rms"))
 
 
-@query(f"""
+LIVE_PITCH = f"""(
 with s as (select take_id, list(x order by i) as x, sqrt(avg(x * x)) as rms from {S} group by take_id),
 l as (select take_id, x, rms, unnest(range(1, 63)) as lag from s where rms >= 0.008),
 c as (select take_id, lag, list_sum(list_transform(range(0, 64 - lag, 2), lambda i: x[i + 1] * x[i + 1 + lag])) /
     (sqrt(list_sum(list_transform(range(0, 64 - lag, 2), lambda i: x[i + 1] * x[i + 1])) * list_sum(list_transform(range(0, 64 - lag, 2), lambda i: x[i + 1 + lag] * x[i + 1 + lag]))) + 1e-9) as score
   from l where lag >= 1 and lag < 11),
 b as (select *, row_number() over (partition by take_id order by round(score, 9) desc, lag) as nth from c)
-select s.take_id, round(coalesce(case when score >= 0.5 then 800.0 / lag end, 0), 6) as hz from s left join b on b.take_id = s.take_id and nth = 1""")
+select s.take_id, round(coalesce(case when score >= 0.5 then 800.0 / lag end, 0), 6) as hz from s left join b on b.take_id = s.take_id and nth = 1)"""
+
+
+@query(f"select * from {LIVE_PITCH}")
 def frm6_live_pitch(spark, d):
     return signals(spark, d).select("take_id", r6(audio.live_pitch_of(800)("samples"), "hz"))
 
@@ -376,10 +379,27 @@ def win10_snap_boundaries(spark, d):
     return track.snap_boundaries(A.notes(spark, d)).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})  # halves of millionths go up
 
 
-def notes_sql(frames: str) -> str:
+def whole_notes_sql(frames: str) -> str:
     """Notes of frames, through every step."""
-    kept = f"(select *, row_number() over (partition by take_id order by start_s) as rn from {split_sql(smoothed_sql(frames))} where end_s - start_s >= 0.05)"
-    return f"""select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {snap_sql(merge_sql(kept))}"""
+    return snap_sql(merge_sql(f"(select *, row_number() over (partition by take_id order by start_s) as rn from {split_sql(smoothed_sql(frames))} where end_s - start_s >= 0.05)"))
+
+
+def notes_sql(frames: str) -> str:
+    return f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {whole_notes_sql(frames)}"
+
+
+def score_sql(frames: str) -> str:
+    """Score events of frames: the SQL of the steps after the notes, with these notes and what is inferred from them in
+    place of the adapters' notes, takes, grids and keys."""
+
+    def of_these(sql: str) -> str:
+        for adapter, own in ((G, "own_grids"), (K, "own_keys"), (T, "own_takes"), (N, "own_notes")):
+            sql = sql.replace(adapter, own)
+        return sql
+
+    return f"""with own_notes as materialized (select * from {whole_notes_sql(frames)}), own_takes as (select distinct take_id from own_notes),
+own_grids as materialized (select * from {of_these(INFERRED)}), own_keys as materialized (select take_id, tonic, mode from {of_these(DETECTED)})
+select * from {of_these(EVENTS)}"""
 
 
 @query(notes_sql(FR))
@@ -434,14 +454,19 @@ def str2_live_voiced_runs(spark, d):
     return runs.select("take_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "frames", r6(F.col("mean_clarity"), "mean_clarity"))
 
 
-@query()
+_LIVE_NAME = f"(['C', 'C♯', 'D', 'E♭', 'E', 'F', 'F♯', 'G', 'A♭', 'A', 'B♭', 'B'])[{pc('m')} + 1] || (cast(floor(m / 12) as bigint) - 1)"
+
+
+@query(f"""select take_id, level, hz, case when hz > 0 then {_LIVE_NAME} else '—' end as pitch, case when hz > 0 then printf('%.1f Hz', round(hz, 1)) else 'listening' end as detail
+  from (select p.take_id, hz, case when hz > 0 then {rnd('69 + 12 * log2(hz / 440)')} end as m, round(least(1, pow(r * 3.2, 0.6)), 6) as level
+    from {LIVE_PITCH} p join (select take_id, sqrt(avg(x * x)) as r from {S} group by take_id) r on r.take_id = p.take_id)""")
 def str1_live_meter(spark, d):
     """The stream's plan on a table; tests run it as a stream."""
     live = signals(spark, d).withColumn("ts", F.timestamp_millis(F.col("take_id")))
     return streams.live_meter(live, 800).select("take_id", r6(F.col("level"), "level"), r6(F.col("hz"), "hz"), "pitch", "detail")
 
 
-@query()
+@query(score_sql(FR))
 def pipeline_frames_to_scores(spark, d):
     """Frames to score events, the fused chain."""
     return transcribe_frames(A.frames(spark, d)).events
