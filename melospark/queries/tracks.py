@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from melospark.plans.transcribe import transcribe_frames
 from melospark.queries.common import C, EVENTS, FR, G, K, LEAPS, N, S, T, pc, query, rnd
 from melospark.queries.scores import DETECTED, INFERRED, level_notes, r6
 from melospark.sources import synth, wav
-from melospark.storage import shared_dir
+from melospark.storage import scratch
 from melospark.streaming import streams
 
 
@@ -191,7 +189,7 @@ def src1_read_wav(spark, d):
 def str4_ingest_takes(spark, d):
     """The ingest sink run on the files as one batch; the status of every take that it wrote."""
     files = wav_files(spark, d)
-    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    path = scratch(spark, "ingest")
     streams.ingest_takes(path, FILE_OPTIONS)(files, 0)
     named = files.select(F.xxhash64("path").alias("take_id"), "path")
     return spark.read.parquet(f"{path}/status").join(named, "take_id").select("path", "status", "error")

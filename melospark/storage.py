@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when Python exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -39,9 +46,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     exits, or before by ``unstage``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _staged.append((spark, path))
     read = spark.read.schema(df.schema).parquet(path)
     read._staged_at = path
     return read
