@@ -13,7 +13,6 @@ tokenizers library; any length of text is taken, in memory proportional to that
 
 from __future__ import annotations
 
-import base64
 import functools
 import hashlib
 import json

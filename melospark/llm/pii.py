@@ -12,7 +12,6 @@ parts) is dropped and not tried again; equal texts give equal spans; whole texts
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
