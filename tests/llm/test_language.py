@@ -14,7 +14,7 @@ def plain_best(scores, cost):
     """Largest total over all label sequences, by the plain recursion."""
     best = scores[0].astype(float)
     for row in scores[1:]:
-        best = np.array([max(best[j], max(best) - cost) for j in range(len(best))]) + row
+        best = np.maximum(best, best.max() - cost) + row  # stay, or come from the best label
     return best.max()
 
 
