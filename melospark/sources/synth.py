@@ -14,6 +14,8 @@ from melospark.functions.pitch import midi_to_hz
 #: Level of each harmonic, attack and release in seconds.
 HARMONICS = ((1, 0.5), (2, 0.2), (3, 0.08))
 ATTACK_S, RELEASE_S = 0.025, 0.03
+#: Samples that a worker puts out at once, some 16 MB.
+_SAMPLES_AT_ONCE = 1 << 22
 
 
 def _count(seconds: Column, rate: int) -> Column:
@@ -51,9 +53,14 @@ def synth_chunks(notes: DataFrame, sample_rate: int, window: int, hop: int, hops
     attack, release = int(ATTACK_S * sample_rate + 0.5), int(RELEASE_S * sample_rate + 0.5)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, size = [], 0
+
+        def table() -> pd.DataFrame:
+            takes, starts, cores, samples = zip(*made, strict=True)
+            return pd.DataFrame({"take_id": takes, "start_sample": starts, "n_core": cores, "samples": list(samples)})
+
         for pdf in batches:
-            made = []
-            for total, chunk, notes in zip(pdf["total"], pdf["chunk"], pdf["held"], strict=True):
+            for take_id, total, chunk, notes in zip(pdf["take_id"], pdf["total"], pdf["chunk"], pdf["held"], strict=True):
                 start = int(chunk) * core
                 out = np.zeros(min(int(total) - start, reach), dtype=np.float32)
                 for note in notes:
@@ -62,9 +69,13 @@ def synth_chunks(notes: DataFrame, sample_rate: int, window: int, hop: int, hops
                     x = sum(level * np.sin(2 * np.pi * h * note["hz"] * k / sample_rate) for h, level in HARMONICS)
                     x *= np.where(k < attack, k / max(attack, 1), 1.0) * np.where(k > n - release, (n - k) / max(release, 1), 1.0)
                     out[first + k] = x
-                made.append((start, min(int(total) - start, core), out))
-            starts, cores, samples = zip(*made, strict=True) if made else ((), (), ())
-            yield pd.DataFrame({"take_id": pdf["take_id"], "start_sample": starts, "n_core": cores, "samples": list(samples)})
+                made.append((take_id, start, min(int(total) - start, core), out))
+                size += len(out)
+                if size >= _SAMPLES_AT_ONCE:  # a few bytes of notes become many samples
+                    yield table()
+                    made, size = [], 0
+        if made:
+            yield table()
 
     held = dealt.groupBy("take_id", "chunk").agg(F.collect_list(F.struct("hz", "first", "n")).alias("held"))
     rows = all_.join(held, ["take_id", "chunk"], "left").withColumn("held", F.coalesce("held", F.array().cast(held.schema["held"].dataType)))
