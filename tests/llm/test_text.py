@@ -186,7 +186,7 @@ def test_duckdb_reads_the_patterns():
 
     for rule in secret_scan.RULES:
         pattern = rule.pattern.replace("'", "''")
-        assert duckdb.sql(f"select regexp_matches('nothing here', '{pattern}')").fetchone() == (False,), rule.kind
+        assert duckdb.sql(f"select regexp_matches('nothing here', '{pattern}')").fetchall() == [(False,)], rule.kind
 
 
 def test_private_keys_go_whole(spark):
