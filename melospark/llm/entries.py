@@ -1,4 +1,4 @@
-"""Queries of the ten operators and of the pipeline, with SQL where SQL can express them."""
+"""Queries of the operators and of the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from melospark.llm import bpe, exact_dedup, html_text, language_id, packing, pii, quality_rules, secret_scan, simhash, token_counts
+from melospark.llm import bpe, exact_dedup, html_text, language_id, packing, pii, quality_rules, secret_scan, simhash, token_alignment, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,7 +124,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op8_html_text, op9_secret_scan, op10_token_counts)
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op8_html_text, op9_secret_scan, op10_token_counts, op11_token_alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -74,8 +74,11 @@ class TwoEncoders:
                 b = np.frombuffer(self.bytes_b[i], dtype=np.uint8)
                 cut[b[:-1], b[1:]] = False
         self._cut = cut.reshape(-1)
-        self.said_a = [f"{i},".encode() for i in range(len(self.bytes_a))] + [f"{i}|".encode() for i in range(len(self.bytes_a))]
-        self.said_b = [f"{i},".encode() for i in range(n)] + [f"{i};".encode() for i in range(n)]
+        na = len(self.bytes_a)
+        said = [f"{i}{mark}".encode() for ids, marks in ((na, ",|"), (n, ",;")) for mark in marks for i in range(ids)]
+        #: Each id with what may follow it, padded by zero bytes: A then a comma or bar, B then a comma or semicolon.
+        self.said = np.array(said, dtype=bytes).view(np.uint8).reshape(len(said), -1)
+        self.said_length = np.array([len(t) for t in said], dtype=np.int64)
         self._known: dict[bytes, tuple[bytes, bytes] | bool] = {}
 
     def cuts(self, data: bytes, narrow: bool) -> np.ndarray:
@@ -108,8 +111,8 @@ class TwoEncoders:
 
     def encode(self, data: bytes, narrow: bool) -> tuple[bytes, bytes] | None:
         """Ids of both sides; None where the bytes of one differ from ``data``."""
-        cuts = self.cuts(data, narrow).tolist()
-        fragments = [data[i:j] for i, j in zip([0, *cuts], [*cuts, len(data)], strict=True)]
+        cuts = self.cuts(data, narrow)
+        fragments = np.insert(np.frombuffer(data, dtype=np.uint8), cuts, 0xFF).tobytes().split(b"\xff")  # no byte of UTF-8
         known = self._known
         found = list(map(known.get, fragments))
         if len(known) >= CACHE_ENTRIES:
@@ -174,8 +177,8 @@ def align(ids: list[tuple[bytes, bytes]], two: TwoEncoders) -> Aligned:
     return Aligned(a, b, np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b, before[:, 0], before[:, 1], end_a[closes_a == 1], int(closes_a.sum()))
 
 
-def said(x: Aligned, two: TwoEncoders) -> tuple[list[bytes], np.ndarray]:
-    """The words of ``a1,a2|b1;a3|b2,b3;`` in order, and how many stand before each part."""
+def said(x: Aligned, two: TwoEncoders) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3;`` of each part."""
     n_a, n_b = np.bincount(x.group_a, minlength=x.n), np.bincount(x.group_b, minlength=x.n)
     upto_a, upto_b = np.cumsum(n_a), np.cumsum(n_b)
     place_a = np.arange(len(x.a)) + (upto_b - n_b)[x.group_a]
@@ -183,11 +186,11 @@ def said(x: Aligned, two: TwoEncoders) -> tuple[list[bytes], np.ndarray]:
     last_a, last_b = np.zeros(len(x.a), dtype=np.int64), np.zeros(len(x.b), dtype=np.int64)
     last_a[upto_a - 1], last_b[upto_b - 1] = 1, 1
     words = np.empty(len(x.a) + len(x.b), dtype=np.int64)
-    both = 2 * len(two.bytes_a)
     words[place_a] = x.a + last_a * len(two.bytes_a)
-    words[place_b] = both + x.b + last_b * len(two.bytes_b)
-    table = two.said_a + two.said_b
-    return list(map(table.__getitem__, words.tolist())), x.part_a + x.part_b
+    words[place_b] = 2 * len(two.bytes_a) + x.b + last_b * len(two.bytes_b)
+    text = two.said[words].tobytes().translate(None, b"\0")
+    ends = np.append(0, np.cumsum(two.said_length[words]))[x.part_a + x.part_b].tolist()
+    return [text[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def links(x: Aligned, two: TwoEncoders) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +261,7 @@ _NONE = np.zeros(0, dtype=np.int64)
 def _encoded(batch: pa.RecordBatch, two: TwoEncoders, part_bytes: int) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]], list[int]]]:
     """(rows, ids, sizes): the batch's rows in parts, some ``part_bytes`` at a time. A row without tokens has one part
     without ids."""
-    rows, ids, sizes = [], [], []
+    rows, ids, sizes, waiting = [], [], [], 0
     for k, value in enumerate(batch["text"]):
         text = value.as_py()
         parts: list[tuple[tuple[bytes, bytes], int]] = []
@@ -274,9 +277,10 @@ def _encoded(batch: pa.RecordBatch, two: TwoEncoders, part_bytes: int) -> Iterat
             rows.append(k)
             ids.append(encoded)
             sizes.append(size)
-            if sum(sizes[-1:]) and sum(sizes) >= part_bytes:
+            waiting += size
+            if waiting >= part_bytes:
                 yield rows, ids, sizes
-                rows, ids, sizes = [], [], []
+                rows, ids, sizes, waiting = [], [], [], 0
     yield rows, ids, sizes
 
 
@@ -291,22 +295,22 @@ def _documents(batches: Iterator[pa.RecordBatch], two: TwoEncoders, part_bytes:
 
         for rows, ids, sizes in _encoded(batch, two, part_bytes):
             x = align(ids, two)
-            words, word_at = said(x, two)
+            groups_said = said(x, two)
             part, codes, times = links(x, two)
-            at = np.searchsorted(part, np.arange(len(rows) + 1))
-            groups = x.groups_before()
+            at = np.searchsorted(part, np.arange(len(rows) + 1)).tolist()
+            linked = np.append(0, np.cumsum(times))[at]
+            counted = np.diff(np.stack([x.part_a, x.part_b, x.groups_before(), linked]))
             for k, of in enumerate(rows):
                 if of != row:
                     if row is not None:
                         yield done()
                     row, size, counts, sha, held = of, 0, np.zeros(4, dtype=np.int64), hashlib.sha256(), []
-                if x.part_a[k] == x.part_a[k + 1]:
+                if not counted[0, k]:
                     continue
-                text = b"".join(words[word_at[k] : word_at[k + 1]])[:-1]
+                text = groups_said[k][:-1]
                 sha.update(b";" + text if counts[0] else text)
-                these = times[at[k] : at[k + 1]]
-                counts += (x.part_a[k + 1] - x.part_a[k], x.part_b[k + 1] - x.part_b[k], groups[k + 1] - groups[k], these.sum())
-                held.append((codes[at[k] : at[k + 1]], these))
+                counts = counts + counted[:, k]
+                held.append((codes[at[k] : at[k + 1]], times[at[k] : at[k + 1]]))
                 size += sizes[k]
         if row is not None:
             yield done()
