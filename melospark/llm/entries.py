@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from melospark.llm import bpe, exact_dedup, html_text, language_id, packing, periodic_runs, pii, quality_rules, secret_scan, simhash, token_alignment, token_counts
+from melospark.llm import bpe, exact_dedup, html_text, language_id, license_scan, packing, periodic_runs, pii, quality_rules, secret_scan, simhash, token_alignment, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,7 +132,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.planted_runs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op8_html_text, op9_secret_scan, op10_token_counts, op11_token_alignment, op12_periodic_runs)
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_host_quality, op2_pii_spans, op3_exact_dedup, op4_bpe_encoding, op5_best_fit_packing, op6_language_id, op7_simhash, op8_html_text, op9_secret_scan, op10_token_counts, op11_token_alignment, op12_periodic_runs, op13_license_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
