@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from melospark.storage import shared_dir, stage, unstage
 
-__all__ = ["SPACE", "WORD", "shared_dir", "stage", "texts", "unstage", "without_space"]
+__all__ = ["SPACE", "WORD", "as_document", "document_key", "shared_dir", "stage", "texts", "unstage", "without_documents", "without_space"]
 
 #: White space of the contracts: blank, tab, LF, VT, FF, CR.
 SPACE = "\x20\x09-\x0d"
@@ -19,6 +19,28 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def document_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a row of ``docs`` is known by: its doc_id and a hash of its text, never null. Rows that repeat both are one
+    document; rows that share an id alone are not."""
+    number = docs[id_col]
+    hashed = F.xxhash64(docs[text_col].isNull(), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return F.struct(number.isNull().alias("no_id"), F.coalesce(number.cast("long"), F.lit(0).cast("long")).alias("id"), hashed.alias("text_hash"))
+
+
+def as_document(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the whole ``document_key`` as doc_id."""
+    return docs.select(document_key(docs).alias("doc_id"), docs["text"].alias("text"))
+
+
+def without_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose keys are in the one column of ``keys``; all columns stay. The keys are
+    written first: few, Spark broadcasts them by their real size; many, it shuffles."""
+    gone = stage(keys.toDF("__k").distinct().select(*(F.col(f"__k.{f}").alias(f"__gone_{f}") for f in ("no_id", "id", "text_hash"))), "gone")
+    key = document_key(docs)
+    same = (key["no_id"] == gone["__gone_no_id"]) & (key["id"] == gone["__gone_id"]) & (key["text_hash"] == gone["__gone_text_hash"])
+    return docs.join(gone, same, "left_anti")
+
+
 def without_space(text: Column) -> Column:
     """Text after deleting every white-space character of the contracts; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{SPACE}]+", "")

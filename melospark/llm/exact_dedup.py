@@ -138,8 +138,12 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """``docs`` without the rows that ``dedup`` drops; all columns stay. The dropped ids, a small part of the
-    corpus, are written first: small, Spark broadcasts them; large, it shuffles."""
+    """``docs`` without the rows that ``dedup`` drops; all columns stay. A verdict is that of a doc_id and a digest, so
+    another text under the same id isn't touched. The dropped ones, a small part of the corpus, are written first:
+    small, Spark broadcasts them; large, it shuffles."""
     verdicts = dedup(docs, index)
-    dropped = stage(verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id")), "dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped_id"], "left_anti")
+    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id"), F.unhex("text_sha256").alias("__dropped_digest"))
+    dropped = stage(dropped.distinct(), "dropped")
+    digest = F.unhex(F.sha2(without_space(docs["text"].cast("string")), 256))
+    same = docs["doc_id"].eqNullSafe(dropped["__dropped_id"]) & (digest == dropped["__dropped_digest"])
+    return docs.join(dropped, same, "left_anti")

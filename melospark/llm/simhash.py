@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from melospark.llm.common import stage, texts
+from melospark.llm.common import as_document, stage, texts, without_documents
 from melospark.llm.components import connected_components
 
 THRESHOLD = 3
@@ -168,8 +168,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; all columns stay."""
-    found = near_duplicates(docs, threshold)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped_id")).distinct()
-    dropped = stage(dropped, "dropped")
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped_id"], "left_anti")
+    """``docs`` with one document of each component, the one with the smallest doc_id (one without an id last; of
+    different texts with that id the one with the smallest hash); all columns stay."""
+    found = near_duplicates(as_document(docs), threshold)
+    return without_documents(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
