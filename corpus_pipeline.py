@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages it is written as Parquet to the
 shared folder and read again. All stages but the last return the columns of ``documents``.
 
+A verdict holds for a doc_id with its text, null or not: rows that repeat both go or stay together, and a row that only
+shares an id with one that goes stays.
+
 1. language_id: texts without letters go, and texts of which under ``LEAST_SCORE`` of the scored letters are in the
    predicted language. Texts that no label could be scored for (no labels, or none in their script) stay.
 2. exact_dedup: of equal texts (white space aside) one stays.
@@ -17,17 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melospark.llm import exact_dedup, language_id, packing, secret_scan, simhash
-from melospark.llm.common import stage
+from melospark.llm.common import as_document, stage, without_documents
 
 LEAST_SCORE = 0.2
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects. The model is learned from the labelled rows that aren't held out."""
-    found = language_id.identify(docs, language_id.train(docs.where(~language_id.held_out())), evidence=True)
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.identify(as_document(docs), model, evidence=True)
     rejected = (F.col("letters") == 0) | (F.col("scored") > 0) & (F.col("score") < LEAST_SCORE)
-    gone = stage(found.where(rejected).select(F.col("doc_id").alias("__rejected_id")).distinct(), "rejected")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__rejected_id"]), "left_anti")
+    return without_documents(docs, found.where(rejected).select("doc_id"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
