@@ -7,23 +7,23 @@ like the anonymous boxes of CSS. Then, for every node, after Sun, Song and Liao
 * composite text density: C/T log_b(C/LC T/LT) with b = ln(C/nLC LC + LC_body/C_body C + e), from its characters C,
   tags T, linked characters LC, links LT and other characters nLC (each 1 at least). A node of links alone has
   density 0.
-* density sum: the densities of its block children. The node with the largest sum is the heart of the article.
+* density sum: the densities of its block children. The node with the largest sum is the heart of the article (on a tie
+  an <article>, else the one that begins first).
 * threshold: the least density on the path from it to the body.
 
-What stands beside the path and is at least as dense as the threshold belongs to the article too, with the headings
-right before it. Where the heart holds <article> elements, it is sought among these once more. Where it lies in an
-<article>, that element is taken whole and only other <article> elements are held against the threshold; in a <main>,
-nothing outside it is looked at.
+Where the heart holds <article> elements, it is sought among these once more. It is taken whole. What stands beside the path and is at least as dense as the threshold belongs to the article
+too, with the headings right before it.
 
 Reader comments and adverts can be as dense as the article. Words of class and id that name them (``WORDS``), forms, and
-an <article> within another are therefore a prior: the densities of such an element and all in it are multiplied by
-``PRIOR``. It lowers no element that holds the article (``Page.wraps``). In the taken subtrees only such lowered
-elements that fall below the threshold are left out; if the heart itself is one, the page has no article.
+an <article> within another are therefore a prior on the logarithm of density: for such an element and all in it, it
+is multiplied by ``PRIOR``. It lowers no element that holds the article (``Page.wraps``). In the taken subtrees only such
+lowered elements that fall below the threshold are left out; if the heart itself is one, the page has no article.
 
 Text is cut into blocks at block elements; white space in a block, line breaks included, becomes one blank; blocks
 are joined in page order by a line feed. Edge cases: null, empty and textless pages give an empty text; unclosed
 and misnested tags are closed where HTML implies it; a tag that is never closed is text; equal sums go to the node
-that begins first; any length and nesting is read, in linear time where quotes in tags are closed.
+that begins first; any length and nesting is read in linear time: on a page where tags that are never closed would be
+scanned over and over (beyond ``RESCANS`` times its length), a quoted value ends at the next "<" too.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ CUT_TAGS = frozenset(
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar".split())
 
-#: The prior: an element whose class or id has such a word must be 1 / PRIOR times as dense.
-PRIOR = 0.01
+#: The prior: the logarithm of the density of an element whose class or id has such a word is multiplied by it.
+PRIOR = 0.5
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices alert popup modal overlay sidebar sidebars aside widget menu menus nav navbar navigation breadcrumb "
@@ -75,7 +75,10 @@ ENTRY_WORDS = frozenset("comment comments commentlist disqus respond reply repli
 #: Of the page's text, what a wrapper holds more of: any, or one with such words.
 WRAPS, WRAPS_ENTRIES = 0.5, 0.9
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: The last group is empty where the tag or declaration isn't closed.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(>?)|<(/?)([A-Za-z][^\s/><\"']*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(>?)", re.S)
+_STRICT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+(>?)|<(/?)([A-Za-z][^\s/><\"']*+)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)(>?)", re.S)
+RESCANS = 4
 _ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _LETTERS = re.compile(r"[a-z]+|[0-9]+")
@@ -143,19 +146,23 @@ class Page:
 
     def _read(self, source: str) -> None:
         pos = text_from = 0
+        markup, left = _MARKUP, RESCANS * len(source)
         while (pos := source.find("<", pos)) >= 0:
-            m = _MARKUP.match(source, pos)
-            if m is None:
+            m = markup.match(source, pos)
+            if m is None or not source.startswith("<!--", pos) and not (m[1] or m[5]):
+                if m:
+                    left -= m.end() - pos
+                    markup = markup if left > 0 else _STRICT
                 pos += 1
                 continue
             self._text(source[text_from:pos])
             pos = text_from = m.end()
-            tag = (m[2] or "").lower()
+            tag = (m[3] or "").lower()
             if not tag:
                 continue
-            if m[1]:
+            if m[2]:
                 self._end(tag)
-            elif self._start(tag, m[3]) and tag in RAW:
+            elif self._start(tag, m[4]) and tag in RAW:
                 end = _RAW_END[tag].search(source, pos)
                 pos = text_from = end.start() if end else len(source)
         self._text(source[text_from:])
@@ -308,31 +315,25 @@ class Page:
         below[self.body] = True
         for k in range(1, n):
             up = parent[k]
-            weight[k] = weight[up] * prior if k in low and weight[up] == 1 else weight[up]
-            density[k] *= weight[k]
+            weight[k] = prior if k in low else weight[up]
+            if density[k] > 1:
+                density[k] **= weight[k]
             below[k] = below[k] or below[up]
         mixed = {parent[k] for k in range(1, n) if tag[k] in BLOCKS}  # nodes with block children
         for k in range(1, n):
             if tag[k] in BLOCKS or tag[k] == "#run" and parent[k] in mixed:
                 sums[parent[k]] += density[k]
-        best = max((k for k in range(n) if below[k] and tag[k] != "#run"), key=lambda k: (sums[k], -k))
-        if weight[best] != 1:
+        heart = max((k for k in range(n) if below[k] and tag[k] != "#run"), key=lambda k: (sums[k], tag[k] == "article", -k))
+        if weight[heart] != 1:
             return keep
-        best = self._in_articles(best, density, sums, weight)
-        path = [best]
+        heart = self._in_articles(heart, density, sums, weight)
+        path = [heart]
         while path[-1] != self.body:
             path.append(parent[path[-1]])
         threshold = min(density[k] for k in path)
-        within = [k for k in path if tag[k] == "article"] or [k for k in path if tag[k] == "main"]
-        top = within[-1] if within else self.body
-        heart = top if tag[top] == "article" else best
-        beside = self._beside(path[: path.index(top) + 1], density, threshold) if heart != top else set()
-        inside_article = [False] * n
+        beside = self._beside(path, density, threshold)
         for k in range(self.body, n):
             up = parent[k]
-            inside_article[k] = up >= 0 and (inside_article[up] or tag[up] == "article")
-            if tag[top] == "article" and tag[k] == "article" and not inside_article[k] and density[k] >= threshold > 0:
-                beside.add(k)
             taken = up >= 0 and keep[up] and (weight[k] == weight[up] or density[k] >= threshold)
             keep[k] = k == heart or k in beside or taken
         return keep

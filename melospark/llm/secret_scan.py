@@ -49,10 +49,12 @@ def _either_case(word: str) -> str:
 
 _NAMES = "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))
 
-#: What follows a private key's first line: all up to its last line; or, where that is missing, headers, the run of
-#: base64 (line breaks may be escaped, lines may be joined by blanks) and its padded rest. A line of 40 or more is
-#: written out in part, since RE2 takes no nested counts whose product is over 1000.
-_TO_END = r"[A-Za-z0-9+/=\x20\t\r\n\\:,\"'>-]*?-----END[A-Z\x20]{0,20}\x20PRIVATE\x20KEY-----"
+#: What follows a private key's first line: all up to its last line, which stands before any other five dashes (so the
+#: keys of a text are read once, however many first lines it has); or, where that is missing, headers, the run of base64
+#: (line breaks may be escaped, lines may be joined by blanks) and its padded rest. A line of 40 or more is written out
+#: in part, since RE2 takes no nested counts whose product is over 1000.
+_BODY = r"[A-Za-z0-9+/=\x20\t\r\n\\:,\"'>]"
+_TO_END = rf"{_BODY}*(?:-{{1,4}}{_BODY}+){{0,16}}-{{5,9}}END[A-Z\x20]{{0,20}}\x20PRIVATE\x20KEY-----"
 _RUN = r"[A-Za-z0-9+/=\t\r\n\\]"
 _KEY_RUN = rf"(?:[\x20\r\n]{{0,4}}(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]*){{0,3}}[\x20\t\r\n]{{0,4}}{_RUN}{{16,}}(?:\x20{{1,2}}{_RUN * 30}{_RUN}{{10,}}){{0,64}}(?:\x20{{1,2}}[A-Za-z0-9+/]{{0,40}}={{1,2}})?"
 

@@ -1,9 +1,12 @@
 """Composite text density against a plain tree, and the choice it makes."""
 
 import math
+import os
 import random
+import re
 import time
 
+import pyarrow.parquet as pq
 import pytest
 
 from melospark.llm import html_text
@@ -89,11 +92,14 @@ def test_parts_beside_the_heart():
 
 
 def test_the_prior_only_helps():
-    """Without words of class and id the choice stands wherever an <article> or density tells it."""
+    """Without words of class and id the choice stands wherever density tells it; a short article beside a longer
+    advert is told by the words."""
     advert = '<div class="ad">An advert of some sixty characters, longer than the text.</div>'
-    for article in ("<article><h1>Short.</h1><p><b>Short.<br><p>Two</p></article>", "<article><p>" + "Long text. " * 50 + "</p></article>"):
-        page = f"<body><nav>m</nav>{advert}{article}<footer>f</footer></body>"
-        assert main_text(page) == main_text(page, prior=1.0) != ""
+    short, long_ = "<article><h1>Short.</h1><p><b>Short.<br><p>Two</p></article>", "<article><p>" + "Long text. " * 50 + "</p></article>"
+    page = f"<body><nav>m</nav>{advert}{long_}<footer>f</footer></body>"
+    assert main_text(page) == main_text(page, prior=1.0) == ("Long text. " * 50).strip()
+    page = f"<body><nav>m</nav>{advert}{short}<footer>f</footer></body>"
+    assert main_text(page) == "Short.\nShort.\nTwo" != main_text(page, prior=1.0)
     aside = f"<body><div class='comments'><p>{'A long comment. ' * 9}</p><p>{'Another long one. ' * 9}</p></div>{SHORT}</body>"
     assert main_text(aside) == "A short paragraph of two lines.\nAnd another short one here."
     assert main_text(aside, prior=1.0) != main_text(aside)
@@ -116,3 +122,28 @@ def test_nesting_is_linear(start):
     took(1000)
     short, long_ = min(took(5000) for _ in range(3)), min(took(40_000) for _ in range(2))
     assert long_ < 16 * short + 0.1  # 8 times as many; quadratic would be 64
+
+
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="no test tables")
+def test_density_decides(monkeypatch):
+    """On the pages of the table the texts are the same with <article> renamed, nearly all of them with the prior off;
+    with a constant for a density none is."""
+    pages = pq.read_table(PAGES)["html"].to_pylist()
+    renamed = [re.sub(r"(</?)article", r"\1div", p) for p in pages]
+    texts = [main_text(p) for p in pages]
+    assert all("<article" in p for p in pages) and all(texts)
+    assert [main_text(p) for p in renamed] == texts
+    assert sum(main_text(p, prior=1.0) == t for p, t in zip(renamed, texts, strict=True)) >= 0.97 * len(pages)
+    monkeypatch.setattr(html_text, "composite_density", lambda chars, *_: float(chars > 0))
+    assert sum(main_text(p) == t for p, t in zip(renamed, texts, strict=True)) == 0
+
+
+@pytest.mark.parametrize("piece", ["a<b", "<a", '<a"', "<a '", "<!", "<?x ", "<a '\"''", "</", "<div ", "<a x= ", "><a !<a ", ">>><a xx", "<!--x", "<script"])
+def test_markup_is_read_in_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 4
