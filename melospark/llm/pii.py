@@ -87,6 +87,18 @@ INVISIBLE = ("\u00ad", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff")
 #: Digits spelled in English.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
+#: Ends of domains by which a plain or spelled dot is believed; those that are English words left out.
+DOMAIN_ENDS = frozenset(
+    "ai app au biz br ca cc ch cn co com cz de dev dk edu es eu fi fr gov gr info int io jp mil name net nl org pl pt ru se tv uk".split()
+)
+#: Words that stand before a bare "at" in prose.
+WORDS_BEFORE_AT = frozenset(
+    "and are arrive arrived arrives available be been begin begins book buy call check click contact download end ends find found go goes "
+    "good he her here him hosted i info is it join laugh less listed live lives look looked looking looks meet meeting meets met more not now "
+    "on online only open or order out page park posted price priced published purchase read register report seen see shop show sign site sold "
+    "start started starts stay stayed stop that them there they this up us version visit was watch we website were work worked working works you".split()
+)
+
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _WORD = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_WORD})(?:[\s-]+(?:{_WORD}|[0-9])(?![A-Za-z0-9]))+", re.I)
@@ -182,11 +194,34 @@ def disguised(text: str, plain: list[Span]) -> list[Span]:
     found: list[Span] = []
     for kind, a, b in detect(tape.text):
         start, end = tape.start[a], tape.end[b - 1]
-        if any(tape.changed[a:b]) and not covered(start, end, plain):
+        if any(tape.changed[a:b]) and evident(kind, a, b, tape, text) and not covered(start, end, plain):
             found.append((kind, start, end))
     return found
 
 
+def evident(kind: str, a: int, b: int, tape: Tape, text: str) -> bool:
+    """Whether what was rewritten looks like an identifier rather than prose. An address whose sign was a bare "at", or
+    stood apart, must end like a domain, with no number right after the sign and no capital after its last dot; and if
+    its dots are plain ones, the word before must not be one that prose has there. An IP must have a part of two digits."""
+
+    def source(k: int) -> str:
+        return text[tape.start[k] : tape.end[k]]
+
+    if kind == "ip":
+        return any(len(part) > 1 for part in tape.text[a:b].split("."))
+    if kind != "email":
+        return True
+    at = tape.text.index("@", a, b)
+    if source(at) == "@" or source(at).strip().lower() not in ("at", "@"):
+        return True
+    labels = tape.text[at + 1 : b].split(".")
+    tail = text[tape.start[b - len(labels[-1])] : tape.end[b - 1]]
+    if labels[0].isdigit() or labels[-1].lower() not in DOMAIN_ENDS or tail[0].isupper() and not labels[0].isupper():
+        return False
+    spelled = any(tape.text[k] == "." and len(source(k)) > 1 for k in range(at + 1, b))
+    return spelled or tape.text[a:at].lower() not in WORDS_BEFORE_AT
+
+
 def covered(start: int, end: int, plain: list[Span]) -> bool:
     """Whether ``plain``, sorted by start, leaves no character between the two free."""
     for _, x, y in plain:

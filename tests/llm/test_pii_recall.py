@@ -82,3 +82,60 @@ def test_long_runs_of_digits():
     assert pii.detect(f"{zeros}.1.2.3") == [("ip", 0, 5006)]
     assert pii.detect(f"{zeros}9999.1.2.3") == []
     pii.disguised(f"{zeros} one dot two dot three", pii.detect(zeros))
+
+
+PLAIN_PROSE = """look at node.js for that
+see him at 5.30
+version at 2.0
+meet at 5.30pm
+stayed at home.Then we left
+arrive at St.Pancras in the morning
+We met at example.com last year
+one.two.three.four
+2·4·6·8 who do we appreciate
+count one.two.three.four and go
+the price at 9.99 each
+he laughed at it.She did too
+it stood at 12.5 per cent
+look @ node.js
+we are at v1.2 now
+set at max.speed of the car
+sold at Harrods.London
+the train at 10.15 and at 11.45
+at about 3.4 million people
+good at math.And at art
+aim at two.point.five
+stopped at U.S.Customs
+read it at www.example.com
+posted at blog.example.org
+they are at e.g.Rome
+came in at no.one on the list
+start at index.html of it
+run at localhost.localdomain
+at night.He slept
+the file at report.pdf
+clock at 6.00 a.m.
+one two three and four
+a plus one for me
+two or three at most.Or four
+he stared at one dot and left
+a point at 0.5 dot two
+step one.two and step three.four
+at the end of section 3.1.2.4
+published at arxiv.org in may
+buy at amazon.de now
+""".strip().split("\n")
+
+
+def test_prose_holds_no_address():
+    """Phrases with "at" and dots: none is marked by the transducers."""
+    assert len(PLAIN_PROSE) >= 30
+    wrong = {t: found for t in PLAIN_PROSE if (found := pii.disguised(t, pii.detect(t)))}
+    assert wrong == {}
+    together = ". ".join(PLAIN_PROSE)
+    assert pii.disguised(together, pii.detect(together)) == []
+
+
+@pytest.mark.parametrize("text", ["john at example.com", "jane.doe at mail.example.co.uk", "a_b at corp dot net", "JOHN AT EXAMPLE.COM", "met at example dot com", "maria99 @ example.org"])
+def test_bare_signs_with_evidence(text):
+    assert [(k, text[a:b]) for k, a, b in pii.disguised(text, pii.detect(text))] == [("email", text)]
