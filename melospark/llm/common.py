@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from melospark.storage import shared_dir, stage, unstage
 
-__all__ = ["SPACE", "WORD", "as_document", "document_key", "shared_dir", "stage", "texts", "unstage", "without_documents", "without_space"]
+__all__ = ["SPACE", "WORD", "as_document", "document_key", "key_verdicts", "shared_dir", "stage", "text_mark", "texts", "unstage", "without_documents", "without_space"]
 
 #: White space of the contracts: blank, tab, LF, VT, FF, CR.
 SPACE = "\x20\x09-\x0d"
@@ -32,13 +32,31 @@ def as_document(docs: DataFrame) -> DataFrame:
     return docs.select(document_key(docs).alias("doc_id"), docs["text"].alias("text"))
 
 
-def without_documents(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose keys are in the one column of ``keys``; all columns stay. The keys are
-    written first: few, Spark broadcasts them by their real size; many, it shuffles."""
-    gone = stage(keys.toDF("__k").distinct().select(*(F.col(f"__k.{f}").alias(f"__gone_{f}") for f in ("no_id", "id", "text_hash"))), "gone")
-    key = document_key(docs)
-    same = (key["no_id"] == gone["__gone_no_id"]) & (key["id"] == gone["__gone_id"]) & (key["text_hash"] == gone["__gone_text_hash"])
-    return docs.join(gone, same, "left_anti")
+def key_verdicts(found: DataFrame, gone: Column) -> DataFrame:
+    """(doc_id, mark, gone) of rows whose doc_id is a ``document_key``, for ``without_documents``."""
+    key = F.col("doc_id")
+    return found.select(F.when(~key["no_id"], key["id"]).alias("doc_id"), key["text_hash"].alias("mark"), gone.alias("gone"))
+
+
+def text_mark(docs: DataFrame) -> Column:
+    return document_key(docs)["text_hash"]
+
+
+def without_documents(docs: DataFrame, verdicts: DataFrame, mark: Column) -> DataFrame:
+    """``docs`` without the documents that go; all columns stay. ``verdicts`` (doc_id, mark, gone) has a row for each row,
+    whose mark tells the texts of one doc_id apart and is ``mark`` on ``docs``.
+
+    An id all of whose rows go is held against the documents alone; only of ids whose rows differ (repeated or missing
+    ones) the marks are needed too. Both are written first: few, Spark broadcasts them by their real size; many, it
+    shuffles."""
+    judged = stage(verdicts, "verdicts")
+    ids = stage(judged.groupBy("doc_id").agg(F.bool_and("gone").alias("whole"), F.bool_or("gone").alias("some")).where("some").drop("some"), "gone")
+    whole = ids.where("whole").select(F.col("doc_id").alias("__gone_id"))
+    mixed = ids.where("not whole").select(F.col("doc_id").alias("of_id"))
+    parts = judged.where("gone").join(mixed, F.col("doc_id").eqNullSafe(F.col("of_id")))
+    parts = stage(parts.select(F.col("doc_id").alias("__part_id"), F.col("mark").alias("__part_mark")).distinct(), "gone-parts")
+    kept = docs.join(whole, docs["doc_id"].eqNullSafe(whole["__gone_id"]), "left_anti")
+    return kept.join(parts, docs["doc_id"].eqNullSafe(parts["__part_id"]) & (mark == parts["__part_mark"]), "left_anti")
 
 
 def without_space(text: Column) -> Column:

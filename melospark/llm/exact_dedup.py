@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melospark.llm.common import stage, texts, without_space
+from melospark.llm.common import stage, texts, without_documents, without_space
 
 #: Rows of a bucket after the first batch (some 60 bytes each), and buckets at least and at most.
 BUCKET_ROWS = 2_000_000
@@ -139,11 +139,6 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """``docs`` without the rows that ``dedup`` drops; all columns stay. A verdict is that of a doc_id and a digest, so
-    another text under the same id isn't touched. The dropped ones, a small part of the corpus, are written first:
-    small, Spark broadcasts them; large, it shuffles."""
-    verdicts = dedup(docs, index)
-    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped_id"), F.unhex("text_sha256").alias("__dropped_digest"))
-    dropped = stage(dropped.distinct(), "dropped")
-    digest = F.unhex(F.sha2(without_space(docs["text"].cast("string")), 256))
-    same = docs["doc_id"].eqNullSafe(dropped["__dropped_id"]) & (digest == dropped["__dropped_digest"])
-    return docs.join(dropped, same, "left_anti")
+    another text under the same id isn't touched."""
+    verdicts = dedup(docs, index).select("doc_id", F.unhex("text_sha256").alias("mark"), (~F.col("kept")).alias("gone"))
+    return without_documents(docs, verdicts, F.unhex(F.sha2(without_space(docs["text"].cast("string")), 256)))

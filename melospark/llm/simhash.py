@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from melospark.llm.common import as_document, stage, texts, without_documents
+from melospark.llm.common import as_document, key_verdicts, stage, text_mark, texts, without_documents
 from melospark.llm.components import connected_components
 
 THRESHOLD = 3
@@ -171,4 +171,4 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
     """``docs`` with one document of each component, the one with the smallest doc_id (one without an id last; of
     different texts with that id the one with the smallest hash); all columns stay."""
     found = near_duplicates(as_document(docs), threshold)
-    return without_documents(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    return without_documents(docs, key_verdicts(found, F.col("doc_id") != F.col("component_id")), text_mark(docs))
