@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from melospark.llm import exact_dedup, language_id, packing, secret_scan, simhash
-from melospark.llm.common import as_document, stage, without_documents
+from melospark.llm.common import as_document, key_verdicts, stage, text_mark, without_documents
 
 LEAST_SCORE = 0.2
 
@@ -30,7 +30,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.train(docs.where(~language_id.held_out()))
     found = language_id.identify(as_document(docs), model, evidence=True)
     rejected = (F.col("letters") == 0) | (F.col("scored") > 0) & (F.col("score") < LEAST_SCORE)
-    return without_documents(docs, found.where(rejected).select("doc_id"))
+    return without_documents(docs, key_verdicts(found, rejected), text_mark(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
