@@ -27,12 +27,27 @@ def upper_median(values: Column) -> Column:
     return F.try_element_at(F.array_sort(values), (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def _bin(value: Column) -> Column:
+    """A whole number that rises with the value: some hundred to each doubling; not-a-number last."""
+    x = value.cast("double")
+    step = F.floor(F.signum(x) * F.log1p(F.abs(x) * (1 << 20)) * 128)
+    return F.when(F.isnan(x), F.lit((1 << 62))).otherwise(step)
+
+
 def upper_median_by(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """(key, name): the upper median of each key's values, nulls left out; by rank, so no group is gathered."""
+    """(key, name): the upper median of each key's values, nulls left out, by selection in two passes: counts by value
+    bin find the bin of the middle (a window over bins alone), then only that bin's different values are ranked. No
+    group is gathered or sorted whole, and a hot key is counted before it is dealt."""
     held = df.select(key, value.alias(name)).where(F.col(name).isNotNull())
-    whole = Window.partitionBy(key)
-    ranked = held.withColumns({"place": F.row_number().over(whole.orderBy(name)), "n": F.count(F.lit(1)).over(whole)})
-    return ranked.where(F.col("place") == F.floor(F.col("n") / 2) + 1).select(key, name)
+    counted = held.groupBy(key, _bin(F.col(name)).alias("bin"), name).agg(F.count(F.lit(1)).alias("n"))
+    bins = counted.groupBy(key, "bin").agg(F.sum("n").alias("n"))
+    in_order = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = bins.withColumns({"upto": F.sum("n").over(in_order), "middle": F.floor(F.sum("n").over(Window.partitionBy(key)) / 2)})
+    hit = placed.where((F.col("upto") - F.col("n") <= F.col("middle")) & (F.col("middle") < F.col("upto")))
+    hit = hit.select(F.col(key).alias("of_key"), F.col("bin").alias("of_bin"), (F.col("middle") - F.col("upto") + F.col("n")).alias("place"))
+    inside = counted.join(hit, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("bin") == F.col("of_bin")))
+    ranked = inside.withColumn("upto", F.sum("n").over(Window.partitionBy(key).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)))
+    return ranked.where((F.col("upto") - F.col("n") <= F.col("place")) & (F.col("place") < F.col("upto"))).select(key, name)
 
 
 def onset_intervals(notes: DataFrame) -> DataFrame:

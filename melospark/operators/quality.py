@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import confidence, confidence_label, frame_class, hz_to_midi, round_half_up
+from melospark.operators.blocks import number_runs
 from melospark.operators.grid import upper_median_by
 
 MAX_SPAN, MAX_LEAP_SHARE = 26, 0.18
@@ -120,38 +121,58 @@ def signal_profile(samples: DataFrame, frames: DataFrame, sample_rate: int) -> D
     return signal.join(track, "take_id", "left").join(clarity, "take_id", "left")
 
 
-def silence_runs(smoothed: DataFrame) -> DataFrame:
-    """Runs of pitched frames, each closed by an unpitched one: take_id, start_s, end_s. A run still open at the
-    end of a take is not among them; it ends at the time of the frame that closes it."""
-    order = Window.partitionBy("take_id").orderBy("frame_idx")
+def silence_runs(tracked: DataFrame) -> DataFrame:
+    """Runs of pitched frames of ``prepared_blocks``, each closed by an unpitched one: take_id, island, start_s, end_s. A
+    run still open at the end of a take is not among them; it ends at the time of the frame that closes it."""
+    numbered = number_runs(tracked, F.col("hz") > 0, 1, keep_all=True)
     pitched = F.col("hz") > 0
-    closed = F.sum(F.when(pitched, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = smoothed.withColumn("run", closed).withColumn("next_time", F.lead("time").over(order)).withColumn("next_hz", F.lead("hz").over(order))
-    runs = ahead.where(pitched).groupBy("take_id", "run").agg(
-        F.min("time").alias("start_s"), F.max(F.when(F.col("next_hz") <= 0, F.col("next_time"))).alias("end_s")
+    runs = numbered.groupBy("take_id", "island").agg(
+        F.min(F.when(pitched, F.col("time"))).alias("start_s"), F.min(F.when(~pitched, F.col("time"))).alias("end_s")
     )
-    return runs.where(F.col("end_s").isNotNull()).select("take_id", "start_s", "end_s")
+    return runs.where(F.col("start_s").isNotNull() & F.col("end_s").isNotNull())
 
 
-def loss_funnel(frames: DataFrame, filtered: DataFrame, smoothed: DataFrame, notes: DataFrame, window_ms: float, rms_floor: float = RMS_FLOOR) -> DataFrame:
-    """One row per take with frames: what was lost at each step. ``filtered`` carries drop_reason (floor, ratio)."""
-    counts = frame_counts(frames, rms_floor)
-    clarity = upper_median_by(frames, "take_id", F.when(F.col("hz") > 0, F.col("clarity")), "median_clarity")
-    dropped = filtered.groupBy("take_id").agg(
-        F.count_if(F.col("drop_reason") == "floor").alias("dropped_floor"), F.count_if(F.col("drop_reason") == "ratio").alias("dropped_ratio")
-    )
-    surviving = smoothed.groupBy("take_id").agg(F.count_if(F.col("hz") > 0).alias("after_smoothing"))
+#: Durations of runs that were too short, of which a funnel shows so many, the shortest first.
+MOST_SHORT = 40
+
+
+def short_runs(runs: DataFrame) -> DataFrame:
+    """take_id, voiced_runs, runs_too_short, too_short_ms. Durations in whole milliseconds are counted by value, of which
+    there are as many as milliseconds in the least note, so no take's runs are gathered."""
     length = F.col("end_s") - F.col("start_s")
     short = F.when(length < MIN_NOTE_SECONDS, round_half_up(length * 1000))
-    runs = silence_runs(smoothed).groupBy("take_id").agg(
-        F.count(F.lit(1)).alias("voiced_runs"), F.count(short).alias("runs_too_short"), F.slice(F.array_sort(F.collect_list(short)), 1, 40).alias("too_short_ms")
+    counted = runs.groupBy("take_id", short.alias("ms")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("ms").isNotNull(), F.struct("ms", "n")))), lambda s: F.array_repeat(s["ms"], F.least(s["n"], F.lit(MOST_SHORT)).cast("int"))))
+    return counted.groupBy("take_id").agg(
+        F.sum("n").alias("voiced_runs"), F.coalesce(F.sum(F.when(F.col("ms").isNotNull(), F.col("n"))), F.lit(0)).alias("runs_too_short"), F.slice(repeated, 1, MOST_SHORT).alias("too_short_ms")
+    )
+
+
+def heard(tracked: DataFrame, rms_floor: float = RMS_FLOOR) -> DataFrame:
+    """What the frames of a take (``prepared_blocks``, written or not) say, one row per take: the classes of its windows,
+    what each filter dropped, what survived, median clarity, runs. The counts are one pass of conditional sums."""
+    kind = frame_class(F.col("rms"), F.col("raw_hz"), rms_floor)
+    counts = tracked.groupBy("take_id").agg(
+        F.count(F.lit(1)).alias("windows"),
+        *(F.count_if(kind == c).alias(c) for c in ("too_quiet", "no_pitch", "detected")),
+        F.count_if(F.col("drop_reason") == "floor").alias("dropped_floor"),
+        F.count_if(F.col("drop_reason") == "ratio").alias("dropped_ratio"),
+        F.count_if(F.col("hz") > 0).alias("after_smoothing"),
     )
+    clarity = upper_median_by(tracked, "take_id", F.when(F.col("raw_hz") > 0, F.col("clarity")), "median_clarity")
+    out = counts
+    for part in (clarity, short_runs(silence_runs(tracked))):
+        part = part.withColumnRenamed("take_id", "of_take")
+        out = out.join(part, F.col("take_id").eqNullSafe(F.col("of_take")), "left").drop("of_take")
+    return out
+
+
+def loss_funnel(heard: DataFrame, notes: DataFrame, window_ms: float) -> DataFrame:
+    """One row per take with frames: what was lost at each step, from what was ``heard`` and the notes."""
     noted = notes.groupBy("take_id").agg(
         F.count(F.lit(1)).alias("notes"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "midi"))), lambda s: s["midi"]).alias("pitches")
     )
-    out = counts
-    for part in (clarity, dropped, surviving, runs, noted):
-        out = out.join(part, "take_id", "left")
+    out = heard.join(noted, "take_id", "left")
     zeros = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("voiced_runs", "runs_too_short", "notes")}
     return out.withColumns(zeros).withColumns(
         {

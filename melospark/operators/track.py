@@ -3,7 +3,8 @@
 What windows can express is built-in. Octave repair, note splitting, merging and boundary snapping carry state that
 restarts at places the data decide; each is an ordered walk that passes through its rows and holds little: over one
 island, run or stretch for frames, over one take for notes. ``track_to_notes`` repairs octaves and splits notes in
-one walk by stretches, so a long take is spread over as many groups as it has silences.
+one walk by stretches, so a long take is spread over as many groups as it has silences. Windows of frames are by blocks
+of a take with a halo (``blocks``), so before that a take is spread evenly, whatever is in it.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import hz_to_midi, midi_to_hz
+from melospark.operators.blocks import BLOCK_FRAMES, by_frame, in_blocks, number_runs, own_rows, with_blocks, without_blocks
 from melospark.operators.ordered import ordered_walk
 
 
@@ -47,22 +49,14 @@ class SegmentOptions:
         return max(1, math.floor(self.max_gap_s / self.frame_duration + 0.5))
 
 
-def _by_frame():
-    """The one window of all frame operators: Spark shuffles and sorts once."""
-    return Window.partitionBy("take_id").orderBy("frame_idx")
-
-
 def with_voiced(frames: DataFrame) -> DataFrame:
     return frames.withColumn("voiced", (F.col("hz") > 0).cast("int"))
 
 
-def clarity_filter(track: DataFrame, options: SmoothOptions = SmoothOptions()) -> DataFrame:
-    """Unvoices frames that are unclear in themselves, or against the first voiced frame near them; adds
-    drop_reason (floor, ratio or null). Frames without clarity, or with fewer than two voiced neighbours with
-    clarity, skip the test against neighbours."""
+def _clarity_filter(track: DataFrame, by_frame: WindowSpec, options: SmoothOptions) -> DataFrame:
     r = options.median_radius + 1
     usable = F.when((F.col("hz") > 0) & F.col("clarity").isNotNull(), F.col("clarity"))
-    before, after = _by_frame().rowsBetween(-r, -1), _by_frame().rowsBetween(1, r)
+    before, after = by_frame.rangeBetween(-r, -1), by_frame.rangeBetween(1, r)
     near = F.coalesce(F.first(usable, ignorenulls=True).over(before), F.first(usable, ignorenulls=True).over(after))
     known = F.count(usable).over(before) + F.count(usable).over(after)
     pitched = F.col("hz") > 0
@@ -74,22 +68,41 @@ def clarity_filter(track: DataFrame, options: SmoothOptions = SmoothOptions()) -
     return judged.withColumn("hz", F.when(gone, 0.0).otherwise(F.col("hz"))).withColumn("voiced", F.when(gone, 0).otherwise(F.col("voiced")))
 
 
-def running_median(value: Column, radius: int) -> Column:
-    """Upper median of the rows within ``radius``; not-a-number sorts last."""
-    spec = _by_frame().rowsBetween(-radius, radius)
-    held = F.array_sort(F.collect_list(value).over(spec))
+def clarity_filter(track: DataFrame, options: SmoothOptions = SmoothOptions(), block: int = BLOCK_FRAMES) -> DataFrame:
+    """Unvoices frames that are unclear in themselves, or against the first voiced frame near them; adds
+    drop_reason (floor, ratio or null). Frames without clarity, or with fewer than two voiced neighbours with
+    clarity, skip the test against neighbours. Neighbours are those up to three frame_idx away."""
+    return in_blocks(track, options.median_radius + 1, lambda t, w: _clarity_filter(t, w, options), block)
+
+
+def running_median(value: Column, radius: int, by_frame: WindowSpec) -> Column:
+    """Upper median of the frames within ``radius``; not-a-number sorts last."""
+    held = F.array_sort(F.collect_list(value).over(by_frame.rangeBetween(-radius, radius)))
     return F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
 
 
-def median_filter(track: DataFrame, radius: int = 2) -> DataFrame:
-    """Replaces hz by the running median of midi; a frame whose median is unvoiced stays as it is."""
+def _median_filter(track: DataFrame, by_frame: WindowSpec, radius: int) -> DataFrame:
     midi = F.when(F.col("hz") > 0, hz_to_midi(F.col("hz"))).otherwise(F.lit(float("nan")))
-    smoothed = track.withColumn("median", running_median(midi, radius))
+    smoothed = track.withColumn("median", running_median(midi, radius, by_frame))
     return smoothed.withColumn("hz", F.when(F.isnan("median"), F.col("hz")).otherwise(midi_to_hz(F.col("median")))).drop("median")
 
 
-def moving_clarity(track: DataFrame, radius: int = 2) -> DataFrame:
-    return track.withColumn("moving_clarity", F.avg("clarity").over(_by_frame().rowsBetween(-radius, radius)))
+def median_filter(track: DataFrame, radius: int = 2, block: int = BLOCK_FRAMES) -> DataFrame:
+    """Replaces hz by the running median of midi; a frame whose median is unvoiced stays as it is."""
+    return in_blocks(track, radius, lambda t, w: _median_filter(t, w, radius), block)
+
+
+def moving_clarity(track: DataFrame, radius: int = 2, block: int = BLOCK_FRAMES) -> DataFrame:
+    return in_blocks(track, radius, lambda t, w: t.withColumn("moving_clarity", F.avg("clarity").over(w.rangeBetween(-radius, radius))), block)
+
+
+def prepared_blocks(frames: DataFrame, smooth: SmoothOptions = SmoothOptions(), block: int = BLOCK_FRAMES, parts: int | None = None) -> DataFrame:
+    """Raw frames with voiced and drop_reason, hz filtered by clarity and median and as it was (raw_hz), still in blocks:
+    both filters on one deal of the frames (into ``parts``), the halo being as wide as both reach together."""
+    reach = 2 * smooth.median_radius + 1
+    blocked = with_blocks(with_voiced(frames).withColumn("raw_hz", F.col("hz")), reach, block, parts)
+    w = by_frame()
+    return own_rows(_median_filter(_clarity_filter(blocked, w, smooth), w, smooth.median_radius))
 
 
 class OctaveWalk:
@@ -153,34 +166,26 @@ class _IslandWalk:
         return [(k, hz_of(m)) for k, m in self.walk.finish()]
 
 
-def with_island(track: DataFrame) -> DataFrame:
-    """Numbers the runs of pitched frames of a take; null between them."""
-    breaks = F.sum(F.when(F.col("hz") > 0, 0).otherwise(1)).over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))
-    return track.withColumn("island", F.when(F.col("hz") > 0, breaks))
-
-
-def octave_repair(track: DataFrame, options: SmoothOptions = SmoothOptions()) -> DataFrame:
+def octave_repair(track: DataFrame, options: SmoothOptions = SmoothOptions(), block: int = BLOCK_FRAMES) -> DataFrame:
     """Octave walk over every pitched island; groups are islands, not takes, so a long take is spread."""
-    numbered = with_island(track)
-    pitched = numbered.where(F.col("island").isNotNull())
+    pitched = number_runs(own_rows(with_blocks(track, 0, block)), F.col("hz") > 0, 1)
+    walked = pitched.select("take_id", "island", "frame_idx", "hz", "clarity")
     repaired = ordered_walk(
-        pitched, ["take_id", "island"], ["frame_idx"], ["frame_idx", "hz", "clarity"], lambda: _IslandWalk(options), ["frame_idx", "hz"], "frame_idx long, hz double"
-    ).drop("island")
-    kept = numbered.drop("island").withColumnRenamed("hz", "own_hz")
-    joined = kept.join(repaired, ["take_id", "frame_idx"], "left").withColumn("hz", F.coalesce("hz", "own_hz"))
-    return joined.select(*track.columns)
+        walked, ["take_id", "island"], ["frame_idx"], ["frame_idx", "hz", "clarity"], lambda: _IslandWalk(options), ["frame_idx", "hz"], "frame_idx long, hz double"
+    )
+    repaired = repaired.select(F.col("take_id").alias("of_take"), F.col("frame_idx").alias("of_frame"), F.col("hz").alias("repaired"))
+    joined = track.join(repaired, F.col("take_id").eqNullSafe(F.col("of_take")) & (F.col("frame_idx") == F.col("of_frame")), "left")
+    return joined.withColumn("hz", F.coalesce("repaired", "hz")).select(*track.columns)
 
 
 def smooth_track(track: DataFrame, options: SmoothOptions = SmoothOptions()) -> DataFrame:
     return octave_repair(median_filter(clarity_filter(track, options), options.median_radius), options)
 
 
-def voiced_runs(track: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
+def voiced_runs(track: DataFrame, options: SegmentOptions = SegmentOptions(), block: int = BLOCK_FRAMES) -> DataFrame:
     """Voiced frames with their run; gaps of up to max_gap_frames unvoiced frames are bridged."""
-    voiced = track.where("voiced = 1")
-    apart = F.col("frame_idx") - F.lag("frame_idx").over(_by_frame()) > options.max_gap_frames + 1
-    opened = voiced.withColumn("opens", F.coalesce(apart.cast("int"), F.lit(0)))
-    return opened.withColumn("run", F.sum("opens").over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))).drop("opens")
+    numbered = number_runs(own_rows(with_blocks(track, 0, block)), F.col("voiced") == 1, options.max_gap_frames + 1)
+    return without_blocks(numbered.drop("island"))
 
 
 class RunningMedian:
@@ -413,19 +418,22 @@ class StretchWalk:
         return out + self.split.feed(times, values)
 
 
-def with_stretch(track: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """Pitched frames with their island and stretch. A stretch ends where no frame was pitched for longer than a run
-    bridges, so islands and voiced runs lie in one stretch each."""
-    numbered = with_island(track)
-    before = F.last(F.when(F.col("hz") > 0, F.col("frame_idx")), ignorenulls=True).over(_by_frame().rowsBetween(Window.unboundedPreceding, -1))
-    opens = (F.col("hz") > 0) & (F.col("frame_idx") - before > options.max_gap_frames + 1)
-    opened = numbered.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(0)))
-    return opened.withColumn("stretch", F.sum("opens").over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))).where("hz > 0").drop("opens")
+def stretches(prepared: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
+    """Pitched frames of ``prepared_blocks`` with their island and stretch. A stretch ends where no frame was pitched for
+    longer than a run bridges, so islands and voiced runs lie in one stretch each."""
+    numbered = number_runs(prepared, F.col("hz") > 0, options.max_gap_frames + 1)
+    return without_blocks(numbered.withColumnRenamed("run", "stretch"))
 
 
-def track_to_notes(frames: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """Raw frames to notes: windows by take, one walk of the frames by stretches, then two of the notes by takes."""
-    prepared = median_filter(clarity_filter(with_voiced(frames), smooth), smooth.median_radius)
+def notes_of(prepared: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions()) -> DataFrame:
+    """Notes of ``prepared_blocks``: one walk of the frames by stretches, then two of the notes by takes."""
     columns = ["frame_idx", "time", "hz", "clarity", "voiced", "island"]
-    split = ordered_walk(with_stretch(prepared, segment), ["take_id", "stretch"], ["frame_idx"], columns, lambda: StretchWalk(smooth, segment), _VALUES, _NOTE)
+    split = ordered_walk(stretches(prepared, segment), ["take_id", "stretch"], ["frame_idx"], columns, lambda: StretchWalk(smooth, segment), _VALUES, _NOTE)
     return snap_boundaries(merge_adjacent(drop_blips(split, segment).drop("stretch"), segment), segment)
+
+
+def track_to_notes(
+    frames: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions(), block: int = BLOCK_FRAMES
+) -> DataFrame:
+    """Raw frames to notes: windows by blocks of a take, then the walks of ``notes_of``."""
+    return notes_of(prepared_blocks(frames, smooth, block), smooth, segment)

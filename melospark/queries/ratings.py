@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from melospark import adapters as A
 from melospark.functions.pitch import note_name
 from melospark.operators import evaluate, feedback, keys, quality, track
+from melospark.operators.blocks import KEYS
 from melospark.queries.common import EVENTS, FR, G, K, KEY_ROWS, N, RT, T, note_name as sql_name, query, rnd
 from melospark.queries.scores import PRESETS, events, presets, r6
-from melospark.queries.tracks import FILTERED, MEDIANED, voiced
+from melospark.queries.tracks import FILTERED, MEDIANED
 from melospark.sources.feedback_json import feedback_json, read_feedback_json
+from melospark.storage import buckets_for, stage_bucketed
 from melospark.streaming import streams
 
 _METRICS = f"""(select t.take_id, coalesce(n, 0) as note_count, coalesce(hi - lo, 0) as span, coalesce(lo, 0) as lowest, coalesce(hi, 0) as highest,
@@ -87,8 +89,9 @@ def agg9_take_summary(spark, d):
 
 def funnel(spark, d) -> DataFrame:
     """Loss funnel of the frames, smoothed as far as windows go, with the notes that have the same take_id."""
-    filtered = track.clarity_filter(voiced(spark, d))
-    return quality.loss_funnel(A.frames(spark, d), filtered, track.median_filter(filtered), A.notes(spark, d), window_ms=4096 / 44100 * 1000)
+    buckets = buckets_for(spark)
+    tracked = stage_bucketed(track.prepared_blocks(A.frames(spark, d), parts=buckets), "tracked", list(KEYS), [*KEYS, "frame_idx"], buckets, dealt=True)
+    return quality.loss_funnel(quality.heard(tracked), A.notes(spark, d), window_ms=4096 / 44100 * 1000)
 
 
 _FUNNEL = f"""(

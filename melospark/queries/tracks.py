@@ -185,14 +185,49 @@ def src1_read_wav(spark, d):
     )
 
 
-@query(f"""select 'take-' || vec_id || '.wav' as path, case when {_FILE_ERROR} is not null then 'error' else 'done' end as status, {_FILE_ERROR} as error from embeddings""")
-def str4_ingest_takes(spark, d):
-    """The ingest sink run on the files as one batch; the status of every take that it wrote."""
+def ingested(spark, d, table: str) -> DataFrame:
+    """A table of the ingest sink, run on the files and then on all of them again, as after a lost checkpoint, together
+    with a copy of each under another path. Rows of the copies are left out; they are the first ones' rows."""
     files = wav_files(spark, d)
+    copies = files.select(F.concat(F.lit("copy-of-"), "path").alias("path"), "content")
     path = scratch(spark, "ingest")
-    streams.ingest_takes(path, FILE_OPTIONS)(files, 0)
-    named = files.select(F.xxhash64("path").alias("take_id"), "path")
-    return spark.read.parquet(f"{path}/status").join(named, "take_id").select("path", "status", "error")
+    write = streams.ingest_takes(path, FILE_OPTIONS)
+    write(files, 0)
+    write(copies.unionByName(files), 0)
+    named = files.unionByName(copies).select(F.xxhash64("path").alias("take_id"), "path")
+    return streams.read_takes(spark, path, table).drop("path").join(named, "take_id")
+
+
+#: Those vectors' files that are read.
+_HEARD = f"(select vec_id, list_transform(embedding, lambda v: {_PCM.replace('v *', 'v::double *')} / 32768.0::double) as x from embeddings where {_FILE_ERROR} is null)"
+
+#: What is heard in a file of 64 samples repeated 64 times: all 25 windows of 1024 samples, which begin at whole periods, are
+#: equal, so it is one note or none.
+FILE_NOTES = f"""(
+with e as (select *, 16 * list_sum(list_transform(x, lambda v: v * v)) as energy from {_HEARD}),
+l as (select *, unnest(range(6, 135)) as tau from e),
+d as (select vec_id, tau, energy, list_sum(list_transform(range(64), lambda c: (cast(floor((1023 - tau - c) / 64) as bigint) + 1) * x[c + 1] * x[(c + tau) % 64 + 1])) as r,
+  energy - list_sum(list_transform(range(64), lambda c: (cast(floor((1023 - tau - c) / 64) as bigint) + 1) * x[c + 1] * x[c + 1])) as tail from l),
+n as (select vec_id, tau, sqrt(energy / 1024) as rms, r / (energy + tail) as v from d where energy >= 1e-12),
+k as (select *, lag(v) over w as y0, lead(v) over w as y2 from n window w as (partition by vec_id order by tau)),
+p as (select *, max(v) over (partition by vec_id) as tallest from k where tau > 6 and tau < 134 and v > y0 and v >= y2 and rms >= 0.008),
+b as (select *, row_number() over (partition by vec_id order by tau) as nth from p where tallest >= 0.55 and v >= tallest * 0.88),
+h as (select vec_id, 8000 / (tau + case when abs(2 * (2 * v - y0 - y2)) > 1e-12 and abs((y2 - y0) / (2 * (2 * v - y0 - y2))) <= 1 then (y2 - y0) / (2 * (2 * v - y0 - y2)) else 0 end) as hz from b where nth = 1)
+select vec_id as take_id, 1::bigint as rn, 0.064::double as start_s, 0.464::double as end_s, 69 + 12 * log2(hz / 440) as midi, 1.0::double as confidence from h where hz between 60 and 1200)"""
+
+
+@query(f"""select p || 'take-' || vec_id || '.wav' as path, case when {_FILE_ERROR} is not null then 'error' when n.take_id is null then 'no_pitch' else 'done' end as status, {_FILE_ERROR} as error
+  from embeddings left join {FILE_NOTES} n on n.take_id = vec_id, (select unnest(['', 'copy-of-']) as p)""")
+def str4_ingest_takes(spark, d):
+    """The status of every take in the store, those under a second path too."""
+    return ingested(spark, d, "status").select("path", "status", "error")
+
+
+@query(f"select p || 'take-' || take_id || '.wav' as path, rn, start_s, end_s, round(midi, 6) as midi, confidence from {FILE_NOTES}, (select unnest(['', 'copy-of-']) as p)")
+def str4_ingest_notes(spark, d):
+    """The notes that the store holds."""
+    found = ingested(spark, d, "notes").select("path", "rn", "start_s", "end_s", "midi", "confidence")
+    return found.withColumns({c: F.round(c, 6) for c in ("start_s", "end_s", "midi")})
 
 
 def pitch_of_seconds(spark, d, window: int) -> DataFrame:
@@ -386,8 +421,8 @@ def notes_sql(frames: str) -> str:
     return f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, round(midi, 6) as midi, confidence from {whole_notes_sql(frames)}"
 
 
-def score_sql(frames: str) -> str:
-    """Score events of frames: the SQL of the steps after the notes, with these notes and what is inferred from them in
+def score_sql(notes: str, select: str = "*") -> str:
+    """Score events of notes: the SQL of the steps after the notes, with these notes and what is inferred from them in
     place of the adapters' notes, takes, grids and keys."""
 
     def of_these(sql: str) -> str:
@@ -395,9 +430,9 @@ def score_sql(frames: str) -> str:
             sql = sql.replace(adapter, own)
         return sql
 
-    return f"""with own_notes as materialized (select * from {whole_notes_sql(frames)}), own_takes as (select distinct take_id from own_notes),
+    return f"""with own_notes as materialized (select * from {notes}), own_takes as (select distinct take_id from own_notes),
 own_grids as materialized (select * from {of_these(INFERRED)}), own_keys as materialized (select take_id, tonic, mode from {of_these(DETECTED)})
-select * from {of_these(EVENTS)}"""
+select {select} from {of_these(EVENTS)}"""
 
 
 @query(notes_sql(FR))
@@ -464,7 +499,7 @@ def str1_live_meter(spark, d):
     return streams.live_meter(live, 800).select("take_id", r6(F.col("level"), "level"), r6(F.col("hz"), "hz"), "pitch", "detail")
 
 
-@query(score_sql(FR))
+@query(score_sql(whole_notes_sql(FR)))
 def pipeline_frames_to_scores(spark, d):
     """Frames to score events, the fused chain."""
     return transcribe_frames(A.frames(spark, d)).events
@@ -476,3 +511,10 @@ def pipeline_audio_to_notes(spark, d):
     options = PLAYED
     chunks = synth.synth_chunks(level_notes(spark, d), options.sample_rate, options.window, options.hop)
     return track.track_to_notes(audio.pitch_track(chunks, options), segment=track.SegmentOptions(frame_duration=options.hop / options.sample_rate))
+
+
+@query(score_sql(FILE_NOTES))
+def str4_ingest_events(spark, d):
+    """The score events that the store holds, of the files' first paths."""
+    events = ingested(spark, d, "events").where(~F.col("path").startswith("copy"))
+    return events.withColumn("take_id", F.regexp_extract("path", r"(\d+)", 1).cast("long")).drop("path")

@@ -53,22 +53,57 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return read
 
 
+def buckets_for(spark: SparkSession) -> int:
+    """Buckets of stage tables: as many as a shuffle has partitions, so that a table written after one needs no other."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stage_bucketed(df: DataFrame, name: str, by: list[str], sort: list[str], buckets: int | None = None, dealt: bool = False) -> DataFrame:
+    """Like ``stage``, as a table bucketed by ``by`` and sorted by ``sort`` in each bucket. Aggregations, windows and joins on
+    ``by`` (of tables with as many buckets) read it without an exchange. ``dealt``: ``df`` is dealt by these keys into so
+    many partitions already, so each task writes one bucket.
+
+    The table's files are in the shared folder; its name is one for this table alone, and goes with ``unstage``."""
+    spark = df.sparkSession
+    buckets, path = buckets or buckets_for(spark), scratch(spark, name)
+    table = f"staged_{path.rsplit('/', 1)[-1].replace('-', '_')}"
+    rows = df if dealt else df.repartition(buckets, *by)
+    rows.write.bucketBy(buckets, *by).sortBy(*sort).option("path", path).format("parquet").saveAsTable(table)
+    read = spark.table(table)
+    read._staged_at, read._staged_as = path, table
+    return read
+
+
 def unstage(df: DataFrame) -> None:
-    """Removes what ``stage`` wrote, for a table that is read no more."""
+    """Removes what ``stage`` or ``stage_bucketed`` wrote, for a table that is read no more."""
     spark, path = df.sparkSession, df._staged_at
-    _delete(spark, path)
-    _staged.remove((spark, path))
+    if table := getattr(df, "_staged_as", None):
+        spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+    delete(spark, path)
+    _staged[:] = [held for held in _staged if held[1] != path]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """The Hadoop file system and path of a name."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no such folder."""
+    files, at = _at(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
 
 
 @atexit.register
 def _remove_staged() -> None:
     for spark, path in _staged:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before Python
             return

@@ -1,17 +1,16 @@
-"""Structured Streaming jobs."""
+"""Structured Streaming jobs; the sinks that keep files are in ``ratings_store`` and ``take_store``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import live_pitch_label
 from melospark.operators import audio, feedback
-from melospark.plans.transcribe import transcribe
-from melospark.sources.wav import decode_files
-from melospark.storage import stage, unstage
+from melospark.streaming.ratings_store import feedback_sink, read_feedback
+from melospark.streaming.take_store import ingest_takes, read_takes
+
+__all__ = ["feedback_sink", "ingest_takes", "latest_feedback", "live_meter", "live_voiced_runs", "read_feedback", "read_takes"]
 
 
 def live_meter(frames: DataFrame, sample_rate: int) -> DataFrame:
@@ -36,42 +35,3 @@ def latest_feedback(submissions: DataFrame) -> DataFrame:
     fields = [c for c in submissions.columns if c not in ("user_id", "take_id")]
     newest = submissions.groupBy("user_id", "take_id").agg(F.max_by(F.struct(*fields), feedback.recency(fields)).alias("r"))
     return newest.select("user_id", "take_id", "r.*")
-
-
-def feedback_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer that merges each batch into a bounded history; a batch written twice changes nothing.
-
-    Each version is a folder of its own, named by the batch, so a failed write never harms the version before.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs
-        base = fs.Path(path)
-        files = base.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = []
-        if files.exists(base):
-            done = [int(s.getPath().getName()[2:]) for s in files.listStatus(base) if files.exists(fs.Path(s.getPath(), "_SUCCESS"))]
-        before = [v for v in done if v < batch_id]
-        new = feedback.feedback_upsert(batch)
-        merged = feedback.merge_feedback(spark.read.parquet(f"{path}/v={max(before)}"), batch) if before else new
-        merged.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    return write
-
-
-def ingest_takes(path: str, options: audio.PitchOptions = audio.PitchOptions()) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: new files (path, content) through the whole chain, each table under its batch's folder, so a
-    replay overwrites its own batch. Files are decoded once and frames are found once for all tables."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        chunks = stage(decode_files(batch, options), "chunks")
-        done = transcribe(chunks, options)
-        failed = chunks.where(F.col("error").isNotNull()).select("take_id", "path", "error")
-        tables = {"notes": done.notes, "events": done.events, "status": done.status, "funnel": done.funnel, "summary": done.summary, "errors": failed}
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
-        for held in (done.notes, done.frames, done.takes, chunks):
-            unstage(held)
-
-    return write
