@@ -42,6 +42,14 @@ select take_id, rn, round(midi, 6) as midi, round(st, 6) as start_s, round(st +
 #: Overlapping notes of close pitch, for merging and overlap resolution.
 CLOSE_NOTES_SQL = f"select take_id, rn, 60 + (rn * 7 + take_id) % 3 * cast(0.3 as double) as midi, start_s, end_s + 0.1 as end_s, confidence from ({NOTES_SQL})"
 
+#: The notes strung together into seven long takes, with rests between them.
+LONG_NOTES_SQL = f"""
+select take_id, rn, midi, round(st, 6) as start_s, round(st + dur, 6) as end_s, confidence from (
+  select take_id, rn, midi, dur, confidence, sum(dur + rest) over (partition by take_id order by rn rows between unbounded preceding and current row) - (dur + rest) as st from (
+    select take_id % 7 as take_id, midi, confidence, end_s - start_s as dur, take_id % 5 * cast(0.02 as double) as rest,
+           cast(row_number() over (partition by take_id % 7 order by take_id, rn) as bigint) as rn from ({NOTES_SQL})))
+"""
+
 TAKES_SQL = f"select distinct take_id from ({NOTES_SQL})"
 
 #: A grid and a key for each take of the notes, for what follows those steps.
@@ -100,6 +108,10 @@ def close_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, CLOSE_NOTES_SQL)
 
 
+def long_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, LONG_NOTES_SQL)
+
+
 def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, TAKES_SQL)
 

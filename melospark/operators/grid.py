@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import round_half_up
 from melospark.operators.ordered import ordered_walk
+from melospark.storage import stage
 
 
 @dataclass(frozen=True)
@@ -123,45 +127,192 @@ def tempo_cost(bpm: Column) -> Column:
     return 0.03 + 0.03 * F.exp(-0.5 * z * z)
 
 
-def infer_grid(notes: DataFrame, options: GridOptions = GridOptions()) -> DataFrame:
-    """Cheapest grid of every take: take_id, bpm, beats_per_step, seconds_per_step, steps_per_measure, cost.
-
-    Candidates are deduplicated before they meet the notes, so the fan-out is bounded by 507 per note; the sums
-    are partially aggregated. Takes without a usable candidate get 120 bpm in half-beat steps.
-    """
-    cands = _candidates(notes, options).withColumn("sps", 60 / F.col("bpm") * F.col("beats_per_step"))
-    timed = notes.select("take_id", "start_s", "end_s")
-    pairs = cands.where(F.col("sps") * 2 <= F.col("span")).join(timed, "take_id")
-    start, end, sps = F.col("start_s") - F.col("origin"), F.col("end_s") - F.col("origin"), F.col("sps")
-
-    def off(x: Column) -> Column:
-        return F.abs(F.floor(x / sps + 0.5) * sps - x)
-
-    length = F.col("end_s") - F.col("start_s")
-    weight = 1 + F.sqrt(length)
-    summed = pairs.groupBy("take_id", "bpm", "beats_per_step", "sps", "place", "n", "reference").agg(
-        F.sum((off(start) + off(end)) * weight).alias("off"), F.sum(weight).alias("weight"), F.sum((length / sps < 0.5).cast("long")).alias("short")
-    )
-    cost = (
-        F.col("off") / F.col("weight") / F.col("reference")
-        + F.abs(F.log2(F.greatest(F.lit(1e-6), F.col("reference") / sps))) * options.metrical_weight
-        + (1 / F.col("beats_per_step") - 1) * options.coarseness_weight
-        + tempo_cost(F.col("bpm"))
-        + F.col("short") / F.col("n") * 2
-    )
-    rated = summed.withColumn("cost", cost)
-    best = rated.groupBy("take_id").agg(
-        F.min_by(F.struct("bpm", "beats_per_step", "sps", "cost"), F.struct(F.round("cost", 9), "place")).alias("b")
-    )
-    default = F.struct(F.lit(120).cast("long").alias("bpm"), F.lit(0.5).alias("beats_per_step"), F.lit(0.25).alias("sps"), F.lit(0.0).alias("cost"))
-    return notes.select("take_id").distinct().join(best, "take_id", "left").select("take_id", F.coalesce("b", default).alias("b")).select(
-        "take_id",
-        "b.bpm",
-        "b.beats_per_step",
-        F.col("b.sps").alias("seconds_per_step"),
-        round_half_up(options.beats_per_measure / F.col("b.beats_per_step")).alias("steps_per_measure"),
-        "b.cost",
+#: Takes up to so many notes are solved whole by a task that passes through them; longer ones are spread.
+WHOLE_TAKE = 2048
+#: Pairs of notes and candidates that a task holds at once.
+_PAIRS = 1_000_000
+
+
+def _solved(take: np.ndarray, rn: np.ndarray, start: np.ndarray, end: np.ndarray, count: int, options: GridOptions) -> tuple[np.ndarray, ...]:
+    """(bpm, beats_per_step, seconds_per_step, cost) of ``count`` takes, numbered in ``take``, from all their notes."""
+    order = np.lexsort((rn, start, take))
+    take, start, end = take[order], start[order], end[order]
+    n = np.bincount(take, minlength=count)
+    head = np.cumsum(n) - n
+    origin, span = start[head], np.maximum.reduceat(end, head) - start[head]
+    step = np.diff(start, prepend=start[:1])
+    counted = step > 0.01
+    counted[head] = False
+    of, steps = take[counted], step[counted]
+    each = np.bincount(of, minlength=count)
+    first = np.cumsum(each) - each
+    by_size = steps[np.lexsort((steps, of))]
+    middle = np.minimum(first + each // 2, max(0, len(steps) - 1))
+    reference = np.where(each > 0, by_size[middle], span) if len(steps) else span
+    # seeds, each with its take and place
+    k = options.steps_per_interval
+    d = np.arange(1, k + 1)
+    sweep = np.array([60 / bpm * 0.5 for bpm in range(options.min_bpm, options.max_bpm + 1, 8)])
+    own = np.arange(count)
+    seeds = [(np.repeat(of, k), (steps[:, None] / d).ravel(), ((np.arange(len(of)) - first[of])[:, None] * k + d).ravel())]
+    seeds.append((np.repeat(own, 4), (reference[:, None] * d[:4]).ravel(), np.tile(10**9 + d[:4], count)))
+    seeds.append((np.repeat(own, len(sweep)), np.tile(sweep, count), np.tile(2 * 10**9 + np.arange(len(sweep)), count)))
+    at, seed, place = (np.concatenate(c) for c in zip(*seeds, strict=True))
+    good = (span[at] > 0) & (seed > 0)
+    at, seed, place = at[good], seed[good], place[good]
+    keys = []
+    for j, beats in enumerate(options.beats_per_step):
+        exact = 60 / (seed / beats)
+        kept = (exact >= options.min_bpm) & (exact <= options.max_bpm)
+        bpm = np.floor(exact[kept] + 0.5).astype(np.int64)
+        keys.append((((at[kept] << 10 | bpm) << 2 | j) << 34) | (place[kept] * 3 + j))
+    key = np.sort(np.concatenate(keys))
+    code = key >> 34
+    lead = np.append(True, code[1:] != code[:-1])[: len(code)]
+    code, place = code[lead], key[lead] & ((1 << 34) - 1)
+    at, bpm, beats = code >> 12, code >> 2 & 1023, np.array(options.beats_per_step)[code & 3]
+    sps = 60 / bpm * beats
+    fits = sps * 2 <= span[at]
+    at, bpm, beats, sps, place = at[fits], bpm[fits], beats[fits], sps[fits], place[fits]
+    # costs, some pairs at a time
+    x, y, length = start - origin[take], end - origin[take], end - start
+    weight = 1 + np.sqrt(length)
+    pairs = np.cumsum(n[at])
+    cost = np.empty(len(at))
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(pairs, (pairs[low - 1] if low else 0) + _PAIRS, side="right")))
+        size = n[at[low:high]]
+        edge = np.cumsum(size) - size
+        note = np.arange(size.sum()) - np.repeat(edge - head[at[low:high]], size)
+        grid = np.repeat(sps[low:high], size)
+        away = sum(np.abs(np.floor(v[note] / grid + 0.5) * grid - v[note]) for v in (x, y))
+        off, total = (np.add.reduceat(v, edge) for v in (away * weight[note], weight[note]))
+        short = np.add.reduceat((length[note] / grid < 0.5).astype(np.int64), edge)
+        cost[low:high] = off / total / reference[at[low:high]] + short / size * 2
+        low = high
+    bend = (bpm - 108) / 70
+    cost += np.abs(np.log2(np.maximum(1e-6, reference[at] / sps))) * options.metrical_weight + (1 / beats - 1) * options.coarseness_weight
+    cost += 0.03 + 0.03 * np.exp(-0.5 * bend * bend)
+    best = np.lexsort((place, np.round(cost, 9), at))
+    best = best[np.append(True, at[best][1:] != at[best][:-1])[: len(best)]]
+    out = np.full(count, 120), np.full(count, 0.5), np.full(count, 0.25), np.zeros(count)
+    for column, values in zip(out, (bpm, beats, sps, cost), strict=True):
+        column[at[best]] = values[best]
+    return out
+
+
+def _whole_takes(notes: DataFrame, options: GridOptions, most: int) -> DataFrame:
+    """The grid of each take, null in all columns for one with more than ``most`` notes: one deal of the notes by take,
+    whose rows pass through a task in order, many takes at once as arrays."""
+    kind = notes.schema["take_id"].dataType
+    no_take = F.col("take_id").isNull().alias("no_take")
+    laid = notes.select(F.coalesce("take_id", F.lit("0").cast(kind)).alias("take_id"), no_take, F.col("rn").cast("double").alias("rn"), "start_s", "end_s")
+    laid = laid.repartition("take_id", "no_take").sortWithinPartitions("take_id", "no_take")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(table: pa.Table, head: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+            fit = sizes <= most
+            number = np.cumsum(fit) - 1
+            rows = np.repeat(fit, sizes)
+            take = np.repeat(number, sizes)[rows]
+            own = [table[c].to_numpy()[rows] for c in ("rn", "start_s", "end_s")]
+            found = _solved(take, *own, int(fit.sum()), options) if fit.any() else ()
+            ids = table["take_id"].take(pa.array(head))
+            gone = table["no_take"].take(pa.array(head)).to_numpy()
+            columns = [pa.array([None if g else i for g, i in zip(gone, ids.to_pylist(), strict=True)], ids.type)]
+            for k, arrow in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64())):
+                values = np.zeros(len(head))
+                if fit.any():
+                    values[fit] = found[k]
+                columns.append(pa.array(values.astype(np.int64) if k == 0 else values, arrow, mask=~fit))
+            return pa.RecordBatch.from_arrays(columns, names=["take_id", "bpm", "beats_per_step", "seconds_per_step", "cost"])
+
+        held: pa.Table | None = None  # the last take's rows, which may go on; of a long take no more than needed
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            if not len(table):
+                continue
+            ids, gone = table["take_id"].to_numpy(), table["no_take"].to_numpy()
+            new = np.append(True, (ids[1:] != ids[:-1]) | (gone[1:] != gone[:-1]))
+            head = np.flatnonzero(new)
+            sizes = np.diff(np.append(head, len(table)))
+            if len(head) > 1:
+                yield solved(table.slice(0, head[-1]), head[:-1], sizes[:-1])
+            held = table.slice(head[-1], min(sizes[-1], most + 1))
+        if held is not None and len(held):
+            yield solved(held, np.array([0]), np.array([len(held)]))
+
+    return laid.mapInArrow(run, f"take_id {kind.simpleString()}, bpm long, beats_per_step double, seconds_per_step double, cost double")
+
+
+#: Of a long take: parts that its notes are dealt to, notes that bound a candidate's cost, candidates costed first.
+_SALTS, _BOUNDING, _LEADERS = 64, 256, 4
+
+
+def _long_takes(notes: DataFrame, options: GridOptions) -> DataFrame:
+    """The grid of each take, its notes spread over ``_SALTS`` parts and most candidates dropped before they meet them.
+
+    Every part of a cost is a sum that only grows, so what some notes give is a lower bound. The candidates with the least
+    bounds are costed on all notes; what is bound to cost more than the best of these can't win. The others are costed on
+    all notes too. Partial sums are added by part, then by candidate."""
+    weight = 1 + F.sqrt(F.col("end_s") - F.col("start_s"))
+    placed = with_spans(notes).withColumn("weight", F.sum(weight).over(Window.partitionBy("take_id")))
+    salt = F.pmod(F.xxhash64("rn", "start_s"), F.lit(_SALTS)).alias("salt")
+    bounds = F.pmod(F.xxhash64("start_s", "rn"), F.greatest(F.lit(1), F.floor(F.col("n") / _BOUNDING))) == 0
+    timed = stage(placed.select("take_id", salt, (F.col("start_s") - F.col("origin")).alias("x"), (F.col("end_s") - F.col("origin")).alias("y"), bounds.alias("bounds")), "timed")
+    total = placed.groupBy("take_id").agg(F.any_value("weight").alias("weight")).withColumnRenamed("take_id", "of_take")
+    found = _candidates(notes, options).withColumn("sps", 60 / F.col("bpm") * F.col("beats_per_step")).where(F.col("sps") * 2 <= F.col("span"))
+    found = found.join(total, F.col("take_id") == F.col("of_take")).drop("of_take")
+    own = ("take_id", "bpm", "beats_per_step", "sps", "place", "n", "reference", "weight")
+
+    def costed(cands: DataFrame, rows: DataFrame) -> DataFrame:
+        """``cands`` with the cost that ``rows`` of the notes give."""
+        spread = cands.select(*own, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
+        x, y, sps = F.col("x"), F.col("y"), F.col("sps")
+
+        def off(v: Column) -> Column:
+            return F.abs(F.floor(v / sps + 0.5) * sps - v)
+
+        met = spread.join(rows, ["take_id", "salt"])
+        parts = met.groupBy(*own, "salt").agg(
+            F.sum((off(x) + off(y)) * (1 + F.sqrt(y - x))).alias("off"), F.sum(((y - x) / sps < 0.5).cast("long")).alias("short")
+        )
+        summed = parts.groupBy(*own).agg(F.sum("off").alias("off"), F.sum("short").alias("short"))
+        fixed = (
+            F.abs(F.log2(F.greatest(F.lit(1e-6), F.col("reference") / sps))) * options.metrical_weight
+            + (1 / F.col("beats_per_step") - 1) * options.coarseness_weight
+            + tempo_cost(F.col("bpm"))
+        )
+        return summed.select(*own, (F.col("off") / F.col("weight") / F.col("reference") + fixed + F.col("short") / F.col("n") * 2).alias("cost"))
+
+    bounded = stage(costed(found, timed.where("bounds")), "bounded")
+    rank = F.row_number().over(Window.partitionBy("take_id").orderBy("cost", "place"))
+    leaders = stage(bounded.withColumn("nth", rank).where(F.col("nth") <= _LEADERS).select(*own), "leaders")
+    ceiling = costed(leaders, timed).groupBy("take_id").agg(F.min("cost").alias("ceiling")).withColumnRenamed("take_id", "of_take")
+    left = bounded.join(ceiling, F.col("take_id") == F.col("of_take")).where(F.col("cost") <= F.col("ceiling") + 1e-8).select(*own)
+    best = costed(stage(left, "left"), timed).groupBy("take_id").agg(
+        F.min_by(F.struct("bpm", "beats_per_step", F.col("sps").alias("seconds_per_step"), "cost"), F.struct(F.round("cost", 9), "place")).alias("b")
     )
+    return best.select("take_id", "b.*")
+
+
+def infer_grid(notes: DataFrame, options: GridOptions = GridOptions(), whole: int = WHOLE_TAKE) -> DataFrame:
+    """Cheapest grid of every take: take_id, bpm, beats_per_step, seconds_per_step, steps_per_measure, cost. Takes
+    without a usable candidate get 120 bpm in half-beat steps.
+
+    Takes of up to ``whole`` notes are solved each by one task; longer ones, if there are any, by parts."""
+    found = stage(_whole_takes(notes, options, whole), "grids")
+    grids = found.where(F.col("bpm").isNotNull())
+    if found.where(F.col("bpm").isNull()).limit(1).count():
+        ids = found.where(F.col("bpm").isNull()).select("take_id")
+        solved = _long_takes(notes.join(ids, "take_id", "left_semi"), options)
+        default = {"bpm": F.lit(120).cast("long"), "beats_per_step": F.lit(0.5), "seconds_per_step": F.lit(0.25), "cost": F.lit(0.0)}
+        filled = ids.join(solved, "take_id", "left").select("take_id", *(F.coalesce(c, v).alias(c) for c, v in default.items()))
+        grids = grids.unionByName(filled)
+    per_measure = round_half_up(options.beats_per_measure / F.col("beats_per_step")).alias("steps_per_measure")
+    return grids.select("take_id", "bpm", "beats_per_step", "seconds_per_step", per_measure, "cost")
 
 
 def steps_quantize(notes: DataFrame, grids: DataFrame) -> DataFrame:

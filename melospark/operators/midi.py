@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from melospark.functions import dims
 from melospark.functions.pitch import round_half_up
+from melospark.sources.files import write_files
 
 TICKS_PER_UNIT = 120
 TICKS_PER_BEAT = 480
@@ -87,9 +88,12 @@ def midi_files(table: DataFrame) -> DataFrame:
     return body.select("take_id", F.unhex(F.concat(head, "body")).alias("content"))
 
 
-def write_midi_files(files: DataFrame, path: str) -> None:
-    """One Parquet table of file contents."""
-    files.write.mode("overwrite").parquet(path)
+def write_midi_files(files: DataFrame, path: str, single: bool = False) -> None:
+    """One Parquet table of file contents; or, if asked, a file ``<take_id>.mid`` for each take."""
+    if single:
+        write_files(files.select(F.concat(F.col("take_id").cast("string"), F.lit(".mid")).alias("name"), "content"), path)
+    else:
+        files.write.mode("overwrite").parquet(path)
 
 
 def pair_note_events(messages: DataFrame, microseconds_per_beat: int = 500_000) -> DataFrame:

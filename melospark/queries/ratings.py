@@ -13,7 +13,7 @@ from melospark.queries.common import EVENTS, FR, G, K, KEY_ROWS, N, RT, T, note_
 from melospark.queries.scores import PRESETS, events, presets, r6
 from melospark.queries.tracks import FILTERED, MEDIANED
 from melospark.sources.feedback_json import feedback_json, read_feedback_json
-from melospark.storage import buckets_for, stage_bucketed
+from melospark.storage import buckets_for, scratch, stage_bucketed
 from melospark.streaming import streams
 
 _METRICS = f"""(select t.take_id, coalesce(n, 0) as note_count, coalesce(hi - lo, 0) as span, coalesce(lo, 0) as lowest, coalesce(hi, 0) as highest,
@@ -141,6 +141,17 @@ def str3_latest_feedback(spark, d):
     return streams.latest_feedback(A.ratings(spark, d))
 
 
+@query(f"select * from {UPSERTED}")
+def str3_feedback_sink(spark, d):
+    """What the sink holds after all ratings in three deliveries, the first of them twice."""
+    ratings, path = A.ratings(spark, d), scratch(spark, "ratings")
+    parts = [ratings.where(F.pmod(F.xxhash64("take_id", "at_seq"), F.lit(3)) == k) for k in range(3)]
+    write = streams.feedback_sink(path, buckets=16)
+    for k, part in enumerate([*parts, parts[0]]):
+        write(part, k)
+    return streams.read_feedback(spark, path)
+
+
 @query(f"select user_id, count(*) filter (where verdict = 'good') as good, count(*) filter (where verdict = 'bad') as bad from {UPSERTED} group by user_id")
 def agg10_feedback_counts(spark, d):
     return feedback.feedback_counts(feedback.feedback_upsert(A.ratings(spark, d)))

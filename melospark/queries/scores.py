@@ -182,6 +182,16 @@ def grd2_joi3_infer_grid(spark, d):
     return found.withColumns({"seconds_per_step": F.round("seconds_per_step", 6), "cost": F.round("cost", 6)})
 
 
+_LONG = f"({A.LONG_NOTES_SQL})"
+
+
+@query(f"select take_id, bpm, beats_per_step, round(seconds_per_step, 6) as seconds_per_step, steps_per_measure, round(cost, 6) as cost from {INFERRED.replace(T, f'(select distinct take_id from {_LONG})').replace(N, _LONG)}")
+def grd2_joi3_long_takes(spark, d):
+    """Takes of thousands of notes, solved by parts."""
+    found = grid.infer_grid(A.long_notes(spark, d), whole=100)
+    return found.withColumns({"seconds_per_step": F.round("seconds_per_step", 6), "cost": F.round("cost", 6)})
+
+
 def level_notes(spark, d) -> DataFrame:
     """Notes as the pipeline makes them: all equally confident."""
     return A.notes(spark, d).withColumn("confidence", F.lit(1.0))

@@ -12,6 +12,7 @@ from melospark.plans.transcribe import transcribe_frames
 from melospark.queries.common import C, EVENTS, FR, G, K, LEAPS, N, S, T, pc, query, rnd
 from melospark.queries.scores import DETECTED, INFERRED, level_notes, r6
 from melospark.sources import synth, wav
+from melospark.sources.files import write_files
 from melospark.storage import scratch
 from melospark.streaming import streams
 
@@ -172,19 +173,35 @@ def wav_files(spark, d) -> DataFrame:
 _FILE_ERROR = "case when vec_id % 17 = 0 then 'no data chunk' when vec_id % 11 = 0 or vec_id % 13 = 0 then 'no channels or no sample rate' end"
 
 
-@query(f"""select 'take-' || vec_id || '.wav' as path, {_FILE_ERROR} as error, case when {_FILE_ERROR} is null then 4096 else 0 end::bigint as n_samples,
+_DECODED = f"""select 'take-' || vec_id || '.wav' as path, {_FILE_ERROR} as error, case when {_FILE_ERROR} is null then 4096 else 0 end::bigint as n_samples,
   case when {_FILE_ERROR} is null then round(64 * list_sum(list_transform(embedding, lambda v: {_PCM.replace('v *', 'v::double *')} / 32768.0::double)), 4) else 0 end as total,
-  case when {_FILE_ERROR} is null then round(list_max(list_transform(embedding, lambda v: abs({_PCM.replace('v *', 'v::double *')} / 32768.0::double))), 6) else 0 end as peak from embeddings""")
-def src1_read_wav(spark, d):
-    """Files with good and broken headers, decoded to chunks."""
-    chunks = wav.decode_files(wav_files(spark, d), FILE_OPTIONS).withColumn("core", F.slice("samples", F.lit(1), F.greatest(F.lit(0), F.col("n_core"))))
+  case when {_FILE_ERROR} is null then round(list_max(list_transform(embedding, lambda v: abs({_PCM.replace('v *', 'v::double *')} / 32768.0::double))), 6) else 0 end as peak from embeddings"""
+
+
+def decoded(chunks: DataFrame) -> DataFrame:
+    """Count, sum and peak of each file's samples."""
+    chunks = chunks.withColumn("core", F.slice("samples", F.lit(1), F.greatest(F.lit(0), F.col("n_core"))))
     total = F.aggregate("core", F.lit(0.0), lambda a, x: a + x.cast("double"))
     peak = F.coalesce(F.array_max(F.transform("core", lambda x: F.abs(x.cast("double")))), F.lit(0.0))
-    return chunks.groupBy("path").agg(
+    return chunks.groupBy(F.regexp_extract("path", "[^/]+$", 0).alias("path")).agg(
         F.max("error").alias("error"), F.sum("n_core").cast("long").alias("n_samples"), F.round(F.sum(total), 4).alias("total"), F.round(F.max(peak), 6).alias("peak")
     )
 
 
+@query(_DECODED)
+def src1_read_wav(spark, d):
+    """Files with good and broken headers, decoded to chunks."""
+    return decoded(wav.decode_files(wav_files(spark, d), FILE_OPTIONS))
+
+
+@query(_DECODED)
+def src1_read_wav_corpus(spark, d):
+    """The same as real files in the shared folder, read by ranges: four chunks each."""
+    folder = scratch(spark, "wav")
+    write_files(wav_files(spark, d).select(F.col("path").alias("name"), "content"), folder)
+    return decoded(wav.read_wav_corpus(spark, folder, FILE_OPTIONS, hops=8))
+
+
 def ingested(spark, d, table: str) -> DataFrame:
     """A table of the ingest sink, run on the files and then on all of them again, as after a lost checkpoint, together
     with a copy of each under another path. Rows of the copies are left out; they are the first ones' rows."""
@@ -475,15 +492,62 @@ def prj2_drop_short_takes(spark, d):
     return quality.drop_short_takes(n.withColumn("sample_rate", F.lit(8000)))
 
 
-@query(f"""select take_id, a as start_us, b as end_us, frames, round(mean, 6) as mean_clarity from (
-  select take_id, run, min(us) as a, max(us) + 64000 as b, count(*) as frames, avg(clarity) as mean from (
+def timed_frames(spark, d) -> DataFrame:
+    return A.frames(spark, d).withColumn("ts", F.timestamp_micros(F.floor(F.col("time") * 1_000_000))).select("take_id", "frame_idx", "ts", "hz", "clarity")
+
+
+def streamed(spark, deliveries: list[DataFrame], job, name: str) -> DataFrame:
+    """What a job makes of a stream whose rows come in these deliveries, one after the other: for each a stream that takes
+    what is there and stops, going on from the checkpoint of the one before."""
+    at = {k: scratch(spark, f"{name}-{k}") for k in ("in", "out", "state")}
+    for rows in deliveries:
+        rows.coalesce(1).write.mode("append").parquet(at["in"])
+        out = job(spark.readStream.schema(rows.schema).parquet(at["in"]))
+        going = out.writeStream.format("parquet").option("checkpointLocation", at["state"]).option("path", at["out"]).trigger(availableNow=True).start()
+        going.awaitTermination()
+    return spark.read.schema(out.schema).parquet(at["out"])
+
+
+def sessions_sql(rows: str) -> str:
+    """Runs of (take_id, us, clarity) that are closed by 64 ms without one."""
+    return f"""(select take_id, run, min(us) as a, max(us) + 64000 as b, count(*) as frames, sum(clarity) as clarity from (
     select *, sum(opens) over (partition by take_id order by us) as run from (
-      select *, case when us - lag(us) over (partition by take_id order by us) >= 64000 then 1 else 0 end as opens from (
-        select take_id, clarity, cast(floor(time * 1000000) as bigint) as us from {FR} where hz > 0))) group by take_id, run)""")
+      select *, case when us - lag(us) over (partition by take_id order by us) >= 64000 then 1 else 0 end as opens from {rows})) group by take_id, run)"""
+
+
+#: Every ninth frame comes in a second delivery. What ends 300 ms or more before the last frame that came is closed then.
+_LATE_US = f"""
+with f as (select take_id, frame_idx, clarity, cast(floor(time * 1000000) as bigint) as us, frame_idx % 9 = 4 as late from {FR} where hz > 0),
+w as (select cast(floor(max(us) / 1000) as bigint) * 1000 - 300000 as mark from f where not late),
+s as (select * from {sessions_sql('(select * from f where not late)')}),
+closed as (select * from s where b <= (select mark from w)),
+kept as (select * from f where us + 64000 > (select mark from w) and late union all
+  select f.* from f join s on s.take_id = f.take_id and f.us >= a and f.us < b where not late and b > (select mark from w)),
+lost as (select take_id, count(*) as lost from f where late and us + 64000 <= (select mark from w) group by take_id),
+every as (select take_id, a, b, frames, clarity from closed union all select take_id, a, b, frames, clarity from {sessions_sql('kept')})"""
+
+
+@query(f"""{_LATE_US} select every.take_id, a as start_us, b as end_us, frames, round(clarity / frames, 6) as mean_clarity, coalesce(lost, 0) as lost
+  from every left join lost using (take_id)""")
 def str2_live_voiced_runs(spark, d):
-    """The stream's plan on a table; tests run it as a stream."""
-    f = A.frames(spark, d).withColumn("ts", F.timestamp_micros(F.floor(F.col("time") * 1_000_000)))
-    runs = streams.live_voiced_runs(f)
+    """The stream itself: frames, then late ones, then one a day later that closes all. ``lost``: frames of the take that
+    came when their run had been closed."""
+    f = timed_frames(spark, d)
+    late = F.col("frame_idx") % 9 == 4
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("take_id"), F.lit(0).cast("long").alias("frame_idx"), F.lit("1970-01-02").cast("timestamp").alias("ts"), F.lit(440.0).alias("hz"), F.lit(1.0).alias("clarity"))
+    runs = streamed(spark, [f.where(~late), f.where(late), end], lambda rows: streams.live_voiced_runs(rows, late="300 milliseconds"), "runs")
+    came = f.where("hz > 0").groupBy("take_id").count()
+    lost = runs.groupBy("take_id").agg(F.sum("frames").alias("held")).join(came, "take_id").select("take_id", (F.col("count") - F.col("held")).alias("lost"))
+    return runs.where("take_id >= 0").join(lost, "take_id").select(
+        "take_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "frames", r6(F.col("mean_clarity"), "mean_clarity"), "lost"
+    )
+
+
+@query(f"""select take_id, a as start_us, b as end_us, frames, round(clarity / frames, 6) as mean_clarity
+  from {sessions_sql(f"(select take_id, clarity, cast(floor(time * 1000000) as bigint) as us from {FR} where hz > 0)")}""")
+def str2_voiced_runs_batch(spark, d):
+    """The stream's plan on a table."""
+    runs = streams.live_voiced_runs(timed_frames(spark, d))
     return runs.select("take_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "frames", r6(F.col("mean_clarity"), "mean_clarity"))
 
 
@@ -494,9 +558,11 @@ _LIVE_NAME = f"(['C', 'C♯', 'D', 'E♭', 'E', 'F', 'F♯', 'G', 'A♭', 'A', '
   from (select p.take_id, hz, case when hz > 0 then {rnd('69 + 12 * log2(hz / 440)')} end as m, round(least(1, pow(r * 3.2, 0.6)), 6) as level
     from {LIVE_PITCH} p join (select take_id, sqrt(avg(x * x)) as r from {S} group by take_id) r on r.take_id = p.take_id)""")
 def str1_live_meter(spark, d):
-    """The stream's plan on a table; tests run it as a stream."""
+    """The stream itself, in two deliveries."""
     live = signals(spark, d).withColumn("ts", F.timestamp_millis(F.col("take_id")))
-    return streams.live_meter(live, 800).select("take_id", r6(F.col("level"), "level"), r6(F.col("hz"), "hz"), "pitch", "detail")
+    even = F.col("take_id") % 2 == 0
+    found = streamed(spark, [live.where(even), live.where(~even)], lambda rows: streams.live_meter(rows, 800), "meter")
+    return found.select("take_id", r6(F.col("level"), "level"), r6(F.col("hz"), "hz"), "pitch", "detail")
 
 
 @query(score_sql(whole_notes_sql(FR)))

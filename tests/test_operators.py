@@ -412,3 +412,31 @@ def test_mono_and_resample(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0]], [0.0, 1.0, 2.0, 3.0])], "c array<array<double>>, x array<double>")
     row = df.select(audio.mix_to_mono(F.col("c")), audio.resample_linear(F.col("x"), 2, 4), audio.resample_linear(F.col("x"), 4, 2)).first()
     assert row[0] == [2.0, 4.0] and row[1] == [0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.0] and row[2] == [0.0, 2.0]
+
+
+def test_grids_of_whole_takes_and_of_parts(spark):
+    """One task for a take, rows in small batches, or notes spread over parts: the same grids, null ids and all."""
+    rng, rows = np.random.default_rng(2), []
+    for take, n in ((1, 1), (2, 2), (3, 40), (4, 300), (None, 25), (5, 3)):
+        at, beat = 0.3, rng.choice([0.3, 0.41, 0.5])
+        for k in range(n):
+            length = float(beat * rng.choice([0.5, 1, 2]) + rng.normal(0, 0.01))
+            rows.append((take, k, at, at + max(0.03, length - 0.02), 60.0, 1.0))
+            at = at if take == 5 else at + max(0.04, length)
+    notes = spark.createDataFrame(rows, "take_id long, rn long, start_s double, end_s double, midi double, confidence double").repartition(3)
+
+    def found(df):
+        return sorted(((r.take_id, r.bpm, r.beats_per_step, round(r.seconds_per_step, 9), r.steps_per_measure, round(r.cost, 8)) for r in df.collect()), key=repr)
+
+    whole = found(grid.infer_grid(notes))
+    assert len(whole) == 6 and {r[0] for r in whole} == {1, 2, 3, 4, 5, None}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert found(grid.infer_grid(notes)) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    known = [r for r in whole if r[0] is not None]
+    for most in (0, 30):
+        assert found(grid.infer_grid(notes.where("take_id is not null"), whole=most)) == known
+    assert grid.infer_grid(notes.limit(0)).collect() == []
