@@ -17,6 +17,7 @@ Search ends when the bound is met, when every branch is cut (the plan then is op
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -168,8 +169,14 @@ def completions(counts: dict[int, int], room: int, waste: int) -> Iterator[tuple
                     yield slack, None if again or _dominated(filling, slack, counts, available) else dict(filling)
 
 
-def plan(counts: dict[int, int], capacity: int, max_nodes: int = 1500, max_fillings: int = 50_000) -> Plan:
-    """Best plan found for the histogram ``counts`` (length -> number of pieces, 1 <= length <= capacity)."""
+#: Where the search stops unless told otherwise.
+MAX_NODES, MAX_FILLINGS = 1500, 50_000
+
+
+def plan(counts: dict[int, int], capacity: int, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> Plan:
+    """Best plan found for the histogram ``counts`` (length -> number of pieces, 1 <= length <= capacity). Without limits
+    (None) it is the best there is."""
+    max_nodes, max_fillings = (math.inf if m is None else m for m in (max_nodes, max_fillings))
     counts = {x: n for x, n in counts.items() if n}
     bound, total = lower_bound(counts, capacity), sum(x * n for x, n in counts.items())
     best = best_fit_decreasing(counts, capacity)

@@ -41,6 +41,8 @@ SWITCH_COST = 15.0
 LEAST_SCRIPT_SHARE = 0.01
 #: Characters looked at together; bounds the memory of a batch (a longer text is taken alone).
 BLOCK_CHARS = 200_000
+#: Texts beyond so many characters are taken in pieces.
+LONG_TEXT = 1 << 19
 _CHUNK = 64
 #: Labels up to which texts are cut into chunks: a chunk is solved once for each of them.
 _FEW_LABELS = 12
@@ -149,6 +151,18 @@ def blocks(values: Iterable[str]) -> Iterator[list[str]]:
         yield held
 
 
+def text_pieces(text: str, longest: int | None = None) -> Iterator[tuple[int, str]]:
+    """(offset, piece): a text of over ``LONG_TEXT`` characters in pieces that end behind white space, or else anywhere,
+    so that no more than a piece is worked on at once. A switch of language from one piece to the next costs nothing."""
+    longest = longest or LONG_TEXT
+    at = 0
+    while len(text) - at > longest:
+        stop = max(text.rfind(c, at + longest // 2, at + longest) for c in " \n\t") + 1 or at + longest
+        yield at, text[at:stop]
+        at = stop
+    yield at, text[at:]
+
+
 def train(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS
 ) -> Model:
@@ -276,26 +290,38 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         model = table.value
         names = model.languages
         for batch in batches:
-            pred, score, marked, every, scored = [], [], [], [], []
-            for block in blocks(t.as_py() or "" for t in batch["text"]):
+            rows = len(batch)
+            letters, every = np.zeros((rows, max(1, len(names)))), np.zeros(rows, dtype=np.int64)
+            any_word, marked = np.zeros(rows, dtype=bool), [[] for _ in range(rows)]
+            row_of, offset_of, done = [], [], 0
+
+            def pieces() -> Iterator[str]:
+                for k, value in enumerate(batch["text"]):
+                    for offset, piece in text_pieces(value.as_py() or ""):
+                        row_of.append(k)
+                        offset_of.append(offset)
+                        yield piece
+
+            for block in blocks(pieces()):
                 words = split_words(block, len(model.log_p) if names else BUCKETS)
-                at = np.repeat(np.arange(len(block)), np.diff(words.first_of_text))
-                letters = np.zeros((len(block), max(1, len(names))))
+                own = np.array(row_of[done : done + len(block)])
+                at = np.repeat(own, np.diff(words.first_of_text))
                 labels = np.zeros(len(at), dtype=np.int64)
                 if names:
                     scores, known = word_scores(words, model)
                     labels = viterbi(scores, words.first_of_text)
                     np.add.at(letters, (at[known], labels[known]), words.length[known])
-                any_word = np.diff(words.first_of_text) > 0
-                total, best = letters.sum(axis=1), letters.argmax(axis=1)
-                best[total == 0] = model.prior
-                pred += [names[b] if w and names else UNDETERMINED for w, b in zip(any_word, best, strict=True)]
-                score += (letters.max(axis=1) / np.maximum(total, 1)).tolist()
-                if evidence:
-                    every += np.bincount(at, weights=words.length, minlength=len(block)).astype(np.int64).tolist()
-                    scored += total.astype(np.int64).tolist()
+                any_word[own] |= np.diff(words.first_of_text) > 0
+                every += np.bincount(at, weights=words.length, minlength=rows).astype(np.int64)
                 if spans:
-                    marked += [_spans(words, labels, k, names) for k in range(len(block))]
+                    for k, row in enumerate(own.tolist()):
+                        _extend(marked[row], _spans(words, labels, k, names), offset_of[done + k])
+                done += len(block)
+            total, best = letters.sum(axis=1), letters.argmax(axis=1)
+            best[total == 0] = model.prior
+            pred = [names[b] if w and names else UNDETERMINED for w, b in zip(any_word, best, strict=True)]
+            score = letters.max(axis=1) / np.maximum(total, 1)
+            scored = total.astype(np.int64)
             columns, names_out = [batch["doc_id"], pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
             if spans:
                 columns.append(pa.array(marked, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
@@ -310,6 +336,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double{more}")
 
 
+def _extend(held: list[dict], more: list[dict], offset: int) -> None:
+    """Adds the spans of a text's next piece; one that goes on in the same language is one span."""
+    for span in more:
+        span = {**span, "start": span["start"] + offset, "end": span["end"] + offset}
+        if held and held[-1]["lang"] == span["lang"]:
+            held[-1]["end"] = span["end"]
+        else:
+            held.append(span)
+
+
 def _spans(words: Words, labels: np.ndarray, k: int, names: list[str]) -> list[dict]:
     """Runs of equally labelled words of text ``k``."""
     a, b = words.first_of_text[k], words.first_of_text[k + 1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from melospark.llm.bin_completion import Plan, plan
+from melospark.llm.bin_completion import MAX_FILLINGS, MAX_NODES, Plan, plan
 from melospark.llm.bpe import default_vocabulary, encoder
 from melospark.llm.common import stage, texts
 
@@ -91,23 +91,25 @@ def slots(planned: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 def numbered(pieces: DataFrame, groups: int) -> DataFrame:
     """Adds number: 0, 1, ... within each length, by hashed groups and the sizes of the groups before."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    placed = pieces.withColumn("row", F.monotonically_increasing_id())  # spreads rows that repeat, and orders them
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(groups)).cast("int"))
     sizes = salted.groupBy("length", "salt").count()
     before = sizes.select(
         F.col("length").alias("of_length"),
         F.col("salt").alias("of_salt"),
         (F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"),
     )
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "row")
     inner = salted.withColumn("inner", F.row_number().over(order) - 1)
     same = (F.col("length") == F.col("of_length")) & (F.col("salt") == F.col("of_salt"))
     return inner.join(before, same).withColumn("number", F.col("before") + F.col("inner")).select(*pieces.columns, "number")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = 1500) -> tuple[DataFrame, Plan]:
-    """Places pieces (any columns besides length) in sequences; returns them with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS) -> tuple[DataFrame, Plan]:
+    """Places pieces (any columns besides length) in sequences; returns them with sequence_id and offset. The search stops
+    after so many nodes or fillings; None for both lets it go on until its plan is proved to be the best."""
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # <= capacity rows
-    planned = plan(histogram, capacity, max_nodes)
+    planned = plan(histogram, capacity, max_nodes, max_fillings)
     groups = max(8, -(-max(histogram.values(), default=0) // GROUP_ROWS))
     table = pieces.sparkSession.sparkContext.broadcast(slots(planned))
 
@@ -129,8 +131,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_nodes: int = 1500) ->
     return numbered(pieces, groups).mapInArrow(place, f"{schema}, sequence_id long, offset long"), planned
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Encodes and packs whole documents: a row per piece with its sequence and offset, and the least number of
-    sequences that any plan could have (``least_sequences``, a bound)."""
-    packed, planned = pack(stage(token_pieces(docs, vocabulary, capacity), "pieces"), capacity)
-    return packed.withColumn("least_sequences", F.lit(planned.lower_bound).cast("long"))
+def pack_documents(
+    docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, max_nodes: int | None = MAX_NODES, max_fillings: int | None = MAX_FILLINGS
+) -> DataFrame:
+    """Encodes and packs whole documents: a row per piece with its sequence and offset; and, the same in each row, the
+    number of ``sequences``, a bound of what any plan needs (``least_sequences``), and whether the search proved its plan
+    ``optimal``. ``max_nodes`` and ``max_fillings`` as for ``pack``."""
+    packed, planned = pack(stage(token_pieces(docs, vocabulary, capacity), "pieces"), capacity, max_nodes, max_fillings)
+    return packed.withColumns(
+        {"least_sequences": F.lit(planned.lower_bound).cast("long"), "sequences": F.lit(planned.sequences).cast("long"), "optimal": F.lit(planned.optimal)}
+    )

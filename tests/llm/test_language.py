@@ -1,6 +1,7 @@
 """Language identification against plain versions, and on held-out rows."""
 
 import os
+import random
 import time
 
 import numpy as np
@@ -78,3 +79,48 @@ def test_labels_stay_out_of_a_prediction(spark):
     other = docs.withColumn("lang", F.when(language_id.held_out(), "xx").otherwise(F.col("lang")))
     a, b = ({r.doc_id: (r.lang_pred, r.score) for r in language_id.identify_documents(d).collect()} for d in (docs, other))
     assert a == b
+
+
+def test_long_texts_in_pieces(spark):
+    """Pieces end behind white space, cover the text, and give what the whole does, in memory of a piece."""
+    text = "wort und word " * 5000
+    pieces = list(language_id.text_pieces(text, 1000))
+    assert "".join(p for _, p in pieces) == text and all(len(p) <= 1000 and p.endswith(" ") for _, p in pieces)
+    assert [o for o, _ in pieces] == [sum(len(p) for _, p in pieces[:k]) for k in range(len(pieces))]
+    assert [len(p) for _, p in language_id.text_pieces("x" * 2500, 1000)] == [1000, 1000, 500] and list(language_id.text_pieces("")) == [(0, "")]
+    rng = random.Random(3)
+    words = {"a": ["alpha", "albe", "ano", "area"], "b": ["zulu", "zeck", "zwirn", "zorn"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for k in range(60) for lang in ("a", "b")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [" ".join(rng.choice(words[lang]) for lang in runs for _ in range(40)) for runs in ("aab", "bbb", "abba", "a" * 50)]
+    docs = spark.createDataFrame([*enumerate(texts), (9, None), (10, " . ")], "doc_id long, text string")
+    frame = language_id.identify(docs, model, spans=True, evidence=True)
+    found = {r.doc_id: r for r in frame.collect()}
+    assert [[s.lang for s in found[k].spans] for k in range(4)] == [["a", "b"], ["b"], ["a", "b", "a"], ["a"]]
+    assert all(found[k].spans[0].start == 0 and found[k].spans[-1].end == len(t) for k, t in enumerate(texts))
+    assert found[9].lang_pred == found[10].lang_pred == "und" and found[9].letters == 0
+
+
+def test_pieces_add_up():
+    """Spans of pieces are those of the text where no language changes at a cut."""
+    held = []
+    language_id._extend(held, [{"start": 0, "end": 5, "lang": "a"}, {"start": 6, "end": 9, "lang": "b"}], 0)
+    language_id._extend(held, [{"start": 0, "end": 4, "lang": "b"}, {"start": 5, "end": 7, "lang": "a"}], 10)
+    language_id._extend(held, [], 20)
+    assert held == [{"start": 0, "end": 5, "lang": "a"}, {"start": 6, "end": 14, "lang": "b"}, {"start": 15, "end": 17, "lang": "a"}]
+
+
+def test_a_long_text_takes_the_memory_of_a_piece(spark):
+    """Ten million characters: the peak beyond the text stays below 300 MB."""
+    import tracemalloc
+
+    text = "wort und word " * 715_000
+    tracemalloc.start()
+    peak = 0
+    for _, piece in language_id.text_pieces(text):
+        words = split_words([piece], 1 << 16)
+        scores = np.zeros((len(words.start), 4), dtype=np.float32)
+        viterbi(scores, words.first_of_text)
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert len(text) > 10_000_000 and peak < 300e6

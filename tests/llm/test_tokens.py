@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -256,3 +257,26 @@ def test_entries_are_complete():
     found = entries.queries()
     assert "pipeline" in found and all(any(q.startswith(f"op{n}_") for q in found) for n in range(1, 11))
     assert set(entries.oracle_sql()) <= set(found)
+
+
+def test_budgets_reach_the_search(spark):
+    """Without limits the plan is proved; with one of a node it is best-fit decreasing, which says so."""
+    rng, docs = random.Random(12), []
+    for k in range(60):
+        docs.append((k, " ".join(rng.choice(["a", "bc", "def"]) for _ in range(rng.choice([7, 11, 13, 17, 23, 31])))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    exact = packing.pack_documents(df, capacity=40, max_nodes=None, max_fillings=None)
+    row = exact.first()
+    assert row.optimal and exact.agg(F.countDistinct("sequence_id")).first()[0] == row.sequences >= row.least_sequences
+    quick = packing.pack_documents(df, capacity=40, max_nodes=1).first()
+    assert quick.sequences >= row.sequences and quick.least_sequences == row.least_sequences
+
+
+def test_rows_that_repeat_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 100)
+    df = spark.createDataFrame([(1, "same text")] * 3000, "doc_id long, text string").repartition(3)
+    pieces = packing.stage(packing.token_pieces(df), "pieces")
+    numbers = packing.numbered(pieces, 30)
+    assert sorted(r.number for r in numbers.select("number").collect()) == list(range(3000))
+    got = packing.pack_documents(df)
+    assert got.groupBy("sequence_id", "offset").count().where("count > 1").count() == 0 and got.count() == 3000
