@@ -440,3 +440,54 @@ def test_grids_of_whole_takes_and_of_parts(spark):
     for most in (0, 30):
         assert found(grid.infer_grid(notes.where("take_id is not null"), whole=most)) == known
     assert grid.infer_grid(notes.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("rate, channels", [(44100, 1), (44100, 2), (22050, 2), (48000, 1)])
+def test_ranges_give_the_chunks_of_the_whole_file(spark, tmp_path, rate, channels):
+    """Read by seeking, a file's chunks are those of the file decoded whole, in several tasks and rates."""
+    rng = np.random.default_rng(1)
+    x = np.cumsum(rng.normal(0, 0.003, 3 * rate)).clip(-0.9, 0.9)
+    (tmp_path / "a.wav").write_bytes(wav_bytes(x, rate=rate, channels=channels))
+    (tmp_path / "tiny.wav").write_bytes(wav_bytes(x[: rate // 2 + 1], rate=rate, channels=channels))
+    (tmp_path / "cut.wav").write_bytes(wav_bytes(x, rate=rate, channels=channels)[:-7])
+    by_ranges = wav.read_wav_corpus(spark, str(tmp_path), hops=16)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    whole = {}
+    for r in files.collect():
+        samples, own = wav.decode_wav(bytes(r.content))
+        for _, k, start, core, part in audio.chunk_signal(0, wav.resample(samples, own, 44100), audio.PitchOptions(), hops=16):
+            whole[r.path, k] = (start, core, part)
+    got = {(r.path, r.chunk_idx): r for r in by_ranges.collect()}
+    assert got.keys() == whole.keys() and len(got) > 30
+    for key, (start, core, part) in whole.items():
+        assert (got[key].start_sample, got[key].n_core, got[key].error) == (start, core, None)
+        assert np.abs(np.array(got[key].samples) - part).max() < 1e-6
+
+
+def test_a_long_file_is_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wav, "CHUNKS_A_READ", 2)
+    (tmp_path / "a.wav").write_bytes(wav_bytes(tone(440, 44100 * 4) * 0.4))
+    chunks = wav.read_wav_corpus(spark, str(tmp_path), hops=8)
+    tasks = chunks.withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert tasks.select("task").distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert chunks.agg(F.sum("n_core")).first()[0] == 44100 * 4
+    assert wav.read_wav_corpus(spark, str(tmp_path), hops=8, seek=False).agg(F.sum("n_core")).first()[0] == 44100 * 4
+
+
+def test_stores_without_a_file_system_are_read_whole():
+    from melospark.sources.files import can_seek
+
+    assert can_seek("/tmp/x") and can_seek("file:/tmp/x") and can_seek("file:///tmp/x")
+    assert not can_seek("viewfs://store/in") and not can_seek("nothing://x/y")
+
+
+def test_midi_as_single_files(spark, tmp_path):
+    files = spark.createDataFrame([(1, bytearray(b"MThd-one")), (22, bytearray(b"MThd-two"))], "take_id long, content binary")
+    midi.write_midi_files(files, f"file://{tmp_path}/mid", single=True)
+    assert {p.name: p.read_bytes() for p in (tmp_path / "mid").iterdir()} == {"1.mid": b"MThd-one", "22.mid": b"MThd-two"}
+    midi.write_midi_files(files, f"{tmp_path}/table")
+    assert spark.read.parquet(f"{tmp_path}/table").count() == 2
