@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -251,7 +251,7 @@ def _whole_takes(notes: DataFrame, options: GridOptions, most: int) -> DataFrame
 _SALTS, _BOUNDING, _LEADERS = 64, 256, 4
 
 
-def _long_takes(notes: DataFrame, options: GridOptions) -> DataFrame:
+def _long_takes(notes: DataFrame, options: GridOptions, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The grid of each take, its notes spread over ``_SALTS`` parts and most candidates dropped before they meet them.
 
     Every part of a cost is a sum that only grows, so what some notes give is a lower bound. The candidates with the least
@@ -261,7 +261,7 @@ def _long_takes(notes: DataFrame, options: GridOptions) -> DataFrame:
     placed = with_spans(notes).withColumn("weight", F.sum(weight).over(Window.partitionBy("take_id")))
     salt = F.pmod(F.xxhash64("rn", "start_s"), F.lit(_SALTS)).alias("salt")
     bounds = F.pmod(F.xxhash64("start_s", "rn"), F.greatest(F.lit(1), F.floor(F.col("n") / _BOUNDING))) == 0
-    timed = stage(placed.select("take_id", salt, (F.col("start_s") - F.col("origin")).alias("x"), (F.col("end_s") - F.col("origin")).alias("y"), bounds.alias("bounds")), "timed")
+    timed = keep(placed.select("take_id", salt, (F.col("start_s") - F.col("origin")).alias("x"), (F.col("end_s") - F.col("origin")).alias("y"), bounds.alias("bounds")), "timed")
     total = placed.groupBy("take_id").agg(F.any_value("weight").alias("weight")).withColumnRenamed("take_id", "of_take")
     found = _candidates(notes, options).withColumn("sps", 60 / F.col("bpm") * F.col("beats_per_step")).where(F.col("sps") * 2 <= F.col("span"))
     found = found.join(total, F.col("take_id") == F.col("of_take")).drop("of_take")
@@ -287,27 +287,34 @@ def _long_takes(notes: DataFrame, options: GridOptions) -> DataFrame:
         )
         return summed.select(*own, (F.col("off") / F.col("weight") / F.col("reference") + fixed + F.col("short") / F.col("n") * 2).alias("cost"))
 
-    bounded = stage(costed(found, timed.where("bounds")), "bounded")
+    bounded = keep(costed(found, timed.where("bounds")), "bounded")
     rank = F.row_number().over(Window.partitionBy("take_id").orderBy("cost", "place"))
-    leaders = stage(bounded.withColumn("nth", rank).where(F.col("nth") <= _LEADERS).select(*own), "leaders")
+    leaders = keep(bounded.withColumn("nth", rank).where(F.col("nth") <= _LEADERS).select(*own), "leaders")
     ceiling = costed(leaders, timed).groupBy("take_id").agg(F.min("cost").alias("ceiling")).withColumnRenamed("take_id", "of_take")
     left = bounded.join(ceiling, F.col("take_id") == F.col("of_take")).where(F.col("cost") <= F.col("ceiling") + 1e-8).select(*own)
-    best = costed(stage(left, "left"), timed).groupBy("take_id").agg(
+    best = costed(keep(left, "left"), timed).groupBy("take_id").agg(
         F.min_by(F.struct("bpm", "beats_per_step", F.col("sps").alias("seconds_per_step"), "cost"), F.struct(F.round("cost", 9), "place")).alias("b")
     )
     return best.select("take_id", "b.*")
 
 
-def infer_grid(notes: DataFrame, options: GridOptions = GridOptions(), whole: int = WHOLE_TAKE) -> DataFrame:
+def infer_grid(notes: DataFrame, options: GridOptions = GridOptions(), whole: int = WHOLE_TAKE, held: list[DataFrame] | None = None) -> DataFrame:
     """Cheapest grid of every take: take_id, bpm, beats_per_step, seconds_per_step, steps_per_measure, cost. Takes
     without a usable candidate get 120 bpm in half-beat steps.
 
-    Takes of up to ``whole`` notes are solved each by one task; longer ones, if there are any, by parts."""
-    found = stage(_whole_takes(notes, options, whole), "grids")
+    Takes of up to ``whole`` notes are solved each by one task; longer ones, if there are any, by parts. What is written on
+    the way is added to ``held``, for the caller to ``unstage``."""
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        held.append(written := stage(df, name))
+        return written
+
+    held = [] if held is None else held
+    found = keep(_whole_takes(notes, options, whole), "solved")
     grids = found.where(F.col("bpm").isNotNull())
     if found.where(F.col("bpm").isNull()).limit(1).count():
         ids = found.where(F.col("bpm").isNull()).select("take_id")
-        solved = _long_takes(notes.join(ids, "take_id", "left_semi"), options)
+        solved = _long_takes(notes.join(ids, "take_id", "left_semi"), options, keep)
         default = {"bpm": F.lit(120).cast("long"), "beats_per_step": F.lit(0.5), "seconds_per_step": F.lit(0.25), "cost": F.lit(0.0)}
         filled = ids.join(solved, "take_id", "left").select("take_id", *(F.coalesce(c, v).alias(c) for c, v in default.items()))
         grids = grids.unionByName(filled)

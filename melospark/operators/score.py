@@ -33,8 +33,9 @@ def placed_notes(quantized: DataFrame, grids: DataFrame, keys: DataFrame, snap:
     )
 
 
-def place_and_rest(placed: DataFrame) -> DataFrame:
-    """Pushes each note past the end of the one before and fills gaps with rests.
+def place_and_rest(placed: DataFrame, close_to: int | None = None) -> DataFrame:
+    """Pushes each note past the end of the one before and fills gaps with rests; with ``close_to``, a take's last note is
+    followed by the rest that fills its bar of so many units.
 
     The cursor after a note is the running total of lengths plus the largest slack met so far, both window
     aggregates, so no loop over notes is needed. Returns take_id, kind, start, duration, midi, confidence.
@@ -48,8 +49,13 @@ def place_and_rest(placed: DataFrame) -> DataFrame:
     begin = F.col("cursor") - F.col("duration")
     note = F.struct(F.lit("note").alias("kind"), begin.alias("start"), F.col("duration"), F.col("midi").cast("long").alias("midi"), F.col("confidence").cast("double").alias("confidence"))
     rest = F.struct(F.lit("rest").alias("kind"), F.col("before").alias("start"), (begin - F.col("before")).alias("duration"), F.lit(None).cast("long").alias("midi"), F.lit(None).cast("double").alias("confidence"))
-    both = walked.select("take_id", F.explode(F.when(begin > F.col("before"), F.array(rest, note)).otherwise(F.array(note))).alias("e"))
-    return both.select("take_id", "e.*")
+    events = F.when(begin > F.col("before"), F.array(rest, note)).otherwise(F.array(note))
+    if close_to:
+        walked = walked.withColumn("more", F.lead(F.lit(True)).over(order))
+        missing = F.pmod(-F.col("cursor"), F.lit(close_to)).cast("long")
+        closing = F.struct(F.lit("rest").alias("kind"), F.col("cursor").alias("start"), missing.alias("duration"), F.lit(None).cast("long").alias("midi"), F.lit(None).cast("double").alias("confidence"))
+        events = F.when(F.col("more").isNull() & (missing > 0), F.concat(events, F.array(closing))).otherwise(events)
+    return walked.select("take_id", F.explode(events).alias("e")).select("take_id", "e.*")
 
 
 def score_lengths(events: DataFrame, takes: DataFrame, units_per_measure: int = 16, pad: bool = True) -> DataFrame:
@@ -103,10 +109,13 @@ def measures(lengths: DataFrame, units_per_measure: int = 16) -> DataFrame:
 
 
 def build_score(quantized: DataFrame, grids: DataFrame, keys: DataFrame, takes: DataFrame, snap: bool = True, pad: bool = True, units_per_measure: int = 16) -> DataFrame:
-    """Bar-aligned events of every take; a take without notes is one bar of rest."""
-    walked = place_and_rest(placed_notes(quantized, grids, keys, snap))
-    lengths = score_lengths(walked, takes, units_per_measure, pad)
-    return split_at_barlines(pad_final_bar(walked, lengths), units_per_measure)
+    """Bar-aligned events of every take; a take without notes is one bar of rest (or, not padded, one unit). The notes
+    are walked once: bars are closed on the way, not by joining the lengths back."""
+    walked = place_and_rest(placed_notes(quantized, grids, keys, snap), units_per_measure if pad else None)
+    silent = takes.select("take_id").join(quantized.select("take_id").distinct(), "take_id", "left_anti")
+    rest = {"kind": F.lit("rest"), "start": F.lit(0).cast("long"), "duration": F.lit(units_per_measure if pad else 1).cast("long")}
+    bare = silent.select("take_id", *(c.alias(n) for n, c in rest.items()), F.lit(None).cast("long").alias("midi"), F.lit(None).cast("double").alias("confidence"))
+    return split_at_barlines(walked.unionByName(bare), units_per_measure)
 
 
 def pitched_events(events: DataFrame) -> DataFrame:

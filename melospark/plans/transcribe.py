@@ -70,7 +70,7 @@ def transcribe_notes(takes: DataFrame, notes: DataFrame, pad: bool = True, held:
         takes = keys.with_voice_range(takes.withColumn("voice_range", F.lit("auto")))
     found = takes.select("take_id").join(notes.select("take_id").distinct(), "take_id", "left_semi")
     own = by_take(keys.with_default_key(found, keys.detect_key(notes)), "keys", held)
-    grids = by_take(grid.infer_grid(notes), "grids", held)
+    grids = by_take(grid.infer_grid(notes, held=held), "grids", held)
     quantized = grid.resolve_overlaps(grid.steps_quantize(notes, grids))
     walked = by_take(score.place_and_rest(score.placed_notes(quantized, grids, own)), "walked", held)
     lengths = by_take(score.score_lengths(walked, found, pad=pad), "lengths", held)

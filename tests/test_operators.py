@@ -2,6 +2,7 @@
 
 import io
 import math
+import re
 import wave
 
 import numpy as np
@@ -491,3 +492,22 @@ def test_midi_as_single_files(spark, tmp_path):
     assert {p.name: p.read_bytes() for p in (tmp_path / "mid").iterdir()} == {"1.mid": b"MThd-one", "22.mid": b"MThd-two"}
     midi.write_midi_files(files, f"{tmp_path}/table")
     assert spark.read.parquet(f"{tmp_path}/table").count() == 2
+
+
+def test_a_score_walks_its_notes_once(spark):
+    """Exchanges, sorts and windows of a score's plan on plain tables, with nothing broadcast."""
+    quantized = spark.createDataFrame([(1, 0, 0, 2, 60.0, 1.0), (1, 1, 3, 9, 62.0, 1.0)], "take_id long, q_idx long, start_step long, duration_steps long, midi double, confidence double")
+    grids = spark.createDataFrame([(1, 0.5), (2, 0.5)], "take_id long, beats_per_step double")
+    own = spark.createDataFrame([(1, 0, "major"), (2, 0, "major")], "take_id long, tonic int, mode string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = score.build_score(quantized, grids, own, grids.select("take_id"))
+        plan = events._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r.take_id, r.kind, r.start, r.duration) for r in events.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == [(1, "note", 0, 4), (1, "note", 6, 10), (1, "note", 16, 8), (1, "rest", 4, 2), (1, "rest", 24, 8), (2, "rest", 0, 16)]
+    assert len(re.findall(r"(?<!Reused)Exchange hash", plan)) <= 6 and plan.count("Window [") <= 5, plan
