@@ -50,6 +50,15 @@ select take_id, rn, midi, round(st, 6) as start_s, round(st + dur, 6) as end_s,
            cast(row_number() over (partition by take_id % 7 order by take_id, rn) as bigint) as rn from ({NOTES_SQL})))
 """
 
+#: The long takes in phrases of sixteen notes with a second's rest behind each, close in pitch; every eleventh note starts with
+#: the one before it, and a take of seven has no even spacing.
+PHRASES_SQL = f"""
+select take_id, rn, 60 + (rn * 7 + take_id) % 3 * cast(0.3 as double) as midi, confidence,
+  round(start_s + floor(rn / 16.0) + case when take_id = 3 then rn * rn % 13 * cast(0.9 as double) / 13 else 0 end, 6) as start_s,
+  round(start_s + floor(rn / 16.0) + case when take_id = 3 then rn * rn % 13 * cast(0.9 as double) / 13 else 0 end + 0.1 + rn % 4 * cast(0.05 as double), 6) as end_s
+from (select take_id, rn, confidence, case when rn % 11 = 0 then lag(start_s, 1, start_s) over (partition by take_id order by rn) else start_s end as start_s from ({LONG_NOTES_SQL}))
+"""
+
 TAKES_SQL = f"select distinct take_id from ({NOTES_SQL})"
 
 #: A grid and a key for each take of the notes, for what follows those steps.
@@ -112,6 +121,10 @@ def long_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, LONG_NOTES_SQL)
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, PHRASES_SQL)
+
+
 def takes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, TAKES_SQL)
 

@@ -425,11 +425,16 @@ def stretches(prepared: DataFrame, options: SegmentOptions = SegmentOptions()) -
     return without_blocks(numbered.withColumnRenamed("run", "stretch"))
 
 
-def notes_of(prepared: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """Notes of ``prepared_blocks``: one walk of the frames by stretches, then two of the notes by takes."""
+def kept_notes(prepared: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions()) -> DataFrame:
+    """Notes of ``prepared_blocks`` before they are merged: one walk of the frames by stretches."""
     columns = ["frame_idx", "time", "hz", "clarity", "voiced", "island"]
     split = ordered_walk(stretches(prepared, segment), ["take_id", "stretch"], ["frame_idx"], columns, lambda: StretchWalk(smooth, segment), _VALUES, _NOTE)
-    return snap_boundaries(merge_adjacent(drop_blips(split, segment).drop("stretch"), segment), segment)
+    return drop_blips(split, segment).drop("stretch")
+
+
+def notes_of(prepared: DataFrame, smooth: SmoothOptions = SmoothOptions(), segment: SegmentOptions = SegmentOptions()) -> DataFrame:
+    """``kept_notes`` merged and snapped by two walks by takes (``pieces.merge_and_snap`` spreads long takes)."""
+    return snap_boundaries(merge_adjacent(kept_notes(prepared, smooth, segment), segment), segment)
 
 
 def track_to_notes(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from melospark.functions.pitch import window_size_for_floor
-from melospark.operators import audio, grid, keys, midi, quality, score, track
+from melospark.operators import audio, grid, keys, midi, pieces, quality, score, track
 from melospark.operators.blocks import BLOCK_FRAMES, KEYS
 from melospark.storage import buckets_for, stage_bucketed, unstage
 
@@ -102,7 +102,7 @@ def transcribe_frames(
     tracked = stage_bucketed(prepared, "tracked", list(KEYS), [*KEYS, "frame_idx"], buckets, dealt=True)
     held.append(tracked)
     takes = by_take(tracked.select("take_id").distinct(), "takes", held) if takes is None else takes
-    notes = by_take(track.notes_of(tracked, smooth, segment), "notes", held, "rn")
+    notes = by_take(pieces.merge_and_snap(track.kept_notes(tracked, smooth, segment), segment, held), "notes", held, "rn")
     done = transcribe_notes(takes, notes, held=held)
     takes = done.takes
     known = quality.heard(tracked)

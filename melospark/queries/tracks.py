@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from melospark import adapters as A
 from melospark.functions import pitch
-from melospark.operators import audio, quality, track
+from melospark.operators import audio, pieces, quality, track
 from melospark.plans.transcribe import transcribe_frames
 from melospark.queries.common import C, EVENTS, FR, G, K, LEAPS, N, S, T, pc, query, rnd
 from melospark.queries.scores import DETECTED, INFERRED, level_notes, r6
@@ -429,6 +429,21 @@ def win10_snap_boundaries(spark, d):
     return track.snap_boundaries(A.notes(spark, d)).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})  # halves of millionths go up
 
 
+_PHRASES = f"({A.PHRASES_SQL})"
+
+
+@query(f"select take_id, rn, start_s, round(end_s, 6) as end_s, round(midi, 6) as midi, confidence from {merge_sql(_PHRASES)}")
+def win9_merge_in_pieces(spark, d):
+    """Takes of hundreds of notes and more, walked in pieces of some twenty seconds."""
+    return pieces.merge_in_pieces(A.phrases(spark, d), seconds=20.0).withColumns({"end_s": F.round("end_s", 6), "midi": F.round("midi", 6)})
+
+
+@query(f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, midi, confidence from {snap_sql(_PHRASES)}")
+def win10_snap_in_pieces(spark, d):
+    """The same takes snapped in pieces, starts that fall behind others included."""
+    return pieces.snap_in_pieces(A.phrases(spark, d), seconds=20.0).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})
+
+
 def whole_notes_sql(frames: str) -> str:
     """Notes of frames, through every step."""
     return snap_sql(merge_sql(f"(select *, row_number() over (partition by take_id order by start_s) as rn from {split_sql(smoothed_sql(frames))} where end_s - start_s >= 0.05)"))
