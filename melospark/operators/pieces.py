@@ -77,12 +77,19 @@ def _numbered(blocked: DataFrame) -> DataFrame:
     return joined.withColumns({"number": F.col("__offset") + F.col("__i"), "step": F.col("start_s") - F.coalesce("__start", "__last")})
 
 
+def _of_take(blocked: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Adds ``name`` of ``found`` (of_take, name; a row a take) to the notes: joined by take to block rows, and by block to notes,
+    so a long take's notes stay spread."""
+    blocks = blocked.select("take_id", *KEYS).distinct().join(found, F.col("take_id").eqNullSafe(F.col("of_take")), "left")
+    return blocked.join(blocks.select(*KEYS, name), list(KEYS))
+
+
 def piece_spacing(stepped: DataFrame, options: SegmentOptions = SegmentOptions()) -> DataFrame:
-    """(of_take, spacing) of takes with an even spacing, as ``track.with_spacing`` defines it, from take_id and step: both
-    medians by selection, counts by aggregation."""
-    counted = stepped.where(F.col("step") > _STEP).select("take_id", "step")
+    """(of_take, spacing) of takes with an even spacing, as ``track.with_spacing`` defines it, from ``_numbered``: both medians
+    by selection, counts by aggregation."""
+    counted = stepped.where(F.col("step") > _STEP).select("take_id", *KEYS, "step")
     middle = upper_median_by(counted, "take_id", F.col("step"), "mid").withColumnRenamed("take_id", "of_take")
-    near = counted.join(middle, F.col("take_id").eqNullSafe(F.col("of_take"))).where(F.abs(F.col("step") - F.col("mid")) / F.col("mid") <= options.snap_limit)
+    near = _of_take(counted, middle, "mid").where(F.abs(F.col("step") - F.col("mid")) / F.col("mid") <= options.snap_limit)
     even = upper_median_by(near, "take_id", F.col("step"), "spacing").withColumnRenamed("take_id", "of_take")
     numbers = stepped.groupBy("take_id").agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("step") > _STEP).alias("mid_n"))
     numbers = numbers.join(near.groupBy(F.col("take_id").alias("near_take")).agg(F.count(F.lit(1)).alias("even_n")), F.col("take_id").eqNullSafe(F.col("near_take")))
@@ -114,7 +121,7 @@ class _NumberedSnap(SnapWalk):
 def snap_pieces(notes: DataFrame, options: SegmentOptions = SegmentOptions(), seconds: float = PIECE_S) -> DataFrame:
     """The notes with their number in the take, its spacing and the piece to snap them in."""
     numbered = _numbered(_in_blocks(notes, seconds))
-    spaced = numbered.join(piece_spacing(numbered, options), F.col("take_id").eqNullSafe(F.col("of_take")), "left")
+    spaced = _of_take(numbered, piece_spacing(numbered, options), "spacing")
     so_far = Window.partitionBy(*KEYS).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     late = F.max(F.col("start_s") - F.col("number") * _STEP).over(so_far)
     bound = F.greatest("__late", late) + F.col("spacing") + (F.col("number") - 1) * _STEP + 1e-6

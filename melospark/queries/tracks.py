@@ -13,7 +13,7 @@ from melospark.queries.common import C, EVENTS, FR, G, K, LEAPS, N, S, T, pc, qu
 from melospark.queries.scores import DETECTED, INFERRED, level_notes, r6
 from melospark.sources import synth, wav
 from melospark.sources.files import write_files
-from melospark.storage import scratch
+from melospark.storage import scratch, stage
 from melospark.streaming import streams
 
 
@@ -435,13 +435,13 @@ _PHRASES = f"({A.PHRASES_SQL})"
 @query(f"select take_id, rn, start_s, round(end_s, 6) as end_s, round(midi, 6) as midi, confidence from {merge_sql(_PHRASES)}")
 def win9_merge_in_pieces(spark, d):
     """Takes of hundreds of notes and more, walked in pieces of some twenty seconds."""
-    return pieces.merge_in_pieces(A.phrases(spark, d), seconds=20.0).withColumns({"end_s": F.round("end_s", 6), "midi": F.round("midi", 6)})
+    return pieces.merge_in_pieces(stage(A.phrases(spark, d), "phrases"), seconds=20.0).withColumns({"end_s": F.round("end_s", 6), "midi": F.round("midi", 6)})
 
 
 @query(f"select take_id, rn, round(start_s + 1e-9, 6) as start_s, round(end_s + 1e-9, 6) as end_s, midi, confidence from {snap_sql(_PHRASES)}")
 def win10_snap_in_pieces(spark, d):
     """The same takes snapped in pieces, starts that fall behind others included."""
-    return pieces.snap_in_pieces(A.phrases(spark, d), seconds=20.0).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})
+    return pieces.snap_in_pieces(stage(A.phrases(spark, d), "phrases"), seconds=20.0).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("start_s", "end_s")})
 
 
 def whole_notes_sql(frames: str) -> str:
