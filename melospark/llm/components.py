@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from melospark.llm.common import stage, unstage
+from melospark.llm.common import in_parts, stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,16 +30,19 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component) for all nodes of ``edges`` (two integer columns u, v); component is the least node.
+    ``rows``: about how many edges there are, if known.
 
     Each round is written to the shared folder, so a lost executor costs that round at most, and the round before it
-    is removed. Rounds needed grow with the logarithm of the number of nodes.
+    is removed. Rounds needed grow with the logarithm of the number of nodes. No round has more edges than the one
+    before it, so it is written in the parts that those need.
     """
-    now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "round")
+    first = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+    now = stage(first if rows is None else in_parts(first, rows), "round")
     mark = _mark(now)
     for _ in range(max_rounds):
-        after = stage(_star(_star(now, large=True), large=False), "round")
+        after = stage(in_parts(_star(_star(now, large=True), large=False), mark[0]), "round")
         mark_before, mark = mark, _mark(after)
         unstage(now)
         now = after

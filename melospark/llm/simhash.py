@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from melospark.llm.common import as_document, key_verdicts, stage, text_mark, texts, without_documents
+from melospark.llm.common import as_document, in_parts, key_verdicts, stage, text_mark, texts, without_documents
 from melospark.llm.components import connected_components
 
 THRESHOLD = 3
@@ -151,20 +151,20 @@ def spanning_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """A row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     fps = stage(fingerprints(docs), "fingerprints")
-    reps = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "reps")
-    found = stage(spanning_links(reps.select("fp"), threshold), "links")
-    groups = connected_components(found).select(F.col("node").alias("fp"), "component")
+    rows = fps.count()  # from the files' footers
+    reps = stage(in_parts(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), rows), "reps")
+    spanning = spanning_links(reps.select("fp"), threshold)
+    groups = connected_components(spanning, rows=rows).select(F.col("node").alias("fp"), "component")
     named = groups.join(reps, "fp").groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(named, "component").select(F.col("fp").alias("linked_fp"), "component_id")
-    of_fp = stage(
-        reps.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
-            F.col("fp").alias("of"), F.coalesce("component_id", "first_id").alias("component_id")
-        ),
-        "components",
+    of_fp = reps.join(linked, F.col("fp") == F.col("linked_fp"), "left").select(
+        F.col("fp").alias("of"), F.coalesce("component_id", "first_id").alias("component_id")
     )
-    return fps.join(of_fp, F.col("fp") == F.col("of")).select(
+    of_fp = stage(in_parts(of_fp, rows), "components")
+    out = fps.join(of_fp, F.col("fp") == F.col("of")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+    return in_parts(out, rows)
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from melospark.llm import components, exact_dedup, simhash
+from melospark.llm import common, components, exact_dedup, simhash
 
 SCHEMA = "doc_id long, text string, digest string, keep_id string"
 
@@ -184,6 +184,43 @@ def test_near_duplicates_match_plain_version(spark):
     assert kept == set(expected.values())
 
 
+def test_near_duplicates_write_the_parts_that_their_rows_need(spark, monkeypatch):
+    """Few rows make few files, whatever number of partitions the shuffles have; more rows make more."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.sample(words, 60))) for k in range(40)]
+    rows += [(100 * j + k, rows[k][1] + " more" * j) for k in range(20) for j in (1, 2)]
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    expected = plain_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    assert len(set(expected.values())) < len(rows)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    written = []
+
+    def noted(df, name, put=common.stage):
+        out = put(df, name)
+        folder = out._staged_at.removeprefix("file://")
+        written.append((name, len([f for f in os.listdir(folder) if f.startswith("part-")])))
+        return out
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "stage", noted)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for part_rows, least, most in ((10_000, 1, 1), (10, 4, 8)):
+            monkeypatch.setattr(common, "PART_ROWS", part_rows)
+            written.clear()
+            out = simhash.near_duplicates(frame(spark, rows))
+            parts = out.rdd.getNumPartitions()
+            assert {r.doc_id: r.component_id for r in out.collect()} == expected
+            shuffled = [n for name, n in written if name != "fingerprints"] + [parts]
+            assert len(shuffled) >= 5 and max(shuffled) <= most
+            assert least <= dict(written)["reps"] and least <= dict(written)["components"] and least <= parts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_duplicates_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
