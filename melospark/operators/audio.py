@@ -7,11 +7,12 @@ needs no shuffle and no recording is ever one row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ LONGEST_WINDOW = 8192
 _EPS = 1e-12
 #: Samples transformed at once: bounds the memory of a batch of windows to some 20 MB, near the size of a core's cache.
 _BLOCK_SAMPLES = 1 << 18
+#: Samples whose frames are put out at once.
+_TRACK_SAMPLES = 1 << 22
+#: A pitch frame beside its take.
+FRAME = "frame_idx long, time double, hz double, clarity double, rms double"
 
 
 @dataclass(frozen=True)
@@ -85,13 +90,17 @@ def live_level(rms: Column) -> Column:
 def nsdf(frames: np.ndarray, max_tau: int) -> np.ndarray:
     """Normalised square difference (halved, so a periodic signal reaches 1) for lags 0..max_tau of each row."""
     r = _autocorrelation(frames, max_tau)
-    squares = frames[:, ::-1][:, :max_tau] ** 2
-    tail = np.zeros((len(frames), max_tau + 1))
-    np.cumsum(squares, axis=1, out=tail[:, 1:])  # energy of the last tau samples
-    norm = np.sum(frames * frames, axis=1, keepdims=True) + tail
+    norm = np.sum(frames * frames, axis=1, keepdims=True) + _tail(frames, max_tau)
     return np.where(norm < _EPS, 0.0, r / np.maximum(norm, _EPS))
 
 
+def _tail(frames: np.ndarray, max_tau: int) -> np.ndarray:
+    """Energy of the last tau samples of each row, for tau of 0..max_tau."""
+    tail = np.zeros((len(frames), max_tau + 1))
+    np.cumsum(frames[:, ::-1][:, :max_tau] ** 2, axis=1, out=tail[:, 1:])
+    return tail
+
+
 def _autocorrelation(frames: np.ndarray, max_tau: int) -> np.ndarray:
     """Lags 0..max_tau by FFT, zero-padded just so far that none of them wraps around, to a size of small factors."""
     size = frames.shape[1] + max_tau + 1
@@ -107,31 +116,75 @@ def _autocorrelation(frames: np.ndarray, max_tau: int) -> np.ndarray:
     return np.fft.irfft(spectrum.real**2 + spectrum.imag**2, size, axis=1)[:, : max_tau + 1]
 
 
+def _lags(n: int, options: PitchOptions) -> tuple[int, int]:
+    """The lags between which a window of ``n`` samples is searched."""
+    return max(2, int(options.sample_rate // options.max_hz)), min(n - 2, int(np.ceil(options.sample_rate / options.min_hz)))
+
+
 def estimate_pitch(frames: np.ndarray, options: PitchOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hz (0 when unvoiced), clarity and rms of each row."""
     count, n = frames.shape
     squares = np.sum(frames * frames, axis=1)
     rms = np.sqrt(squares / n)
     hz, clarity = np.zeros(count), np.zeros(count)
-    low = max(2, int(options.sample_rate // options.max_hz))
-    high = min(n - 2, int(np.ceil(options.sample_rate / options.min_hz)))
+    low, high = _lags(n, options)
     loud = np.flatnonzero((rms >= options.rms_floor) & (squares >= _EPS))
-    if high <= low or not len(loud):
-        return hz, clarity, rms
-    d = nsdf(frames[loud], high)
+    if high > low and len(loud):
+        hz[loud], clarity[loud] = _highest(nsdf(frames[loud], high), low, high, options)
+    return hz, clarity, rms
+
+
+def _highest(d: np.ndarray, low: int, high: int, options: PitchOptions) -> tuple[np.ndarray, np.ndarray]:
+    """hz and clarity at the first peak near the tallest one of each row of lags 0..high."""
     mid = d[:, low + 1 : high]
     peak = (mid > d[:, low : high - 1]) & (mid >= d[:, low + 2 : high + 1])
     tallest = np.where(peak, mid, 0.0).max(axis=1)
     picked = peak & (mid >= tallest[:, None] * options.threshold)
     ok = picked.any(axis=1) & (tallest >= options.least_clarity)
     at = picked.argmax(axis=1) + low + 1
-    rows = np.arange(len(loud))
+    rows = np.arange(len(d))
     y0, y1, y2 = d[rows, at - 1], d[rows, at], d[rows, at + 1]
     bend = 2 * (2 * y1 - y0 - y2)
     shift = np.where(np.abs(bend) > _EPS, (y2 - y0) / np.where(np.abs(bend) > _EPS, bend, 1.0), 0.0)
     found = options.sample_rate / (at + np.where(np.abs(shift) <= 1, shift, 0.0))
     ok &= (found >= options.min_hz) & (found <= options.max_hz)
-    hz[loud[ok]], clarity[loud[ok]] = found[ok], np.clip(y1[ok], 0.0, 1.0)
+    return np.where(ok, found, 0.0), np.where(ok, np.clip(y1, 0.0, 1.0), 0.0)
+
+
+def _shares_hops(options: PitchOptions) -> bool:
+    """Whether windows are made of whole hops, no lag being longer than one."""
+    low, high = _lags(options.window, options)
+    return options.window % options.hop == 0 and low < high < options.hop
+
+
+def estimate_hops(hops: np.ndarray, starts: np.ndarray, options: PitchOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``estimate_pitch`` of the windows that begin at rows ``starts`` of signals cut into hops, where ``_shares_hops`` holds.
+
+    Windows overlap, so what each hop adds to the autocorrelation (with itself and with the next one) is transformed once
+    and summed over the hops of a window. With twice the hop as size, no searched lag wraps around. Every second hop is
+    laid into the second half, so that each follows the one before it.
+    """
+    n, width = options.window, options.window // options.hop
+    low, high = _lags(n, options)
+    energy = np.einsum("ij,ij->i", hops, hops)
+    squares = sum(energy[starts + k] for k in range(width))
+    rms = np.sqrt(squares / n)
+    hz, clarity = np.zeros(len(starts)), np.zeros(len(starts))
+    loud = np.flatnonzero((rms >= options.rms_floor) & (squares >= _EPS))
+    if len(loud):
+        at = starts[loud]
+        laid = np.zeros((len(hops), 2 * options.hop))
+        laid[::2, : options.hop], laid[1::2, options.hop :] = hops[::2], hops[1::2]
+        spectrum = np.fft.rfft(laid, axis=1)
+        linked = spectrum[:-1] + spectrum[1:]
+        linked *= np.conj(spectrum[:-1])
+        last = len(hops) - width + 1
+        total = np.zeros((last, spectrum.shape[1]), dtype=complex)
+        total.real = spectrum[width - 1 :].real ** 2 + spectrum[width - 1 :].imag ** 2
+        for k in range(width - 1):
+            total += linked[k : k + last]
+        r = np.fft.irfft(total if len(at) == last else total[at], 2 * options.hop, axis=1)[:, : high + 1]
+        hz[loud], clarity[loud] = _highest(r / (squares[loud, None] + _tail(hops[at + width - 1], high)), low, high, options)
     return hz, clarity, rms
 
 
@@ -199,6 +252,70 @@ def chunk_signal(take_id, samples: np.ndarray, options: PitchOptions, hops: int
         yield take_id, k, start, stop - start, samples[start : stop + window - options.hop].astype(np.float32)
 
 
+def _windows(signals: list[np.ndarray], options: PitchOptions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``estimate_pitch`` of the windows of one or many signals, each as long as its last window reaches."""
+    counts = np.array([(len(x) - options.window) // options.hop + 1 for x in signals])
+    if not _shares_hops(options):
+        step = max(1, _BLOCK_SAMPLES // options.window)
+        cut = [np.lib.stride_tricks.sliding_window_view(x.astype(np.float64), options.window)[:: options.hop] for x in signals]
+        parts, held, count = [], [], 0
+        for part in (w[k : k + step] for w in cut for k in range(0, len(w), step)):
+            if held and count + len(part) > step:
+                parts.append(estimate_pitch(np.concatenate(held), options))
+                held, count = [], 0
+            held.append(part)
+            count += len(part)
+        parts.append(estimate_pitch(np.concatenate(held), options))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    width, step = options.window // options.hop, max(1, _BLOCK_SAMPLES // (4 * options.hop))
+    hops = np.concatenate(signals).reshape(-1, options.hop)
+    # Where a signal ends, windows would reach into the next one: those places begin none.
+    firsts = np.cumsum(counts + width - 1) - (counts + width - 1)
+    starts = np.arange(counts.sum()) + np.repeat(firsts - (np.cumsum(counts) - counts), counts)
+    parts = [estimate_hops(hops[own[0] : own[-1] + width].astype(np.float64), own - own[0], options) for own in (starts[k : k + step] for k in range(0, len(starts), step))]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def track_of(options: PitchOptions, given: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pitch frames of batches of chunks; windows of one or many chunks that are searched alike are estimated together."""
+    fields = asdict(options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = PitchOptions(**fields)
+        for batch in batches:
+            start, core = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("start_sample", "n_core"))
+            lists = batch.column("samples")
+            samples, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            searched = list(zip(*(batch.column(c).to_pylist() for c in given), strict=True)) or [()] * len(start)
+            for values in dict.fromkeys(searched):
+                own = replace(common, **dict(zip(given, values, strict=True)))
+                rows, signals, held = [], [], 0
+                for k in (k for k, v in enumerate(searched) if v == values):
+                    whole = min(int(core[k]), int(at[k + 1] - at[k]) - own.window + 1)  # first samples of whole windows
+                    if whole <= 0:
+                        continue
+                    x = samples[at[k] : at[k] + (whole - 1) // own.hop * own.hop + own.window]
+                    rows.append(k)
+                    signals.append(x)
+                    held += len(x)
+                    if held >= _TRACK_SAMPLES:
+                        yield framed(batch, start, rows, signals, own)
+                        rows, signals, held = [], [], 0
+                if rows:
+                    yield framed(batch, start, rows, signals, own)
+
+    def framed(batch: pa.RecordBatch, start: np.ndarray, rows: list[int], signals: list[np.ndarray], own: PitchOptions) -> pa.RecordBatch:
+        counts = np.array([(len(x) - own.window) // own.hop + 1 for x in signals])
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        index = np.repeat(start[rows] // own.hop, counts) + place
+        hz, clarity, rms = _windows(signals, own)
+        columns = {"frame_idx": index, "time": (index * own.hop + own.window / 2) / own.sample_rate, "hz": hz, "clarity": clarity, "rms": rms}
+        takes = batch.column("take_id").take(pa.array(np.repeat(rows, counts)))
+        return pa.RecordBatch.from_arrays([takes, *(pa.array(x) for x in columns.values())], ["take_id", *columns])
+
+    return run
+
+
 def pitch_track(chunks: DataFrame, options: PitchOptions = PitchOptions()) -> DataFrame:
     """Pitch frames of chunked recordings: take_id, frame_idx, time, hz, clarity, rms. Map-only.
 
@@ -207,41 +324,5 @@ def pitch_track(chunks: DataFrame, options: PitchOptions = PitchOptions()) -> Da
     fields = asdict(options)
     kind = chunks.schema["take_id"].dataType.simpleString()
     given = [c for c in ("window", "min_hz", "max_hz") if c in chunks.columns]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = PitchOptions(**fields)
-
-        def estimated(own: PitchOptions, held: list[tuple]) -> pd.DataFrame:
-            """Windows of one or many chunks that are searched alike, estimated together."""
-            hz, clarity, rms = estimate_pitch(np.concatenate([w for _, _, w in held]), own)
-            index = np.concatenate([i for _, i, _ in held])
-            take = np.repeat([t for t, _, _ in held], [len(i) for _, i, _ in held])
-            time = (index * own.hop + own.window / 2) / own.sample_rate
-            return pd.DataFrame({"take_id": take, "frame_idx": index, "time": time, "hz": hz, "clarity": clarity, "rms": rms})
-
-        for pdf in batches:
-            alike = pdf.groupby(given, sort=False) if given else [((), pdf)]
-            for values, rows in alike:
-                own = replace(common, **dict(zip(given, (v.item() for v in values), strict=True)))
-                step = max(1, _BLOCK_SAMPLES // own.window)
-                held, count = [], 0
-                for take_id, start, core, samples in zip(rows["take_id"], rows["start_sample"], rows["n_core"], rows["samples"], strict=True):
-                    x = np.asarray(samples, dtype=np.float64)
-                    usable = min(core, len(x) - own.window + 1)  # first samples of whole windows
-                    if usable <= 0:
-                        continue
-                    windows = np.lib.stride_tricks.sliding_window_view(x, own.window)[: usable : own.hop]
-                    for k in range(0, len(windows), step):
-                        part = windows[k : k + step]
-                        held.append((take_id, start // own.hop + k + np.arange(len(part)), part))
-                        count += len(part)
-                        if count >= step:
-                            yield estimated(own, held)
-                            held, count = [], 0
-                if held:
-                    yield estimated(own, held)
-
     own = [F.coalesce(c, F.lit(fields[c])).alias(c) for c in given]
-    return chunks.select("take_id", "start_sample", "n_core", "samples", *own).mapInPandas(
-        run, f"take_id {kind}, frame_idx long, time double, hz double, clarity double, rms double"
-    )
+    return chunks.select("take_id", F.col("start_sample").cast("long"), F.col("n_core").cast("long"), "samples", *own).mapInArrow(track_of(options, tuple(given)), f"take_id {kind}, {FRAME}")

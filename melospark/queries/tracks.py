@@ -114,9 +114,7 @@ def frm6_live_pitch(spark, d):
 @query()
 def frm5_pitch_track(spark, d):
     """Pitch frames of the notes, played at 4 kHz and read back from chunks."""
-    options = PLAYED
-    chunks = synth.synth_chunks(A.notes(spark, d), options.sample_rate, options.window, options.hop)
-    return audio.pitch_track(chunks, options)
+    return synth.synth_track(A.notes(spark, d), PLAYED)
 
 
 #: Three windows of 32 samples for each of the adapter's recordings.

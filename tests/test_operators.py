@@ -128,6 +128,43 @@ def test_native_samples_equal_the_chunks(spark):
     assert np.allclose(chunk[native["i"]], native["x"], atol=1e-6)
 
 
+@pytest.mark.parametrize("rate, window, hop, low", [(4000, 512, 128, 60.0), (4000, 128, 128, 60.0), (4000, 256, 100, 60.0), (44100, 4096, 512, 60.0), (8000, 1024, 128, 80.0)])
+def test_windows_of_shared_hops_equal_windows_alone(rate, window, hop, low):
+    """With whole hops in a window and lags under one hop, hops are transformed once; else each window is."""
+    options = audio.PitchOptions(sample_rate=rate, window=window, hop=hop, min_hz=low)
+    rng, signals = np.random.default_rng(8), []
+    for hz, noise, k in ((90.0, 0, 1), (333.3, 0.02, 7), (1100.0, 0.3, 40), (61.0, 0.001, 23), (500.0, 0, 300)):
+        n = window + (k - 1) * hop
+        x = tone(hz, n, rate, ((1, 0.5), (2, 0.2), (3, 0.08))) + rng.normal(0, noise, n)
+        x[n // 3 : n // 2] = 0
+        signals.append(x.astype(np.float32))
+    own = np.concatenate([np.lib.stride_tricks.sliding_window_view(x.astype(float), window)[::hop] for x in signals])
+    for got, expected in zip(audio._windows(signals, options), audio.estimate_pitch(own, options), strict=True):
+        assert len(got) == len(own) == 371 and np.allclose(got, expected, rtol=1e-9, atol=1e-9)
+
+
+def test_tracks_of_notes_are_dealt_out_and_equal_the_tracks_of_chunks(spark):
+    """Silence before, between and behind notes and a take without sound are chunks too. Notes are read once, and frames are
+    made by many tasks, however few bytes the notes are."""
+    rows = [(t, 0.5 + k * 0.4, 0.5 + k * 0.4 + 0.3, 50.0 + (t + k) % 20) for t in range(40) for k in range(4)]
+    rows += [(50, 9.0, 9.5, 60.0), (50, 30.0, 52.2, 62.0), (50, 60.0, 60.0, 62.0), (51, 3.0, 3.0, 60.0), (None, 0.2, 0.9, 65.0), (52, 0.0, 0.0, 60.0)]
+    notes = spark.createDataFrame(rows, "take_id long, start_s double, end_s double, midi double").repartition(2)
+    options = audio.PitchOptions(sample_rate=4000, window=512, hop=128)
+    chunks = synth.synth_chunks(notes, 4000, 512, 128, hops=16)
+    spans = {t: sorted((r.start_sample, r.n_core) for r in chunks.where(F.col("take_id").eqNullSafe(t)).collect()) for t in (50, 51, 52, None)}
+    assert spans[50] == [(s, 2048) for s in range(0, 239616, 2048)] + [(239616, 384)] and spans[51] == [(s, min(2048, 12000 - s)) for s in range(0, 12000, 2048)]
+    assert spans[52] == [] and spans[None] == [(0, 2048), (2048, 1552)]
+    direct = synth.synth_track(notes, options, hops=16)
+    a, b = (sorted(map(tuple, f.collect()), key=repr) for f in (direct, audio.pitch_track(chunks, options)))
+    assert a == b and len(a) == 40 * 59 + 1872 + 90 + 25
+    frame = direct.where("take_id = 50 and hz > 0").groupBy((F.col("time") > 20).alias("late")).agg(F.avg("hz").alias("hz"), F.count("hz").alias("n")).orderBy("late").collect()
+    assert [abs(r.hz - 440 * 2 ** ((m - 69) / 12)) < 3 and r.n > n for r, m, n in zip(frame, (60, 62), (12, 680), strict=True)] == [True, True]
+    whole = synth.synth_track(notes, options)
+    assert whole.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1, "dealt to one task by the notes' size"
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") == 1 and "Join" not in plan, plan
+
+
 def test_fused_walk_equals_the_steps(spark):
     rng = np.random.default_rng(5)
     rows = []
