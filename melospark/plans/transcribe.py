@@ -83,6 +83,19 @@ def transcribe_notes(takes: DataFrame, notes: DataFrame, pad: bool = True, held:
     return Transcription(takes, status, notes, own, grids, lengths, events, quality.take_confidence(notes), verdicts, staged=held)
 
 
+def notes_of_frames(
+    frames: DataFrame, smooth=track.SmoothOptions(), segment=track.SegmentOptions(), block: int = BLOCK_FRAMES, held: list[DataFrame] | None = None
+) -> DataFrame:
+    """``track.track_to_notes`` of frames that are dear to make: they are read once, filtered and written, since runs are numbered
+    over block rows and then joined back to the frames."""
+    buckets = buckets_for(frames.sparkSession)
+    prepared = track.prepared_blocks(frames, smooth, block, buckets).select(*KEYS, "take_id", "frame_idx", "time", "hz", "clarity", "voiced")
+    tracked = stage_bucketed(prepared, "tracked", list(KEYS), [*KEYS, "frame_idx"], buckets, dealt=True)
+    if held is not None:
+        held.append(tracked)
+    return track.notes_of(tracked, smooth, segment)
+
+
 def transcribe_frames(
     frames: DataFrame,
     takes: DataFrame | None = None,

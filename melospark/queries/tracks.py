@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from melospark import adapters as A
 from melospark.functions import pitch
 from melospark.operators import audio, pieces, quality, track
-from melospark.plans.transcribe import transcribe_frames
+from melospark.plans.transcribe import notes_of_frames, transcribe_frames
 from melospark.queries.common import C, EVENTS, FR, G, K, LEAPS, N, S, T, pc, query, rnd
 from melospark.queries.scores import DETECTED, INFERRED, level_notes, r6
 from melospark.sources import synth, wav
@@ -588,8 +588,7 @@ def pipeline_frames_to_scores(spark, d):
 def pipeline_audio_to_notes(spark, d):
     """Notes played at 4 kHz, and what the whole chain hears of them."""
     options = PLAYED
-    chunks = synth.synth_chunks(level_notes(spark, d), options.sample_rate, options.window, options.hop)
-    return track.track_to_notes(audio.pitch_track(chunks, options), segment=track.SegmentOptions(frame_duration=options.hop / options.sample_rate))
+    return notes_of_frames(synth.synth_track(level_notes(spark, d), options), segment=track.SegmentOptions(frame_duration=options.hop / options.sample_rate))
 
 
 @query(score_sql(FILE_NOTES))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from melospark.operators import quality, track
 from melospark.operators.blocks import BLOCK_FRAMES, KEYS
-from melospark.plans.transcribe import transcribe_frames
+from melospark.plans.transcribe import notes_of_frames, transcribe_frames
+from melospark.queries import QUERIES
 from melospark.storage import stage_bucketed
 
 FRAME = "take_id long, frame_idx long, time double, hz double, clarity double, rms double"
@@ -135,3 +136,30 @@ def test_medians_by_selection(spark, values):
     want = sorted(values)[len(values) >> 1] if values else None  # not-a-number is last here as well
     got = {r.k: r.m for r in upper_median_by(df, "k", F.col("v"), "m").collect()}
     assert got == ({1: want, None: want} if values else {})
+
+
+@pytest.mark.parametrize("block", [3, 64, BLOCK_FRAMES])
+def test_notes_of_frames_read_them_once(spark, frames, block):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    held = []
+    assert rows(notes_of_frames(frames.mapInArrow(counted, FRAME), block=block, held=held)) == rows(track.track_to_notes(frames, block=block))
+    assert seen.value == 618 and len(held) == 1
+
+
+def test_played_notes_are_heard_once(spark, tmp_path):
+    """The query's plan begins at the written frames, whose kernel has run."""
+    columns = ("l_orderkey", "id div 4"), ("l_linenumber", "id % 4"), ("l_quantity", "1 + id * 7 % 50"), ("l_discount", "id % 11 / 100"), ("l_tax", "id % 9 / 100")
+    lines = spark.range(60).selectExpr(*(f"{x} as {c}" for c, x in columns), "1 as l_partkey", "1 as l_suppkey", "1.0 as l_extendedprice", "date'2020-01-01' as l_shipdate")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    heard = QUERIES["pipeline_audio_to_notes"](spark, str(tmp_path))
+    plan = heard._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "sample" not in plan and "l_orderkey" not in plan, plan
+    segment = track.SegmentOptions(frame_duration=128 / 4000)
+    expected = rows(track.track_to_notes(QUERIES["frm5_pitch_track"](spark, str(tmp_path)), segment=segment))
+    assert rows(heard) == expected and len(expected) > 50
